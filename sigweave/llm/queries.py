@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontam, pii, quality, warc
+from . import decontam, jaccard, pii, quality, warc
 from .session import table
 
 
@@ -26,6 +25,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.verdicts(found)
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
@@ -34,6 +37,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_warc_revisits": op3_warc_revisits,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_pii": op10_pii,
 }
 
