@@ -32,8 +32,11 @@ from .textbytes import slices
 MAX_ROWS = 3000
 MAX_BYTES = 100_000
 DIMENSIONS = 8
-EPOCHS = 12
+EPOCHS = 6
 RATE = 0.5
+#: Features of fewer training texts are left out; they only learn single texts by heart.
+LEAST_TEXTS = 20
+SIZES = (3, 4, 5, 6)
 CUT = 0.3
 
 
@@ -51,32 +54,41 @@ class Model:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
         for lo, hi in slices(texts):
-            bag = Bag(texts[lo:hi])
+            bag = Bag(texts[lo:hi], SIZES)
             out[lo:hi] = bag.text_means(bag.word_values(self.table))
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -50, 50)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> Model:
-    """Joint training of embeddings and softmax, classes weighted alike."""
+def _frequent(text, bucket, weight, n: int, least: int):
+    """Merge a text's entries of one bucket and leave out buckets of fewer than ``least`` texts."""
+    pair, inverse = np.unique(text.astype(np.int64) << BITS | bucket, return_inverse=True)
+    weight = np.bincount(inverse, weight).astype(np.float32)
+    text, bucket = pair >> BITS, pair & ((1 << BITS) - 1)
+    often = np.bincount(bucket, minlength=1 << BITS) >= least
+    keep = often[bucket]
+    text, weight = text[keep], weight[keep]
+    used, bucket = np.unique(bucket[keep], return_inverse=True)
+    return used, bucket, weight, np.searchsorted(text, np.arange(n + 1))
+
+
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, least_texts: int = LEAST_TEXTS, seed: int = 1) -> Model:
+    """Joint training of embeddings and softmax."""
     rng = np.random.RandomState(seed)
     if not len(texts) or labels.min() == labels.max():
         return Model(np.zeros(1 << BITS), -50.0 if not len(texts) or labels.max() == 0 else 50.0)
     text, bucket, weight = [], [], []
     for lo, hi in slices(texts):
-        t, b, w = Bag(texts[lo:hi]).vectors()
+        t, b, w = Bag(texts[lo:hi], SIZES).vectors()
         text.append(t + lo)
         bucket.append(b)
         weight.append(w)
     text, bucket, weight = np.concatenate(text), np.concatenate(bucket), np.concatenate(weight).astype(np.float32)
-    first = np.searchsorted(text, np.arange(len(texts) + 1))
-    used, bucket = np.unique(bucket, return_inverse=True)
+    used, bucket, weight, first = _frequent(text, bucket, weight, len(texts), least_texts)
     emb = (rng.uniform(-1, 1, (len(used), DIMENSIONS)) / DIMENSIONS).astype(np.float32)
     emb_sq = np.full(len(used), 1e-8, np.float32)
     soft = rng.uniform(-1, 1, (DIMENSIONS, 2)).astype(np.float32)
     soft_sq = np.full_like(soft, 1e-4)
     bias, bias_sq = np.zeros(2, np.float32), np.full(2, 1e-4, np.float32)
-    share = labels.mean()
-    cost = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     target = np.eye(2, dtype=np.float32)[labels]
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
@@ -92,7 +104,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
             z -= z.max(1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(1, keepdims=True)
-            d = (p - target[docs]) * cost[docs, None] / len(docs)
+            d = (p - target[docs]) / len(docs)
             back = d @ soft.T
             g_soft, g_bias = mean.T @ d, d.sum(0)
             places, inverse = np.unique(own, return_inverse=True)
@@ -113,13 +125,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_ROWS, size: int = MA
     """Learn from a bounded sample of labelled rows that are not held out."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.persist()
+    share = known.agg(F.avg("toxic")).first()[0]
     drawn = None
     for value in (0, 1):
         part = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         drawn = part if drawn is None else drawn.unionByName(part)
     texts = docs.filter(F.col("text").isNotNull() & (F.octet_length("text") <= size) & ~held_out()).select("doc_id", "text")
     got = texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()  # at most 2 * rows rows
-    return train(lowered(got.column("text").combine_chunks()), got.column("toxic").to_numpy().astype(np.int64))
+    known.unpersist()
+    labels_drawn = got.column("toxic").to_numpy().astype(np.int64)
+    model = train(lowered(got.column("text").combine_chunks()), labels_drawn)
+    if len(labels_drawn) and 0 < labels_drawn.mean() < 1 and 0 < share < 1:
+        drawn_share = labels_drawn.mean()  # classes are drawn evenly: back to their share among all labels
+        model.bias += float(np.log(share / (1 - share)) - np.log(drawn_share / (1 - drawn_share)))
+    return model
 
 
 def _scorer(model, n_keep: int, names: list[str]) -> Callable:
