@@ -15,7 +15,7 @@ in turn, so a benchmark of any size is handled with bounded memory.
 Defined cases: a null or empty text has no words and no hits; an item without words
 never occurs; a null item_id is written as an empty string; repeated items with one id
 count once; repeated documents are judged each.  Extra columns are ignored unless named
-in ``keep``; the columns this operator makes are prefixed if they clash with ``keep``.
+in ``keep``; a column this operator makes gets underscores behind its name if it clashes.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .session import arrow_batches
+from .session import arrow_batches, fresh
 from .textbytes import ALNUM, Words, grams, slices, text_bytes, whole
 
 SPAN = 13
@@ -175,36 +175,34 @@ def find(
     spark = docs.sparkSession
     arrow_batches(spark)
     kept = docs.select(*keep)
-    names = {n: n if n not in keep else f"contamination_{n}" for n in ("n_words", "hit_ranges", "hit_items")}
+    source, *names = fresh(keep, "_text", "n_words", "hit_ranges", "hit_items")
     types = (LongType(), ArrayType(LongType()), ArrayType(StringType()))
-    added = [StructField(n, t) for n, t in zip(names.values(), types, strict=True)]
-    data = docs.select(*keep, F.col(text).alias("_text"))
-    schema, found_at = StructType([*kept.schema, StructField("_text", StringType()), *added]), None
+    added = [StructField(n, t) for n, t in zip(names, types, strict=True)]
+    data = docs.select(*keep, F.col(text).alias(source))
+    schema, found_at = StructType([*kept.schema, StructField(source, StringType()), *added]), None
     for index in blocks(benchmark, span, k, item, item_text, block_bytes):
         shared = spark.sparkContext.broadcast(index)
         out = pa.schema([(f.name, pa.null()) for f in schema])
         data = data.mapInArrow(_scan(shared, len(keep), found_at, out), schema)
         found_at = len(keep) + 1
-    return data.drop("_text")
+    return data.drop(source)
 
 
 def verdicts(found: DataFrame, keep=("doc_id",)) -> DataFrame:
-    """Digest columns: n_hit, n_items, items_sha256 and contaminated."""
-    ends = F.filter("hit_ranges", lambda _, i: i % 2 == 1)
-    starts = F.filter("hit_ranges", lambda _, i: i % 2 == 0)
+    """Digest columns behind ``keep``: n_words, n_hit, n_items, items_sha256 and contaminated."""
+    n_words, ranges, items = found.columns[len(keep) :]
+    ends = F.filter(ranges, lambda _, i: i % 2 == 1)
+    starts = F.filter(ranges, lambda _, i: i % 2 == 0)
     n_hit = F.aggregate(F.zip_with(ends, starts, lambda b, a: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
+    hit, count, sha, bad = fresh(found.columns, "n_hit", "n_items", "items_sha256", "contaminated")
     out = found.select(
-        *keep, "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        *keep, n_words, n_hit.alias(hit), F.size(items).cast("long").alias(count),
+        F.sha2(F.array_join(items, ","), 256).alias(sha),
     )
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return out.withColumn(bad, (F.col(hit) > 0) & (20 * F.col(hit) >= F.col(n_words)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    keep = docs.columns
-    if {"n_words", "hit_ranges", "hit_items"} & set(keep):
-        raise ValueError("documents already have columns n_words, hit_ranges or hit_items")
-    found = find(docs, benchmark, keep)
-    marked = verdicts(found, keep)
-    return marked.filter(~F.col("contaminated")).select(*keep)
+    marked = verdicts(find(docs, benchmark, docs.columns), docs.columns)
+    return marked.filter(~F.col(marked.columns[-1])).select(*docs.columns)

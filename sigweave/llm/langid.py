@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .session import arrow_batches
+from .session import arrow_batches, fresh
 from .subwords import Bag, lowered
 from .textbytes import slices
 from .toxicity import held_out
@@ -214,6 +214,6 @@ def predict(docs: DataFrame, model: Model, keep=("doc_id",), text: str = "text")
     """``keep`` columns, lang_pred and score of every whole text."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    schema = StructType([*docs.select(*keep).schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.select(*keep).schema, *(StructField(n, t) for n, t in zip(fresh(keep, "lang_pred", "score"), (StringType(), DoubleType()), strict=True))])
     shared = spark.sparkContext.broadcast(model)
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(_predictor(shared, len(keep), schema.names), schema)
+    return docs.select(*keep, F.col(text).alias(fresh(keep, "_text")[0])).mapInArrow(_predictor(shared, len(keep), schema.names), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .session import arrow_batches
+from .session import arrow_batches, fresh
 from .textbytes import ALNUM, Words, grams, mix, slices, text_bytes, whole
 
 SHINGLE = 5
@@ -197,5 +197,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, keep=("doc_id
     spark = docs.sparkSession
     arrow_batches(spark)
     shared = spark.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates))
-    schema = StructType([*docs.select(*keep).schema, StructField("matches", _FOUND)])
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(_scanner(shared, len(keep), schema.names), schema)
+    schema = StructType([*docs.select(*keep).schema, StructField(fresh(keep, "matches")[0], _FOUND)])
+    return docs.select(*keep, F.col(text).alias(fresh(keep, "_text")[0])).mapInArrow(_scanner(shared, len(keep), schema.names), schema)

@@ -95,10 +95,10 @@ def histogram(lengths: DataFrame, length: str = "n_tokens") -> tuple[np.ndarray,
     return tuple(np.array([r[k] for r in got], float) for k in range(3))
 
 
-def pack(docs: DataFrame, keep=("doc_id",), text: str = "text", order: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """``keep`` columns, n_tokens, bucket, padded_tokens, batch (number in its bucket) and slot of every row."""
-    rows = docs.select(*keep, tokens(text).alias("n_tokens"))
-    rows = written(rows.withColumn("_h", F.xxhash64(F.col(order))), "packing-lengths")
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """doc_id, n_tokens, bucket, padded_tokens, batch (number in its bucket) and slot of every row."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("n_tokens"), F.xxhash64(doc_id).alias("h"))
+    rows = written(rows, "packing-lengths")
     edges, counts, totals = histogram(rows)
     limits, _ = boundaries(edges, counts, totals, buckets)
     which, top = F.lit(None).cast("int"), F.lit(None).cast("long")
@@ -107,17 +107,17 @@ def pack(docs: DataFrame, keep=("doc_id",), text: str = "text", order: str = "do
         which, top = F.when(fits, b).otherwise(which), F.when(fits, F.lit(limits[b]).cast("long")).otherwise(top)
     rows = rows.withColumn("bucket", which).withColumn("padded_tokens", top)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, "bucket", "_h", order).withColumn("_part", F.spark_partition_id())
+    ranged = rows.repartitionByRange(parts, "bucket", "h", "doc_id").withColumn("part", F.spark_partition_id())
     ranged = written(ranged, "packing-ranges")
-    # Few rows: a partition holds a contiguous range of buckets.
-    before = Window.partitionBy("bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = ranged.groupBy("bucket", "_part").agg(F.count("*").alias("n"))
-    offset = offset.select("bucket", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("bucket", "_part").orderBy("_h", order)
-    numbered = ranged.withColumn("_n", F.row_number().over(own)).join(F.broadcast(offset), ["bucket", "_part"])
+    # A partition holds a contiguous range, so there are about as many counts as partitions and buckets.
+    before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = ranged.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    offset = offset.select("bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    own = Window.partitionBy("bucket", "part").orderBy("h", "doc_id")
+    numbered = ranged.withColumn("n", F.row_number().over(own)).join(F.broadcast(offset), ["bucket", "part"])
     per = F.greatest(F.floor(F.lit(budget) / F.greatest("padded_tokens", F.lit(1))), F.lit(1))
-    place = F.col("_before") + F.col("_n") - 1
+    place = F.col("earlier") + F.col("n") - 1
     return numbered.select(
-        *keep, "n_tokens", "bucket", "padded_tokens",
+        "doc_id", "n_tokens", "bucket", "padded_tokens",
         F.floor(place / per).cast("long").alias("batch"), F.pmod(place, per).cast("long").alias("slot"),
     )

@@ -19,9 +19,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .session import arrow_batches
+from .session import arrow_batches, fresh
 
 KINDS = ("email", "ip", "card", "phone", "iban", "id_number")
 BASE = KINDS[:4]
@@ -161,7 +162,8 @@ _SPAN = ArrayType(StructType([
 def detect(docs: DataFrame, keep=("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns, ``pii`` (kind, start, end, score) and ``redacted`` text."""
     arrow_batches(docs.sparkSession)
-    schema = StructType([*docs.select(*keep).schema, StructField("pii", _SPAN), StructField("redacted", StringType())])
+    names = fresh(keep, "pii", "redacted")
+    schema = StructType([*docs.select(*keep).schema, StructField(names[0], _SPAN), StructField(names[1], StringType())])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,16 +175,26 @@ def detect(docs: DataFrame, keep=("doc_id",), text: str = "text") -> DataFrame:
             arrays = [*batch.columns[: len(keep)], pa.array(rows, kind), pa.array(clean, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(fresh(keep, "_text")[0])).mapInArrow(run, schema)
+
+
+def masked(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """The documents with every span replaced by its kind, and ``length`` (if there) counted anew."""
+    columns = docs.columns
+    found = detect(docs, columns, text)
+    clean = F.col(found.columns[-1])
+    new = {text: clean} | ({length: F.length(clean).cast(docs.schema[length].dataType)} if length in columns else {})
+    return found.select(*(new[c].alias(c) if c in new else F.col(c) for c in columns))
 
 
 def digests(docs: DataFrame, keep=("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns, base counts by kind, base_sha256 and all spans as text."""
     arrow_batches(docs.sparkSession)
-    names = [*(f"n_{k}" for k in BASE), "base_sha256", "spans"]
+    names = fresh(keep, *(f"n_{k}" for k in BASE), "base_sha256", "spans")
     types = [*(LongType() for _ in BASE), StringType(), StringType()]
     schema = StructType([*docs.select(*keep).schema, *(StructField(n, t) for n, t in zip(names, types, strict=True))])
-    return docs.select(*keep, text).mapInArrow(_digester(len(keep), schema.names), schema)
+    source = fresh(keep, "_text")[0]
+    return docs.select(*keep, F.col(text).alias(source)).mapInArrow(_digester(len(keep), schema.names), schema)
 
 
 def _digester(n_keep: int, names: list[str]) -> Callable:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .session import arrow_batches
+from .session import arrow_batches, fresh
 from .subwords import BITS, Bag, lowered
 from .textbytes import slices
 
@@ -157,14 +157,13 @@ def score(docs: DataFrame, model: Model, keep=("doc_id",), text: str = "text", n
     spark = docs.sparkSession
     arrow_batches(spark)
     kept = docs.select(*keep)
-    added = [StructField(n, t) for n, t in zip(names, (DoubleType(), IntegerType()), strict=True)]
+    added = [StructField(n, t) for n, t in zip(fresh(keep, *names), (DoubleType(), IntegerType()), strict=True)]
     schema = StructType([*kept.schema, *added])
     shared = spark.sparkContext.broadcast(model)
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(_scorer(shared, len(keep), schema.names), schema)
+    return docs.select(*keep, F.col(text).alias(fresh(keep, "_text")[0])).mapInArrow(_scorer(shared, len(keep), schema.names), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model doesn't reject, with their own columns."""
-    made = ("_toxicity", "_rejected")
-    marked = score(docs, fit(docs, labels), docs.columns, names=made)
-    return marked.filter(F.col(made[1]) == 0).select(*docs.columns)
+    marked = score(docs, fit(docs, labels), docs.columns)
+    return marked.filter(F.col(marked.columns[-1]) == 0).select(*docs.columns)
