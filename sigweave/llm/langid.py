@@ -155,11 +155,11 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
         return model
     first, bucket, weight, at = [np.zeros(1, np.int64)], [], [], 0
     data, lang = [r[0] for r in rows], np.array([r[1] for r in rows])
-    for lo, hi in slices(data):
+    for lo, hi in slices(data, 1 << 18):
         t, b, w = Bag(data[lo:hi], SIZES, BITS).vectors()
         pair, inverse = np.unique(t * (1 << BITS) + b, return_inverse=True)
-        bucket.append(pair % (1 << BITS))
-        weight.append(np.bincount(inverse, w) * SCALE)
+        bucket.append((pair % (1 << BITS)).astype(np.int32))
+        weight.append((np.bincount(inverse, w) * SCALE).astype(np.float32))
         first.append(at + np.searchsorted(pair // (1 << BITS), np.arange(1, hi - lo + 1)))
         at += len(pair)
     first, bucket, weight = np.concatenate(first), np.concatenate(bucket), np.concatenate(weight)
