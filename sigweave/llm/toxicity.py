@@ -59,16 +59,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -50, 50)))
 
 
-def _frequent(text, bucket, weight, n: int, least: int):
-    """Merge a text's entries of one bucket and leave out buckets of fewer than ``least`` texts."""
-    pair, inverse = np.unique(text.astype(np.int64) << BITS | bucket, return_inverse=True)
-    weight = np.bincount(inverse, weight).astype(np.float32)
-    text, bucket = pair >> BITS, pair & ((1 << BITS) - 1)
-    often = np.bincount(bucket, minlength=1 << BITS) >= least
-    keep = often[bucket]
-    text, weight = text[keep], weight[keep]
-    used, bucket = np.unique(bucket[keep], return_inverse=True)
-    return used, bucket, weight, np.searchsorted(text, np.arange(n + 1))
+def _entries(texts: list[bytes], least: int):
+    """Sparse mean vectors without the buckets of fewer than ``least`` texts: used buckets, entries, first of each text.
+
+    Small slices keep what the driver holds at a time small.
+    """
+    parts, often = [], np.zeros(1 << BITS, np.int64)
+    for lo, hi in slices(texts, 1 << 18):
+        text, bucket, weight = Bag(texts[lo:hi], SIZES).vectors()
+        pair, inverse = np.unique(text << BITS | bucket, return_inverse=True)
+        bucket = (pair & ((1 << BITS) - 1)).astype(np.int32)
+        often += np.bincount(bucket, minlength=1 << BITS)
+        parts.append(((pair >> BITS).astype(np.int32) + lo, bucket, np.bincount(inverse, weight).astype(np.float32)))
+    keep = often >= least
+    used = np.flatnonzero(keep)
+    rank = np.cumsum(keep, dtype=np.int32) - 1
+    count = np.zeros(len(texts), np.int64)
+    for i, (t, b, w) in enumerate(parts):
+        own = keep[b]
+        count += np.bincount(t[own], minlength=len(texts))
+        parts[i] = (rank[b[own]], w[own])
+    first = np.concatenate([[0], np.cumsum(count)])
+    bucket, weight = np.empty(first[-1], np.int32), np.empty(first[-1], np.float32)
+    at = 0
+    while parts:
+        b, w = parts.pop(0)
+        bucket[at : at + len(b)], weight[at : at + len(b)] = b, w
+        at += len(b)
+    return used, bucket, weight, first
 
 
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, least_texts: int = LEAST_TEXTS, seed: int = 1) -> Model:
@@ -76,14 +94,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, least_te
     rng = np.random.RandomState(seed)
     if not len(texts) or labels.min() == labels.max():
         return Model(np.zeros(1 << BITS), -50.0 if not len(texts) or labels.max() == 0 else 50.0)
-    text, bucket, weight = [], [], []
-    for lo, hi in slices(texts):
-        t, b, w = Bag(texts[lo:hi], SIZES).vectors()
-        text.append(t + lo)
-        bucket.append(b)
-        weight.append(w)
-    text, bucket, weight = np.concatenate(text), np.concatenate(bucket), np.concatenate(weight).astype(np.float32)
-    used, bucket, weight, first = _frequent(text, bucket, weight, len(texts), least_texts)
+    used, bucket, weight, first = _entries(texts, least_texts)
     emb = (rng.uniform(-1, 1, (len(used), DIMENSIONS)) / DIMENSIONS).astype(np.float32)
     emb_sq = np.full(len(used), 1e-8, np.float32)
     soft = rng.uniform(-1, 1, (DIMENSIONS, 2)).astype(np.float32)
