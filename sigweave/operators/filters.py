@@ -54,7 +54,7 @@ def _convolved(df: DataFrame, taps: np.ndarray, offset: int, before: int, chunk:
                 full = np.convolve(x, taps)
                 at = np.arange(lo, hi) + offset - row[2]
                 y = full[np.clip(at, 0, len(full) - 1)] * ((at >= 0) & (at < len(full)))
-                made = {"stream_id": [row[0]] * len(y), "pos": np.arange(lo, hi)}
+                made = {"stream_id": pd.Series([row[0]] * len(y), dtype=object), "pos": np.arange(lo, hi)}
                 yield pd.DataFrame(made | ({"re": y.real, "im": y.imag} if cplx else {"v": y.real}))
 
     return _array_chunks(df, left, right, chunk).mapInPandas(run, schema)

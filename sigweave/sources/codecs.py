@@ -62,7 +62,7 @@ def parse(df: DataFrame, kind: str, chunk: int = CHUNK) -> DataFrame:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 x = unpacked(row.data, kind)
-                made = {"stream_id": [row.stream_id] * len(x), "pos": row.first + np.arange(len(x))}
+                made = {"stream_id": pd.Series([row.stream_id] * len(x), dtype=object), "pos": row.first + np.arange(len(x))}
                 yield pd.DataFrame(made | {c: x[:, k] for k, c in enumerate(FORMATS[kind][1])})
 
     id_type = df.schema["stream_id"].dataType.simpleString()

@@ -52,7 +52,7 @@ def stateful(df: DataFrame, columns: tuple[str, ...], machine: Callable[[], obje
             if len(rows):
                 made = own.feed(rows["pos"].to_numpy(), *(rows[c].to_numpy() for c in columns))
                 n = len(next(iter(made.values())))
-                yield pd.DataFrame({"stream_id": [key[0]] * n} | made)[["stream_id", *fields]]
+                yield pd.DataFrame({"stream_id": pd.Series([key[0]] * n, dtype=object)} | made)[["stream_id", *fields]]
         state.update((pickle.dumps((order, own)),))
 
     kind = df.schema["stream_id"].dataType.simpleString()
