@@ -109,10 +109,12 @@ def measure(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:
     base = base.withColumn("n_words", F.size("_words").cast("long"))
     # Equal windows have equal hashes, so a text whose window hashes all differ repeats nothing.
     base = base.withColumn("_hashes", F.transform("_words", lambda w, i: F.xxhash64(w, *_next_words(i))))
+    # The partition term is always true, but not deterministic; it keeps Spark from copying this array into filters on the
+    # result, where lambda functions would sort it again for every element.
     base = base.withColumn(
         "_ranked",
         F.when(
-            (F.col("n_words") > NGRAM) & (F.size(F.array_distinct("_hashes")) < F.size("_hashes")),
+            (F.col("n_words") > NGRAM) & (F.spark_partition_id() >= 0) & (F.size(F.array_distinct("_hashes")) < F.size("_hashes")),
             F.sort_array(
                 F.transform(
                     F.slice("_hashes", 1, F.size("_words") - (NGRAM - 1)),
