@@ -133,7 +133,7 @@ def scan_separators(spark: SparkSession, path: str, files: DataFrame, end: int =
     spread = blocks(spark, path, files, block_tokens).repartition(parts, "file", "block")
     found = written(spread.mapInArrow(run, "file string, block long, ends array<long>"), "token-blocks")
     # Prefix scan over the blocks of a file.
-    heads = found.select("file", "block", F.size("ends").alias("n"), F.element_at("ends", -1).alias("last"))
+    heads = found.select("file", "block", F.size("ends").alias("n"), F.get("ends", F.size("ends") - 1).alias("last"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     scanned = heads.select(
         "file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_ordinal"),
