@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import arrow_batches, shared_dir
+from .session import arrow_batches, shared_dir, written
 
 END = "\r\n\r\n"
 RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, intact boolean, profile string"
@@ -47,15 +47,17 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("html")))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long"))
     large = rows.filter(F.col("payload_bytes") >= min_bytes)
+    # Digests are computed once more for the payloads below, all else reads this narrow table.
+    headers = written(large.select("payload_digest", "page_id", "url", "payload_bytes"), "warc-headers")
     first = large.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url", "html")).alias("r"))
     responses = first.select(
         "r.page_id", "r.url", F.lit("response").alias("record_type"), "payload_digest",
         F.octet_length("r.html").cast("long").alias("payload_bytes"), F.lit(None).cast("long").alias("refers_to"), "r.html",
     )
-    heads = large.groupBy("payload_digest", "page_id", "url").agg(
+    heads = headers.groupBy("payload_digest", "page_id", "url").agg(
         F.count("*").alias("n"), F.first("payload_bytes").alias("payload_bytes")
     )
-    chosen = large.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies"))
+    chosen = headers.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies"))
     again = heads.join(chosen.filter("copies > 1"), "payload_digest")
     is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
     revisits = (
@@ -192,4 +194,4 @@ def deduplicated(pages: DataFrame, min_bytes: int = 0, path: str | None = None)
     spark = pages.sparkSession
     path = path or shared_dir(spark, "warc")
     write_archives(plan_records(pages, min_bytes), path)
-    return resolve(read_archives(spark, path), min_bytes)
+    return resolve(written(read_archives(spark, path), "warc-records"), min_bytes)
