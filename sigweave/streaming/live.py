@@ -166,3 +166,30 @@ def strobe(spark: SparkSession, data: str, per_second: int = 1, stream_id: str =
     """The same message at a fixed rate."""
     rate = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
     return rate.select(F.lit(stream_id).alias("stream_id"), F.col("value").alias("pdu_idx"), F.col("timestamp").alias("ts"), F.lit(data).alias("msg"))
+
+
+def canary(spark: SparkSession, name: str, f: Callable[[], None]):
+    """Call ``f`` when the streaming query of that name ends; returns the listener (remove it when done)."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Listener(StreamingQueryListener):
+        def __init__(self):
+            self.ids = set()
+
+        def onQueryStarted(self, event):
+            if event.name == name:
+                self.ids.add(event.id)
+
+        def onQueryProgress(self, event):
+            pass
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            if event.id in self.ids:
+                f()
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    return listener

@@ -50,3 +50,17 @@ def test_live_machines_in_pieces():
         b = [parts.feed(pos[i : i + 7], x[i : i + 7]) for i in range(0, 60, 7)]
         for key in a:
             assert np.allclose(np.asarray(a[key], float), np.concatenate([np.asarray(p[key], float) for p in b]))
+
+
+def test_canary(spark, tmp_path):
+    import time
+
+    ended = []
+    listener = live.canary(spark, "live_canary", lambda: ended.append(1))
+    _run(_arrive(spark, stream(spark, [1.0, 2.0]), f"{tmp_path}/in", 1, "v"), "live_canary", tmp_path)
+    for _ in range(50):
+        if ended:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert ended == [1]
