@@ -29,7 +29,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .session import arrow_batches, fresh
 from .subwords import Bag, lowered
 from .textbytes import slices
-from .toxicity import held_out
+from .toxicity import drawn, held_out
 
 MAX_ROWS = 4000
 MAX_BYTES = 100_000
@@ -187,9 +187,10 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
 
 def fit(docs: DataFrame, rows: int = MAX_ROWS, size: int = MAX_BYTES) -> Model:
     """Learn from a bounded sample of rows with a language that are not held out."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    known = known.filter(F.octet_length("text") <= size).select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id")
-    got = known.orderBy("h", "doc_id", "text").limit(rows).toArrow()
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    total = known.count()  # reads no texts
+    usable = known.filter(F.col("text").isNotNull() & (F.octet_length("text") <= size)).select("doc_id", "text", "lang")
+    got = drawn(usable, rows, total).toArrow()
     return train(lowered(got.column("text").combine_chunks()), got.column("lang").to_pylist())
 
 

@@ -44,6 +44,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def drawn(rows: DataFrame, n: int, total: int, key: str = "doc_id") -> DataFrame:
+    """The n rows of least hash; a threshold on the hash leaves about 1.5 n of ``total`` rows to order, whatever the input."""
+    place = F.xxhash64(key)
+    if total > 2 * n:
+        rows = rows.filter(place < F.lit(int(-(2**63) + 2**64 * 1.5 * n / total)))
+    return rows.orderBy(place, key).limit(n)
+
+
 @dataclass
 class Model:
     """One value per bucket, and a bias, for the log odds."""
@@ -136,15 +144,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_ROWS, size: int = MA
     """Learn from a bounded sample of labelled rows that are not held out."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.persist()
-    share = known.agg(F.avg("toxic")).first()[0]
-    drawn = None
+    many = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    share = many.get(1, 0) / max(1, sum(many.values()))
+    sample = None
     for value in (0, 1):
-        part = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        drawn = part if drawn is None else drawn.unionByName(part)
+        part = drawn(known.filter(F.col("toxic") == value), rows, many.get(value, 0))
+        sample = part if sample is None else sample.unionByName(part)
     texts = docs.filter(F.col("text").isNotNull() & (F.octet_length("text") <= size) & ~held_out()).select("doc_id", "text")
-    got = texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()  # at most 2 * rows rows
-    known.unpersist()
+    got = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()  # at most 2 * rows rows
     labels_drawn = got.column("toxic").to_numpy().astype(np.int64)
     model = train(lowered(got.column("text").combine_chunks()), labels_drawn)
     if len(labels_drawn) and 0 < labels_drawn.mean() < 1 and 0 < share < 1:
