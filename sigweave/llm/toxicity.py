@@ -70,23 +70,27 @@ class Model:
 def _entries(texts: list[bytes], least: int):
     """Sparse mean vectors without the buckets of fewer than ``least`` texts: used buckets, entries, first of each text.
 
-    Small slices keep what the driver holds at a time small.
+    Small slices, and a first pass that only counts, keep what the driver holds small.
     """
-    parts, often = [], np.zeros(1 << BITS, np.int64)
-    for lo, hi in slices(texts, 1 << 18):
-        text, bucket, weight = Bag(texts[lo:hi], SIZES).vectors()
-        pair, inverse = np.unique(text << BITS | bucket, return_inverse=True)
-        bucket = (pair & ((1 << BITS) - 1)).astype(np.int32)
-        often += np.bincount(bucket, minlength=1 << BITS)
-        parts.append(((pair >> BITS).astype(np.int32) + lo, bucket, np.bincount(inverse, weight).astype(np.float32)))
+
+    def merged() -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for lo, hi in slices(texts, 1 << 18):
+            text, bucket, weight = Bag(texts[lo:hi], SIZES).vectors()
+            pair, inverse = np.unique(text << BITS | bucket, return_inverse=True)
+            yield lo, hi, pair, np.bincount(inverse, weight).astype(np.float32)
+
+    often = np.zeros(1 << BITS, np.int64)
+    for _, _, pair, _ in merged():
+        often += np.bincount(pair & ((1 << BITS) - 1), minlength=1 << BITS)
     keep = often >= least
     used = np.flatnonzero(keep)
     rank = np.cumsum(keep, dtype=np.int32) - 1
-    count = np.zeros(len(texts), np.int64)
-    for i, (t, b, w) in enumerate(parts):
-        own = keep[b]
-        count += np.bincount(t[own], minlength=len(texts))
-        parts[i] = (rank[b[own]], w[own])
+    parts, count = [], np.zeros(len(texts), np.int64)
+    for lo, hi, pair, weight in merged():
+        bucket = pair & ((1 << BITS) - 1)
+        own = keep[bucket]
+        count[lo:hi] += np.bincount((pair >> BITS)[own], minlength=hi - lo)
+        parts.append((rank[bucket[own]], weight[own]))
     first = np.concatenate([[0], np.cumsum(count)])
     bucket, weight = np.empty(first[-1], np.int32), np.empty(first[-1], np.float32)
     at = 0
