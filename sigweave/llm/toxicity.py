@@ -34,8 +34,10 @@ MAX_BYTES = 100_000
 DIMENSIONS = 8
 EPOCHS = 6
 RATE = 0.5
-#: Features of fewer training texts are left out; they only learn single texts by heart.
-LEAST_TEXTS = 20
+#: Features of a single training text are left out, whatever the number of texts; they only learn it by heart.
+LEAST_TEXTS = 2
+#: Factor of the mean vectors: few texts mean few steps, which must still move the score of a word in few of them.
+SCALE = 20.0
 SIZES = (3, 4, 5, 6)
 CUT = 0.3
 
@@ -77,7 +79,7 @@ def _entries(texts: list[bytes], least: int):
         for lo, hi in slices(texts, 1 << 18):
             text, bucket, weight = Bag(texts[lo:hi], SIZES).vectors()
             pair, inverse = np.unique(text << BITS | bucket, return_inverse=True)
-            yield lo, hi, pair, np.bincount(inverse, weight).astype(np.float32)
+            yield lo, hi, pair, (np.bincount(inverse, weight) * SCALE).astype(np.float32)
 
     often = np.zeros(1 << BITS, np.int64)
     for _, _, pair, _ in merged():
@@ -140,7 +142,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, least_te
             bias_sq += g_bias**2
             bias -= rate * g_bias / np.sqrt(bias_sq)
     table = np.zeros(1 << BITS)
-    table[used] = emb @ (soft[:, 1] - soft[:, 0])
+    table[used] = SCALE * (emb @ (soft[:, 1] - soft[:, 0]))
     return Model(table, float(bias[1] - bias[0]))
 
 

@@ -87,6 +87,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert (order[toxic].mean() - (toxic.sum() - 1) / 2) / (~toxic).sum() > 0.9
 
 
+def test_toxicity_learns_from_few_texts(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    marked = toxicity.score(docs.join(labels, "doc_id").filter(toxicity.held_out()), model, keep=("doc_id", "toxic")).toPandas()
+    toxic = marked.toxic.to_numpy() == 1
+    order = np.argsort(np.argsort(marked.score.to_numpy()))
+    assert (order[toxic].mean() - (toxic.sum() - 1) / 2) / (~toxic).sum() > 0.6  # with 37 toxic texts to learn from
+    assert marked[toxic].predicted.sum() > 0 and marked[~toxic].predicted.mean() < 0.08
+
+
 def test_toxicity_edge_cases(spark):
     df = spark.createDataFrame([(i, t, 2.0) for i, t in enumerate(TEXTS)] + [(None, "x", 1.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(9)] + [(3, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
