@@ -158,6 +158,21 @@ def test_pii(spark):
     assert not pii.mod97("DE88370400440532013000")
 
 
+@pytest.mark.parametrize("after", ["", ",", " BIC COBADEFFXXX", " EUR 200", " A new", " 12 34", " DE89370400440532013000", "\nAB12 C"])
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"])
+def test_ibans_before_other_words(iban, after):
+    for before in ("", "IBAN ", "é AB12 "):
+        start = len(before)
+        found = [(a, b) for k, a, b, _ in pii.spans(before + iban + after) if k == "iban"]
+        assert found[0] == (start, start + len(iban)) and len(found) == 1 + ("DE89" in after)
+
+
+def test_iban_of_unknown_or_wrong_length():
+    body = next(s for s in (f"ZZ{k:02}12345678901234" for k in range(2, 99)) if pii.mod97(s))
+    assert [s[:3] for s in pii.spans(f"{body} X.")] == [("iban", 0, 18)]
+    assert not [s for s in pii.spans("DE8937040044053201300 A, DE893704004405320130001") if s[0] == "iban"]
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "pii", "packing"]
