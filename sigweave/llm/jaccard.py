@@ -8,31 +8,34 @@ that meet in a band are compared step by step on their MinHash values; a pair is
 once the posterior probability (uniform prior) that its similarity reaches the threshold
 falls below ``TOLERANCE``.  Survivors are verified exactly on their shingle sets.
 
-Scale.  Pairs are never rows.  A band bucket is cut into tiles of bounded size and every
-pair of tiles is one group of rows, so no task holds an unbounded bucket; a pair counts
-in its first common band only.  Pruning returns the documents that still need a check in
-a group; only those send their shingles, and verification returns, per document, its
-number of links and a root of the group's spanning forest.  Components of these edges
+Scale.  Pairs are never rows.  A band bucket is cut into tiles of at most about ``TILE``
+texts and ``TILE_SHINGLES`` shingles, and every pair of tiles is one group of rows, so no
+task holds an unbounded bucket; a pair counts in its first common band only.  Pruning
+returns the texts that still need a check in a group.  A bitmap of fixed size over their
+digests thins the documents before one representative of each text is joined exactly and
+turned into shingles; the plan is the same at every size.  Verification returns, per text,
+its number of links and a root of the group's spanning forest.  Components of these edges
 are the classes.  Exact copies never multiply: they are grouped before any comparison.
 
 Defined cases: a null text or a null doc_id is a class of its own, without links and
 copies (class_id is the doc_id); texts without words are copies of each other and have
-no links; repeated rows are copies.  Extra columns are ignored.
+no links; repeated rows are copies; rows that share a doc_id but not their words are
+judged apart.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import bitmap, passing
 from .components import components
-from .session import arrow_batches, written
+from .session import arrow_batches, fresh, written
 from .textbytes import SPACED, Words, grams, mix, slices, text_bytes
 
 SHINGLE = 5
@@ -42,8 +45,9 @@ BANDS = 30
 HASHES = ROWS * BANDS
 STEP = 16
 TOLERANCE = 1e-9
-TILE = 1024
-BROADCAST_ROWS = 1_000_000
+#: Texts and shingles of a tile; a task compares two tiles at a time.
+TILE = 512
+TILE_SHINGLES = 1 << 19
 
 _A = np.random.RandomState(7).randint(1, 2**63 - 1, HASHES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _CHUNK = 1 << 15
@@ -67,32 +71,38 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, st
     return out
 
 
-def _normal(text: bytes) -> bytes:
-    return b" ".join(text.split())
+def word_digest(text: Column) -> Column:
+    """Digest of a text's words: equal for texts that differ in white space only."""
+    return F.unhex(F.md5(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))))
 
 
 def _shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all texts and the place of each text's first; texts without words have none."""
     words = Words(texts, SPACED, lower=False)
-    h, n = words.hashes(), words.counts
-    g = grams(h, SHINGLE)
-    many = np.maximum(n - SHINGLE + 1, 0)
-    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(words.first[:-1], many)
-    short = np.flatnonzero((n > 0) & (n < SHINGLE))
-    count = np.where((n > 0) & (n < SHINGLE), 1, many)
+    n, begin, h = words.counts, words.first, words.hashes()
+    del words
+    count = np.where(n == 0, 0, np.maximum(n - SHINGLE + 1, 1))
     first = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(count, out=first[1:])
     out = np.empty(first[-1], np.uint64)
-    is_short = np.zeros(first[-1], bool)
-    is_short[first[short]] = True
-    out[~is_short] = g[at]
-    for i in short:
-        out[first[i]] = grams(h[words.first[i] : words.first[i + 1]], int(n[i]))[0] ^ np.uint64(n[i])
+    g = grams(h, SHINGLE)
+    long = n >= SHINGLE
+    if long.all():
+        inside = np.ones(len(g), bool)
+        for at in begin[1:-1]:  # shingles across a border of texts
+            inside[at - SHINGLE + 1 : at] = False
+        out[:] = g[inside]
+        return out, first
+    for i in np.flatnonzero(n):
+        if long[i]:
+            out[first[i] : first[i + 1]] = g[begin[i] : begin[i + 1] - SHINGLE + 1]
+        else:
+            out[first[i]] = grams(h[begin[i] : begin[i + 1]], int(n[i]))[0] ^ np.uint64(n[i])
     return out, first
 
 
-def _sketches(texts: list[bytes]) -> np.ndarray:
-    """16-bit MinHash values, one row per text; zeros for texts without words."""
+def _sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit MinHash values, one row per text (zeros for texts without words), and numbers of shingles."""
     values, first = _shingle_hashes(texts)
     out = np.zeros((len(texts), HASHES), np.uint16)
     count = np.diff(first)
@@ -111,19 +121,20 @@ def _sketches(texts: list[bytes]) -> np.ndarray:
             least[p] = np.minimum.reduceat(buffer, starts)
         out[have[i:j]] = (mix(least) >> np.uint64(48)).astype(np.uint16).T
         i = j
-    return out
+    return out, count
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, rid, text) to (doc_id, rid, sketch, number of shingles)."""
     for batch in batches:
-        texts = [_normal(t) for t in text_bytes(batch.column(1))]
-        rids = [hashlib.md5(t, usedforsecurity=False).digest() for t in texts]
+        texts = text_bytes(batch.column(2))
         sketches: list[bytes | None] = []
+        count = np.zeros(len(texts), np.int64)
         for lo, hi in slices(texts):
-            rows = _sketches(texts[lo:hi])
-            sketches += [r.tobytes() if t else None for r, t in zip(rows, texts[lo:hi], strict=True)]
-        arrays = [batch.column(0), pa.array(rids, pa.binary()), pa.array(sketches, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "rid", "sketch"])
+            rows, count[lo:hi] = _sketches(texts[lo:hi])
+            sketches += [r.tobytes() if n else None for r, n in zip(rows, count[lo:hi], strict=True)]
+        arrays = [batch.column(0), batch.column(1), pa.array(sketches, pa.binary()), pa.array(count)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "rid", "sketch", "n_shingles"])
 
 
 def _first_common(keys_a: np.ndarray, keys_b: np.ndarray, band: int) -> np.ndarray:
@@ -310,102 +321,133 @@ def _verify(steps, threshold: float) -> Callable:
     return run
 
 
-def _shingled(wanted) -> Callable:
-    """(rid, shingles) of texts; ``wanted``: a broadcast sorted array of rids, or None for all."""
+def _wanted(words) -> Callable:
+    """The (rid, text) of (rid, key, text) whose key the bitmap knows, one of each rid in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = None if wanted is None else wanted.value
         for batch in batches:
-            texts = [_normal(t) for t in text_bytes(batch.column(0))]
-            rids = [hashlib.md5(t, usedforsecurity=False).digest() for t in texts]
-            if keys is not None:
-                own = np.array(rids, "S16") if rids else np.zeros(0, "S16")
-                at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-                pick = np.flatnonzero(keys[at] == own) if len(keys) else []
-                pick = list({rids[k]: k for k in pick}.values())  # one copy of each text per batch
-                texts, rids = [texts[k] for k in pick], [rids[k] for k in pick]
-            sets = []
-            for lo, hi in slices(texts):
-                values, first = _shingle_hashes(texts[lo:hi])
-                sets += [np.unique(values[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.binary()), pa.array(sets, pa.binary())], names=["rid", "shingles"])
+            keys = batch.column(1).to_numpy().view(np.uint64)
+            at = np.flatnonzero(passing(words.value, keys))
+            at = at[np.unique(keys[at], return_index=True)[1]]
+            yield batch.select([0, 2]).take(pa.array(at))
 
     return run
 
 
-def _shingle_sets(docs: DataFrame, text: str, flagged: DataFrame) -> DataFrame:
-    """(rid, shingles) of the flagged representatives: by a broadcast of their rids if few enough, else by a join."""
-    spark = docs.sparkSession
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, text) to (rid, shingles)."""
+    for batch in batches:
+        texts = text_bytes(batch.column(1))
+        sets = []
+        for lo, hi in slices(texts):
+            values, first = _shingle_hashes(texts[lo:hi])
+            sets += [np.unique(values[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rid", "shingles"])
+
+
+def _shingle_sets(texts: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(rid, shingles) of the flagged texts, each from one of its rows."""
+    spark = texts.sparkSession
     rids = flagged.select("rid").distinct()
-    texts = docs.select(F.col(text))
-    if flagged.count() <= BROADCAST_ROWS:
-        keys = np.sort(np.array([r.rid for r in rids.toLocalIterator()], "S16"))
-        sets = texts.mapInArrow(_shingled(spark.sparkContext.broadcast(keys)), "rid binary, shingles binary")
-    else:
-        sets = texts.mapInArrow(_shingled(None), "rid binary, shingles binary").join(rids, "rid", "left_semi")
-    return sets.groupBy("rid").agg(F.first("shingles").alias("shingles"))
+    words = spark.sparkContext.broadcast(bitmap(rids.select(F.xxhash64("rid").alias("key"))))
+    near = texts.select("rid", F.xxhash64("rid").alias("key"), "text").mapInArrow(_wanted(words), "rid binary, text string")
+    one = near.groupBy("rid").agg(F.first("text").alias("text"))
+    return one.join(rids, "rid", "left_semi").mapInArrow(_shingled, "rid binary, shingles binary")
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies) of every row.
+def _usable(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    rows = docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
+    return rows.select(F.col(doc_id).alias("doc_id"), word_digest(F.col(text)).alias("rid"), F.col(text).alias("text"))
 
-    ``class_id`` is the least doc_id of the row's component of links and copies,
-    ``n_links`` the number of other different texts with similarity of ``threshold`` or
-    more, ``n_copies`` the number of rows with the same words, itself included.
-    """
-    spark = docs.sparkSession
+
+def _tiled(met: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(bucket, tile_a, tile_b, band, tile, rid): each text of a bucket once for every tile it meets."""
+    met = met.join(sizes, "rid")
+    load = met.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("w") / TILE_SHINGLES)).cast("int")
+    placed = met.join(load.select("bucket", tiles.alias("tiles")), "bucket")
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return placed.select("bucket", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"), "band", "tile", "rid")
+
+
+def _members(texts: DataFrame, id_type: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rid) of each row, and (rid, root, first_id, n_links, n_copies) of texts with links or copies."""
+    spark = texts.sparkSession
     arrow_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     steps = least_matches(threshold)
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    usable = given.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    rows = written(usable.mapInArrow(_features, _features_schema(docs, doc_id)), "jaccard-rows")
-    texts = rows.groupBy("rid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"))
-    sketches = texts.filter(F.col("sketch").isNotNull()).select("rid", "sketch")
+    made = texts.mapInArrow(_features, f"doc_id {id_type}, rid binary, sketch binary, n_shingles long")
+    rows = written(made, "jaccard-rows")
+    distinct = rows.groupBy("rid").agg(
+        F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")
+    )
+    sketches = distinct.filter(F.col("sketch").isNotNull()).select("rid", "sketch")
 
     at = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring("sketch", b * 8 + 1, F.lit(8))))
     bands = sketches.select("rid", at.alias("band", "key")).select(
         "rid", "band", F.xxhash64("band", "key").alias("bucket")
     )
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    placed = bands.join(shared, "bucket").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    placed = placed.withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    placed = placed.select(
-        "bucket", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"), "band", "tile", "rid"
-    ).join(sketches, "rid").select(*_KEYS, "band", "tile", "rid", "sketch")
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    met = written(bands.join(shared, "bucket"), "jaccard-met")
+    placed = _tiled(met, distinct.select("rid", "n_shingles"))
+    placed = placed.join(sketches, "rid").select(*_KEYS, "band", "tile", "rid", "sketch")
     grouped = placed.repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS)
     flagged = written(grouped.mapInArrow(_prune(steps), placed.schema), "jaccard-flagged")
 
-    sets = _shingle_sets(usable, "text", flagged)
-    full = flagged.join(sets, "rid").select(*_KEYS, "band", "tile", "rid", "sketch", "shingles")
+    full = flagged.join(_shingle_sets(texts, flagged), "rid").select(*_KEYS, "band", "tile", "rid", "sketch", "shingles")
     full = full.repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS)
     links = written(full.mapInArrow(_verify(steps, threshold), "rid binary, root binary, n_links long"), "jaccard-links")
 
     count = links.groupBy("rid").agg(F.sum("n_links").alias("n_links"))
     roots = components(links.select(F.hex("rid").alias("a"), F.hex("root").alias("b")))
-    member = texts.select("rid", "first_id", "n_copies").join(count, "rid", "left")
+    member = distinct.select("rid", "first_id", "n_copies").join(count, "rid", "left")
     member = member.filter("n_copies > 1 or n_links is not null").withColumn("node", F.hex("rid"))
-    member = written(member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-members")
+    member = member.join(roots, "node", "left").select("rid", F.coalesce("root", "node").alias("root"), "first_id", "n_links", "n_copies")
+    return rows.select("doc_id", "rid"), written(member, "jaccard-members")
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies) of every row.
+
+    ``class_id`` is the least doc_id of the row's component of links and copies,
+    ``n_links`` the number of other different texts with similarity of ``threshold`` or
+    more, ``n_copies`` the number of rows with the same words, itself included.
+    """
+    rows, member = _members(_usable(docs, doc_id, text), docs.schema[doc_id].dataType.simpleString(), threshold)
     least = member.groupBy("root").agg(F.min("first_id").alias("class_id"))
     member = member.join(least, "root").select("rid", "class_id", "n_links", "n_copies")
-    known = rows.select("doc_id", "rid").join(member, "rid", "left").select(
+    known = rows.join(member, "rid", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
     )
-    alone = given.filter(F.col("doc_id").isNull() | F.col("text").isNull()).select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")
+    alone = docs.filter(F.col(doc_id).isNull() | F.col(text).isNull()).select(
+        F.col(doc_id).alias("doc_id"), F.col(doc_id).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")
     )
     return known.unionByName(alone)
 
 
-def _features_schema(docs: DataFrame, doc_id: str) -> str:
-    return f"doc_id {docs.schema[doc_id].dataType.simpleString()}, rid binary, sketch binary"
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class, with its own columns: a row of the least doc_id, of several with that id one with the least digest of words.
 
-
-def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each class, with its own columns; rows that share a doc_id are repeats of one document."""
-    found = classes(docs)
-    kept = found.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    unnamed = docs.filter(F.col("doc_id").isNull())
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(unnamed)
+    Of rows that repeat that doc_id and those words one stays, by the hash of all columns.
+    """
+    rows, member = _members(_usable(docs, doc_id, text), docs.schema[doc_id].dataType.simpleString(), threshold)
+    best = member.groupBy("root").agg(F.min(F.struct(F.col("first_id").alias("doc_id"), "rid")).alias("best"))
+    # Rows of classes of two rows or more: whether a (doc_id, words) stays, and how often it is there.
+    fate = rows.join(member.select("rid", "root"), "rid").groupBy("doc_id", "rid", "root").agg(F.count("*").alias("same"))
+    stays = (F.col("doc_id") == F.col("best.doc_id")) & (F.col("rid") == F.col("best.rid"))
+    fate = written(fate.join(best, "root").select("doc_id", "rid", "same", stays.alias("stays")), "jaccard-fate")
+    key, digest, same, keep = fresh(docs.columns, "_key", "_digest", "_same", "_keep")
+    fate = fate.select(F.col("doc_id").alias(key), F.col("rid").alias(digest), F.col("same").alias(same), F.col("stays").alias(keep))
+    named = docs.withColumns({key: F.col(doc_id), digest: word_digest(F.col(text))})
+    marked = named.join(fate, [key, digest], "left")  # null ids and texts meet nothing and stay
+    single = marked.filter(F.col(keep).isNull() | (F.col(keep) & (F.col(same) == 1))).select(*docs.columns)
+    many = named.join(fate.filter(F.col(keep) & (F.col(same) > 1)), [key, digest])
+    order = F.xxhash64(*(F.to_json(c) if _is_map(docs, c) else F.col(c) for c in docs.columns))
+    many = many.groupBy(key, digest).agg(F.min_by(F.struct(*docs.columns), order).alias("r")).select("r.*")
+    return single.unionByName(many)
+
+
+def _is_map(docs: DataFrame, column: str) -> bool:
+    return "map<" in docs.schema[column].dataType.simpleString()

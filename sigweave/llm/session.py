@@ -14,11 +14,15 @@ def arrow_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> Non
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir; /tmp only where that is unset, as in tests."""
+    """A new folder under spark.checkpoint.dir; without it a local session uses /tmp, and a cluster is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else "file:///tmp/sigweave-shared"
+        root = current.get() if current.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file:///tmp/sigweave-shared"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

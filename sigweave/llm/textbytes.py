@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 18
 _RNG = np.random.RandomState(20240229)
 _BYTE = _RNG.randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _COMBINE = _RNG.randint(1, 2**63 - 1, 64, dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -75,15 +76,36 @@ class Words:
         return np.repeat(np.arange(self.n_texts), self.counts)
 
     def hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        lo = self.start[0]
-        value = _BYTE[self.data[lo:]]
-        value *= self.inside[lo:].astype(np.uint64)
-        length = np.diff(np.append(self.start, len(self.data)))
-        place = np.arange(len(value)) - np.repeat(self.start - lo, length)
+        """A hash per word, made in pieces of about PIECE_BYTES, so that a long text needs little more than its hashes."""
+        out = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(out):
+            j = max(int(np.searchsorted(self.end, self.start[i] + PIECE_BYTES, "right")), i + 1)
+            if j == i + 1 and self.end[i] - self.start[i] > PIECE_BYTES:
+                out[i] = self._long_word(int(self.start[i]), int(self.end[i]))
+            else:
+                out[i:j] = self._piece(i, j)
+            i = j
+        return mix(out + (self.end - self.start).astype(np.uint64))
+
+    def _piece(self, i: int, j: int) -> np.ndarray:
+        lo, hi = self.start[i], self.end[j - 1]
+        start = self.start[i:j] - lo
+        value = _BYTE[self.data[lo:hi]]
+        value *= self.inside[lo:hi].astype(np.uint64)
+        length = np.diff(np.append(start, hi - lo))
+        place = np.arange(hi - lo) - np.repeat(start, length)
         value *= powers(int(length.max()) + 1)[place]
-        return mix(np.add.reduceat(value, self.start - lo) + (self.end - self.start).astype(np.uint64))
+        return np.add.reduceat(value, start)
+
+    def _long_word(self, lo: int, hi: int) -> np.uint64:
+        total, scale = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+        step = powers(PIECE_BYTES + 1)
+        for at in range(lo, hi, PIECE_BYTES):
+            part = _BYTE[self.data[at : min(hi, at + PIECE_BYTES)]]
+            total += (part * step[: len(part)]).sum(dtype=np.uint64) * scale
+            scale *= step[PIECE_BYTES]
+        return total[0]
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

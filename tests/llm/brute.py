@@ -19,6 +19,13 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
+def jaccard_roots(rows, threshold=0.8):
+    """{index: some name of its class} of (doc_id, text) rows."""
+    usable = [(i, t) for i, (d, t) in enumerate(rows) if d is not None and t is not None]
+    found = jaccard_classes(usable, threshold)  # the least index names a class
+    return {i: i for i in range(len(rows))} | {i: found[k][0] for k, (i, _) in enumerate(usable)}
+
+
 def jaccard_classes(rows, threshold=0.8):
     """{index: (class id, links, copies)} of (doc_id, text) rows."""
     texts = defaultdict(list)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from sigweave.llm import components, decontam, jaccard, licenses
+from sigweave.llm import bitmap, components, decontam, jaccard, licenses, textbytes
 
 from . import brute
 
@@ -85,11 +85,57 @@ def test_jaccard_classes(spark, tile, monkeypatch):
     assert got == sorted(((rows[i][0], *w) for i, w in want.items()), key=str)
 
 
-def test_jaccard_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", -1)
-    rows = _copies(2)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sum(r.n_links for r in jaccard.classes(df).collect()) == sum(w[1] for w in brute.jaccard_classes(rows).values())
+def test_representatives(spark):
+    """One row of each class stays, with clashing, null and repeated ids: the row of least (doc_id, digest of words)."""
+    import hashlib
+
+    near = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(near), " ".join([*near, "more"]), "a text of its own that nothing else is like"
+    rows = [(3, a), (5, b), (5, c), (5, b), (3, a), (3, a + " "), (None, a), (None, None), (7, None), (7, None), (7, c + " else"), (8, ""), (9, " "), (5, "one more text of its own and nothing else")]
+    rows += _copies(3)
+    df = spark.createDataFrame([(i, t, k, {"k": k % 2}) for k, (i, t) in enumerate(rows)], "doc_id long, text string, rid int, extra map<string, int>")
+    got = [(r.doc_id, r.text) for r in jaccard.representatives(df).collect()]
+    assert jaccard.representatives(df).columns == df.columns
+    classes, want = {}, []
+    for k, root in brute.jaccard_roots(rows).items():
+        doc_id, text = rows[k]
+        if doc_id is None or text is None:
+            want.append((doc_id, text))
+        else:
+            words = " ".join(brute.SPACED.findall(text))
+            classes.setdefault(root, set()).add((doc_id, hashlib.md5(words.encode()).hexdigest(), words))
+    plain = lambda r: (str(r[0]), r[1] if r[1] is None else " ".join(brute.SPACED.findall(r[1])))
+    want += [(i, w) for i, _, w in map(min, classes.values())]
+    assert sorted(map(plain, got), key=str) == sorted(map(plain, want), key=str)
+
+
+def test_hot_bucket_of_long_texts(spark, monkeypatch):
+    """Near copies of 20,000 words: tiles are cut by shingles, and every pair is a link."""
+    monkeypatch.setattr(jaccard, "TILE_SHINGLES", 100_000)
+    rng = random.Random(2)
+    base = [f"{rng.randrange(10**6)}" for _ in range(20000)]
+    rows = [(k, " ".join([*base[:k], "changed", *base[k:]])) for k in range(40)] + [(99, " ".join(base))]
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.class_id, r.n_links, r.n_copies) for r in got} == {(0, 40, 1)} and len(got) == 41
+
+
+def test_bitmap(spark):
+    rng = np.random.RandomState(1)
+    keys = rng.randint(-(2**63), 2**63 - 1, 3000, dtype=np.int64)
+    words = bitmap.bitmap(spark.createDataFrame([(int(k),) for k in keys[:1000]], "key long"), bits=16)
+    ok = bitmap.passing(words, keys.view(np.uint64), 16)
+    assert ok[:1000].all() and ok[1000:].mean() < 0.01
+    assert not bitmap.bitmap(spark.range(0).select(bitmap.F.col("id").alias("key")), bits=16).any()
+
+
+def test_hashes_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join("abc"[: rng.randrange(1, 4)] * rng.randrange(1, 9) for _ in range(rng.randrange(90))).encode() for _ in range(30)] + [b"", b"x" * 900, b" y "]
+    whole = textbytes.Words(texts, textbytes.SPACED, lower=False).hashes()
+    monkeypatch.setattr(textbytes, "PIECE_BYTES", 40)
+    assert (textbytes.Words(texts, textbytes.SPACED, lower=False).hashes() == whole).all()
+    again = [textbytes.Words([w], textbytes.SPACED, lower=False).hashes()[0] for t in texts for w in t.split()]
+    assert again == whole.tolist()
 
 
 def test_jaccard_of_empty_table(spark):
