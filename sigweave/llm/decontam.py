@@ -1,16 +1,20 @@
 """Operator 6: benchmark decontamination by winnowing.
 
 Words are lower-cased runs of ASCII letters, digits and non-ASCII characters.  Both
-sides keep the minimum k-gram hash of every window of ``WINDOW`` k-grams, so every
-shared span of at least ``SPAN`` = K + WINDOW - 1 words shares a kept fingerprint at
-the same place.  Matching fingerprints fix a diagonal (document place minus item
-place); runs of equal words along it are the extended hits, and a run of SPAN words or
-more covers its words.  Items shorter than SPAN words are looked up as whole n-grams.
-
-Scale.  Documents are read once, in one narrow stage, without a shuffle.  The benchmark
-side is measured first: it is cut by hash into blocks of at most ``BLOCK_BYTES`` of
-text, each collected, indexed and broadcast by itself, and a document passes all blocks
-in turn, so a benchmark of any size is handled with bounded memory.
+sides keep the (rightmost) minimum k-gram hash of every window of ``WINDOW`` k-grams, so
+every shared span of at least ``SPAN`` = K + WINDOW - 1 words has a kept fingerprint at
+the same place on both sides.  A fingerprint carries its context: the hashes of the words
+that some span around it can hold.  Document and benchmark fingerprints are joined, and
+a joined pair is extended while its contexts agree; SPAN equal words or more are a hit.
+Items shorter than SPAN words are fingerprints of all their words.
+
+Scale.  One narrow pass over the documents makes fingerprints; a bitmap of fixed size over
+the benchmark's fingerprints (``bitmap``) lets few others through, and an equi-join on
+fingerprints decides, so neither side is ever collected.  Equal fingerprints with equal
+contexts are one row with all their places, on both sides, so a text of one repeated
+word is a few rows.  A text that many documents share is joined once, by its digest.  A
+benchmark so large that the bitmap fills up only sends more document fingerprints (two
+in seven words, about 100 bytes each) through the shuffle of the join.
 
 Defined cases: a null or empty text has no words and no hits; an item without words
 never occurs; a null item_id is written as an empty string; repeated items with one id
@@ -24,168 +28,200 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .session import arrow_batches, fresh
-from .textbytes import ALNUM, Words, grams, slices, text_bytes, whole
+from .bitmap import bitmap, passing
+from .session import arrow_batches, fresh, written
+from .textbytes import ALNUM, Words, grams, mix, slices, text_bytes, whole
 
 SPAN = 13
 K = 8
 WINDOW = SPAN - K + 1
-BLOCK_BYTES = 16 << 20
-_FILTER_BITS = 20
+_FOUND = "array<struct<key:long,n:int,context:binary,places:array<int>>>"
+_FOUND_ARROW = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32()), ("context", pa.binary()), ("places", pa.list_(pa.int32()))]))
 
 
 def winnow(hashes: np.ndarray, text_of_word: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the k-grams that are the minimum of some window inside one text (ties: all)."""
+    """Places and hashes of the k-grams that are the rightmost minimum of some window inside one text."""
     g = grams(hashes, k)
     n = len(g) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = g[:n].copy()
+    least, which = g[:n].copy(), np.zeros(n, np.int64)
     for j in range(1, window):
+        lower = g[j : j + n] <= least
+        which[lower] = j
         np.minimum(least, g[j : j + n], out=least)
-    inside = whole(text_of_word, k + window - 1)
     kept = np.zeros(len(g), bool)
-    for j in range(window):
-        kept[j : j + n] |= inside & (g[j : j + n] == least)
+    kept[(np.arange(n) + which)[whole(text_of_word, k + window - 1)]] = True
     at = np.flatnonzero(kept)
     return at, g[at]
 
 
-def _filter(keys: np.ndarray) -> np.ndarray:
-    table = np.zeros(1 << _FILTER_BITS, bool)
-    table[keys >> np.uint64(64 - _FILTER_BITS)] = True
-    return table
+class Fingerprints:
+    """Fingerprints with their contexts of a few texts; ``outside`` fills contexts beyond a text's borders."""
 
+    def __init__(self, texts: list[bytes], outside: int):
+        words = Words(texts, ALNUM, lower=True)
+        self.first, self.counts, self.hashes, self.text = words.first, words.counts, words.hashes(), words.text_of_word()
+        self.outside = outside
+
+    def long(self, span: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return winnow(self.hashes, self.text, k, span - k + 1)
+
+    def short(self, n: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All n-grams (of the texts ``only``), by a hash of their words and n."""
+        at = np.flatnonzero(whole(self.text, n))
+        if only is not None:
+            at = at[only[self.text[at]]]
+        return at, mix(grams(self.hashes, n)[at] + np.uint64(n))
+
+    def contexts(self, at: np.ndarray, before: int, behind: int) -> np.ndarray:
+        """32-bit word hashes from ``before`` words before each place to ``behind`` words from it."""
+        take = at[:, None] + np.arange(-before, behind)
+        text = self.text[at][:, None]
+        inside = (take >= self.first[text]) & (take < self.first[text + 1])
+        value = (self.hashes[np.clip(take, 0, len(self.hashes) - 1)] >> np.uint64(32)).astype(np.uint32)
+        return np.where(inside, value, np.uint32(self.outside))
+
+    def rows(self, at: np.ndarray, keys: np.ndarray, n: int, span: int, k: int) -> Iterator[tuple[int, dict]]:
+        """(text, fingerprint) with the places of each distinct fingerprint and context."""
+        for lo in range(0, len(at), 1 << 16):  # a bounded number of contexts at a time
+            part, key = at[lo : lo + (1 << 16)], keys[lo : lo + (1 << 16)]
+            context = self.contexts(part, 0, n) if n else self.contexts(part, span - k, span)
+            record = np.concatenate([self.text[part].astype(np.int64)[:, None].view(np.uint32), key[:, None].view(np.uint32), context], 1)
+            record = np.ascontiguousarray(record).view(np.dtype((np.void, record.shape[1] * 4)))[:, 0]
+            _, one, same = np.unique(record, return_index=True, return_inverse=True)
+            order = np.argsort(same, kind="stable")
+            places = np.split((part - self.first[self.text[part]])[order].astype(np.int32), np.cumsum(np.bincount(same))[:-1])
+            for i, own in zip(one, places, strict=True):
+                yield int(self.text[part[i]]), {"key": int(key[i].astype(np.int64)), "n": n, "context": context[i].tobytes(), "places": own}
+
+
+def _items(span: int, k: int) -> Callable:
+    """(item_id, text) of the benchmark to (item_id, key, n, context); n is 0 for windows of a whole span."""
 
-class Index:
-    """Fingerprints of one block of benchmark items."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
+            out: list[tuple] = []
+            for lo, hi in slices(texts):
+                prints = Fingerprints(texts[lo:hi], 1)
+                found = [(0, *prints.long(span, k))]
+                found += [(n, *prints.short(n, prints.counts == n)) for n in np.unique(prints.counts).tolist() if 0 < n < span]
+                for n, at, keys in found:
+                    out += [(ids[lo + t], r["key"], n, r["context"]) for t, r in prints.rows(at, keys, n, span, k)]
+            columns = list(zip(*out, strict=True)) if out else ([], [], [], [])
+            types = (pa.string(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["item_id", "key", "n", "item_context"])
 
-    def __init__(self, ids: list, texts: list[bytes], span: int = SPAN, k: int = K):
-        words = Words(texts, ALNUM, lower=True)
-        self.span, self.k = span, k
-        self.hashes, item = words.hashes(), words.text_of_word()
-        self.first, self.ids = words.first, ["" if i is None else str(i) for i in ids]
-        at, keys = winnow(self.hashes, item, k, span - k + 1)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.item = keys[order], at[order], item[at[order]]
-        self.filter = _filter(self.keys)
-        self.short: list[tuple[int, np.ndarray, np.ndarray]] = []
-        for n in range(1, span):
-            items = np.flatnonzero(words.counts == n)
-            if len(items):
-                key = np.array([grams(self.hashes[self.first[i] : self.first[i + 1]], n)[0] for i in items], np.uint64)
-                order = np.argsort(key, kind="stable")
-                self.short.append((n, key[order], items[order]))
-
-    def hits(self, hashes: np.ndarray, first: np.ndarray, doc: np.ndarray, covered: np.ndarray) -> set[tuple[int, int]]:
-        """Mark covered words; return (document, item) pairs with an occurring window."""
-        found: set[tuple[int, int]] = set()
-        for n, key, items in self.short:
-            g = grams(hashes, n)
-            lo, hi = np.searchsorted(key, g, "left"), np.searchsorted(key, g, "right")
-            for at in np.flatnonzero((hi > lo) & whole(doc, n)):
-                covered[at : at + n] = True
-                found.update((int(doc[at]), int(i)) for i in items[lo[at] : hi[at]])
-        at, g = winnow(hashes, doc, self.k, self.span - self.k + 1)
-        near = self.filter[g >> np.uint64(64 - _FILTER_BITS)]
-        at, g = at[near], g[near]
-        lo, hi = np.searchsorted(self.keys, g, "left"), np.searchsorted(self.keys, g, "right")
-        n = hi - lo
-        if not n.sum():
-            return found
-        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        lines = np.unique(np.stack([self.item[entry], np.repeat(at, n) - self.at[entry], doc[np.repeat(at, n)]], 1), axis=0)
-        for i, diagonal, d in lines.tolist():
-            lo, hi = max(self.first[i] + diagonal, first[d]), min(self.first[i + 1] + diagonal, first[d + 1])
-            same = hashes[lo:hi] == self.hashes[lo - diagonal : hi - diagonal]
-            edge = np.flatnonzero(np.diff(same, prepend=False, append=False))
-            for a, b in zip(edge[::2], edge[1::2], strict=True):
-                if b - a >= self.span:
-                    covered[lo + a : lo + b] = True
-                    found.add((d, i))
-        return found
-
-
-def blocks(benchmark: DataFrame, span: int, k: int, item: str, text: str, block_bytes: int) -> Iterator[Index]:
-    """Indexes of the benchmark by blocks of bounded size."""
-    rows = benchmark.select(F.col(item).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    for b in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b) if n > 1 else rows
-        got = part.toArrow()
-        yield Index(got.column("id").to_pylist(), [t.encode() for t in got.column("text").to_pylist()], span, k)
-
-
-def _scan(index, text_at: int, found_at: int | None, out: pa.Schema) -> Callable:
-    """A mapInArrow function: adds or merges covered ranges and item ids of one block."""
+    return run
+
+
+def _documents(words, sizes: list[int], n_keep: int, span: int, k: int, names: list[str]) -> Callable:
+    """(kept columns, rid, text) to (kept columns, rid, n_words, fingerprints that the bitmap knows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = index.value
         for batch in batches:
-            texts = text_bytes(batch.column(text_at))
-            n_words, ranges, ids = [], [], []
+            texts = text_bytes(batch.column(n_keep + 1))
+            n_words, found = np.zeros(len(texts), np.int64), [[] for _ in texts]
             for lo, hi in slices(texts):
-                words = Words(texts[lo:hi], ALNUM, lower=True)
-                doc, covered = words.text_of_word(), np.zeros(len(words.start), bool)
-                found = block.hits(words.hashes(), words.first, doc, covered)
-                items: dict[int, set[str]] = {}
-                for d, i in found:
-                    items.setdefault(d, set()).add(block.ids[i])
-                for d in range(hi - lo):
-                    n_words.append(int(words.counts[d]))
-                    if d in items:
-                        own = covered[words.first[d] : words.first[d + 1]]
-                        edge = np.flatnonzero(np.diff(own, prepend=False, append=False))
-                        ranges.append(edge.tolist())
-                        ids.append(sorted(items[d]))
-                    else:
-                        ranges.append([])
-                        ids.append([])
-            if found_at is not None:
-                ranges = [_merged(a or [], b) for a, b in zip(batch.column(found_at + 1).to_pylist(), ranges, strict=True)]
-                ids = [sorted({*a, *b}) for a, b in zip(batch.column(found_at + 2).to_pylist(), ids, strict=True)]
-            kept = batch.columns[: found_at if found_at is not None else batch.num_columns]
-            new = [pa.array(n_words, pa.int64()), pa.array(ranges, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*kept, *new], names=out.names)
+                prints = Fingerprints(texts[lo:hi], 0)
+                n_words[lo:hi] = prints.counts
+                for n in [0, *sizes]:
+                    at, keys = prints.short(n) if n else prints.long(span, k)
+                    near = passing(words.value, keys)
+                    for t, r in prints.rows(at[near], keys[near], n, span, k):
+                        found[lo + t].append(r)
+            arrays = [*batch.columns[: n_keep + 1], pa.array(n_words), pa.array(found, _FOUND_ARROW)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return run
+
+
+def _extended(span: int, k: int) -> Callable:
+    """Joined fingerprints (rid, item_id, n, context, item_context, places) to hits (rid, item_id, a, b, places).
+
+    Words a to b (exclusive) from each place are equal in document and item.
+    """
+    reach = span - k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy()
+            own, item = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            a, b = np.zeros(len(n), np.int32), n.astype(np.int32)
+            ok = np.array([x == y for x, y in zip(own, item, strict=True)], bool)
+            long = np.flatnonzero(n == 0)
+            if len(long):
+                equal = np.frombuffer(b"".join(own[i] for i in long), np.uint32) == np.frombuffer(b"".join(item[i] for i in long), np.uint32)
+                equal = equal.reshape(len(long), -1)
+                left = np.cumprod(equal[:, :reach][:, ::-1], 1).sum(1)
+                right = np.cumprod(equal[:, reach + k :], 1).sum(1)
+                a[long], b[long] = -left, k + right
+                ok[long] = equal[:, reach : reach + k].all(1) & (left + k + right >= span)
+            arrays = [batch.column(0), batch.column(1), pa.array(a), pa.array(b), batch.column(5)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["rid", "item_id", "a", "b", "places"]).filter(pa.array(ok))
 
     return run
 
 
-def _merged(a: list[int], b: list[int]) -> list[int]:
-    """Union of two lists of start, end, start, end ..."""
-    out: list[int] = []
-    for lo, hi in sorted([*zip(a[::2], a[1::2], strict=True), *zip(b[::2], b[1::2], strict=True)]):
-        if out and lo <= out[-1]:
-            out[-1] = max(out[-1], hi)
-        else:
-            out += [lo, hi]
-    return out
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, items, hits (a, b, places)) to (rid, covered ranges as start, end, start, end ..., items)."""
+    for batch in batches:
+        ranges = []
+        for hits in batch.column(2).to_pylist():
+            start = np.concatenate([np.array(h["places"]) + h["a"] for h in hits])
+            end = np.concatenate([np.array(h["places"]) + h["b"] for h in hits])
+            order = np.argsort(start, kind="stable")
+            start, end = start[order], np.maximum.accumulate(end[order])
+            new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+            ranges.append(np.stack([start[new], end[np.append(new[1:], len(end)) - 1]], 1).ravel())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranges, pa.list_(pa.int64())), batch.column(1)], names=["rid", "ranges", "items"])
+
+
+def digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, keep, text: str, item: str, item_text: str, span: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(kept columns, rid, n_words) of every document, and (rid, ranges, items) of the texts that are hit."""
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item_id"), F.col(item_text).alias("text"))
+    items = rows.mapInArrow(_items(span, k), "item_id string, key long, n int, item_context binary")
+    items = written(items.distinct(), "decontam-items")
+    words = spark.sparkContext.broadcast(bitmap(items))
+    sizes = [r.n for r in items.select("n").distinct().filter("n > 0").collect()]  # fewer than span
+    source, rid, count, found = fresh(keep, "_text", "_rid", "_n_words", "_found")
+    kept = docs.select(*keep)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"{rid} string, {count} long, {found} {_FOUND}"])
+    made = docs.select(*keep, digest(F.col(text)).alias(rid), F.col(text).alias(source))
+    made = written(made.mapInArrow(_documents(words, sorted(sizes), len(keep), span, k, [*kept.columns, rid, count, found]), schema), "decontam-rows")
+    near = made.filter(F.size(found) > 0).groupBy(F.col(rid).alias("rid")).agg(F.first(found).alias("found"))
+    near = near.select("rid", F.explode("found").alias("f")).select("rid", "f.key", "f.n", "f.context", "f.places")
+    pairs = near.join(items, ["key", "n"]).select("rid", "item_id", "n", "context", "item_context", "places")
+    hits = pairs.mapInArrow(_extended(span, k), "rid string, item_id string, a int, b int, places array<int>")
+    hits = hits.groupBy("rid").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.collect_set(F.struct("a", "b", "places")).alias("hits"))
+    hits = hits.mapInArrow(_merged, "rid string, ranges array<long>, items array<string>")
+    return made.drop(found), written(hits, "decontam-hits")
 
 
 def find(
     docs: DataFrame, benchmark: DataFrame, keep=("doc_id",), text: str = "text", item: str = "item_id",
-    item_text: str = "text", span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES,
+    item_text: str = "text", span: int = SPAN, k: int = K,
 ) -> DataFrame:
     """``keep`` columns, n_words, hit_ranges (word start, end, ...) and hit_items of every document."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    kept = docs.select(*keep)
-    source, *names = fresh(keep, "_text", "n_words", "hit_ranges", "hit_items")
-    types = (LongType(), ArrayType(LongType()), ArrayType(StringType()))
-    added = [StructField(n, t) for n, t in zip(names, types, strict=True)]
-    data = docs.select(*keep, F.col(text).alias(source))
-    schema, found_at = StructType([*kept.schema, StructField(source, StringType()), *added]), None
-    for index in blocks(benchmark, span, k, item, item_text, block_bytes):
-        shared = spark.sparkContext.broadcast(index)
-        out = pa.schema([(f.name, pa.null()) for f in schema])
-        data = data.mapInArrow(_scan(shared, len(keep), found_at, out), schema)
-        found_at = len(keep) + 1
-    return data.drop(source)
+    rows, hits = _scan(docs, benchmark, keep, text, item, item_text, span, k)
+    rid, count = rows.columns[len(keep) :]
+    names = fresh(keep, "n_words", "hit_ranges", "hit_items")
+    theirs, ranges, items = fresh(rows.columns, "_hit_rid", "_hit_ranges", "_hit_items")
+    hits = hits.select(F.col("rid").alias(theirs), F.col("ranges").alias(ranges), F.col("items").alias(items))
+    return rows.join(hits, F.col(rid) == F.col(theirs), "left").select(
+        *keep, F.col(count).alias(names[0]), F.coalesce(ranges, F.array().cast("array<long>")).alias(names[1]),
+        F.coalesce(items, F.array().cast("array<string>")).alias(names[2]),
+    )
 
 
 def verdicts(found: DataFrame, keep=("doc_id",)) -> DataFrame:
@@ -204,5 +240,9 @@ def verdicts(found: DataFrame, keep=("doc_id",)) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    marked = verdicts(find(docs, benchmark, docs.columns), docs.columns)
-    return marked.filter(~F.col(marked.columns[-1])).select(*docs.columns)
+    rows, hits = _scan(docs, benchmark, (), "text", "item_id", "text", SPAN, K)
+    hit = rows.select(F.col("_rid").alias("rid"), F.col("_n_words").alias("n_words")).join(hits, "rid").dropDuplicates(["rid"])
+    judged = verdicts(hit.select("rid", "n_words", "ranges", "items"), ("rid",))
+    key = fresh(docs.columns, "_key")[0]
+    bad = written(judged.filter("contaminated").select(F.col("rid").alias(key)), "decontam-rejected")
+    return docs.withColumn(key, digest(F.col("text"))).join(bad, key, "left_anti").select(*docs.columns)

@@ -28,12 +28,14 @@ def _documents(n=40):
     return [*out, "again " * 500]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 200], ids=["one block", "blocks"])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("bits", [26, 7], ids=["open bitmap", "full bitmap"])
+def test_decontamination(spark, bits, monkeypatch):
+    monkeypatch.setattr(decontam, "bitmap", lambda keys: bitmap.bitmap(keys, bits=bits))
+    monkeypatch.setattr(decontam, "passing", lambda words, keys: bitmap.passing(words, keys, bits))
     docs = _documents()
     df = spark.createDataFrame([(i // 2, t, 1) for i, t in enumerate(docs)], "doc_id long, text string, n_words long")
     bench = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id long, text string, extra string")
-    found = decontam.find(df, bench, keep=("doc_id", "text", "n_words"), block_bytes=block_bytes)
+    found = decontam.find(df, bench, keep=("doc_id", "text", "n_words"))
     rows = decontam.verdicts(found, ("doc_id", "text", "n_words")).collect()
     assert len(rows) == len(docs)
     for r in rows:
@@ -50,6 +52,22 @@ def test_decontamination_of_empty_tables(spark):
     assert decontam.clean(docs, bench).columns == ["doc_id", "text"]
 
 
+def test_periodic_texts(spark):
+    """Long repeats against an item of the same words: every word is hit, in seconds and little memory."""
+    texts = ["again " * 100_000, "one two three " * 30_000, "again again again"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "again " * 20_000), (2, "two three one " * 900), (3, "three two one " * 900)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.hit_ranges, r.hit_items) for r in decontam.find(docs, bench).collect()}
+    assert got == {0: (100_000, [0, 100_000], ["1"]), 1: (90_000, [0, 90_000], ["2"]), 2: (3, [], [])}
+
+
+def test_clean_keeps_rows(spark):
+    rows = [(1, "a b c", 1), (1, ITEMS[0][1], 2), (2, ITEMS[0][1], 3), (3, None, 4), (None, "x " * 500 + ITEMS[0][1], 5), (1, "a b c", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rid int")
+    kept = decontam.clean(docs, spark.createDataFrame(ITEMS[:2], "item_id long, text string")).collect()
+    assert sorted(r.rid for r in kept) == [1, 4, 5, 6]
+
+
 def test_winnowing_guarantee():
     rng = np.random.RandomState(0)
     for _ in range(50):
