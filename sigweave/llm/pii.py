@@ -1,11 +1,17 @@
 """Operator 10: personal data by patterns, checksums and context words.
 
 Regular expressions propose spans; range, Luhn, mod-97 and digit-count validators
-confirm them; nearby context words raise the score of a span.  Kinds email, ip, card and
-phone are always kept once valid.  The method adds IBANs of their country's length that
-pass mod-97, and identity numbers (3, 2 and 4 digits) that only context words vouch for.
-
-Everything runs in one narrow Arrow stage over whole texts; no shuffle.
+confirm them; nearby context words raise the score of a span and words that speak
+against it lower it.  Kinds email, ip, card and phone are always kept once valid.  Other
+kinds stay if their score reaches ``THRESHOLD``: IBANs of their country's length that
+pass mod-97 unless the context speaks against them; cards of 13 digits that pass Luhn,
+identity numbers (3, 2 and 4 digits), passport numbers, phone numbers without a country
+code, and secrets (20 characters or more of letters and digits) only with a word of their
+context near.  A span of such a kind must not overlap one of a base kind or of an earlier
+kind in ``KINDS``.
+
+Everything runs in one narrow Arrow stage over whole texts; no shuffle.  Every pattern
+takes time in proportion to the text.
 
 Defined cases: a null or empty text has no spans; offsets count code points, end
 exclusive.  Extra columns named in ``keep`` pass through unchanged.
@@ -24,19 +30,23 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 
 from .session import arrow_batches, fresh
 
-KINDS = ("email", "ip", "card", "phone", "iban", "id_number")
+KINDS = ("email", "ip", "card", "phone", "iban", "short_card", "id_number", "passport", "local_phone", "secret")
 BASE = KINDS[:4]
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A leftmost match starts at the first digit of a run; without backing off, long runs take linear time.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
 _IBAN_BODY = {n: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in range(15, 35)}
 _NUMBER = re.compile(r"(?<![0-9A-Za-z.])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
-_DIGIT = re.compile(r"[0-9]")
+_PASSPORT = re.compile(r"(?<![0-9A-Za-z])[A-Z]{1,2}[0-9]{6,8}(?![0-9A-Za-z])")
+_LOCAL = re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,5}[\x20/-])[0-9]{3,4}[\x20-]?[0-9]{3,4}(?![0-9A-Za-z])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}+(?![A-Za-z0-9_+/=-])")
+_NO_DIGIT = re.compile(r"[^0-9]+")
 
 # Characters of an IBAN by country; other countries may have any length.
 IBAN_LENGTH = {country: n for n, countries in {
@@ -53,15 +63,36 @@ CONTEXT = {
     "card": ("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
-    "id_number": ("ssn", "social security", "tax id", "passport", "identity"),
+    "short_card": ("card", "visa", "credit", "karte", "carte", "tarjeta"),
+    "id_number": ("ssn", "social security", "tax id", "identity"),
+    "passport": ("passport", "reisepass", "passeport", "pasaporte"),
+    "local_phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"),
+    "secret": ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "bearer", "access key"),
 }
-#: Score of a valid span without context, by kind, and what context adds.
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "id_number": 0.3}
+# Words that speak against a kind.
+AGAINST = {
+    "email": (), "ip": ("version", "release", "section"), "card": ("isbn", "order", "tracking"), "phone": ("isbn", "order"),
+    "iban": ("part number", "serial"), "short_card": ("isbn", "ean", "barcode"), "id_number": ("part number", "isbn"),
+    "passport": ("part number", "flight"), "local_phone": ("isbn", "version"), "secret": ("checksum", "commit", "sha1", "sha256", "md5"),
+}
+#: Score of a valid span without context, by kind, and what context adds or takes.
+PRIOR = {
+    "email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.7, "short_card": 0.3, "id_number": 0.3, "passport": 0.3,
+    "local_phone": 0.3, "secret": 0.3,
+}
 CONTEXT_GAIN = 0.3
 CONTEXT_CHARS = 40
 THRESHOLD = 0.5
 
 
+def _any_word(words: tuple[str, ...]) -> re.Pattern | None:
+    return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, words)) + r")(?!\w)") if words else None
+
+
+_NEAR = {k: _any_word(w) for k, w in CONTEXT.items()}
+_FAR = {k: _any_word(w) for k, w in AGAINST.items()}
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -90,17 +121,21 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _digits(s: str) -> str:
-    return "".join(_DIGIT.findall(s))
+    return _NO_DIGIT.sub("", s)
 
 
-def _cards(text: str) -> Iterator[tuple[int, int]]:
+def _cards(text: str, least: int = 14, most: int = 19) -> Iterator[tuple[int, int]]:
     for m in _CARD.finditer(text):
-        if m.end() - m.start() >= 14:
+        if m.end() - m.start() >= least:
             d = _digits(m[0])
-            if 14 <= len(d) <= 19 and luhn(d):
+            if least <= len(d) <= most and luhn(d):
                 yield m.span()
 
 
+def _short_cards(text: str) -> Iterator[tuple[int, int]]:
+    return _cards(text, 13, 13)
+
+
 def _phones(text: str) -> Iterator[tuple[int, int]]:
     if "+" in text:
         for m in _PHONE.finditer(text):
@@ -130,32 +165,64 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
                 break
 
 
-def _numbers(text: str) -> Iterator[tuple[int, int]]:
-    for m in _NUMBER.finditer(text):
-        yield m.span()
+def _spans_of(pattern: re.Pattern) -> Callable:
+    return lambda text: (m.span() for m in pattern.finditer(text))
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    for m in _SECRET.finditer(text):
+        if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
+            yield m.span()
 
 
-FINDERS = dict(zip(KINDS, (emails, _ips, _cards, _phones, _ibans, _numbers), strict=True))
+FINDERS = dict(zip(KINDS, (
+    emails, _ips, _cards, _phones, _ibans, _short_cards, _spans_of(_NUMBER), _spans_of(_PASSPORT), _spans_of(_LOCAL), _secrets,
+), strict=True))
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
-    near = (text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]).casefold()
-    gain = CONTEXT_GAIN if any(re.search(rf"(?<!\w){re.escape(w)}(?!\w)", near) for w in CONTEXT[kind]) else 0.0
-    return min(1.0, PRIOR[kind] + gain)
+    near = (text[max(0, start - CONTEXT_CHARS) : start] + "\n" + text[end : end + CONTEXT_CHARS]).casefold()
+    gain = CONTEXT_GAIN if _NEAR[kind].search(near) else 0.0
+    loss = CONTEXT_GAIN if _FAR[kind] and _FAR[kind].search(near) else 0.0
+    return round(min(1.0, max(0.0, PRIOR[kind] + gain - loss)), 3)
 
 
 def spans(text: str) -> list[tuple[str, int, int, float]]:
     """Valid spans of one text by start, then kind: base kinds always, others if their score reaches the threshold."""
-    out = []
+    out: list[tuple[str, int, int, float]] = []
+    taken: list[tuple[int, int]] = []  # disjoint but for base kinds among themselves, sorted
     for kind, finder in FINDERS.items():
-        for a, b in finder(text):
-            s = score(text, kind, a, b)
-            if kind in BASE or s >= THRESHOLD:
-                out.append((kind, a, b, s))
+        own = [(kind, a, b, score(text, kind, a, b)) for a, b in finder(text)]
+        if kind not in BASE:
+            own = [x for x in own if x[3] >= THRESHOLD]
+            own = _apart(own, taken) if taken and own else own
+        out += own
+        taken = _union(taken, own) if own else taken
     out.sort(key=lambda x: (x[1], _ORDER[x[0]]))
     return out
 
 
+def _union(taken: list[tuple[int, int]], own: list[tuple[str, int, int, float]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted([*taken, *((a, b) for _, a, b, _ in own)]):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _apart(own: list[tuple[str, int, int, float]], taken: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
+    """Those spans that overlap no taken range (both sorted)."""
+    out, i = [], 0
+    for x in own:
+        while i < len(taken) and taken[i][1] <= x[1]:
+            i += 1
+        if i == len(taken) or taken[i][0] >= x[2]:
+            out.append(x)
+    return out
+
+
 def redact(text: str, found) -> str:
     """Replace every span by its kind in angle brackets; overlapping spans are merged under the first kind."""
     out, done = [], 0
@@ -205,10 +272,10 @@ def masked(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Data
 
 
 def digests(docs: DataFrame, keep=("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` columns, base counts by kind, base_sha256 and all spans as text."""
+    """``keep`` columns, base counts by kind, base_sha256, all spans as text, their number and their scores."""
     arrow_batches(docs.sparkSession)
-    names = fresh(keep, *(f"n_{k}" for k in BASE), "base_sha256", "spans")
-    types = [*(LongType() for _ in BASE), StringType(), StringType()]
+    names = fresh(keep, *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans", "scores")
+    types = [*(LongType() for _ in BASE), StringType(), StringType(), LongType(), StringType()]
     schema = StructType([*docs.select(*keep).schema, *(StructField(n, t) for n, t in zip(names, types, strict=True))])
     source = fresh(keep, "_text")[0]
     return docs.select(*keep, F.col(text).alias(source)).mapInArrow(_digester(len(keep), schema.names), schema)
@@ -221,7 +288,11 @@ def _digester(n_keep: int, names: list[str]) -> Callable:
             counts = [pa.array([sum(s[0] == k for s in f) for f in found], pa.int64()) for k in BASE]
             sha = [hashlib.sha256(_joined(f, BASE).encode()).hexdigest() for f in found]
             every = [_joined(f, KINDS) for f in found]
-            arrays = [*batch.columns[:n_keep], *counts, pa.array(sha, pa.string()), pa.array(every, pa.string())]
+            scores = [",".join(f"{s[3]:.2f}" for s in f) for f in found]
+            arrays = [
+                *batch.columns[:n_keep], *counts, pa.array(sha, pa.string()), pa.array(every, pa.string()),
+                pa.array([len(f) for f in found], pa.int64()), pa.array(scores, pa.string()),
+            ]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run

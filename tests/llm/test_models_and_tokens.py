@@ -158,6 +158,39 @@ def test_pii(spark):
     assert not pii.mod97("DE88370400440532013000")
 
 
+def test_context_decides(spark):
+    """Kinds that only context admits, and words that speak against a span."""
+    cases = {
+        "my card 4222222222222 is": ["short_card:8:21"], "item 4222222222222 is": [], "card isbn 4222222222222": [],
+        "ssn 123-45-6789": ["id_number:4:15"], "lot 123-45-6789": [],
+        "passport no. C01X00T47 or AB1234567": ["passport:26:35"], "AB1234567 went": [],
+        "call (212) 555-0100 now": ["local_phone:5:19"], "phone 030-1234 567.": ["local_phone:6:18"], "see 030-1234 567.": [],
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x': ["secret:9:49"], "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 of token": [],
+        "secret abcdefghijklmnopqrstuvwxyz": [], "iban DE89370400440532013000": ["iban:5:27"], "serial DE89370400440532013000": [],
+        "tel +1 (212) 555-0100": ["phone:4:21"], "card 4539148803436467 phone": ["card:5:21"],
+    }
+    for text, want in cases.items():
+        assert [f"{k}:{a}:{b}" for k, a, b, _ in pii.spans(text)] == want, text
+    plain, near, against = (pii.spans(w + " 1.2.3.4")[0][3] for w in ("", "server", "version"))
+    assert against < plain < near
+    row = pii.digests(spark.createDataFrame([(1, "x 1.2.3.4, mail a@b.cd")], "doc_id long, text string")).first()
+    assert (row.n_spans, row.spans, row.scores) == (2, "ip:2:9,email:16:22", "0.70,1.00")
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "1." * 300_000, "1.2.3" * 100_000, "+1(" * 200_000, "+" + "1 (" * 200_000, "a" * 500_000 + "@", "a@" * 200_000, "A1" * 300_000, "AB12 " * 100_000, "1-" * 300_000, "ab1/" * 200_000])
+def test_pii_in_linear_time(text):
+    import time
+
+    start = time.time()
+    pii.spans(text)
+    assert time.time() - start < 10
+
+
+def test_pii_of_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, n_chars int")
+    assert pii.digests(none).count() == 0 and pii.masked(none).columns == none.columns
+
+
 @pytest.mark.parametrize("after", ["", ",", " BIC COBADEFFXXX", " EUR 200", " A new", " 12 34", " DE89370400440532013000", "\nAB12 C"])
 @pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"])
 def test_ibans_before_other_words(iban, after):
