@@ -58,6 +58,37 @@ def jaccard_classes(rows, threshold=0.8):
     return out
 
 
+def license_spans(text, templates, least=0.8):
+    """(license, first word, end word, containment) of one text, from every place of every template."""
+    words = ALNUM.findall(ascii_lower(text))
+    found = []
+    for name, template in templates.items():
+        own = ALNUM.findall(ascii_lower(template))
+        width = min(5, len(own))
+        if not width:
+            continue
+        parts = {tuple(own[i : i + width]) for i in range(len(own) - width + 1)}
+        span = max(len(own) - 4, 1)
+        grams = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
+        all_of_it = []
+        for a, gram in enumerate(grams):
+            if gram in parts:
+                inside = [i for i in range(a, min(a + span, len(grams))) if grams[i] in parts]
+                share = len({grams[i] for i in inside}) / len(parts)
+                if share >= least:
+                    all_of_it.append((-share, a, inside[-1] + width))
+        chosen = []
+        for share, a, b in sorted(all_of_it):
+            if all(b <= c or d <= a for _, c, d in chosen):
+                chosen.append((share, a, b))
+        found += [(share, a, name, b) for share, a, b in chosen]
+    out = []
+    for share, a, name, b in sorted(found):
+        if not any(2 * (min(b, d) - max(a, c)) > max(b - a, d - c) for _, c, d, _ in out):
+            out.append((name, a, b, -share))
+    return sorted(out, key=lambda f: (f[1], f[0]))
+
+
 def contamination(text, items, span=13):
     """n_words, n_hit, items of one document; ``items`` is a list of (id, text)."""
     words = ALNUM.findall(ascii_lower(text))

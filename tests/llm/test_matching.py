@@ -179,21 +179,54 @@ def test_components(spark):
     assert set(got.values()) == {"000", "100"} and len(got) == 43
 
 
-def test_licenses(spark):
+def test_licenses(spark, monkeypatch):
     rng = random.Random(5)
-    texts = [None, "", "Released under the", "released UNDER the mit license"]
-    for _ in range(60):
+    texts = [None, "", "Released under the", "released UNDER the mit license", licenses.TEMPLATES["Apache-2.0-header"] + " ", " ".join([licenses.TEMPLATES["GPL-3.0-notice"]] * 3)]
+    texts[4] = texts[4] * 4
+    for _ in range(90):
         words = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(200))]
-        for name in rng.sample(list(licenses.TEMPLATES), rng.randrange(3)):
+        for name in rng.sample(list(licenses.TEMPLATES), rng.randrange(4)):
             own = licenses.TEMPLATES[name].split()
-            if rng.random() < 0.5:
-                own[rng.randrange(len(own))] = "changed"
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = rng.choice(["changed", "two words", ""])
             at = rng.randrange(len(words) + 1)
             words[at:at] = own
         texts.append(" ".join(words))
+    want = {i: brute.license_spans(t, licenses.TEMPLATES) for i, t in enumerate(texts)}
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, matches int")
-    got = {r.doc_id: {m.license for m in r[1]} for r in licenses.scan(df).collect()}
-    sets = {n: brute.shingles(" ".join(brute.ALNUM.findall(brute.ascii_lower(t)))) for n, t in licenses.TEMPLATES.items()}
-    for i, t in enumerate(texts):
-        own = brute.shingles(" ".join(brute.ALNUM.findall(brute.ascii_lower(t))))
-        assert got[i] == {n for n, s in sets.items() if len(s & own) >= 0.8 * len(s)}, t
+    spans = lambda: {r.doc_id: [tuple(m) for m in r[1]] for r in licenses.scan(df).collect()}
+    assert spans() == want
+    assert [f[0] for f in want[4]].count("Apache-2.0-header") == 4 and [f[0] for f in want[5]] == ["GPL-3.0-notice"] * 3
+    monkeypatch.setattr(licenses, "BLOCK", 7)
+    assert spans() == want
+    assert licenses.scan(df.filter("doc_id < 0")).count() == 0
+    assert {len(r[1]) for r in licenses.scan(df, {"none": "..."}).collect()} == {0}
+
+
+def test_license_recall_at_the_border():
+    """Notices with as many changed words as containment allows, at every phase of the windows."""
+    rng = random.Random(8)
+    notice = licenses.TEMPLATES["MIT-warranty"].split()
+    templates = licenses.Templates({"notice": " ".join(notice)})
+    texts, want = [], 0
+    while len(texts) < 2000:
+        own = list(notice)
+        for _ in range(3):
+            own[rng.randrange(len(own))] = "changed"
+        text = " ".join([*("w" for _ in range(rng.randrange(200))), *own, *("w" for _ in range(100))])
+        texts.append(text.encode())
+    truth = [bool(brute.license_spans(t.decode(), {"notice": " ".join(notice)})) for t in texts[:300]]
+    found = [bool(f) for lo in range(0, 2000, 100) for f in templates.scan(texts[lo : lo + 100])]
+    assert [t for t, f in zip(truth, found, strict=False) if t != f] == []
+    assert sum(found) > 200
+
+
+def test_licenses_in_very_long_texts():
+    import time
+
+    start = time.time()
+    notice = licenses.TEMPLATES["Apache-2.0-header"]
+    text = (notice + " ").encode() * 1_000
+    found = licenses.Templates(licenses.TEMPLATES).scan([b"w " * 10**6, text])
+    assert found[0] == [] and sum(f[0] == "Apache-2.0-header" for f in found[1]) == 1_000
+    assert time.time() - start < 60
