@@ -1,54 +1,78 @@
 """Operator 8: language identification in two levels.
 
-First a linear classifier tells the language family, then one-versus-one linear support
-vector machines separate the languages of that family.  Features are hashed character
-n-grams (1 to 4 bytes) and whole words, averaged over a text's words.  All machines are
-trained in numpy on at most ``MAX_ROWS`` rows (least hash of doc_id, at most ``MAX_BYTES``
-each) that are not held out; short snippets of those texts are added, so that short texts
-are told as well.  Each machine is a value per bucket (2^16 floats, broadcast); whole texts
+First linear classifiers tell the language family, then one-versus-one linear support
+vector machines separate the languages of that family.  Families are learned: languages
+are joined by the likeness of their mean feature vectors into about as many families as a
+family has members, so the number of machines grows with the 1.5th power of the number of
+languages.  Features are hashed character n-grams (2 to 4 bytes) and whole words, averaged
+over a text's words.  All machines are trained in numpy on rows that are not held out: per
+language the same number of rows with the least hash of doc_id, ``MAX_ROWS`` in all but at
+least ``LEAST_ROWS`` of each of at most ``MAX_LANGUAGES`` languages (the most frequent), of
+at most ``MAX_BYTES`` a text; short snippets of those texts are added, so that short texts
+are told as well.  A machine is its weights by bucket; of many machines those of least size
+are left out, so that all take at most ``MODEL_BYTES``, which are broadcast.  Whole texts
 are scored in one narrow Arrow stage.
 
 Defined cases: a null text and one without letters get ``und`` and score 0; null languages
 are never learned; a null doc_id is not held out and never learned from; with one language
-learned, it is always predicted; with none, ``und``.  Extra columns are ignored.
+learned, it is always predicted; with none, ``und``; ties of a draw go to the lesser doc_id
+and text hash.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .session import arrow_batches, fresh
 from .subwords import Bag, lowered
 from .textbytes import slices
-from .toxicity import drawn, held_out
+from .toxicity import held_out
 
 MAX_ROWS = 4000
+LEAST_ROWS = 48
+MAX_LANGUAGES = 256
+MODEL_BYTES = 48 << 20
 MAX_BYTES = 100_000
 BITS = 16
 SIZES = (2, 3, 4)
 SCALE = 30.0
 _LETTER = re.compile(r"[^\W\d_]")
 
-# Language families.
-FAMILIES = {
-    "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
-    "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl"),
-    "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
-}
-_FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 
-
-def family(lang: str) -> str:
-    return _FAMILY.get(lang, lang)
+def families(centres: np.ndarray) -> list[list[int]]:
+    """Groups of rows of ``centres``, about as many as the square root of their number.
+
+    The two groups of the highest mean cosine are joined, unless together they would be
+    larger than twice that root.
+    """
+    n = len(centres)
+    root = math.ceil(math.sqrt(n))
+    unit = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    total = (unit @ unit.T).astype(float)  # sums of cosines between groups
+    groups = [[i] for i in range(n)]
+    while len(groups) > root:
+        size = np.array([len(g) for g in groups])
+        mean = total / np.outer(size, size)
+        mean[np.add.outer(size, size) > 2 * root] = -np.inf
+        np.fill_diagonal(mean, -np.inf)
+        a, b = sorted(divmod(int(mean.argmax()), len(groups)))
+        if mean[a, b] == -np.inf:
+            break
+        total[a] += total[b]
+        total[:, a] += total[:, b]
+        total = np.delete(np.delete(total, b, 0), b, 1)
+        groups[a] += groups.pop(b)
+    return [sorted(g) for g in groups]
 
 
 @dataclass
@@ -57,9 +81,22 @@ class Machine:
 
     yes: str
     no: str
-    table: np.ndarray
+    bucket: np.ndarray
+    weight: np.ndarray
     bias: float
 
+    def table(self) -> np.ndarray:
+        out = np.zeros(1 << BITS)
+        out[self.bucket] = self.weight
+        return out
+
+    def lighter(self, most: int) -> Machine:
+        """With its ``most`` heaviest weights."""
+        if len(self.bucket) <= most:
+            return self
+        at = np.sort(np.argpartition(-np.abs(self.weight), most)[:most])
+        return replace(self, bucket=self.bucket[at], weight=self.weight[at])
+
 
 @dataclass
 class Model:
@@ -100,7 +137,7 @@ class Model:
         votes, margins = np.zeros((n, len(names))), np.zeros((n, len(names)))
         each = []
         for m in machines:
-            d = bag.text_means(bag.word_values(m.table)) * SCALE + m.bias
+            d = bag.text_means(bag.word_values(m.table())) * SCALE + m.bias
             votes[np.arange(n), np.where(d > 0, place[m.yes], place[m.no])] += 1
             margins[:, place[m.yes]] += np.tanh(d)
             margins[:, place[m.no]] -= np.tanh(d)
@@ -171,9 +208,15 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
         entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[take], n)
         own = np.concatenate([[0], np.cumsum(n)])
         w, b = svm((own, bucket[entry], weight[entry]), np.where(names[take] == yes, 1.0, -1.0))
-        return Machine(yes, no, w, b)
-
-    fam = np.array([family(x) for x in lang])
+        used = np.flatnonzero(w)
+        return Machine(yes, no, used.astype(np.uint16), w[used].astype(np.float32), b)
+
+    known = sorted(set(lang))
+    row = np.repeat(np.arange(len(lang)), np.diff(first))
+    centres = np.stack([np.bincount(bucket[own], weight[own], 1 << BITS) for own in (lang[row] == x for x in known)])
+    groups = families(centres)
+    of = {known[i]: known[g[0]] for g in groups for i in g}  # a family is called by its first language
+    fam = np.array([of[x] for x in lang])
     model.names = sorted(set(fam))
     model.families = [machine(a, b, fam) for a, b in combinations(model.names, 2)]
     for name in model.names:
@@ -182,15 +225,30 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
             model.only[name] = own[0]
         else:
             model.languages[name] = [machine(a, b, lang) for a, b in combinations(own, 2)]
+    many = len(model.families) + sum(map(len, model.languages.values()))
+    most = MODEL_BYTES // (6 * max(many, 1))
+    model.families = [m.lighter(most) for m in model.families]
+    model.languages = {k: [m.lighter(most) for m in v] for k, v in model.languages.items()}
     return model
 
 
-def fit(docs: DataFrame, rows: int = MAX_ROWS, size: int = MAX_BYTES) -> Model:
-    """Learn from a bounded sample of rows with a language that are not held out."""
+def sample(docs: DataFrame, rows: int = MAX_ROWS, size: int = MAX_BYTES) -> DataFrame:
+    """(text, lang) of as many rows of each language, of least hash: a threshold of each language leaves few to order."""
+    spark = docs.sparkSession
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    total = known.count()  # reads no texts
+    many = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()  # reads no texts
+    per = max(LEAST_ROWS, rows // max(len(many), 1))
+    bounds = [(r.lang, int(-(2**63) + min(2**64 * 1.5 * per / r["count"], 2**64 - 1025))) for r in many]
+    bound = F.broadcast(spark.createDataFrame(bounds, "lang string, bound long"))  # at most MAX_LANGUAGES rows
     usable = known.filter(F.col("text").isNotNull() & (F.octet_length("text") <= size)).select("doc_id", "text", "lang")
-    got = drawn(usable, rows, total).toArrow()
+    few = usable.join(bound, "lang").filter(F.xxhash64("doc_id") <= F.col("bound")).drop("bound")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    return few.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per).orderBy("lang", "_n").select("text", "lang")
+
+
+def fit(docs: DataFrame, rows: int = MAX_ROWS, size: int = MAX_BYTES) -> Model:
+    """Learn from a bounded sample of rows with a language that are not held out."""
+    got = sample(docs, rows, size).toArrow()
     return train(lowered(got.column("text").combine_chunks()), got.column("lang").to_pylist())
 
 
