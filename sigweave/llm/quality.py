@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import fresh
+
 WHITE = " \t\n\x0b\f\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -149,9 +151,14 @@ def base_failed() -> Column:
 
 
 def judge(docs: DataFrame, rules=RULES, text: str = "text", keep=("doc_id",)) -> DataFrame:
-    """Counts, ``base_failed`` and ``kept`` for each row of ``docs``."""
-    return (
-        measure(docs, text, keep)
-        .withColumn("base_failed", base_failed())
-        .withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
-    )
+    """``keep`` columns, then counts, ``base_failed`` and ``kept`` of each row of ``docs``.
+
+    A column this operator makes gets underscores behind its name if it clashes with ``keep``.
+    """
+    places = [f"_keep{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(c).alias(p) for c, p in zip(keep, places, strict=True)), F.col(text).alias("text"))
+    judged = measure(rows, "text", places).withColumn("base_failed", base_failed())
+    judged = judged.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    made = judged.columns[len(keep) :]
+    names = [*keep, *fresh(keep, *made)]
+    return judged.select(*(F.col(c).alias(n) for c, n in zip(judged.columns, names, strict=True)))

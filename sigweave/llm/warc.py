@@ -3,7 +3,9 @@
 Method.  Headers are grouped by payload digest; the largest page_id of a digest is
 its response, the others join to it and become revisits.  Spark's text writer, with
 the record terminator as line separator, writes the archives (gzip files of WARC/1.1
-records with fresh headers), so commits and retried tasks are Spark's own.  Reading
+records with fresh headers: a record id of its own, the date of writing, and for revisits
+the id, URI and date of the response), so commits and retried tasks are Spark's own.  A
+file is one gzip stream, not one per record, so readers go through it in order.  Reading
 streams each archive through a parser that holds one record at a time, recomputes
 digests from the payload bytes and joins revisits to responses.
 
@@ -11,8 +13,8 @@ Scale.  Payloads are pre-aggregated by digest before their one shuffle (a digest
 by a third of all pages sends one payload per map task); header joins carry ids only
 and their hot digests are split by Spark's adaptive skew join.  Nothing is collected.
 
-Defined cases: a null html is an empty payload; a null url is written as empty and
-read as null; a null page_id ranks lowest and stays null; of repeated rows with one
+Defined cases: a null html is an empty payload; a null url has no target header and is
+read as null, an empty one stays empty; a null page_id ranks lowest and stays null; of repeated rows with one
 page_id and payload, one is the response and the rest revisit it.  Payloads below
 ``min_bytes`` are all responses.  Extra columns are ignored.
 """
@@ -22,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +33,10 @@ from pyspark.sql import functions as F
 from .session import arrow_batches, shared_dir, written
 
 END = "\r\n\r\n"
-RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, intact boolean, profile string"
+RECORD = (
+    "page_id long, url string, record_type string, payload_digest string, payload_bytes long, intact boolean, profile string, "
+    "record_id string, refers_to_id string, refers_to_uri string, date string"
+)
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -41,9 +47,12 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One row per page: page_id, url, record_type, payload_digest, payload_bytes, refers_to, html (responses only)."""
+    """One row per page: page_id, url, record_type, payload_digest, payload_bytes, refers_to, refers_url, copy, html (responses only).
+
+    ``copy`` tells apart rows that repeat page_id, url and payload; it is 0 for the response.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
+    rows = pages.select("page_id", "url", html.alias("html"))
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("html")))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long"))
     large = rows.filter(F.col("payload_bytes") >= min_bytes)
@@ -52,7 +61,8 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     first = large.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url", "html")).alias("r"))
     responses = first.select(
         "r.page_id", "r.url", F.lit("response").alias("record_type"), "payload_digest",
-        F.octet_length("r.html").cast("long").alias("payload_bytes"), F.lit(None).cast("long").alias("refers_to"), "r.html",
+        F.octet_length("r.html").cast("long").alias("payload_bytes"), F.lit(None).cast("long").alias("refers_to"),
+        F.lit(None).cast("string").alias("refers_url"), F.lit(0).cast("long").alias("copy"), "r.html",
     )
     heads = headers.groupBy("payload_digest", "page_id", "url").agg(
         F.count("*").alias("n"), F.first("payload_bytes").alias("payload_bytes")
@@ -63,42 +73,52 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     revisits = (
         again.withColumn("n", F.col("n") - F.when(is_first, 1).otherwise(0))
         .filter("n > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
         .select(
             "page_id", "url", F.lit("revisit").alias("record_type"), "payload_digest", "payload_bytes",
-            F.col("first.page_id").alias("refers_to"), F.lit(None).cast("string").alias("html"),
+            F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"), "copy", F.lit(None).cast("string").alias("html"),
         )
     )
-    small = rows.filter(F.col("payload_bytes") < min_bytes).select(
-        "page_id", "url", F.lit("response").alias("record_type"), "payload_digest", "payload_bytes",
-        F.lit(None).cast("long").alias("refers_to"), "html",
+    small = rows.filter(F.col("payload_bytes") < min_bytes).groupBy("page_id", "url", "html", "payload_digest", "payload_bytes").count()
+    small = small.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).select(
+        "page_id", "url", F.lit("response").alias("record_type"), "payload_digest", "payload_bytes", F.lit(None).cast("long").alias("refers_to"),
+        F.lit(None).cast("string").alias("refers_url"), "copy", "html",
     )
     return responses.unionByName(revisits).unionByName(small) if min_bytes > 0 else responses.unionByName(revisits)
 
 
-def record_text(at: str = "1970-01-01T00:00:00Z") -> Column:
-    """The WARC record of a planned row without its terminator; header values lose line breaks."""
-    url = F.regexp_replace("url", "[\\r\\n]", "%0A")
+def _urn(digest: Column, page: Column, url: Column, record_type: Column, copy: Column) -> Column:
+    """A record id from what makes a record unique."""
+    name = F.md5(F.concat_ws("/", digest, F.coalesce(page.cast("string"), F.lit("null")), record_type, copy.cast("string"), url))
+    parts = [F.substring(name, lo, n) for lo, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+
+
+def _header(name: str, value: Column) -> Column:
+    """A header line without line breaks in its value; nothing for null."""
+    return F.coalesce(F.concat(F.lit(f"\r\n{name}: "), F.regexp_replace(value, "[\\r\\n]", "%0A")), F.lit(""))
+
+
+def record_text(at: str | None = None) -> Column:
+    """The WARC record of a planned row without its terminator; ``at``: its date, now by default."""
+    date = F.lit(at or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    name = F.md5(F.concat_ws("/", "payload_digest", page, "record_type"))
-    urn = F.concat(F.lit("<urn:uuid:"), *[
-        x for i, (lo, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
-        for x in ([F.lit("-")] if i else []) + [F.substring(name, lo, n)]
-    ], F.lit(">"))
+    urn = _urn(F.col("payload_digest"), F.col("page_id"), F.col("url"), F.col("record_type"), F.col("copy"))
+    original = _urn(F.col("payload_digest"), F.col("refers_to"), F.col("refers_url"), F.lit("response"), F.lit(0))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.col("payload_bytes").cast("string"), F.lit(END),
     )
     is_response = F.col("record_type") == "response"
     block = F.when(is_response, F.concat(http, "html")).otherwise(http)
+    revisit = F.concat(
+        F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+        _header("WARC-Refers-To", original), _header("WARC-Refers-To-Target-URI", F.col("refers_url")), _header("WARC-Refers-To-Date", date),
+    )
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type"),
-        F.lit("\r\nWARC-Record-ID: "), urn,
-        F.lit("\r\nWARC-Date: " + at + "\r\nWARC-Target-URI: "), url,
-        F.lit("\r\nX-Page-Id: "), page,
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"),
-        F.when(is_response, F.lit("")).otherwise(F.lit(
-            "\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+        F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type"), _header("WARC-Record-ID", urn), _header("WARC-Date", date),
+        _header("WARC-Target-URI", F.col("url")), _header("X-Page-Id", page),
+        _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")), F.when(is_response, F.lit("")).otherwise(revisit),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
         F.octet_length(block).cast("string"), F.lit(END),
     )
@@ -120,8 +140,10 @@ def _parse(head: bytes, block: bytes) -> dict:
         size, found = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
         digest, intact = found, found == digest
     return {
-        "page_id": None if page == "null" else int(page), "url": fields["WARC-Target-URI"], "record_type": kind,
+        "page_id": None if page == "null" else int(page), "url": fields.get("WARC-Target-URI"), "record_type": kind,
         "payload_digest": digest, "payload_bytes": size, "intact": intact, "profile": fields.get("WARC-Profile"),
+        "record_id": fields["WARC-Record-ID"], "refers_to_id": fields.get("WARC-Refers-To"),
+        "refers_to_uri": fields.get("WARC-Refers-To-Target-URI"), "date": fields["WARC-Date"],
     }
 
 
@@ -159,6 +181,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([
         ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()),
         ("payload_bytes", pa.int64()), ("intact", pa.bool_()), ("profile", pa.string()),
+        ("record_id", pa.string()), ("refers_to_id", pa.string()), ("refers_to_uri", pa.string()), ("date", pa.string()),
     ])
     current, stream = None, _Stream()
     for batch in batches:

@@ -32,6 +32,12 @@ def test_quality_edge_cases(spark, texts):
     assert mine == theirs
 
 
+def test_quality_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "the words of a text and so on in it all", -7, "mine")], "doc_id long, text string, n_words long, _text string")
+    row = quality.judge(df, keep=("doc_id", "n_words", "_text", "text")).first()
+    assert (row.n_words, row.n_words_, row._text, row.kept) == (-7, 11, "mine", True) and row.text.startswith("the")
+
+
 def test_quality_keeps_clean_texts(spark):
     rows = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     good = rows.filter("quality = 1 AND NOT base_failed")
@@ -77,6 +83,22 @@ def test_warc_round_trip(spark, pages):
     assert sorted(rows, key=str) == _page_rows(pages)
 
 
+def test_warc_headers(spark, tmp_path):
+    """Every record has an id of its own; a revisit names the id and URI of its response; null and empty urls differ."""
+    pages = [*PAGES, (2, "http://b", "<p>x</p>", 0), (11, "", "same", 0), (12, None, "same", 0)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, x long")
+    warc.write_archives(warc.plan_records(df, 3), f"file://{tmp_path}/out")
+    rows = warc.read_archives(spark, f"file://{tmp_path}/out").collect()
+    assert len(rows) == len(pages) == len({r.record_id for r in rows})
+    responses = {r.record_id: r for r in rows if r.record_type == "response"}
+    for r in rows:
+        assert r.date > "2020" and (r.refers_to_id is None) == (r.record_type == "response")
+        if r.refers_to_id:
+            assert responses[r.refers_to_id].payload_digest == r.payload_digest and responses[r.refers_to_id].url == r.refers_to_uri
+    urls = {r.page_id: r.url for r in rows}
+    assert urls[3] is None and urls[12] is None and urls[11] == "" and urls[4] == "http://d%0A%0AX: y"
+
+
 def test_warc_min_bytes(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string, x long")
     small = warc.deduplicated(df, min_bytes=9)
