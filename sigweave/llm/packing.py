@@ -2,18 +2,18 @@
 
 A text's length is its number of tokens: runs of letters and digits, and single other
 marks.  Spark counts a global histogram of lengths over at most ``MAX_BINS`` bins (exact
-to ``EXACT``, then ``PER_OCTAVE`` bins per doubling, by their upper edge), so its size is
-bounded whatever the input.  Dynamic programming over the bins finds the bucket
-boundaries with the least total padding (each row is padded to its bucket's boundary).
-Within a bucket, rows are numbered and cut into batches of floor(budget / boundary) rows,
-one at least.
+to ``EXACT``, then ``PER_OCTAVE`` bins per doubling), so its size is bounded whatever the
+input; a bin stands for its longest row.  Dynamic programming over the bins finds the
+bucket boundaries with the least total padding (each row is padded to its bucket's longest
+row).  Within a bucket, rows are numbered and cut into batches of floor(budget / boundary)
+rows, one at least.
 
 Scale.  One narrow pass counts tokens; numbering uses a range partitioning by (bucket,
-hash), a count per partition and bucket, and a running sum over those counts, so no
-bucket is ordered in one task.
+hash, random tie), a count per partition and bucket, and a running sum over those counts,
+so no bucket is ordered in one task, nor are the rows of one doc_id.
 
-Defined cases: a null or empty text has 0 tokens and goes to the first bucket; ties in
-order are broken by doc_id, equal rows share numbers arbitrarily but get different ones;
+Defined cases: a null or empty text has 0 tokens and goes to the first bucket; rows of one
+doc_id, and of null ids, are in random order among each other and get different numbers;
 an empty table gives no rows.  A row longer than the budget is a batch by itself.
 """
 
@@ -88,8 +88,9 @@ def boundaries(edges: np.ndarray, counts: np.ndarray, totals: np.ndarray, bucket
 
 
 def histogram(lengths: DataFrame, length: str = "n_tokens") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = lengths.groupBy(bin_edge(F.col(length)).alias("edge")).agg(F.count("*").alias("n"), F.sum(length).alias("t"))
-    got = rows.orderBy("edge").limit(MAX_BINS + 1).collect()
+    """The longest length, the number of rows and the tokens of each bin."""
+    rows = lengths.groupBy(bin_edge(F.col(length))).agg(F.max(length).alias("edge"), F.count("*").alias("n"), F.sum(length).alias("t"))
+    got = rows.select("edge", "n", "t").orderBy("edge").limit(MAX_BINS + 1).collect()
     if len(got) > MAX_BINS:
         raise ValueError("more length bins than MAX_BINS")
     return tuple(np.array([r[k] for r in got], float) for k in range(3))
@@ -97,7 +98,7 @@ def histogram(lengths: DataFrame, length: str = "n_tokens") -> tuple[np.ndarray,
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_tokens, bucket, padded_tokens, batch (number in its bucket) and slot of every row."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("n_tokens"), F.xxhash64(doc_id).alias("h"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("n_tokens"), F.xxhash64(doc_id).alias("h"), F.rand(5).alias("tie"))
     rows = written(rows, "packing-lengths")
     edges, counts, totals = histogram(rows)
     limits, _ = boundaries(edges, counts, totals, buckets)
@@ -107,13 +108,13 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: i
         which, top = F.when(fits, b).otherwise(which), F.when(fits, F.lit(limits[b]).cast("long")).otherwise(top)
     rows = rows.withColumn("bucket", which).withColumn("padded_tokens", top)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, "bucket", "h", "doc_id").withColumn("part", F.spark_partition_id())
+    ranged = rows.repartitionByRange(parts, "bucket", "h", "tie").withColumn("part", F.spark_partition_id())
     ranged = written(ranged, "packing-ranges")
     # A partition holds a contiguous range, so there are about as many counts as partitions and buckets.
     before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offset = ranged.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     offset = offset.select("bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    own = Window.partitionBy("bucket", "part").orderBy("h", "doc_id")
+    own = Window.partitionBy("bucket", "part").orderBy("h", "tie")
     numbered = ranged.withColumn("n", F.row_number().over(own)).join(F.broadcast(offset), ["bucket", "part"])
     per = F.greatest(F.floor(F.lit(budget) / F.greatest("padded_tokens", F.lit(1))), F.lit(1))
     place = F.col("earlier") + F.col("n") - 1

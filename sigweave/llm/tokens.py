@@ -54,6 +54,13 @@ def encoder(path: str = VOCABULARY):
     return _ENCODERS[path]
 
 
+def checked(vocabulary: str, end: int) -> None:
+    """The separator must not be a token of the vocabulary, and all ids must fit in 16 bits."""
+    top = encoder(vocabulary).max_token_value
+    if end in encoder(vocabulary)._mergeable_ranks.values() or max(top, end) > 0xFFFF:
+        raise ValueError(f"separator {end} is a token, or ids up to {max(top, end)} do not fit in 16 bits: {vocabulary}")
+
+
 def _pieces(text: str) -> Iterator[str]:
     lo = 0
     while len(text) - lo > PIECE:
@@ -80,6 +87,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
 
     A retried task writes another file name, and only names that the stored rows mention count.
     """
+    checked(vocabulary, end)
     arrow_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     fs, inner = _filesystem(path)

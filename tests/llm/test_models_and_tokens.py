@@ -28,6 +28,13 @@ def test_token_counts_of_empty_table(spark):
     assert tokens.count_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_separator_must_be_free():
+    tokens.checked(tokens.VOCABULARY, tokens.END_OF_DOCUMENT)
+    for end in (100, 70_000):
+        with pytest.raises(ValueError, match="separator"):
+            tokens.checked(tokens.VOCABULARY, end)
+
+
 def test_long_texts_are_cut_between_tokens(monkeypatch):
     text = "the quick brown fox jumps " * 200 + "über 12,5 km  weiter\n" * 50
     whole = tokens.encode(text)
@@ -50,21 +57,42 @@ def test_boundaries_are_optimal():
     assert packing.boundaries(np.zeros(0), np.zeros(0), np.zeros(0)) == ([], 0)
 
 
+def _packed(lengths, buckets, budget):
+    """Per bucket: boundary, numbers of rows in its batches; from a plain search over all boundaries."""
+    bins = {}
+    for n in lengths:
+        octave = 2 ** (n.bit_length() - 1) if n else 1
+        step = max(octave / packing.PER_OCTAVE, 1)
+        bins.setdefault(n if n <= packing.EXACT else -(-n // step) * step, []).append(n)
+    tops = sorted(max(b) for b in bins.values())
+
+    def padding(cut):
+        return sum(min(c for c in cut if c >= n) - n for n in lengths)
+
+    cut = min(([*c, tops[-1]] for k in range(buckets) for c in itertools.combinations(tops[:-1], min(k, len(tops) - 1))), key=padding)
+    out = []
+    for lo, hi in zip([-1, *cut], cut, strict=False):
+        rows, per = sum(lo < n <= hi for n in lengths), max(1, budget // max(hi, 1))
+        out.append((hi, [per] * (rows // per) + [rows % per] * (rows % per > 0)))
+    return out, padding(cut)
+
+
 def test_packing(spark):
+    """Against a search over all boundaries: the same padding, the tightest bucket for each row, full batches."""
     rng = random.Random(3)
-    texts = [*TEXTS, *("w " * rng.randrange(900) for _ in range(300))]
-    df = spark.createDataFrame([(i // 3, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, bucket int")
-    rows = packing.pack(df, buckets=6, budget=2000).collect()
+    texts = [*TEXTS, *("w " * rng.choice([1, 5, 40, 41, 42, 300, 700, 705, 1500]) for _ in range(300))]
+    df = spark.createDataFrame([(i // 3 if i < 200 else None, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, bucket int")
+    rows = packing.pack(df, buckets=4, budget=2000).collect()
     assert len(rows) == len(texts) and len({(r.bucket, r.batch, r.slot) for r in rows}) == len(rows)
-    batches = {}
-    for r in rows:
-        assert r.n_tokens <= r.padded_tokens
-        batches.setdefault((r.bucket, r.batch), []).append(r)
-    for (bucket, batch), own in batches.items():
-        per = max(1, 2000 // max(own[0].padded_tokens, 1))
-        assert len({r.padded_tokens for r in own}) == 1 and len(own) <= per
-        if (bucket, batch + 1) in batches:
-            assert len(own) == per  # only the last batch of a bucket is not full
+    lengths = [r.n_tokens for r in rows]
+    want, padding = _packed(lengths, 4, 2000)
+    assert sum(r.padded_tokens - r.n_tokens for r in rows) == padding
+    limits = sorted({r.padded_tokens for r in rows})
+    assert limits == [hi for hi, _ in want] and {r.n_tokens for r in rows} >= set(limits)
+    for bucket, (hi, sizes) in enumerate(want):
+        own = [r for r in rows if r.bucket == bucket]
+        assert {r.padded_tokens for r in own} == {hi} and all(bucket == 0 or r.n_tokens > want[bucket - 1][0] for r in own)
+        assert sorted((r.batch, r.slot) for r in own) == [(k, j) for k, n in enumerate(sizes) for j in range(n)]
     assert packing.pack(df.filter("doc_id < 0")).count() == 0
 
 
