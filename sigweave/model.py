@@ -97,7 +97,8 @@ def windowed(df: DataFrame, left: int, right: int, columns: Callable[[Window], d
 
 def lagged(column: str, n: int, w: Window, default=0) -> Column:
     """The value ``n`` rows before (behind, if negative), ``default`` outside the stream."""
-    return F.coalesce(F.lag(column, n).over(w) if n >= 0 else F.lead(column, -n).over(w), F.lit(default))
+    other = F.lag(column, n).over(w) if n >= 0 else F.lead(column, -n).over(w)
+    return other if default is None else F.coalesce(other, F.lit(default))
 
 
 def lengths(df: DataFrame) -> DataFrame:
@@ -117,12 +118,13 @@ def running_sum(df: DataFrame, column: Column, name: str, chunk: int = CHUNK) ->
 
 
 def last_known(df: DataFrame, column: Column, name: str, first, chunk: int = CHUNK) -> DataFrame:
-    """The last non-null value of ``column`` up to each row, ``first`` before any; two phases like ``running_sum``."""
+    """The last non-null value of ``column`` up to each row, ``first`` (or null) before any; two phases like ``running_sum``."""
     df = df.withColumn("_x", column).withColumn("_chunk", F.floor(F.col("pos") / chunk))
     last = df.filter(F.col("_x").isNotNull()).groupBy("stream_id", "_chunk").agg(F.max_by("_x", "pos").alias("_l"))
     every = df.groupBy("stream_id", "_chunk").agg(F.lit(1).alias("_1")).join(last, ["stream_id", "_chunk"], "left")
     before = Window.partitionBy("stream_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = every.select("stream_id", "_chunk", F.coalesce(F.last("_l", ignorenulls=True).over(before), F.lit(first)).alias("_c"))
+    carried = F.last("_l", ignorenulls=True).over(before)
+    carry = every.select("stream_id", "_chunk", (carried if first is None else F.coalesce(carried, F.lit(first))).alias("_c"))
     inside = Window.partitionBy("stream_id", "_chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("_y", F.last("_x", ignorenulls=True).over(inside)).join(carry, ["stream_id", "_chunk"])
     return out.withColumn(name, F.coalesce("_y", "_c")).drop("_x", "_y", "_c", "_chunk")

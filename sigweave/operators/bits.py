@@ -51,15 +51,16 @@ def scrambler_g3ruh(df: DataFrame) -> DataFrame:
     """
 
     def machine():
-        state = {"reg": [0] * 17, "pos": 0}
+        state = {"reg": np.zeros(17, np.int8), "pos": 0}
 
         def step(bit, end):
-            s = state["reg"] + [0] * len(bit)
-            for n, b in enumerate(bit.astype(int).tolist()):
-                s[n + 17] = b ^ s[n + 5] ^ s[n]
+            s = np.concatenate([state["reg"], bit.astype(np.int8)])
+            for n in range(17, len(s), 12):  # the nearest tap is 12 back, so 12 bits are known at a time
+                part = s[n : n + 12]
+                part ^= s[n - 12 : n - 12 + len(part)] ^ s[n - 17 : n - 17 + len(part)]
             state["reg"] = s[-17:]
             first, state["pos"] = state["pos"], state["pos"] + len(bit)
-            return {"pos": np.arange(first, state["pos"]), "bit": np.array(s[: len(bit)], np.int8)}
+            return {"pos": np.arange(first, state["pos"]), "bit": s[: len(bit)]}
 
         return step
 
@@ -181,12 +182,22 @@ def pdu_to_stream(pdus: DataFrame, column: str = "data", value: str = "v") -> St
 
 
 def stream_chunks(stream: Stream | DataFrame, size: int) -> DataFrame:
-    """Packets of ``size`` samples each; the rest at the end is lost."""
+    """Packets of ``size`` samples each; the rest at the end is lost.
+
+    With tags, each packet has ``tags`` (pos in the packet, key, val); a tag behind the last packet is lost.
+    """
     df = stream.df if isinstance(stream, Stream) else stream
+    tags = stream.tags if isinstance(stream, Stream) else None
     names = values(df)
     rows = df.groupBy("stream_id", F.expr(f"pos div {size}").alias("pdu_idx")).agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("_rows"))
     rows = rows.filter(F.size("_rows") == size)
-    return rows.select("stream_id", "pdu_idx", *(F.col(f"_rows.{c}").alias("data" if len(names) == 1 else c) for c in names))
+    out = rows.select("stream_id", "pdu_idx", *(F.col(f"_rows.{c}").alias("data" if len(names) == 1 else c) for c in names))
+    if tags is None:
+        return out
+    own = tags.groupBy("stream_id", F.expr(f"pos div {size}").alias("pdu_idx")).agg(
+        F.array_sort(F.collect_list(F.struct(F.pmod("pos", F.lit(size)).alias("pos"), "key", "val"))).alias("tags")
+    )
+    return out.join(own, ["stream_id", "pdu_idx"], "left")
 
 
 def pdu_average(pdus: DataFrame, n: int, column: str = "data") -> DataFrame:
@@ -227,28 +238,31 @@ def midpointer(pdus: DataFrame, column: str = "data") -> DataFrame:
     return pdus.select("stream_id", "pdu_idx", F.col(column).alias("data")).mapInPandas(run, f"stream_id {kind}, pdu_idx long, data array<double>")
 
 
+def _symbol_rate(crossings: np.ndarray, n: int) -> tuple[float, float] | None:
+    """Symbols per sample and start phase: the lowest strong line in the spectrum of the sign changes."""
+    lines = np.fft.rfft(crossings)[: len(crossings) // 2]
+    power = np.abs(lines)
+    if len(power) < 4:
+        return None
+    strong = (power[2:-1] > 0.8 * power[2:].max()) & (power[2:-1] > power[3:])
+    if not strong.any():
+        return None
+    k = 2 + int(strong.argmax())
+    turn = float(np.angle(lines[k])) / (2 * np.pi)
+    return k / n, turn + (0.5 if turn > 0 else 1.5)
+
+
 def _recover(samples: np.ndarray) -> tuple[np.ndarray, float, float] | None:
-    """Symbols, symbols per sample and end phase of one packet, from the spectrum of its zero crossings."""
+    """Symbols, symbols per sample and end phase of one packet; a sample is picked where the phase passes a whole number."""
     if len(samples) < 4:
         return None
-    level = (samples > 0).astype(float)
-    spectrum = np.fft.fft((level[:-1] - level[1:]) ** 2)[: (len(samples) - 1) // 2]
-    size = np.abs(spectrum)
-    if len(size) <= 2:
-        return None
-    peaks = [k for k in range(2, len(size) - 1) if size[k] > 0.8 * size[2:].max() and size[k] > size[k + 1]]
-    if not peaks:
+    found = _symbol_rate(np.diff(samples > 0).astype(float), len(samples))
+    if found is None:
         return None
-    rate = peaks[0] / len(samples)
-    phase = 0.5 + np.angle(spectrum[peaks[0]]) / (2 * np.pi)
-    phase = phase if phase > 0.5 else phase + 1
-    picked = []
-    for x in samples:
-        if phase >= 1:
-            phase -= 1
-            picked.append(x)
-        phase += rate
-    return np.array(picked), rate, phase
+    rate, start = found
+    turns = np.floor(start + rate * np.arange(len(samples)))
+    picked = np.diff(turns, prepend=0) > 0
+    return samples[picked], rate, start + rate * len(samples) - float(picked.sum())
 
 
 def wpcr(pdus: DataFrame, samp_rate: float | None = None) -> DataFrame:

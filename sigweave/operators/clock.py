@@ -1,100 +1,126 @@
-"""Symbol clock recovery: state machines over each stream, with one Arrow batch in memory."""
+"""Symbol clock recovery.
+
+Sign changes are found in Spark.  Only they can move a clock, so only they pass through a
+state machine (symbol sync) or none at all (zero crossing).  Between two changes of the
+clock the picked samples lie on a grid (phase + j * clock), so each sample tells by
+arithmetic from the last grid before it whether it is picked.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-from ..model import sequential
-from .filters import Iir
+from ..model import KEY, lagged, last_known, running_sum, sequential, windowed
 
 
-class SymbolClock:
-    """Tracks symbol boundaries at sign changes and picks the sample in each symbol's middle."""
-
-    def __init__(self, sps: float, max_deviation: float, taps):
-        if sps <= 1:
-            raise ValueError("more than one sample per symbol is needed")
-        self.sps, self.deviation, self.filter = sps, max_deviation, Iir(taps)
-        self.clock, self.now, self.boundary, self.middle, self.high = sps, 0.0, 0.0, 0.0, False
-
-    def _crossing(self) -> None:
-        least, most = self.sps - self.deviation, self.sps + self.deviation
-        gap = self.now - self.boundary
-        while gap > most:
-            shorter = gap - self.clock
-            if abs(shorter) < abs(shorter - self.clock):
-                break
-            gap = shorter
-        if least * 0.8 < gap < most * 1.2:
-            self.clock = self.filter(gap - self.sps, least - self.sps, most - self.sps) + self.sps
-            self.middle = self.boundary + self.clock / 2
-            while self.middle < self.now:
-                self.middle += self.clock
-
-    def __call__(self, x: float) -> bool:
-        picked = self.now >= self.middle
-        if picked:
-            self.middle += self.clock
-        high = x > 0
-        if high != self.high:
-            if self.now > 0 and self.boundary > 0:
-                self._crossing()
-            self.boundary, self.high = self.now, high
-        self.now += 1
-        back = 10 * self.clock
-        if min(self.now, self.boundary, self.middle) > back:
-            self.now, self.boundary, self.middle = self.now - back, self.boundary - back, self.middle - back
-        return picked
-
-
-def _picked(df: DataFrame, make) -> DataFrame:
-    def machine():
-        clock, count = make(), [0]
-
-        def step(v, end):
-            out, rates = [], []
-            for x in v.tolist():
-                before = clock.clock
-                if clock(x):
-                    out.append(x)
-                    rates.append(before)
-            first, count[0] = count[0], count[0] + len(out)
-            return {"pos": np.arange(first, count[0]), "v": np.array(out, float), "clock": np.array(rates, float)}
+def _sign_changes(df: DataFrame, name: str) -> DataFrame:
+    """``name``: the row's own position where the sample is on the other side of zero than the one before, else null."""
 
-        return step
+    def columns(w: Window) -> dict[str, Column]:
+        high = F.col("v") > 0
+        was = F.coalesce(F.lag("v").over(w) > 0, F.lit(False))
+        return {name: F.when(high != was, F.col("pos"))}
 
-    return sequential(df, ("v",), machine, "pos long, v double, clock double")
+    return windowed(df, 1, 0, columns)
 
 
-def symbol_sync(df: DataFrame, sps: float, max_deviation: float, taps=(0.5, 0.5)) -> DataFrame:
-    """One sample per symbol, with the clock at that time (samples per symbol)."""
-    return _picked(df, lambda: SymbolClock(sps, max_deviation, taps))
+def _before(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the row before, in their place."""
+    return windowed(df, 1, 0, lambda w: {c: lagged(c, 1, w, None) for c in columns})
 
 
-class CrossingClock:
-    """Picks the sample half a symbol behind the last sign change, and every symbol after."""
+def _numbered(df: DataFrame, picked: Column) -> DataFrame:
+    """The picked rows as a stream of v and clock."""
+    counted = running_sum(df.withColumn("_picked", picked.cast("long")), F.col("_picked"), "_n").filter("_picked = 1")
+    return counted.select("stream_id", (F.col("_n") - 1).alias("pos"), "v", "clock")
 
-    def __init__(self, sps: float):
-        if sps <= 1:
-            raise ValueError("more than one sample per symbol is needed")
-        self.clock, self.cross, self.count, self.high = sps, 0.0, 0, False
 
-    def __call__(self, x: float) -> bool:
-        picked = self.count == int(self.cross + self.clock / 2)
-        if picked:
-            self.cross += self.clock
-        high = x > 0
-        if high != self.high:
-            self.cross = float(self.count)
-        self.high = high
-        self.count += 1
-        back = int(10 * self.clock)
-        if self.count > back and int(self.cross) > back:
-            self.count, self.cross = self.count - back, self.cross - back
-        return picked
+def _checked(sps: float) -> float:
+    if sps <= 1:
+        raise ValueError("more than one sample per symbol is needed")
+    return float(sps)
 
 
 def zero_crossing(df: DataFrame, sps: float, max_deviation: float = 0.0) -> DataFrame:
-    """One sample per symbol by the last zero crossing; ``max_deviation`` is accepted and has no effect."""
-    return _picked(df, lambda: CrossingClock(sps))
+    """One sample per symbol, the first half a symbol behind each sign change; ``max_deviation`` is accepted and has no effect."""
+    sps = _checked(sps)
+    changed = last_known(_before(_sign_changes(df, "_at"), ["_at"]), F.col("_at"), "_at", None)
+    middle = F.coalesce("_at", F.lit(0)) + sps / 2
+    j = F.ceil((F.col("pos") - middle) / sps)
+    on_grid = (j >= 0) & (F.floor(middle + j * sps) == F.col("pos"))
+    # The grid of a sign change starts behind it; with fewer than two samples a symbol it starts on it and is missed.
+    started = F.col("_at").isNull() | F.lit(sps >= 2)
+    return _numbered(changed.withColumn("clock", F.lit(sps)), on_grid & started)
+
+
+class SymbolClock:
+    """The clock over sign changes alone; a call with a sign change's place returns the grid it starts."""
+
+    def __init__(self, sps: float, deviation: float, taps):
+        if not len(taps):
+            raise ValueError("a clock filter needs taps")
+        self.sps, self.least, self.most = sps, sps - deviation, sps + deviation
+        self.taps, self.past = list(map(float, taps)), []
+        self.clock, self.last = sps, None
+
+    def _filtered(self, x: float) -> float:
+        y = self.taps[0] * x + sum(t * p for t, p in zip(self.taps[1:], self.past, strict=False))
+        y = min(max(y, self.least - self.sps), self.most - self.sps)
+        self.past = [y, *self.past][: len(self.taps) - 1]
+        return y
+
+    def __call__(self, at: int) -> tuple[float, float] | None:
+        """(a picked place, clock) from the sign change ``at`` on, or None if the grid stays."""
+        last, self.last = self.last, at
+        if not last:  # none before, or one at the very start, whose symbol may have begun earlier
+            return None
+        gap = at - last
+        # Whole symbols without a sign change are taken off until one remains, or less than one and a half.
+        whole = min(math.ceil((gap - self.most) / self.clock), math.floor(gap / self.clock - 0.5))
+        gap -= max(whole, 0) * self.clock
+        if not self.least * 0.8 < gap < self.most * 1.2:
+            return None
+        self.clock = self.sps + self._filtered(gap - self.sps)
+        middle = last + self.clock / 2
+        return middle + max(0, math.ceil((at - middle) / self.clock)) * self.clock, self.clock
+
+
+def on_grid(pos: np.ndarray, at: int, middle: float, clock: float) -> np.ndarray:
+    """Which positions behind ``at`` the grid picks: the first whole number from each of its points."""
+    j = np.floor((pos - middle) / clock)
+    return (j >= 0) & (np.ceil(middle + j * clock) == pos) | (pos == at + 1) & (math.ceil(middle) <= at)
+
+
+def symbol_sync(df: DataFrame, sps: float, max_deviation: float, taps=(0.5, 0.5)) -> DataFrame:
+    """One sample per symbol, from its middle, with the clock at that time (samples per symbol).
+
+    The distance of sign changes, filtered and held within ``sps`` plus and minus ``max_deviation``, is the clock.
+    """
+    sps = _checked(sps)
+
+    def machine():
+        clock = SymbolClock(sps, max_deviation, taps)
+
+        def step(at, end):
+            found = [(int(p), clock(int(p))) for p in at]
+            grids = [(p, *g) for p, g in found if g]
+            return {"pos": [g[0] for g in grids], "_middle": [g[1] for g in grids], "_clock": [g[2] for g in grids]}
+
+        return step
+
+    machine()  # wrong arguments fail here, not in a task
+    signs = _sign_changes(df, "_at")
+    changes = signs.filter(F.col("_at").isNotNull()).select(*KEY)
+    grids = sequential(changes.withColumn("_at", F.col("pos")), ("_at",), machine, "pos long, _middle double, _clock double")
+    placed = df.join(grids, list(KEY), "left").withColumn("_grid", F.when(F.col("_middle").isNotNull(), F.struct(F.col("pos").alias("at"), "_middle", "_clock")))
+    start = F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0.0).alias("_middle"), F.lit(sps).alias("_clock"))
+    known = last_known(_before(placed, ["_grid"]), F.col("_grid"), "_grid", None).withColumn("_grid", F.coalesce("_grid", start))
+    middle, clock, at = F.col("_grid._middle"), F.col("_grid._clock"), F.col("_grid.at")
+    j = F.floor((F.col("pos") - middle) / clock)
+    on_grid = (j >= 0) & (F.ceil(middle + j * clock) == F.col("pos"))
+    late = (F.col("pos") == at + 1) & (F.ceil(middle) <= at)  # the grid starts on the sign change itself
+    return _numbered(known.select(*KEY, "v", clock.alias("clock"), (on_grid | late).alias("_hit")), F.col("_hit"))

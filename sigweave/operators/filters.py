@@ -11,7 +11,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ from ..model import KEY, Stream, affine_scan, halo, lagged, lengths, sequential,
 
 #: More taps than this go through array chunks.
 SHORT_TAPS = 16
+#: More taps than this are applied by multiplying spectra (overlap-save over the chunks).
+SHORT_FFT = 64
 
 
 def _is_complex(df: DataFrame) -> bool:
@@ -45,19 +47,34 @@ def _convolved(df: DataFrame, taps: np.ndarray, offset: int, before: int, chunk:
     names = values(df)
     schema = f"stream_id {df.schema['stream_id'].dataType.simpleString()}, pos long, " + ("re double, im double" if cplx else "v double")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                x = np.asarray(row[3]) + 1j * np.asarray(row[4]) if len(names) == 2 else np.asarray(row[3])
-                lo, hi = row[1] * chunk, min((row[1] + 1) * chunk, row[2] + len(x))
-                # x starts at position row[2]; full convolution puts tap t on sample s at s + t.
-                full = np.convolve(x, taps)
-                at = np.arange(lo, hi) + offset - row[2]
+    spectra: dict[int, np.ndarray] = {}
+
+    def filtered(x: np.ndarray) -> np.ndarray:
+        """Full convolution, through spectra where that is less work."""
+        if size <= SHORT_FFT:
+            return np.convolve(x, taps)
+        width = 1 << (len(x) + size - 2).bit_length()
+        if width not in spectra:
+            spectra[width] = np.fft.fft(taps, width)
+        y = np.fft.ifft(np.fft.fft(x, width) * spectra[width])[: len(x) + size - 1]
+        return y if cplx else y.real
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = [batch.column(3 + c)[i].values.to_numpy(zero_copy_only=False) for c in range(len(names))]
+                x = data[0] + 1j * data[1] if len(names) == 2 else data[0]
+                number, first = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                lo, hi = number * chunk, min((number + 1) * chunk, first + len(x))
+                # x starts at position first; full convolution puts tap t on sample s at s + t.
+                full = filtered(x)
+                at = np.arange(lo, hi) + offset - first
                 y = full[np.clip(at, 0, len(full) - 1)] * ((at >= 0) & (at < len(full)))
-                made = {"stream_id": pd.Series([row[0]] * len(y), dtype=object), "pos": np.arange(lo, hi)}
-                yield pd.DataFrame(made | ({"re": y.real, "im": y.imag} if cplx else {"v": y.real}))
+                key = pa.array([batch.column(0)[i].as_py()], batch.column(0).type).take(pa.array(np.zeros(len(y), np.int64)))
+                parts = [pa.array(np.ascontiguousarray(v)) for v in ((y.real, y.imag) if cplx else (y.real,))]
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.arange(lo, hi)), *parts], names=["stream_id", "pos", *(("re", "im") if cplx else ("v",))])
 
-    return _array_chunks(df, left, right, chunk).mapInPandas(run, schema)
+    return _array_chunks(df, left, right, chunk).mapInArrow(run, schema)
 
 
 def fir_filter(stream: Stream | DataFrame, taps, decimation: int = 1, samp_rate: float = 0.0, translate: float = 0.0) -> Stream:
@@ -176,25 +193,41 @@ class Iir:
 
 
 def iir_filter(df: DataFrame, taps, least: float = -math.inf, most: float = math.inf) -> DataFrame:
-    """The general recursive filter along each stream, optionally clamped, with bounded memory per task."""
+    """The general recursive filter along each stream, optionally clamped, with bounded memory per task.
+
+    A clamped output depends on all before it, so a stream is one task; streams run in parallel.
+    """
+    if not len(taps):
+        raise ValueError("an IIR filter needs taps")
+
+    head, *back = map(float, taps)
 
     def machine():
-        own = Iir(taps)
-        place = [0]
+        state = {"past": [0.0] * len(back), "pos": 0}  # the latest output last
 
         def step(v, end):
-            first, place[0] = place[0], place[0] + len(v)
-            return {"pos": np.arange(first, place[0]), "v": np.array([own(x, least, most) for x in v], float)}
+            n = len(back)
+            y = state["past"] + [0.0] * len(v)
+            for i, x in enumerate((head * v).tolist(), n):
+                for k, t in enumerate(back, 1):
+                    x += t * y[i - k]
+                y[i] = least if x < least else most if x > most else x
+            first, state["pos"], state["past"] = state["pos"], state["pos"] + len(v), y[len(y) - n :]
+            return {"pos": np.arange(first, state["pos"]), "v": np.array(y[n:], float)}
 
         return step
 
     return sequential(df, ("v",), machine, "pos long, v double")
 
 
-def cma_equalizer(df: DataFrame, n_taps: int, modulus: float, step_size: float) -> DataFrame:
-    """Constant-modulus equaliser: taps adapt behind every output; N - T + 1 outputs."""
+def cma_equalizer(stream: Stream | DataFrame, n_taps: int, modulus: float, step_size: float) -> Stream | DataFrame:
+    """Constant-modulus equaliser: taps adapt behind every output; N - T + 1 outputs.
+
+    A Stream keeps the tags of positions that the output has.
+    """
     if n_taps < 1:
         raise ValueError("an equaliser needs taps")
+    df = stream.df if isinstance(stream, Stream) else stream
 
     def machine():
         taps = np.zeros(n_taps, complex)
@@ -215,7 +248,12 @@ def cma_equalizer(df: DataFrame, n_taps: int, modulus: float, step_size: float)
 
         return step
 
-    return sequential(df, ("re", "im"), machine, "pos long, re double, im double")
+    out = sequential(df, ("re", "im"), machine, "pos long, re double, im double")
+    if not isinstance(stream, Stream):
+        return out
+    n_out = lengths(df).select("stream_id", (F.col("n") - (n_taps - 1)).alias("_n"))
+    tags = stream.tags.join(n_out, "stream_id").filter("pos < _n").drop("_n") if stream.tags is not None else None
+    return Stream(out, tags)
 
 
 def quadrature_demod(df: DataFrame, gain: float = 1.0) -> DataFrame:

@@ -337,14 +337,34 @@ def scale_constant_source(spark, d):
     return both.select("stream_id", "pos", (F.col("v") * F.col("v_2")).alias("v"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, y AS (SELECT stream_id, pos, greatest(least(v, 200), -200) AS y, 0.0::DOUBLE AS y1 FROM ev WHERE pos = 0
+UNION ALL SELECT e.stream_id, e.pos, greatest(least(e.v + 0.9 * y.y - 0.2 * y.y1, 200), -200), y.y FROM y JOIN ev e ON e.stream_id = y.stream_id AND e.pos = y.pos + 1)
+SELECT stream_id, pos, {_r('y')} AS v FROM y""")
 def iir_clamped(spark, d):
     return filters.iir_filter(ev(spark, d), [1.0, 0.9, -0.2], -200.0, 200.0)
 
 
-@query()
+def _cma_sql(n: int, modulus: float, step: float) -> str:
+    """The equaliser's recursion, taps as columns a (real) and b (imaginary), samples of the window as x and z."""
+    k = range(n)
+    re = " + ".join(f"a{i} * x{i} - b{i} * z{i}" for i in k)
+    im = " + ".join(f"a{i} * z{i} + b{i} * x{i}" for i in k)
+    window = ", ".join(f"lead(re, {i}) OVER w AS x{i}, lead(im, {i}) OVER w AS z{i}" for i in k)
+    columns = ", ".join(f"x{i}, z{i}" for i in k)
+    first = ", ".join(f"{float(i == 0)}::DOUBLE AS a{i}, 0.0::DOUBLE AS b{i}" for i in k)
+    gain = f"{step} * ({modulus} - (o.re * o.re + o.im * o.im))"
+    taps_ = ", ".join(f"o.a{i} + {gain} * (o.re * o.x{i} + o.im * o.z{i}) AS a{i}, o.b{i} + {gain} * (o.im * o.x{i} - o.re * o.z{i}) AS b{i}" for i in k)
+    return f"""WITH RECURSIVE {IQ}, s AS (SELECT stream_id, pos, re * 0.02 AS re, im * 0.02 AS im FROM iq),
+w AS (SELECT stream_id, pos, {window} FROM s WINDOW w AS (PARTITION BY stream_id ORDER BY pos)),
+o AS (SELECT stream_id, pos, {columns}, x0 AS re, z0 AS im, {first} FROM w WHERE pos = 0 AND x{n - 1} IS NOT NULL
+UNION ALL SELECT stream_id, pos, {columns}, {re} AS re, {im} AS im, {", ".join(f"a{i}, b{i}" for i in k)}
+FROM (SELECT w.stream_id, w.pos, {", ".join(f"w.x{i}, w.z{i}" for i in k)}, {taps_} FROM o JOIN w ON w.stream_id = o.stream_id AND w.pos = o.pos + 1 WHERE w.x{n - 1} IS NOT NULL))
+SELECT stream_id, pos, {_r("re")} AS re, {_r("im")} AS im FROM o"""
+
+
+@query(_cma_sql(5, 1.0, 0.001))  # with steps of 0.01 the taps run off to infinity
 def cma_equalizer(spark, d):
-    return filters.cma_equalizer(maps.multiply_const(iq(spark, d), 0.02), 5, 1.0, 0.01)
+    return filters.cma_equalizer(maps.multiply_const(iq(spark, d), 0.02), 5, 1.0, 0.001)
 
 
 # Spectra.
@@ -493,20 +513,51 @@ def midpointer(spark, d):
     return bits.midpointer(embedding_pdus(spark, d)).select("pdu_idx", F.posexplode("data").alias("k", "v")).withColumn("k", F.col("k").cast("long"))
 
 
-@query()
+_CENTRED = """e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS d FROM embeddings), m AS (SELECT vec_id, d, list_sum(d) / len(d) AS m FROM e),
+s AS (SELECT vec_id, d, list_sort(list_filter(d, lambda x: x > m)) AS hi, list_sort(list_filter(d, lambda x: x <= m)) AS lo FROM m),
+o AS (SELECT vec_id, d, lo[len(lo) // 2 + 1] + (hi[len(hi) // 2 + 1] - lo[len(lo) // 2 + 1]) / 2 AS o FROM s WHERE len(hi) > 0 AND len(lo) > 0),
+x AS (SELECT vec_id, k - 1 AS n, d[k] - o AS x, len(d) AS len FROM (SELECT vec_id, d, o, unnest(range(1, len(d) + 1)) AS k FROM o))"""
+
+
+@query(f"""WITH {_CENTRED}, c AS (SELECT vec_id, n, (x > 0) <> (lead(x) OVER w > 0) AS turned FROM x WINDOW w AS (PARTITION BY vec_id ORDER BY n) QUALIFY lead(x) OVER w IS NOT NULL),
+f AS (SELECT vec_id, k, sum(turned::INT * cos(2 * pi() * k * n / 63)) AS re, -sum(turned::INT * sin(2 * pi() * k * n / 63)) AS im FROM c, (SELECT unnest(range(0, 31)) AS k) GROUP BY 1, 2),
+g AS (SELECT vec_id, k, re, im, sqrt(re * re + im * im) AS size, lead(sqrt(re * re + im * im)) OVER (PARTITION BY vec_id ORDER BY k) AS next FROM f WHERE k >= 2),
+b AS (SELECT vec_id, k / 64 AS rate, atan2(im, re) / (2 * pi()) AS turn FROM g QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY (size > 0.8 * top AND size > next) DESC, k) = 1 AND size > 0.8 * top AND size > next),
+p AS (SELECT vec_id, rate, turn + CASE WHEN turn > 0 THEN 0.5 ELSE 1.5 END AS start FROM b),
+q AS (SELECT vec_id, n, x, rate, start, floor(start + rate * n) > CASE WHEN n = 0 THEN 0 ELSE floor(start + rate * (n - 1)) END AS hit FROM x JOIN p USING (vec_id)),
+r AS (SELECT *, sum(hit::INT) OVER (PARTITION BY vec_id ORDER BY n) AS k FROM q)
+SELECT vec_id AS pdu_idx, count(*) FILTER (hit) AS n, {_r('sum(x) FILTER (hit)')} AS total, {_r('sum(x * k) FILTER (hit)')} AS weighted, {_r('any_value(rate)')} AS sps,
+  {_r('any_value(start) + any_value(rate) * 64 - count(*) FILTER (hit)')} AS phase, {_r('any_value(rate) * 64')} AS frequency FROM r GROUP BY 1""".replace("FROM g QUALIFY", "FROM (SELECT *, max(size) OVER (PARTITION BY vec_id) AS top FROM g) QUALIFY"))
 def wpcr(spark, d):
-    return bits.wpcr(bits.midpointer(embedding_pdus(spark, d)), 64.0)
+    out = bits.wpcr(bits.midpointer(embedding_pdus(spark, d)), 64.0)
+    total = F.aggregate("data", F.lit(0.0), lambda acc, x: acc + x)
+    weighted = F.aggregate(F.transform("data", lambda x, i: x * (i + 1)), F.lit(0.0), lambda acc, x: acc + x)
+    return out.select("pdu_idx", F.size("data").cast("long").alias("n"), total.alias("total"), weighted.alias("weighted"), "sps", "phase", "frequency")
 
 
 # Clocks.
 
 
-@query()
+def _runs(shift: int) -> str:
+    """x: the events less a constant; c: the places of sign changes and the ones before."""
+    return f"""{EV}, x AS (SELECT stream_id, pos, v - {shift} AS v FROM ev), h AS (SELECT *, v > 0 AS hi, lag(v > 0, 1, false) OVER (PARTITION BY stream_id ORDER BY pos) AS was FROM x),
+c AS (SELECT stream_id, pos, row_number() OVER w AS k, coalesce(lag(pos) OVER w, 0) AS prev FROM h WHERE hi <> was WINDOW w AS (PARTITION BY stream_id ORDER BY pos))"""
+
+
+@query(f"""WITH RECURSIVE {_runs(50)}, s AS (SELECT DISTINCT stream_id, 0::BIGINT AS k, -1::BIGINT AS lo, 0.0::DOUBLE AS m, 2.5::DOUBLE AS clock, 0.0::DOUBLE AS y, true AS fresh FROM x
+UNION ALL SELECT stream_id, k, CASE WHEN ok THEN pos ELSE lo END, CASE WHEN ok THEN mid + greatest(0, ceil((pos - mid) / c2)) * c2 ELSE m END, CASE WHEN ok THEN c2 ELSE clock END, CASE WHEN ok THEN y2 ELSE y END, ok
+FROM (SELECT *, prev + c2 / 2 AS mid FROM (SELECT *, 2.5 + y2 AS c2 FROM (SELECT *, least(greatest(0.5 * (g - 2.5) + 0.5 * y, -0.5), 0.5) AS y2, prev > 0 AND g > 2 * 0.8 AND g < 3 * 1.2 AS ok
+FROM (SELECT s.stream_id, c.k, c.pos, c.prev, s.lo, s.m, s.clock, s.y, c.pos - c.prev - greatest(0, least(ceil((c.pos - c.prev - 3) / s.clock), floor((c.pos - c.prev) / s.clock - 0.5))) * s.clock AS g FROM s JOIN c ON c.stream_id = s.stream_id AND c.k = s.k + 1))))),
+z AS (SELECT x.stream_id, x.pos, v, m, clock, lo, floor((x.pos - m) / clock) AS j FROM x ASOF JOIN (SELECT * FROM s WHERE fresh) g ON g.stream_id = x.stream_id AND x.pos > g.lo)
+SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY pos) - 1 AS pos, {_r('v')} AS v, {_r('clock')} AS clock FROM z
+WHERE (j >= 0 AND ceil(m + j * clock) = pos) OR (pos = lo + 1 AND ceil(m) <= lo)""")
 def symbol_sync(spark, d):
     return clock.symbol_sync(maps.add_const(ev(spark, d), -50.0), 2.5, 0.5)
 
 
-@query()
+@query(f"""WITH {_runs(50)}, g AS (SELECT stream_id, pos AS lo, pos::DOUBLE AS base FROM c UNION ALL SELECT DISTINCT stream_id, -1, 0.0 FROM x),
+z AS (SELECT x.stream_id, x.pos, v, base + 1.25 AS m, ceil((x.pos - base - 1.25) / 2.5) AS j FROM x ASOF JOIN g ON g.stream_id = x.stream_id AND x.pos > g.lo)
+SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY pos) - 1 AS pos, {_r('v')} AS v, 2.5::DOUBLE AS clock FROM z WHERE j >= 0 AND floor(m + j * 2.5) = pos""")
 def zero_crossing(spark, d):
     return clock.zero_crossing(maps.add_const(ev(spark, d), -50.0), 2.5)
 
@@ -561,11 +612,30 @@ def data_stream_roundtrip(spark, d):
     return datastream.decode(datastream.encode_data(names(spark, d), "names")).select("stream_id", "pdu_idx", "kind", "name", "payload")
 
 
-@query()
+_SYNC = [1, 1, 1, 0, 0, 1, 0, 1]
+_MATCH = " AND ".join(f"lag(v > 50, {7 - k}) OVER w = {bool(c)}" if k < 7 else f"(v > 50) = {bool(c)}" for k, c in enumerate(_SYNC))
+
+
+def _callsign(first: int, ssid: str) -> str:
+    chars = ", ".join(f"CASE WHEN h[{k}] & 63 > 0 THEN chr(((h[{k}] & 63) + 32)::INT) ELSE '' END" for k in range(first, first + 6))
+    return f"concat({chars}, '-', {ssid})"
+
+
+def _field(shift: int, first: int, last: int) -> str:
+    return "(" + " + ".join(f"(((h[{k + 1}] >> {shift}) & 1) << {last - k})" for k in range(first, last + 1)) + ")::INT"
+
+
+@query(f"""WITH RECURSIVE {LONG}, t AS (SELECT pos FROM long WINDOW w AS (ORDER BY pos) QUALIFY {_MATCH}),
+f AS (SELECT 0::BIGINT AS pdu_idx, min(pos) + 1 AS start FROM t HAVING min(pos) IS NOT NULL UNION ALL SELECT f.pdu_idx + 1, t.pos + 1 FROM f ASOF JOIN t ON t.pos >= f.start + 120),
+b AS (SELECT pdu_idx, pos - start AS i, (v > 50)::INT AS b FROM f JOIN long ON pos >= start AND pos < start + 120 QUALIFY count(*) OVER (PARTITION BY pdu_idx) = 120),
+p AS (SELECT pdu_idx, i, xor(b, CASE WHEN i < 9 THEN (496 >> i) & 1 ELSE 0 END, lag(b, 4, 0) OVER w, lag(b, 9, 0) OVER w) AS b FROM b WINDOW w AS (PARTITION BY pdu_idx ORDER BY i)),
+o AS (SELECT pdu_idx, i // 8 AS k, sum(b << (7 - i % 8)::INT)::BIGINT AS h FROM p GROUP BY 1, 2), hs AS (SELECT pdu_idx, list(h ORDER BY k) AS h FROM o GROUP BY 1)
+SELECT 'events' AS stream_id, pdu_idx, {_callsign(1, "h[13] >> 4")} AS dst, {_callsign(7, "h[13] & 15")} AS src, h[1] & 64 > 0 AS ui, h[1] & 128 > 0 AS fec, h[2] & 128 > 0 AS hdrtype1,
+  {_field(6, 1, 4)} AS pid, {_field(6, 5, 11)} AS control, {_field(7, 2, 11)} AS payload_size FROM hs""".replace("xor(b, CASE WHEN i < 9 THEN (496 >> i) & 1 ELSE 0 END, lag(b, 4, 0) OVER w, lag(b, 9, 0) OVER w)", "xor(xor(b, CASE WHEN i < 9 THEN (496 >> i::INT) & 1 ELSE 0 END), xor(lag(b, 4, 0) OVER w, lag(b, 9, 0) OVER w))"))
 def il2p_headers(spark, d):
-    """Headers behind three-bit sync patterns of the event bits (any 120 bits unpack to some header)."""
+    """Headers behind sync patterns of the event bits (any 120 bits unpack to some header)."""
     view = maps.map_values(long(spark, d), bit=(F.col("v") > 50).cast("tinyint"))
-    tagged = bits.correlate_access_code_tag(view, [1, 1, 1, 0, 0, 1, 0, 1], "sync")
+    tagged = bits.correlate_access_code_tag(view, _SYNC, "sync")
     return framing.il2p_deframer(tagged.df, tagged.tags)
 
 
@@ -578,7 +648,7 @@ def pwm_frames(spark, d):
 # Codecs and text.
 
 
-@query(f"WITH {OCTETS} SELECT stream_id, pos // 2 AS pos, {_r('max(CASE WHEN pos % 2 = 0 THEN (b - 127) * 0.008 END)')} AS re, {_r('max(CASE WHEN pos % 2 = 1 THEN (b - 127) * 0.008 END)')} AS im FROM octets GROUP BY 1, 2 HAVING count(*) = 2")
+@query(f"WITH {OCTETS} SELECT stream_id, pos // 2 AS pos, {_r('max(CASE WHEN pos % 2 = 0 THEN ((b - 127) * 0.008)::DOUBLE END)')} AS re, {_r('max(CASE WHEN pos % 2 = 1 THEN ((b - 127) * 0.008)::DOUBLE END)')} AS im FROM octets GROUP BY 1, 2 HAVING count(*) = 2")
 def rtlsdr_decode(spark, d):
     return codecs.rtlsdr_decode(octets(spark, d))
 

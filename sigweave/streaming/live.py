@@ -9,6 +9,7 @@ machine with the rows held back, and its size is bounded by the machine's own li
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -127,17 +128,102 @@ class Hdlc:
 
 
 class Clock:
+    """Picks between sign changes by arithmetic; only those move the clock."""
+
     def __init__(self, sps: float, max_deviation: float, taps=(0.5, 0.5)):
         from ..operators.clock import SymbolClock
 
-        self.own, self.n = SymbolClock(sps, max_deviation, taps), 0
+        self.own, self.grid, self.high, self.n = SymbolClock(sps, max_deviation, taps), (-1, 0.0, float(sps)), False, 0
 
     def feed(self, pos, v):
-        out = np.array([x for x in v.tolist() if self.own(x)], float)
+        from ..operators.clock import on_grid
+
+        v, pos = np.asarray(v, float), np.asarray(pos)
+        high = v > 0
+        changes = np.flatnonzero(high != np.concatenate([[self.high], high[:-1]]))
+        self.high = bool(high[-1])
+        picked, lo = np.zeros(len(v), bool), 0
+        for hi in [*changes.tolist(), len(v) - 1]:
+            picked[lo : hi + 1] = on_grid(pos[lo : hi + 1], *self.grid)
+            new = self.own(int(pos[hi])) if hi in changes else None
+            self.grid = (int(pos[hi]), *new) if new else self.grid
+            lo = hi + 1
+        first, self.n = self.n, self.n + int(picked.sum())
+        return {"pos": np.arange(first, self.n), "v": v[picked]}
+
+
+class Demod:
+    """Angle from each complex sample to the next."""
+
+    def __init__(self, gain: float):
+        self.gain, self.last, self.n = gain, np.zeros(0, complex), 0
+
+    def feed(self, pos, re, im):
+        z = np.concatenate([self.last, np.asarray(re) + 1j * np.asarray(im)])
+        self.last = z[-1:]
+        out = self.gain * np.angle(z[1:] * z[:-1].conj())
         first, self.n = self.n, self.n + len(out)
         return {"pos": np.arange(first, self.n), "v": out}
 
 
+class Resampler:
+    """Output j is the input at j * decimation div interpolation."""
+
+    def __init__(self, interpolation: int, decimation: int):
+        g = math.gcd(interpolation, decimation)
+        self.i, self.d, self.n = interpolation // g, decimation // g, 0
+
+    def feed(self, pos, v):
+        end = -(-(int(pos[-1]) + 1) * self.i // self.d)  # outputs whose input is here
+        j = np.arange(self.n, end)
+        self.n = max(self.n, end)
+        return {"pos": j, "v": np.asarray(v, float)[j * self.d // self.i - int(pos[0])]}
+
+
+class Packets:
+    """Samples while a trigger is above the threshold; longer bursts than ``max_size`` are dropped."""
+
+    def __init__(self, threshold: float, max_size: int):
+        self.threshold, self.max_size, self.held, self.size, self.start, self.n = threshold, max_size, [], 0, None, 0
+
+    def feed(self, pos, v, trigger):
+        pos, v = np.asarray(pos), np.asarray(v, float)
+        level = np.asarray(trigger) > self.threshold
+        was = np.concatenate([[self.start is not None], level[:-1]])
+        made = {"pdu_idx": [], "start_pos": [], "data": []}
+        lo = 0
+        for at in [*np.flatnonzero(level != was).tolist(), len(v)]:
+            if self.start is not None:
+                self.size += at - lo
+                self.held = [*self.held, v[lo:at]] if self.size <= self.max_size else []  # never more than max_size
+                if at < len(v):
+                    if self.size <= self.max_size:
+                        made["pdu_idx"].append(self.n)
+                        made["start_pos"].append(self.start)
+                        made["data"].append(np.concatenate(self.held).tolist())
+                        self.n += 1
+                    self.held, self.size, self.start = [], 0, None
+            elif at < len(v):
+                self.start = int(pos[at])
+            lo = at
+        return made
+
+
+class Kiss:
+    """Byte strings between C0 marks, marks left out; empty ones are skipped."""
+
+    def __init__(self):
+        self.rest, self.n, self.open = b"", 0, False
+
+    def feed(self, pos, b):
+        *parts, self.rest = (self.rest + np.asarray(b).astype(np.uint8).tobytes()).split(b"\xc0")
+        if parts and not self.open:
+            parts, self.open = parts[1:], True  # what comes before the first mark is no frame
+        frames = [f for f in parts if f]
+        first, self.n = self.n, self.n + len(frames)
+        return {"pdu_idx": list(range(first, self.n)), "data": frames}
+
+
 def single_pole_iir(df: DataFrame, alpha: float) -> DataFrame:
     return stateful(df, ("v",), lambda: SinglePole(alpha), "pos long, v double", ["pos", "v"])
 
@@ -162,6 +248,23 @@ def symbol_sync(df: DataFrame, sps: float, max_deviation: float, taps=(0.5, 0.5)
     return stateful(df, ("v",), lambda: Clock(sps, max_deviation, taps), "pos long, v double", ["pos", "v"])
 
 
+def quadrature_demod(df: DataFrame, gain: float = 1.0) -> DataFrame:
+    return stateful(df, ("re", "im"), lambda: Demod(gain), "pos long, v double", ["pos", "v"])
+
+
+def rational_resampler(df: DataFrame, interpolation: int, decimation: int) -> DataFrame:
+    return stateful(df, ("v",), lambda: Resampler(interpolation, decimation), "pos long, v double", ["pos", "v"])
+
+
+def stream_to_pdu(df: DataFrame, threshold: float, max_size: int) -> DataFrame:
+    """Bursts of ``v`` while the column ``trigger`` is above the threshold."""
+    return stateful(df, ("v", "trigger"), lambda: Packets(threshold, max_size), "pdu_idx long, start_pos long, data array<double>", ["pdu_idx", "start_pos", "data"])
+
+
+def kiss_frame(df: DataFrame) -> DataFrame:
+    return stateful(df, ("b",), Kiss, "pdu_idx long, data binary", ["pdu_idx", "data"])
+
+
 def strobe(spark: SparkSession, data: str, per_second: int = 1, stream_id: str = "strobe") -> DataFrame:
     """The same message at a fixed rate."""
     rate = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()

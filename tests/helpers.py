@@ -1,5 +1,6 @@
 """Small streams for tests, and comparison of query results with DuckDB."""
 
+import decimal
 import math
 
 import duckdb
@@ -29,7 +30,7 @@ def close(a, b, tolerance=1e-3):
 def normal(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return None
-    if isinstance(v, bool) or not isinstance(v, (int, float)):
+    if isinstance(v, bool) or not isinstance(v, (int, float, decimal.Decimal)):
         return str(v)
     return f"{float(v):.9g}"
 

@@ -1,6 +1,7 @@
-"""Golden vectors of the operators, and invariance under chunk size."""
+"""Golden vectors of the operators (inputs and outputs are fixed values), and invariance under chunk size."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -148,35 +149,33 @@ def test_hdlc_deframer(spark, text, low, high, keep, want):
     assert [bytes(r.data).hex() for r in got] == want
 
 
-def _slow_deframer(data, min_size, max_size):
-    """The bit-by-bit description of the deframer."""
-    out, shift, synced, ones, held, check = [], 0xFF, False, 0, [], False
-    for pos, bit in enumerate(data):
-        if not synced:
-            shift = shift >> 1 | bit << 7
-            if shift == 0x7E:
-                synced, ones, held, check = True, 0, [], False
-            continue
-        if check:
-            check = False
-            if bit or len(held) < 7:
-                synced, shift = False, 0xFF
-                continue
-            frame, held, ones = held[:-7], [], 0
-            if len(frame) % 8 == 0 and len(frame) // 8 >= min_size:
-                out.append((pos, np.packbits(np.array(frame, np.uint8), bitorder="little").tobytes()))
-            continue
-        if len(held) > max_size * 8:
-            synced, shift = False, 0xFF
-            continue
-        if bit:
-            held.append(1)
-            check = ones == 5
-            ones += 1
+FLAG = "01111110"
+
+
+def _between_flags(text, least, most):
+    """(place of the closing flag's last bit, bytes) of the frames in a text of bits.
+
+    A frame is what lies between two flags, zeros behind five ones left out, in whole bytes.
+    Six ones that are no flag, or more bits than a frame and six more may have, lose the
+    flag; then the search goes on for a whole new one.
+    """
+    out, flag = [], text.find(FLAG)
+    while flag >= 0:
+        start, ones = flag + len(FLAG), text.find("111111", flag + len(FLAG))
+        body = text[start : ones + 5 if ones >= 0 else len(text)]
+        stuffed = {m.end() - 1 for m in re.finditer("111110", body)}
+        kept = [i for i in range(len(body)) if i not in stuffed]
+        if len(kept) > 8 * most:
+            flag = text.find(FLAG, start + kept[8 * most] + 2)
+        elif ones < 0 or ones + 6 == len(text):
+            break
+        elif ones == start or text[ones + 6] == "1":
+            flag = text.find(FLAG, ones + 7)
         else:
-            if ones != 5:
-                held.append(0)
-            ones = 0
+            frame = "".join(body[i] for i in kept[:-6])
+            if len(frame) % 8 == 0 and len(frame) >= 8 * least:
+                out.append((ones + 6, bytes(int(frame[i : i + 8][::-1], 2) for i in range(0, len(frame), 8))))
+            flag = ones - 1
     return out
 
 
@@ -187,7 +186,7 @@ def test_deframer_like_its_description(parts, piece, max_size):
     own, got = framing.Deframer(1, max_size), []
     for i in range(0, len(data), piece):
         got += list(own.feed(bytes(data[i : i + piece])))
-    assert got == _slow_deframer(data, 1, max_size)
+    assert got == _between_flags("".join(parts), 1, max_size)
 
 
 def test_framer_and_checksums(spark):
@@ -257,8 +256,54 @@ def test_chunk_size_does_not_matter(spark, chunk):
     assert values(known, "y") == expected
 
 
-def test_symbol_sync_zeros(spark):
-    assert clock.symbol_sync(stream(spark, [0.0] * 10), 4, 0.5, (1.0,)).count() >= 2
+@pytest.mark.parametrize("n_taps", [20, 65, 300])
+@pytest.mark.parametrize("kind", ["real", "complex taps", "complex"])
+def test_long_filters(spark, n_taps, kind):
+    rng = np.random.RandomState(n_taps)
+    x = rng.randn(900) + (1j * rng.randn(900) if kind == "complex" else 0)
+    taps_ = rng.randn(n_taps) + (1j * rng.randn(n_taps) if kind != "real" else 0)
+    want = np.convolve(x, taps_)[:900]
+    got = values(filters.fft_filter(stream(spark, x), taps_, flush=True).df, *(("v",) if kind == "real" else ("re", "im")))
+    assert close(got, want, 1e-8)
+    chunked = filters._convolved(stream(spark, x), taps_, 0, n_taps - 1, chunk=100)
+    assert close(values(chunked, *(("v",) if kind == "real" else ("re", "im"))), want, 1e-8)
+
+
+def test_equalizer_keeps_tags(spark):
+    tags = spark.createDataFrame([("s", 1, "a"), ("s", 5, "b")], "stream_id string, pos long, key string").withColumn("val", tag_value("b", True))
+    out = filters.cma_equalizer(Stream(stream(spark, C6), tags), 2, 1.0, 0.001)
+    assert values(out.tags, "key") == ["a"] and out.df.count() == 5
+
+
+def test_symbol_sync(spark):
+    """Without sign changes the grid starts at 0; with them it is half a clock behind each, and the clock follows their distance."""
+    assert [(r.pos, r.clock) for r in clock.symbol_sync(stream(spark, [0.0] * 10), 4, 0.5, (1.0,)).orderBy("pos").collect()] == [(0, 4.0), (1, 4.0), (2, 4.0)]
+    x = [k + 0.5 if k // 5 % 2 else -k - 0.5 for k in range(60)]  # symbols of five samples
+    got = clock.symbol_sync(stream(spark, x), 4.8, 0.5, (1.0,)).orderBy("pos").collect()
+    assert [abs(r.v) for r in got[-8:]] == [k + 0.5 for k in range(23, 60, 5)] and got[-1].clock == 5.0
+    with pytest.raises(ValueError, match="more than one"):
+        clock.symbol_sync(stream(spark, x), 1, 0.5)
+
+
+def test_zero_crossing(spark):
+    x = [1.0 if k // 4 % 2 else -1.0 for k in range(24)]
+    x = [s * (k + 1) for k, s in enumerate(x)]
+    assert [abs(v) - 1 for v in values(clock.zero_crossing(stream(spark, x), 4), "v")] == [2, 6, 10, 14, 18, 22]
+
+
+def test_wpcr(spark):
+    """Symbols of four samples: one value of each, at a quarter of the rate."""
+    symbols = [1, -1, 1, 1, -1, -1, 1, -1, 1, -1, -1, 1, -1, 1, -1, 1]
+    pdus = spark.createDataFrame([("s", 0, [float(s) for s in symbols for _ in range(4)]), ("s", 1, [1.0] * 3)], "stream_id string, pdu_idx long, data array<double>")
+    (row,) = bits.wpcr(pdus, 100.0).collect()
+    assert row.pdu_idx == 0 and abs(row.sps - 0.25) < 0.01 and row.frequency == row.sps * 100
+    assert [int(v) for v in row.data][:14] in ([int(s) for s in symbols[:14]], [int(s) for s in symbols[1:15]])
+
+
+def test_stream_chunks_keep_tags(spark):
+    tags = spark.createDataFrame([("s", 1, "a"), ("s", 4, "b"), ("s", 6, "c")], "stream_id string, pos long, key string").withColumn("val", tag_value("b", True))
+    got = bits.stream_chunks(Stream(stream(spark, range(7)), tags), 3).orderBy("pdu_idx").collect()
+    assert [[(t.pos, t.key) for t in r.tags] for r in got] == [[(1, "a")], [(1, "b")]]
 
 
 def test_delay(spark):

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sigweave.operators import bits, filters, framing
+from sigweave.operators import bits, clock, filters, framing, position
 from sigweave.streaming import live
 
 from .helpers import close, stream, values
@@ -32,6 +32,25 @@ def test_live_filters(spark, tmp_path):
     assert close(values(got, "v"), values(filters.fir_filter(stream(spark, x), [0.5, 0.25, -1.0], 2).df, "v"), 1e-9)
 
 
+def test_live_twins_of_batch_operators(spark):
+    """The machines of live operators against the batch operators."""
+    x, y = np.random.RandomState(5).randn(2, 80)
+    pos, one = np.arange(80), stream(spark, x)
+    assert close(live.Clock(3.0, 0.5).feed(pos, x)["v"], values(clock.symbol_sync(one, 3.0, 0.5), "v"))
+    assert close(live.Demod(0.5).feed(pos, x, y)["v"], values(filters.quadrature_demod(stream(spark, x + 1j * y), 0.5), "v"))
+    assert close(live.Resampler(6, 4).feed(pos, x)["v"], values(position.rational_resampler(one, 6, 4), "v"))
+    tagged = bits.burst_tagger(one, stream(spark, y), 0.2)
+    packets = bits.stream_to_pdu(tagged, "burst", 5).orderBy("pdu_idx").collect()
+    got = live.Packets(0.2, 5).feed(pos, x, y)
+    assert got["start_pos"] == [r.start_pos for r in packets] and got["data"] == [r.data for r in packets]
+
+
+def test_live_kiss(spark, tmp_path):
+    data = b"junk\xc0one\xc0\xc0two\xc0tail"
+    got = _run(live.kiss_frame(_arrive(spark, stream(spark, data, "b"), f"{tmp_path}/in", 3, "b")), "live_kiss", tmp_path)
+    assert [bytes(r) for r in values(got, "data", order="pdu_idx")] == [b"one", b"two"]
+
+
 def test_live_frames(spark, tmp_path):
     pdus = spark.createDataFrame([("s", i, bytes([i] * 5)) for i in range(3)], "stream_id string, pdu_idx long, data binary")
     framed = framing.hdlc_framer(framing.fcs_adder(pdus), flags=2)
@@ -42,12 +61,19 @@ def test_live_frames(spark, tmp_path):
 
 
 def test_live_machines_in_pieces():
-    x = np.random.RandomState(3).randn(60)
-    for make in (lambda: live.SinglePole(0.3), lambda: live.Bursts(0.2), lambda: live.Clock(3.0, 0.5)):
+    x, y = np.random.RandomState(3).randn(2, 60)
+    marks = np.where(np.abs(x) < 0.3, 0xC0, 65)
+    for make, *columns in (
+        (lambda: live.SinglePole(0.3), x), (lambda: live.Bursts(0.2), x), (lambda: live.Clock(3.0, 0.5), x), (lambda: live.Demod(2.0), x, y),
+        (lambda: live.Resampler(3, 7), x), (lambda: live.Resampler(5, 2), x), (lambda: live.Packets(-0.5, 4), x, y), (lambda: live.Kiss(), marks),
+    ):
         whole, parts = make(), make()
         pos = np.arange(60)
-        a = whole.feed(pos, x)
-        b = [parts.feed(pos[i : i + 7], x[i : i + 7]) for i in range(0, 60, 7)]
+        a = whole.feed(pos, *columns)
+        b = [parts.feed(pos[i : i + 7], *(c[i : i + 7] for c in columns)) for i in range(0, 60, 7)]
+        if "data" in a:
+            assert all(list(a[k]) == [v for p in b for v in p[k]] for k in a) and a["data"]
+            continue
         for key in a:
             assert np.allclose(np.asarray(a[key], float), np.concatenate([np.asarray(p[key], float) for p in b]))
 
