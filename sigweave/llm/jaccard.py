@@ -434,19 +434,16 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows, member = _members(_usable(docs, doc_id, text), docs.schema[doc_id].dataType.simpleString(), threshold)
     best = member.groupBy("root").agg(F.min(F.struct(F.col("first_id").alias("doc_id"), "rid")).alias("best"))
-    # Rows of classes of two rows or more: whether a (doc_id, words) stays, and how often it is there.
-    fate = rows.join(member.select("rid", "root"), "rid").groupBy("doc_id", "rid", "root").agg(F.count("*").alias("same"))
     stays = (F.col("doc_id") == F.col("best.doc_id")) & (F.col("rid") == F.col("best.rid"))
-    fate = written(fate.join(best, "root").select("doc_id", "rid", "same", stays.alias("stays")), "jaccard-fate")
-    key, digest, same, keep = fresh(docs.columns, "_key", "_digest", "_same", "_keep")
-    fate = fate.select(F.col("doc_id").alias(key), F.col("rid").alias(digest), F.col("same").alias(same), F.col("stays").alias(keep))
-    named = docs.withColumns({key: F.col(doc_id), digest: word_digest(F.col(text))})
-    marked = named.join(fate, [key, digest], "left")  # null ids and texts meet nothing and stay
-    single = marked.filter(F.col(keep).isNull() | (F.col(keep) & (F.col(same) == 1))).select(*docs.columns)
-    many = named.join(fate.filter(F.col(keep) & (F.col(same) > 1)), [key, digest])
+    others = rows.join(member.select("rid", "root"), "rid").join(best, "root").filter(~stays).select("doc_id", "rid").distinct()
+    key, digest = fresh(docs.columns, "_key", "_digest")
+    others = written(others.select(F.col("doc_id").alias(key), F.col("rid").alias(digest)), "jaccard-others")
     order = F.xxhash64(*(F.to_json(c) if _is_map(docs, c) else F.col(c) for c in docs.columns))
-    many = many.groupBy(key, digest).agg(F.min_by(F.struct(*docs.columns), order).alias("r")).select("r.*")
-    return single.unionByName(many)
+    named = docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
+    named = named.groupBy(F.col(doc_id).alias(key), word_digest(F.col(text)).alias(digest)).agg(F.min_by(F.struct(*docs.columns), order).alias("r"))
+    # The grouping has dealt the documents by the keys of this join, so only the other side moves.
+    kept = named.join(others, [key, digest], "left_anti").select("r.*")
+    return kept.unionByName(docs.filter(F.col(doc_id).isNull() | F.col(text).isNull()))
 
 
 def _is_map(docs: DataFrame, column: str) -> bool:
