@@ -10,7 +10,7 @@ scored in one narrow Arrow stage.
 
 Defined cases: a null or empty text scores as the model's bias; a null doc_id is not held
 out and never learned from; labels without a value are ignored; of several labels of one
-doc_id the largest counts; without any labels every score is 0.  Extra columns pass
+doc_id the largest counts, of several texts of one doc_id one is learned (by its hash); without any labels, or with one class only, every score is next to 0 or 1.  Extra columns pass
 through if named in ``keep``.
 """
 
@@ -81,26 +81,23 @@ def _entries(texts: list[bytes], least: int):
             pair, inverse = np.unique(text << BITS | bucket, return_inverse=True)
             yield lo, hi, pair, (np.bincount(inverse, weight) * SCALE).astype(np.float32)
 
-    often = np.zeros(1 << BITS, np.int64)
+    often, total = np.zeros(1 << BITS, np.int64), 0
     for _, _, pair, _ in merged():
         often += np.bincount(pair & ((1 << BITS) - 1), minlength=1 << BITS)
+        total += len(pair)
     keep = often >= least
     used = np.flatnonzero(keep)
     rank = np.cumsum(keep, dtype=np.int32) - 1
-    parts, count = [], np.zeros(len(texts), np.int64)
+    count, at = np.zeros(len(texts), np.int64), 0
+    entry, value = np.empty(total, np.int32), np.empty(total, np.float32)  # only the part that is filled takes memory
     for lo, hi, pair, weight in merged():
         bucket = pair & ((1 << BITS) - 1)
         own = keep[bucket]
         count[lo:hi] += np.bincount((pair >> BITS)[own], minlength=hi - lo)
-        parts.append((rank[bucket[own]], weight[own]))
-    first = np.concatenate([[0], np.cumsum(count)])
-    bucket, weight = np.empty(first[-1], np.int32), np.empty(first[-1], np.float32)
-    at = 0
-    while parts:
-        b, w = parts.pop(0)
-        bucket[at : at + len(b)], weight[at : at + len(b)] = b, w
-        at += len(b)
-    return used, bucket, weight, first
+        n = int(own.sum())
+        entry[at : at + n], value[at : at + n] = rank[bucket[own]], weight[own]
+        at += n
+    return used, entry[:at], value[:at], np.concatenate([[0], np.cumsum(count)])
 
 
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, least_texts: int = LEAST_TEXTS, seed: int = 1) -> Model:
@@ -157,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_ROWS, size: int = MA
         part = drawn(known.filter(F.col("toxic") == value), rows, many.get(value, 0))
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.filter(F.col("text").isNotNull() & (F.octet_length("text") <= size) & ~held_out()).select("doc_id", "text")
-    got = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()  # at most 2 * rows rows
+    own = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = own.orderBy("doc_id").toArrow()  # at most 2 * rows rows
     labels_drawn = got.column("toxic").to_numpy().astype(np.int64)
     model = train(lowered(got.column("text").combine_chunks()), labels_drawn)
     if len(labels_drawn) and 0 < labels_drawn.mean() < 1 and 0 < share < 1:
