@@ -1,4 +1,4 @@
-"""Numbers with unit suffixes, as Column expressions and plain functions."""
+"""Numbers with unit suffixes, as Column expressions and plain functions, and log levels."""
 
 from __future__ import annotations
 
@@ -16,6 +16,17 @@ def parse_frequency(text: str) -> float:
     return float(plain.removesuffix(suffix) if suffix else plain) * FACTORS[suffix]
 
 
+# Log levels in order.
+LEVELS = ("error", "warn", "info", "debug", "trace")
+
+
+def parse_verbosity(text: str) -> int:
+    """0 for error to 4 for trace."""
+    if text.lower() not in LEVELS:
+        raise ValueError(f"no log level: {text!r}; valid values are {', '.join(LEVELS)}")
+    return LEVELS.index(text.lower())
+
+
 def frequency(text: Column) -> Column:
     """The same over a string column; null for other texts."""
     plain = F.lower(F.replace(F.trim(text), F.lit("_"), F.lit("")))

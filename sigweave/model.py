@@ -12,6 +12,7 @@ the rows of a stream through a state machine with bounded memory.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -25,6 +26,8 @@ KEY = ("stream_id", "pos")
 TAG_VALUE = "struct<s:string,f:double,b:boolean,u:decimal(20,0),i:bigint>"
 #: Positions per chunk; a window over one chunk is one small sort.
 CHUNK = 1 << 16
+#: More earlier chunks than this are scanned instead of collected by each chunk.
+NEAR_CHUNKS = 64
 
 
 def tag_value(kind: str, value) -> Column:
@@ -68,6 +71,21 @@ def zip_streams(a: DataFrame, b: DataFrame, suffix: str = "_2") -> DataFrame:
     return a.join(b, list(KEY))
 
 
+def shared_root(spark) -> str:
+    """spark.checkpoint.dir; without it a local session uses /tmp, and a cluster is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (root or "file:///tmp/sigweave-shared").rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a step of a chain to the shared folder and read it back, so that scans behind it don't compute it again for each phase."""
+    path = f"{shared_root(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def halo(df: DataFrame, left: int = 0, right: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Rows with ``_chunk``, neighbours copied: each chunk sees ``left`` rows before and ``right`` rows behind it.
 
@@ -133,8 +151,8 @@ def last_known(df: DataFrame, column: Column, name: str, first, chunk: int = CHU
 def affine_scan(df: DataFrame, decay: float, columns: dict[str, Column], chunk: int = 4096) -> DataFrame:
     """y[n] = x[n] + decay * y[n - 1] along each stream, for every (name, x) of ``columns``.
 
-    Each chunk is one array row, scanned from zero with numpy; the carries of chunks form
-    a short scan of the same kind, and come back by a join.
+    Each chunk is one array row, scanned from zero with numpy; the ends of chunks form a
+    stream of the same kind, and its scan comes back by a join.
     """
     names = list(columns)
     xs = df.withColumns({f"_x{i}": c.cast("double") for i, c in enumerate(columns.values())})
@@ -142,16 +160,9 @@ def affine_scan(df: DataFrame, decay: float, columns: dict[str, Column], chunk:
         F.array_sort(F.collect_list(F.struct("pos", *(c for c in xs.columns if c not in KEY)))).alias("_rows")
     )
     local = packed.withColumns({f"_y{i}": _scan_udf(decay)(F.col(f"_rows._x{i}")) for i in range(len(names))})
-    carry = local.select("stream_id", "_chunk", F.size("_rows").alias("_n"), *(F.element_at(f"_y{i}", -1).alias(f"_e{i}") for i in range(len(names))))
-    w = Window.partitionBy("stream_id").orderBy("_chunk")
-    # All chunks but a stream's last are full, so the carry into chunk c is a sum of decay^(chunk * steps) * end.
-    power = decay**chunk
-    before = w.rowsBetween(-_steps(power), -1)
-    ends = {f"_c{i}": F.collect_list(f"_e{i}").over(before) for i in range(len(names))}
-    carry = carry.select("stream_id", "_chunk", *(
-        F.aggregate(c, F.lit(0.0), lambda acc, e: acc * F.lit(power) + e).alias(n) for n, c in ends.items()
-    ))
-    joined = local.join(carry, ["stream_id", "_chunk"])
+    ends = local.select("stream_id", "_chunk", *(F.element_at(f"_y{i}", -1).alias(f"_e{i}") for i in range(len(names))))
+    # All chunks but a stream's last are full, so the carry into a chunk is the same recurrence over the ends before it.
+    joined = local.join(_carries(ends, decay**chunk, len(names), chunk), ["stream_id", "_chunk"])
     rows = joined.select("stream_id", *(f"_c{i}" for i in range(len(names))), F.explode(F.arrays_zip("_rows", *(f"_y{i}" for i in range(len(names))))).alias("_z"))
     place = F.pmod("_z._rows.pos", F.lit(chunk)) + 1
     kept = [F.col(f"_z._rows.{c}").alias(c) for c in df.columns if c != "stream_id" and c not in names]
@@ -159,6 +170,31 @@ def affine_scan(df: DataFrame, decay: float, columns: dict[str, Column], chunk:
     return rows.select("stream_id", *kept, *made)
 
 
+def _carries(ends: DataFrame, power: float, n: int, chunk: int) -> DataFrame:
+    """(stream_id, _chunk, _c0 ...): what earlier chunks leave to each chunk.
+
+    While few of them reach a chunk's last bit, a window over those; else a scan of the ends themselves.
+    """
+    steps = _steps(power)
+    if steps > NEAR_CHUNKS and chunk > 1 and power != 0:
+        stream = ends.withColumnRenamed("_chunk", "pos")
+        scanned = affine_scan(stream, power, {f"_e{i}": F.col(f"_e{i}") for i in range(n)}, max(chunk, 64)) if power < 1 else _sums(stream, n)
+        before = scanned.select("stream_id", (F.col("pos") + 1).alias("_chunk"), *(F.col(f"_e{i}").alias(f"_c{i}") for i in range(n)))
+        out = ends.select("stream_id", "_chunk").join(before, ["stream_id", "_chunk"], "left")
+        return out.select("stream_id", "_chunk", *(F.coalesce(f"_c{i}", F.lit(0.0)).alias(f"_c{i}") for i in range(n)))
+    before = Window.partitionBy("stream_id").orderBy("_chunk").rowsBetween(-steps, -1)
+    lists = {f"_c{i}": F.collect_list(f"_e{i}").over(before) for i in range(n)}
+    return ends.select("stream_id", "_chunk", *(
+        F.aggregate(c, F.lit(0.0), lambda acc, e: acc * F.lit(power) + e).alias(name) for name, c in lists.items()
+    ))
+
+
+def _sums(stream: DataFrame, n: int) -> DataFrame:
+    """Without decay the ends are summed up."""
+    upto = Window.partitionBy("stream_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return stream.select(*KEY, *(F.sum(f"_e{i}").over(upto).alias(f"_e{i}") for i in range(n)))
+
+
 def _steps(power: float) -> int:
     """Chunks before which carries no longer reach the last bit of a double."""
     power = abs(power)

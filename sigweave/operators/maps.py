@@ -15,6 +15,24 @@ def map_values(df: DataFrame, **columns: Column) -> DataFrame:
     return checked(df).select(*KEY, *(c.alias(n) for n, c in columns.items()))
 
 
+def map_function(df: DataFrame, f: Callable, column: str = "v", kind: str = "double") -> DataFrame:
+    """Replace all values by a function of one column, from a numpy array to one of equal length, in Arrow batches."""
+
+    def run(x):
+        return x.__class__(f(x.to_numpy()))
+
+    return map_values(df, **{column: F.pandas_udf(run, kind)(F.col(column))})
+
+
+def flat_map_function(pdus: DataFrame, f: Callable, column: str = "data", kind: str = "array<double>") -> DataFrame:
+    """``flat_map`` by a function of a packet that returns a list of packets of type ``kind``."""
+
+    def run(packets):
+        return packets.map(lambda x: list(f(x)))
+
+    return flat_map(pdus, column, F.pandas_udf(run, f"array<{kind}>")(F.col(column)))
+
+
 def map_with_tags(stream: Stream, columns: dict[str, Column], tags: Callable[[DataFrame], DataFrame] | None = None) -> Stream:
     """Map samples, and tags by a function of the tag table."""
     made = stream.tags if stream.tags is None or tags is None else tags(stream.tags)

@@ -71,3 +71,8 @@ def hasher(df: DataFrame, algorithm: str = "sha512") -> DataFrame:
         return step
 
     return sequential(df.select(*KEY, "b"), ("b",), machine, "pdu_idx long, data binary")
+
+
+def check_hash(df: DataFrame, expected: str, algorithm: str = "sha512") -> DataFrame:
+    """(stream_id, matches) of each byte stream against a digest in hexadecimal."""
+    return hasher(df, algorithm).select("stream_id", (F.lower(F.hex("data")) == expected.lower()).alias("matches"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import taps
 from .functions.parsing import frequency
-from .model import Stream, zip_streams
+from .model import Stream, shared_root, stored, zip_streams
 from .operators import bits, clock, filters, framing, maps, position, pwm, spectrum
 from .sources import codecs, datastream, sinks, synthetic
 
@@ -160,6 +160,18 @@ def flat_map(spark, d):
     return maps.flat_map(pdus, "data", F.when(x > 80, F.array(x, x + 1)).when(x > 20, F.array(x)).otherwise(F.array().cast("array<double>")))
 
 
+@query(f"WITH {EV} SELECT stream_id, pos, {_r('v * 2 + 1')} AS v FROM ev")
+def map_by_function(spark, d):
+    return maps.map_function(ev(spark, d), lambda x: x * 2 + 1)
+
+
+@query(f"""WITH {EV} SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY pos, k) - 1 AS pdu_idx, {_r('v + k')} AS data
+FROM (SELECT stream_id, pos, v, unnest(range(0, CASE WHEN v > 80 THEN 2 WHEN v > 20 THEN 1 ELSE 0 END)) AS k FROM ev)""")
+def flat_map_by_function(spark, d):
+    pdus = ev(spark, d).withColumnsRenamed({"pos": "pdu_idx", "v": "data"})
+    return maps.flat_map_function(pdus, lambda x: [x, x + 1] if x > 80 else [x] if x > 20 else [], kind="double")
+
+
 @query(f"WITH {EV}, p AS (SELECT stream_id, pos, sum(0.01 * v) OVER (PARTITION BY stream_id ORDER BY pos) AS f FROM ev) SELECT stream_id, pos, {_r('sin(f)')} AS re, {_r('cos(f)')} AS im FROM p")
 def vco(spark, d):
     return maps.vco(ev(spark, d), 0.01)
@@ -245,6 +257,13 @@ def iir_long_scan(spark, d):
     return filters.single_pole_iir(long(spark, d), 0.3)
 
 
+@query(f"""WITH {LONG}, y AS (SELECT stream_id, pos, v, pow(0.9999::DOUBLE, pos) AS d FROM long)
+SELECT stream_id, pos, {_r('0.0001 * d * sum(v / d) OVER (ORDER BY pos)')} AS v FROM y""")
+def iir_slow_scan(spark, d):
+    """A pole near 1, whose carries reach far back."""
+    return filters.single_pole_iir(long(spark, d), 0.0001)
+
+
 @query(f"""WITH RECURSIVE {IQ}, y AS (SELECT stream_id, pos, 0.1 * re AS mr, 0.1 * im AS mi FROM iq WHERE pos = 0
 UNION ALL SELECT e.stream_id, e.pos, 0.1 * e.re + 0.9 * y.mr, 0.1 * e.im + 0.9 * y.mi FROM y JOIN iq e ON e.stream_id = y.stream_id AND e.pos = y.pos + 1)
 SELECT iq.stream_id, iq.pos, {_r('re - mr')} AS re, {_r('im - mi')} AS im FROM iq JOIN y USING (stream_id, pos)""")
@@ -688,8 +707,7 @@ def raw_file_roundtrip(spark, d):
 
     from .sources import files
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/sigweave-shared"
-    path = f"{root.rstrip('/')}/raw-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/raw-{uuid.uuid4().hex}"
     files.write_raw(long(spark, d), path, "float")
     parts = files.read_raw(spark, path, "float")
     sizes = parts.groupBy("stream_id").agg(F.count("*").alias("n"))
@@ -698,6 +716,21 @@ def raw_file_roundtrip(spark, d):
     return parts.join(F.broadcast(offset), "stream_id").select(F.lit("events").alias("stream_id"), (F.col("pos") + F.col("at")).alias("pos"), "v")
 
 
+# A modem from end to end: packets are framed, line-coded, frequency-modulated, demodulated, clocked, decoded and checked.
+
+
+@query(f"WITH {NAMES} SELECT stream_id, pdu_idx, hex(data) AS data FROM names")
+def modem_loop(spark, d):
+    """Each scan reads its input more than once, so the chain is stored between them."""
+    sent = stored(bits.pdu_to_stream(framing.hdlc_framer(framing.fcs_adder(names(spark, d)), flags=8), value="bit").df)
+    line = position.rational_resampler(stored(bits.nrzi_encode(sent)), 4, 1)
+    air = maps.vco(maps.map_values(line, v=F.col("bit") * 2.0 - 1), 0.5)
+    heard = filters.fir_filter(stored(filters.quadrature_demod(air, 2.0)), [0.25, 0.5, 0.25]).df
+    symbols = stored(clock.symbol_sync(stored(heard), 4.0, 0.5))
+    received = bits.nrzi_decode(maps.binary_slicer(symbols.select("stream_id", "pos", "v")))
+    return framing.hdlc_deframer(received, 3, 1000).select("stream_id", "pdu_idx", "data")
+
+
 # The flagship: power of complex samples, smoothed, burst-tagged and cut into packets.
 
 

@@ -10,9 +10,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sigweave.functions import taps
-from sigweave.functions.parsing import parse_frequency
+from sigweave.functions.parsing import parse_frequency, parse_verbosity
 from sigweave.model import Stream, affine_scan, last_known, running_sum, tag_value
-from sigweave.operators import bits, clock, filters, framing, maps, position, pwm
+from sigweave.operators import bits, clock, filters, framing, maps, position, pwm, spectrum
 from sigweave.sources import codecs, datastream, files, sinks, synthetic
 
 from .helpers import close, stream, values
@@ -256,6 +256,31 @@ def test_chunk_size_does_not_matter(spark, chunk):
     assert values(known, "y") == expected
 
 
+@pytest.mark.parametrize("decay", [1.0, 0.999999, 0.99])
+def test_far_carries(spark, decay):
+    """Carries over many chunks, scanned level by level."""
+    x = np.random.RandomState(4).randn(700)
+    y, want = 0.0, []
+    for v in x:
+        y = v + decay * y
+        want.append(y)
+    assert close(values(affine_scan(stream(spark, x), decay, {"v": F.col("v")}, 3), "v"), want, 1e-8)
+
+
+def test_parse_verbosity():
+    assert [parse_verbosity(x) for x in ("error", "WARN", "info", "debug", "Trace")] == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError, match="valid values are error, warn"):
+        parse_verbosity("loud")
+
+
+def test_check_hash(spark):
+    import hashlib
+
+    df = stream(spark, b"some bytes", "b")
+    assert spectrum.check_hash(df, hashlib.sha512(b"some bytes").hexdigest()).first().matches
+    assert not spectrum.check_hash(df, hashlib.sha512(b"other").hexdigest()).first().matches
+
+
 @pytest.mark.parametrize("n_taps", [20, 65, 300])
 @pytest.mark.parametrize("kind", ["real", "complex taps", "complex"])
 def test_long_filters(spark, n_taps, kind):
