@@ -283,6 +283,32 @@ def test_pipeline(spark, sf_dir):
     assert not any(brute.base_spans(t) for t in texts)
 
 
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, clashing names, ties and empty tables pass every stage."""
+    passage = " ".join(f"item{i}" for i in range(30))
+    rows = [
+        (1, None, 3, "a", "x"), (None, "a text without an id", None, None, None), (2, "", 0, "b", "y"), (3, "mail a@b.cd " + "w " * 30, 5, "c", "z"),
+        (3, "mail a@b.cd " + "w " * 30, 5, "c", "z"), (4, passage, 1, "d", "q"), (5, "other words " * 9, 1, None, "q"), (5, "not the words of the other row", 1, "e", None),
+    ]
+    schema = "doc_id long, text string, n_chars int, _key string, rid string"
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (5, 1, 0), (None, 1, 1), (9, 1, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, passage), (None, None)], "item_id long, text string")
+    for k, (d, l, b) in enumerate([(docs, labels, bench), (docs, labels.limit(0), bench.limit(0)), (docs.limit(0), labels, bench)]):
+        for name, df in (("documents", d), ("labels", l), ("benchmark", b)):
+            df.coalesce(1).write.parquet(f"{tmp_path}/{k}/{name}.parquet")
+        sf = f"file://{tmp_path}/{k}"
+        kept = spark.read.parquet(f"{sf}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[1:-1] if k == 0 else corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, sf)
+            assert kept.columns == docs.columns, name
+        got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+        last = [] if k == 2 else [(5, rows[6][1]), (5, rows[7][1])]
+        clean = [(1, None), (2, ""), (3, "mail <email> " + "w " * 30), (None, rows[1][1]), *last] + ([(4, passage)] if k == 1 else [])
+        assert got == sorted([] if k == 2 else clean, key=str)
+        assert corpus_pipeline.run(spark, sf).columns == packing.pack(docs).columns
+
+
 def toxic_free(spark, docs, sf_dir):
     return corpus_pipeline.drop_toxic(spark, docs, sf_dir).collect()
 
