@@ -109,7 +109,7 @@ def test_toxicity_on_held_out_rows(spark):
     marked = toxicity.score(docs.join(labels, "doc_id").filter(toxicity.held_out()), model, keep=("doc_id", "toxic", "n_chars")).toPandas()
     caught = marked[marked.toxic == 1].predicted.mean()
     false = marked[marked.toxic == 0].predicted.mean()
-    assert caught > 0.65 and false < 0.08  # with about 330 toxic texts to learn from
+    assert caught > 0.7 and false < 0.05  # with about 330 toxic texts to learn from
     order = np.argsort(np.argsort(marked.score.to_numpy()))
     toxic = marked.toxic.to_numpy() == 1
     assert (order[toxic].mean() - (toxic.sum() - 1) / 2) / (~toxic).sum() > 0.9
@@ -121,8 +121,8 @@ def test_toxicity_learns_from_few_texts(spark):
     marked = toxicity.score(docs.join(labels, "doc_id").filter(toxicity.held_out()), model, keep=("doc_id", "toxic")).toPandas()
     toxic = marked.toxic.to_numpy() == 1
     order = np.argsort(np.argsort(marked.score.to_numpy()))
-    assert (order[toxic].mean() - (toxic.sum() - 1) / 2) / (~toxic).sum() > 0.6  # with 37 toxic texts to learn from
-    assert marked[toxic].predicted.sum() > 0 and marked[~toxic].predicted.mean() < 0.08
+    assert (order[toxic].mean() - (toxic.sum() - 1) / 2) / (~toxic).sum() > 0.7  # with 37 toxic texts to learn from
+    assert marked[toxic].predicted.mean() > 0.5 and marked[~toxic].predicted.mean() < 0.08
 
 
 def test_toxicity_edge_cases(spark):
