@@ -153,8 +153,32 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h USING (rid) LEFT JOIN s USING (rid)
 """
 
+#: Whole self-join on shingles; links are followed to the end.
+OP9_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, regexp_extract_all(text, '{_WS}') AS w FROM documents
+), c AS (
+  SELECT row_number() OVER () AS k, w, min(doc_id) AS least_id, count(*) AS n_copies
+  FROM d WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY w
+), g AS (
+  SELECT DISTINCT k, array_to_string(w[i:i + 4], ' ') AS gram
+  FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM c WHERE len(w) > 0)
+), s AS (SELECT k, count(*) AS n FROM g GROUP BY k), p AS (
+  SELECT a.k AS x, b.k AS y, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.k < b.k GROUP BY a.k, b.k
+), e AS (
+  SELECT x, y FROM p JOIN s a ON a.k = x JOIN s b ON b.k = y WHERE 5 * p.n >= 4 * (a.n + b.n - p.n)
+), l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e), r AS (
+  SELECT k, k AS z FROM c UNION SELECT r.k, l.y FROM r JOIN l ON l.x = r.z
+), m AS (SELECT r.k, min(least_id) AS class_id FROM r JOIN c ON c.k = r.z GROUP BY r.k),
+n AS (SELECT x AS k, count(*) AS n_links FROM l GROUP BY x)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies
+FROM d LEFT JOIN c ON d.doc_id IS NOT NULL AND d.text IS NOT NULL AND d.w = c.w
+LEFT JOIN m ON m.k = c.k LEFT JOIN n ON n.k = c.k
+"""
+
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
     "op3_warc_revisits": OP3_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
+    "op9_ngram_jaccard_join": OP9_SQL,
 }

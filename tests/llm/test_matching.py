@@ -2,10 +2,11 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
-from sigweave.llm import bitmap, components, decontam, jaccard, licenses, textbytes
+from sigweave.llm import bitmap, components, decontam, jaccard, licenses, queries, textbytes
 
 from . import brute
 
@@ -103,6 +104,15 @@ def test_jaccard_classes(spark, tile, monkeypatch):
     assert got == sorted(((rows[i][0], *w) for i, w in want.items()), key=str)
 
 
+def test_jaccard_sql():
+    rows = _copies()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = con.execute(queries.OP9_SQL).fetchall()
+    assert sorted(got, key=str) == sorted(((rows[i][0], *w) for i, w in brute.jaccard_classes(rows).items()), key=str)
+
+
 def test_representatives(spark):
     """One row of each class stays, with clashing, null and repeated ids: the row of least (doc_id, digest of words)."""
     import hashlib
