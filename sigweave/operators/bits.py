@@ -44,27 +44,51 @@ def descrambler(df: DataFrame, mask: int = 0x21, seed: int = 0, length: int = 16
     return windowed(df, reach, 0, columns)
 
 
-def scrambler_g3ruh(df: DataFrame) -> DataFrame:
+def _scrambled(register: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The 17 bits of the register and those that follow them: s[n] = x[n] xor s[n - 12] xor s[n - 17]."""
+    s = np.concatenate([register, bits]).astype(np.int8)
+    for n in range(17, len(s), 12):  # the nearest tap is 12 back, so 12 bits are known at a time
+        part = s[n : n + 12]
+        part ^= s[n - 12 : n - 12 + len(part)] ^ s[n - 17 : n - 17 + len(part)]
+    return s
+
+
+def scrambler_g3ruh(df: DataFrame, chunk: int = 4096) -> DataFrame:
     """Self-synchronising scrambler of 17 bits with taps 12 and 17; output is 17 bits late.
 
-    s[n] = x[n] xor s[n - 12] xor s[n - 17] is a linear recurrence over bits.
+    The recurrence is linear over bits: chunks run from a register of zeros, one machine per
+    stream adds up only the registers at their ends, and chunks run again from what came before.
     """
+    places = 1 << np.arange(17)
+    chunks = df.groupBy("stream_id", F.floor(F.col("pos") / chunk).alias("_chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "bit"))).alias("_rows")
+    ).select("stream_id", "_chunk", F.col("_rows.pos").alias("_pos"), F.col("_rows.bit").alias("_bits"))
 
-    def machine():
-        state = {"reg": np.zeros(17, np.int8), "pos": 0}
+    def left(column):
+        return pd.Series([int(_scrambled(np.zeros(17), bits)[-17:] @ places) for bits in column], dtype="int64")
 
-        def step(bit, end):
-            s = np.concatenate([state["reg"], bit.astype(np.int8)])
-            for n in range(17, len(s), 12):  # the nearest tap is 12 back, so 12 bits are known at a time
-                part = s[n : n + 12]
-                part ^= s[n - 12 : n - 12 + len(part)] ^ s[n - 17 : n - 17 + len(part)]
-            state["reg"] = s[-17:]
-            first, state["pos"] = state["pos"], state["pos"] + len(bit)
-            return {"pos": np.arange(first, state["pos"]), "bit": s[: len(bit)]}
+    def run(column, registers):
+        return pd.Series([_scrambled(r >> np.arange(17) & 1, bits)[: len(bits)] for bits, r in zip(column, registers, strict=True)])
+
+    def machine():
+        moved = [int(_scrambled(places == p, np.zeros(chunk))[-17:] @ places) for p in places]
+        state = {"register": 0}
+
+        def step(pos, own, end):
+            before = []
+            for register in own.tolist():
+                before.append(state["register"])
+                for k in range(17):
+                    register ^= moved[k] if before[-1] >> k & 1 else 0
+                state["register"] = register
+            return {"pos": pos.astype(np.int64), "before": np.array(before, np.int64)}
 
         return step
 
-    return sequential(df, ("bit",), machine, "pos long, bit byte")
+    ends = chunks.select("stream_id", F.col("_chunk").alias("pos"), F.pandas_udf(left, "long")("_bits").alias("own"))
+    carried = sequential(ends, ("pos", "own"), machine, "pos long, before long").withColumnRenamed("pos", "_chunk")
+    whole = chunks.join(carried, ["stream_id", "_chunk"]).withColumn("_s", F.pandas_udf(run, "array<tinyint>")("_bits", "before"))
+    return whole.select("stream_id", F.inline(F.arrays_zip("_pos", "_s"))).toDF("stream_id", "pos", "bit")
 
 
 def _distance(code: list[int], w: Window) -> Column:

@@ -95,6 +95,20 @@ def test_bit_codes(spark):
     assert values(bits.scrambler_g3ruh(stream(spark, ones, "bit")), "bit")[17:] == [1] * 12 + [0] * 5 + [1] * 7
 
 
+@pytest.mark.parametrize("chunk", [5, 17, 64, 4096])
+def test_scrambler_in_chunks(spark, chunk):
+    data = np.random.RandomState(chunk).randint(0, 2, (3, 500))
+    df = stream(spark, data[0], "bit", "a").union(stream(spark, data[1], "bit", "b")).union(stream(spark, data[2][:1], "bit", "c"))
+    got = bits.scrambler_g3ruh(df, chunk)
+    assert got.dtypes == df.dtypes
+    for name, x in zip("abc", [data[0], data[1], data[2][:1]], strict=True):
+        s = [0] * 17
+        for bit in x:
+            s.append(int(bit) ^ s[-12] ^ s[-17])
+        assert values(got.filter(got.stream_id == name), "bit") == s[: len(x)]
+    assert bits.scrambler_g3ruh(df.filter("pos < 0"), chunk).count() == 0
+
+
 def test_burst_tagger(spark):
     trigger = stream(spark, [0.1] * 80 + [0.3] * 10 + [0.2] * 10)
     got = bits.burst_tagger(stream(spark, range(100)), trigger, 0.25).tags.orderBy("pos").collect()
