@@ -133,10 +133,13 @@ def bursts(tags: DataFrame, key: str, tail: int = 0) -> DataFrame:
 
     A burst ends at its false tag plus ``tail``; tags inside a burst's tail and repeated
     starts are ignored; start and end at one position give an empty burst if tail is 0.
-    Runs over the sparse tags only, one small group per stream.
+    Runs over the sparse tags only: by window functions, or by a state machine where tails
+    hide tags.
     """
     own = tags.filter(F.col("key") == key).select("stream_id", "pos", F.col("val.b").alias("on"))
     own = own.filter(F.col("on").isNotNull())
+    if tail == 0:
+        return _bursts_without_tail(own)
 
     def machine():
         state = {"start": None, "busy": -1, "n": 0}
@@ -163,6 +166,18 @@ def bursts(tags: DataFrame, key: str, tail: int = 0) -> DataFrame:
     return sequential(own, ("pos", "on"), machine, "pdu_idx long, start long, stop long")
 
 
+def _bursts_without_tail(own: DataFrame) -> DataFrame:
+    """Without tails a burst is open behind a position whose tags are all true, whatever came before."""
+    order = Window.partitionBy("stream_id").orderBy("pos")
+    marks = own.repartition("stream_id").groupBy("stream_id", "pos").agg(F.max("on").alias("_starts"), F.min("on").alias("_open"))
+    marks = marks.withColumn("_was", F.coalesce(F.lag("_open").over(order), F.lit(False)))
+    begun = F.last(F.when(F.col("_open") & ~F.col("_was"), F.col("pos")), ignorenulls=True)
+    before = begun.over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ends = marks.withColumn("start", F.when(F.col("_was"), before).otherwise(F.col("pos")))
+    ends = ends.filter(~F.col("_open") & (F.col("_was") | F.col("_starts")))
+    return ends.select("stream_id", (F.row_number().over(order) - 1).cast("long").alias("pdu_idx"), "start", F.col("pos").alias("stop"))
+
+
 def stream_to_pdu(stream: Stream, key: str, max_size: int, tail: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Packets of the samples between true and false tags: (stream_id, pdu_idx, data..., tags).
 
@@ -170,8 +185,10 @@ def stream_to_pdu(stream: Stream, key: str, max_size: int, tail: int = 0, chunk:
     the position chunks that a burst touches, an equi-join.
     """
     found = bursts(stream.tags, key, tail)
-    ends = stream.df.groupBy("stream_id").agg((F.max("pos") + 1).alias("_len"))
-    found = found.join(ends, "stream_id").filter((F.col("stop") <= F.col("_len")) & (F.col("stop") - F.col("start") <= max_size)).drop("_len")
+    if tail:  # tags lie on samples, so only a tail can reach behind the last one
+        ends = stream.df.groupBy("stream_id").agg((F.max("pos") + 1).alias("_len"))
+        found = found.join(ends, "stream_id").filter(F.col("stop") <= F.col("_len")).drop("_len")
+    found = found.filter(F.col("stop") - F.col("start") <= max_size)
     renumber = Window.partitionBy("stream_id").orderBy("start", "pdu_idx")
     found = found.withColumn("pdu_idx", (F.row_number().over(renumber) - 1).cast("long"))
     first, last = F.floor(F.col("start") / chunk), F.floor(F.greatest(F.col("stop") - 1, "start") / chunk)

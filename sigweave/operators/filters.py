@@ -38,10 +38,10 @@ def _array_chunks(df: DataFrame, left: int, right: int, chunk: int) -> DataFrame
     return packed.select("stream_id", "_chunk", F.element_at("_rows.pos", 1).alias("_first"), *columns)
 
 
-def _convolved(df: DataFrame, taps: np.ndarray, offset: int, before: int, chunk: int = 8192) -> DataFrame:
-    """y[n] = sum of taps[t] * x[n + offset - t], zeros outside; rows of all n that the input has."""
+def _convolved(df: DataFrame, taps: np.ndarray, offset: int, ahead: int = 0, chunk: int = 8192) -> DataFrame:
+    """y[n] = sum of taps[t] * x[n + offset - t], zeros outside; rows of all n for which the input has n + ahead."""
     size = len(taps)
-    left, right = max(0, size - 1 - offset), max(0, offset)
+    left, right = max(0, size - 1 - offset), max(0, offset, ahead)
     chunk = max(chunk, 2 * size, left + 1, right + 1)
     cplx = _is_complex(df) or np.iscomplexobj(taps)
     names = values(df)
@@ -65,7 +65,7 @@ def _convolved(df: DataFrame, taps: np.ndarray, offset: int, before: int, chunk:
                 data = [batch.column(3 + c)[i].values.to_numpy(zero_copy_only=False) for c in range(len(names))]
                 x = data[0] + 1j * data[1] if len(names) == 2 else data[0]
                 number, first = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                lo, hi = number * chunk, min((number + 1) * chunk, first + len(x))
+                lo, hi = number * chunk, min((number + 1) * chunk, first + len(x) - ahead)
                 # x starts at position first; full convolution puts tap t on sample s at s + t.
                 full = filtered(x)
                 at = np.arange(lo, hi) + offset - first
@@ -89,25 +89,28 @@ def fir_filter(stream: Stream | DataFrame, taps, decimation: int = 1, samp_rate:
     if translate:
         omega = 2 * math.pi * translate / samp_rate
         taps = taps * np.exp(1j * omega * np.arange(t))
-    n_out = lengths(df).select("stream_id", F.greatest(F.lit(0), F.when(F.col("n") >= t + d - 1, F.floor((F.col("n") - t + 1) / d)).otherwise(0)).alias("_n"))
-    y = _lag_filter(df, taps, t - 1) if t <= SHORT_TAPS else _convolved(df, taps, t - 1, 0)
+    # An output needs the t samples under its taps and d samples to consume, the last of them t + d - 2 ahead.
+    y = (_lag_filter if t <= SHORT_TAPS else _convolved)(df, taps, t - 1, t + d - 2)
     y = y.filter(F.pmod("pos", F.lit(d)) == 0).withColumn("pos", F.expr(f"pos div {d}"))
-    y = y.join(n_out, "stream_id").filter("pos < _n").drop("_n")
     if translate:
         phase = F.lit(-omega) * (F.lit(t - 1) + F.col("pos") * d)
         re, im = F.col("re"), F.col("im")
         y = y.select(*KEY, (re * F.cos(phase) - im * F.sin(phase)).alias("re"), (re * F.sin(phase) + im * F.cos(phase)).alias("im"))
     tags = stream.tags
     if tags is not None:
+        n_out = lengths(df).select("stream_id", F.when(F.col("n") >= t + d - 1, F.floor((F.col("n") - t + 1) / d)).otherwise(0).alias("_n"))
         tags = tags.join(n_out, "stream_id").filter(F.col("pos") < F.col("_n") * d).withColumn("pos", F.expr(f"pos div {d}")).drop("_n")
     return Stream(y, tags)
 
 
-def _lag_filter(df: DataFrame, taps: np.ndarray, offset: int) -> DataFrame:
+def _lag_filter(df: DataFrame, taps: np.ndarray, offset: int, ahead: int = 0) -> DataFrame:
     """The same as ``_convolved`` as a sum of lagged columns."""
     t, cplx = len(taps), _is_complex(df) or np.iscomplexobj(taps)
 
     def columns(w: Window) -> dict[str, Column]:
+        return made(w) | ({"_ahead": F.lead("pos", ahead).over(w)} if ahead else {})
+
+    def made(w: Window) -> dict[str, Column]:
         x = [lagged("re" if _is_complex(df) else "v", k - offset, w, 0.0) for k in range(t)]
         if not cplx:
             return {"v": _dot(taps.real, x)}
@@ -115,7 +118,8 @@ def _lag_filter(df: DataFrame, taps: np.ndarray, offset: int) -> DataFrame:
         re, im = _dot(taps.real, x), _dot(taps.imag, x)
         return {"re": re - _dot(taps.imag, y), "im": im + _dot(taps.real, y)} if y else {"re": re, "im": im}
 
-    out = windowed(df, max(0, t - 1 - offset), max(0, offset), columns)
+    out = windowed(df, max(0, t - 1 - offset), max(0, offset, ahead), columns)
+    out = out.filter(F.col("_ahead").isNotNull()) if ahead else out
     return out.select(*KEY, *(("re", "im") if cplx else ("v",)))
 
 
@@ -137,7 +141,7 @@ def fft_filter(stream: Stream | DataFrame, taps, flush: bool = False) -> Stream:
     t = len(taps)
     size = 2 * (1 << max(0, (t - 1).bit_length()))
     block = size - t
-    y = _lag_filter(stream.df, taps, 0) if t <= SHORT_TAPS else _convolved(stream.df, taps, 0, t - 1)
+    y = _lag_filter(stream.df, taps, 0) if t <= SHORT_TAPS else _convolved(stream.df, taps, 0)
     tags = stream.tags
     if not flush:
         n_out = lengths(stream.df).select("stream_id", (F.floor(F.col("n") / block) * block).alias("_n"))
@@ -154,7 +158,7 @@ def hilbert(stream: Stream | DataFrame, n_taps: int, window: WindowType) -> Stre
     taps = hilbert_taps(window.make_window(n_taps))
     back = n_taps - n_taps // 2
     delayed = windowed(stream.df, back, 0, lambda w: {"re": lagged("v", back, w, 0.0)}).select(*KEY, "re")
-    im = _convolved(stream.df, taps, -1, n_taps).withColumnRenamed("v", "im")
+    im = _convolved(stream.df, taps, -1).withColumnRenamed("v", "im")
     return Stream(delayed.join(im, list(KEY)), stream.tags)
 
 

@@ -176,19 +176,21 @@ FEND = 0xC0
 def kiss_frame(df: DataFrame, limit: int = 10_000) -> DataFrame:
     """Byte stream to packets between frame ends, which are kept at both sides; empty and overlong frames are left out.
 
-    Frames are islands of the running count of frame ends.
+    Frames are islands of the running count of frame ends; a frame is closed if another count
+    follows it.  Only counts pass through a window per stream, bytes are dealt by frame.
     """
     numbered = running_sum(df, (F.col("b") == FEND).cast("long"), "_frame")
-    inside = numbered.filter((F.col("b") != FEND) & (F.col("_frame") > 0))
-    sized = inside.groupBy("stream_id", "_frame").agg(F.count("*").alias("_n"))
-    closed = numbered.groupBy("stream_id").agg(F.max("_frame").alias("_last"))
-    good = sized.join(closed, "stream_id").filter((F.col("_frame") < F.col("_last")) & (F.col("_n") <= limit)).select("stream_id", "_frame")
-    rows = inside.join(good, ["stream_id", "_frame"]).groupBy("stream_id", "_frame").agg(
+    order = Window.partitionBy("stream_id").orderBy("_frame")
+    sized = numbered.groupBy("stream_id", "_frame").agg(F.count_if(F.col("b") != FEND).alias("_n"))
+    closed = sized.withColumn("_next", F.lead("_frame").over(order)).filter(F.col("_next").isNotNull() & (F.col("_frame") > 0))
+    good = closed.filter(F.col("_n").between(1, limit)).select(
+        "stream_id", "_frame", (F.row_number().over(order) - 1).cast("long").alias("pdu_idx")
+    )
+    rows = numbered.filter(F.col("b") != FEND).join(good, ["stream_id", "_frame"]).groupBy("stream_id", "_frame", "pdu_idx").agg(
         F.array_sort(F.collect_list(F.struct("pos", F.lpad(F.hex(F.col("b").cast("bigint")), 2, "0").alias("h")))).alias("_rows")
     )
-    order = Window.partitionBy("stream_id").orderBy("_frame")
     body = F.concat(F.lit("C0"), F.array_join("_rows.h", ""), F.lit("C0"))
-    return rows.select("stream_id", (F.row_number().over(order) - 1).cast("long").alias("pdu_idx"), F.unhex(body).alias("data"))
+    return rows.select("stream_id", "pdu_idx", F.unhex(body).alias("data"))
 
 
 def _octets(hexed: Column) -> Column:

@@ -129,6 +129,29 @@ def test_stream_to_pdu(spark, start, end, tail, limit, want):
     assert [list(r.data) for r in got] == want
 
 
+def test_bursts_without_tail(spark):
+    rng = np.random.RandomState(3)
+    marks = [(int(p), bool(v)) for p, v in zip(rng.randint(0, 120, 150), rng.randint(0, 2, 150), strict=True)]
+    want, start = [], None
+    for p in sorted({p for p, _ in marks}):
+        start = p if start is None and (p, True) in marks else start
+        if start is not None and (p, False) in marks:
+            want.append((len(want), start, p))
+            start = None
+    got = bits.bursts(bools(spark, marks), "burst").orderBy("pdu_idx").collect()
+    assert [(r.pdu_idx, r.start, r.stop) for r in got] == want and len(want) > 10
+
+
+@pytest.mark.parametrize("n,n_taps,d", [(100, 5, 1), (101, 5, 4), (7, 5, 3), (6, 5, 3), (4, 5, 1), (300, 20, 7), (25, 20, 7), (26, 20, 7), (0, 3, 2)])
+def test_fir_ends(spark, n, n_taps, d):
+    x, taps = np.random.RandomState(n).rand(n), np.arange(1.0, n_taps + 1)
+    whole = np.convolve(x, taps, "valid") if n >= n_taps else np.zeros(0)
+    want = whole[: (n - n_taps + 1) // d * d : d] if n >= n_taps + d - 1 else []
+    df = stream(spark, x) if n else stream(spark, [0.0]).filter("pos < 0")
+    got = [r.v for r in filters.fir_filter(df, taps, d).df.orderBy("pos").collect()]
+    assert len(got) == len(want) and np.allclose(got, want)
+
+
 def test_stream_to_pdu_tags_and_back(spark):
     tags = bools(spark, [(3, True), (7, True), (7, False)]).unionByName(bools(spark, [(4, True)], key="test"))
     got = bits.stream_to_pdu(Stream(stream(spark, range(1, 11)), tags), "burst", 10, 1).collect()
@@ -304,7 +327,7 @@ def test_long_filters(spark, n_taps, kind):
     want = np.convolve(x, taps_)[:900]
     got = values(filters.fft_filter(stream(spark, x), taps_, flush=True).df, *(("v",) if kind == "real" else ("re", "im")))
     assert close(got, want, 1e-8)
-    chunked = filters._convolved(stream(spark, x), taps_, 0, n_taps - 1, chunk=100)
+    chunked = filters._convolved(stream(spark, x), taps_, 0, chunk=100)
     assert close(values(chunked, *(("v",) if kind == "real" else ("re", "im"))), want, 1e-8)
 
 
