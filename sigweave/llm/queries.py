@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, licenses, packing, pii, quality, tokens, toxicity, warc
+from . import alignment, decontam, jaccard, langid, licenses, packing, periodic, pieces, pii, quality, tokens, toxicity, warc
 from .session import table
 
 
@@ -64,6 +64,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -75,6 +87,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_pii": op10_pii,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 
