@@ -10,7 +10,8 @@ Counting is external and spills.  A task encodes documents in blocks; a block's
 part becomes one zstd-compressed run (``_run``), a row that Spark stores and shuffles.  One task per part
 merges the runs' pairs by a k-way heap (``_merged``), at most ``FAN_IN`` at a time, which
 counts each pair.  Pairs come in the order of their A id, so the largest count of each A id is
-one pass over them, and each run is then read once more to send its documents their shares.
+one pass over them, and each run is then read once more; what its documents get is sent back to
+their block, compressed too, and added up there.
 
 Scale.  A run holds a pair once with all documents of its block, so a pair that every document
 has is one entry for each block, not one row for each document: no part grows with a hot pair.
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -315,7 +316,8 @@ def _encoded(docs: DataFrame, keep, text: str, a: str, b: str, parts: int, diges
 
 
 def _shares(runs: DataFrame, n_b: int) -> DataFrame:
-    """(block, numbers, best, count) of each run: what its documents get from its pairs.  ``runs`` has part, block, run in the order of part."""
+    """(block, share) of each run: what its documents get from its pairs.  ``runs`` has part, block, run in the order of part."""
+    import zstandard
 
     def counted(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         level: list[tuple[np.ndarray, np.ndarray]] = []
@@ -328,30 +330,63 @@ def _shares(runs: DataFrame, n_b: int) -> DataFrame:
         first = np.flatnonzero(np.diff(side, prepend=-1))
         most = np.repeat(np.maximum.reduceat(count, first), np.diff(np.append(first, len(side))))
         is_best = count == most
+        pack = zstandard.ZstdCompressor(level=1)
         for block, data in held:
             own, docs, number, times = _read_run(data)
-            at = np.searchsorted(pair, own)
-            rows = np.repeat(at, docs)
+            rows = np.repeat(np.searchsorted(pair, own), docs)
             order = np.argsort(number, kind="stable")
             starts = np.flatnonzero(np.diff(number[order], prepend=-1))
             best = np.add.reduceat((times * is_best[rows])[order], starts)
             total = np.add.reduceat((times * count[rows])[order], starts)
-            lists = [pa.array([x.tolist()], pa.list_(t)) for x, t in ((number[order][starts], pa.int32()), (best, pa.int64()), (total, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists], names=["block", "number", "best", "count"])
+            share = np.array([len(starts)], "<u4").tobytes() + b"".join(_planes(x) for x in (np.diff(number[order][starts], prepend=0), best, total))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pack.compress(share)], pa.binary())], names=["block", "share"])
+
+    return runs.mapInArrow(_by_key(counted), "block long, share binary")
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first, so that the many zeros lie together."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _by_key(made) -> Callable:
+    """A stage over rows (key, number, bytes) in the order of the key, which gives ``made`` the rows of one key at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for part, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and part != now:
-                    yield from counted(held)
+            for key, number, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and key != now:
+                    yield from made(held)
                     held = []
-                now = part
-                held.append((block, data))
+                now = key
+                held.append((number, data))
         if held:
-            yield from counted(held)
+            yield from made(held)
+
+    return run
+
+
+def _summed(shares: DataFrame) -> DataFrame:
+    """(block, number, best, count) of every document that has tokens; ``shares`` has block twice and share, in the order of block."""
+    import zstandard
+
+    def added(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, DOCUMENTS), np.int64)
+        for _, data in held:
+            plain = zstandard.ZstdDecompressor().decompress(data)
+            n = int.from_bytes(plain[:4], "little")
+            parts = np.frombuffer(plain, np.uint8, 24 * n, 4).reshape(3, 8, n)
+            number, best, total = (np.ascontiguousarray(p.T).view("<i8")[:, 0] for p in parts)
+            at = np.cumsum(number)  # each document once
+            sums[0][at] += 1
+            sums[1][at] += best
+            sums[2][at] += total
+        at = np.flatnonzero(sums[0])
+        block = pa.array(np.full(len(at), held[0][0]))
+        yield pa.RecordBatch.from_arrays([block, pa.array(at.astype(np.int32)), pa.array(sums[1][at]), pa.array(sums[2][at])], names=["block", "number", "best", "count"])
 
-    return runs.mapInArrow(run, "block long, number array<int>, best array<long>, count array<long>")
+    return shares.mapInArrow(_by_key(added), "block long, number int, best long, count long")
 
 
 def align(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B, keep=("doc_id",), text: str = "text", digest: bool = True, parts: int | None = None) -> DataFrame:
@@ -362,15 +397,15 @@ def align(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B, keep=("
     arrow_batches(spark)
     own = Tokenizers(a, b)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(parts or max(LEAST_PARTS, 4 * shuffles), MOST_PARTS)
+    parts = min(parts or max(LEAST_PARTS, shuffles), MOST_PARTS)
     rows = _encoded(docs, tuple(keep), text, a, b, parts, digest)
     made = rows.columns[len(docs.select(*keep).columns) :]
     block, number, part, data = made[5:]
     runs = rows.filter(F.col(part).isNotNull()).select(F.col(part).alias("part"), F.col(block).alias("block"), F.col(data).alias("run"))
-    dealt = runs.repartition(max(shuffles, min(parts, 4 * shuffles)), "part").sortWithinPartitions("part")
-    shares = _shares(dealt, own.n_b).select(F.col("block").alias(block), F.explode(F.arrays_zip("number", "best", "count")).alias("_z"))
+    dealt = runs.repartition(max(shuffles, parts), "part").sortWithinPartitions("part")
+    back = _shares(dealt, own.n_b).select("block", F.col("block").alias("_block"), "share").repartition(shuffles, "block").sortWithinPartitions("block")
     best, count = fresh(rows.columns, "n_best", "count_sum")
-    sums = shares.groupBy(block, F.col("_z.number").alias(number)).agg(F.sum("_z.best").alias(best), F.sum("_z.count").alias(count))
+    sums = _summed(back).toDF(block, number, best, count)
     out = rows.filter(F.col(part).isNull()).join(sums, [block, number], "left").fillna(0, [best, count])
     return out.drop(block, number, part, data)
 
