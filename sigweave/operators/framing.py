@@ -6,12 +6,15 @@ stream each stream's bits through a small state machine with bounded memory.
 
 from __future__ import annotations
 
+import binascii
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import CHUNK, KEY, running_sum, sequential
+from ..model import CHUNK, KEY, halo, running_sum, sequential
 
 FLAGS = 20
 
@@ -64,18 +67,50 @@ def hdlc_framer(pdus: DataFrame, column: str = "data", flags: int = FLAGS) -> Da
     return pdus.withColumn(column, bits)
 
 
+#: A flipped bit k places before the end of the data changes the checksum by one value, whatever the data; it recurs every _CYCLE bits.
+_CYCLE = 32767
+_SYNDROMES: dict[int, int] = {}
+
+
+def syndromes() -> dict[int, int]:
+    """How far before the end of the data a bit lies whose flip changes the checksum by each value."""
+    if not _SYNDROMES:
+        change = 0x8408
+        for k in range(_CYCLE):
+            _SYNDROMES[change] = k
+            change = change >> 1 ^ (0x8408 if change & 1 else 0)
+    return _SYNDROMES
+
+
 def _repaired(data: bytes, crc: int) -> bytes | None:
     """The data with at most one bit flipped, data bits in order first, then CRC bits; None if nothing fits."""
-    want = crc16_x25(data)
-    if want == crc:
+    change = _crc16(data) ^ crc
+    if not change:
         return data
-    copy = bytearray(data)
-    for i in range(8 * len(data)):
-        copy[i >> 3] ^= 1 << (i & 7)
-        if crc16_x25(bytes(copy)) == crc:
-            return bytes(copy)
-        copy[i >> 3] ^= 1 << (i & 7)
-    return data if (want ^ crc).bit_count() == 1 else None
+    size, back = 8 * len(data), syndromes().get(change)
+    if back is not None and back < size:
+        place = size - 1 - (back + (size - 1 - back) // _CYCLE * _CYCLE)  # the first of the bits that fit
+        copy = bytearray(data)
+        copy[place >> 3] ^= 1 << (place & 7)
+        return bytes(copy)
+    return data if change.bit_count() == 1 else None
+
+
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
+def _crc16(data: bytes) -> int:
+    """CRC-16/X.25 by the library's CRC of the mirrored polynomial: bits of bytes and result turned round."""
+    mirrored = binascii.crc_hqx(data.translate(_REVERSED), 0xFFFF)
+    return (_REVERSED[mirrored & 255] << 8 | _REVERSED[mirrored >> 8]) ^ 0xFFFF
+
+
+def checked_frame(frame: bytes, fix_bits: bool) -> bytes | None:
+    """The data of a frame whose checksum fits, on demand after the flip of one bit."""
+    if len(frame) < 2:
+        return None
+    data, crc = frame[:-2], int.from_bytes(frame[-2:], "little")
+    return _repaired(data, crc) if fix_bits else data if _crc16(data) == crc else None
 
 
 class Deframer:
@@ -106,13 +141,13 @@ class Deframer:
                     continue
                 break
             stuffed = data[at:run]
-            if self._long(stuffed):
+            if self._long(stuffed + self.SIX[1:]):  # a frame is too long before its flag's last one
                 at = self._lost(data, at)
                 continue
             if data[run + 6] or len(stuffed) < 1:
                 self.synced, at = False, run + 7  # seven 1s, or a flag without a 0 of its own
                 continue
-            frame = self._frame(stuffed[:-1])
+            frame = self._frame(stuffed)
             if frame is not None:
                 yield self.base + run + 6, frame
             at = run + 7
@@ -137,37 +172,141 @@ class Deframer:
         return min(place + 1, len(data))
 
     def _frame(self, stuffed: bytes) -> bytes | None:
-        plain = self._plain(stuffed)
+        plain = self._plain(stuffed)[:-1]  # without the flag's own zero
         if len(plain) % 8 or len(plain) // 8 < self.min_size:
             return None
         return np.packbits(np.frombuffer(plain, np.uint8), bitorder="little").tobytes()
 
 
-def hdlc_deframer(df: DataFrame, min_size: int, max_size: int, fix_bits: bool = False, keep_checksum: bool = False) -> DataFrame:
-    """Bits to packets (stream_id, pdu_idx, data, packet_pos), with a right checksum unless it is kept."""
+#: What is known before a run of six ones or more: behind a flag, searching, or searching from the last bit of a flag on.
+_SYNCED, _FREE, _RESET = range(3)
+
+
+def _ones(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the runs of six ones or more."""
+    edge = np.diff(np.concatenate([[0], bits, [0]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    long = end - start >= 6
+    return start[long], (end - start)[long]
+
+
+@dataclass
+class _Marks:
+    """Runs of six ones or more in some bits: where they start, what each state before becomes behind, and frames that end there."""
+
+    start: np.ndarray
+    moves: np.ndarray  # (run, state before) -> state behind
+    frames: dict[int, bytes]
+
+    def before(self) -> np.ndarray:
+        """(run, state before the first) -> state before the run: moves composed in doubling steps."""
+        behind, step = self.moves.copy(), 1
+        while step < len(behind):
+            behind[step:] = np.take_along_axis(behind[step:], behind[:-step], 1)
+            step *= 2
+        return np.concatenate([np.arange(3)[None], behind]) if len(behind) else np.arange(3)[None]
+
+
+def _marks(bits: np.ndarray, own: int, stop: int, min_size: int, max_size: int, keep_checksum: bool, fix_bits: bool) -> _Marks:
+    """Runs that start at ``own`` or later, before ``stop``; the bits reach further back than any frame, or to the stream's start.
+
+    Behind a flag, more plain bits than a frame may have end the search for its partner: at once
+    if the next flag starts two bits or more behind, else that flag is lost too.  A flag that
+    shares its first zero with the one before is none for either.
+    """
+    start, length = _ones(bits)
+    end = start + length
+    flag = (length == 6) & (end < len(bits)) & (start > 0)
+    # Zeros behind exactly five ones are stuffed; how many before each place.
+    ones = np.convolve(bits, np.ones(5, np.int8))[: len(bits)]  # ones among the five bits up to each place
+    five = np.concatenate([[False] * 5, ones[4:-1] == 5])
+    six_back = np.concatenate([np.zeros(6, np.int8), bits[:-6]])[: len(bits)]
+    dropped = (bits == 0) & five[: len(bits)] & (six_back == 0)
+    count = np.concatenate([[0], np.cumsum(dropped)])
+    here = np.flatnonzero((start >= own) & (start < stop))
+    if not len(here):
+        return _Marks(np.zeros(0, np.int64), np.zeros((0, 3), np.int64), {})
+    a, most = start[here], 8 * max_size
+    known = here > 0
+    last = here - known  # a run without one before it is as if far behind a flag
+    base = end[last] + 1  # the first bit behind a flag
+    plain = np.where(known, (a - base) - (count[a] - count[np.minimum(base, len(bits))]), most + 9)
+    nearer = np.where(known, np.maximum(a - 2 - base, 0) - (count[np.maximum(a - 2, 0)] - count[np.minimum(base, np.maximum(a - 2, 0))]), most + 9)
+    early, late = nearer > most, plain + 5 > most
+    shared = known & (a == base) & flag[last]
+    moves = np.full((len(here), 3), _FREE)
+    moves[flag[here], _FREE] = _SYNCED
+    moves[flag[here] & ~shared, _RESET] = _SYNCED
+    moves[:, _SYNCED] = np.where(early, moves[:, _FREE], np.where(late | ~flag[here], _FREE, np.where(shared, _RESET, _SYNCED)))
+    frames = {}
+    for k in np.flatnonzero(flag[here] & flag[last] & known & ~late & ~shared & ((plain - 1) % 8 == 0) & (plain - 1 >= 8 * min_size)).tolist():
+        lo, hi = int(base[k]), int(a[k])
+        body = bits[lo:hi][~dropped[lo:hi]][:-1]
+        frame = np.packbits(body, bitorder="little").tobytes()
+        frame = frame if keep_checksum else checked_frame(frame, fix_bits)
+        if frame is not None:
+            frames[k] = frame
+    return _Marks(a, moves, frames)
+
+
+def hdlc_deframer(df: DataFrame, min_size: int, max_size: int, fix_bits: bool = False, keep_checksum: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Bits to packets (stream_id, pdu_idx, data, packet_pos), with a right checksum unless it is kept.
+
+    A scan over functions: every chunk of bits, with as many before it as a frame can have, maps
+    each of three states before its first run of six ones to the state behind its last and the number of frames
+    on the way.  Only these maps, one row for each chunk, pass through a task per stream, which
+    tells each chunk its state and the number of its first packet.
+    """
+    left, right = 8 * max_size * 6 // 5 + 32, 8
+    chunk = max(chunk, 2 * left)
+    rows = halo(df.select(*KEY, "bit"), left, right, chunk).groupBy("stream_id", "_chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "bit"))).alias("_rows"))
+    chunks = rows.select("stream_id", "_chunk", F.element_at("_rows.pos", 1).alias("_first"), F.col("_rows.bit").cast("array<tinyint>").alias("_bits"))
+
+    def found(number: int, first: int, bits: np.ndarray) -> _Marks:
+        lo = number * chunk - first
+        return _marks(np.asarray(bits, np.int8), lo, lo + chunk, min_size, max_size, keep_checksum, fix_bits)
+
+    def summarised(number: pd.Series, first: pd.Series, bits: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, f, b in zip(number, first, bits, strict=True):
+            own = found(c, f, b)
+            before = own.before()
+            whole = np.zeros(3, np.int64)
+            for k in own.frames:
+                whole += before[k] == _SYNCED
+            out.append([*before[-1].tolist(), *whole.tolist()])
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 6), columns=[*(f"to{s}" for s in range(3)), *(f"n{s}" for s in range(3))])
 
     def machine():
-        own, count = Deframer(min_size, max_size), [0]
-
-        def step(bit, end):
-            made = {"pdu_idx": [], "data": [], "packet_pos": []}
-            for pos, frame in own.feed(bit.astype(np.uint8).tobytes()):
-                if not keep_checksum:
-                    if len(frame) < 2:
-                        continue
-                    body, crc = frame[:-2], int.from_bytes(frame[-2:], "little")
-                    frame = _repaired(body, crc) if fix_bits else body if crc16_x25(body) == crc else None
-                    if frame is None:
-                        continue
-                made["pdu_idx"].append(count[0])
-                made["data"].append(frame)
-                made["packet_pos"].append(pos)
-                count[0] += 1
-            return made
+        state = [_FREE, 0]
+
+        def step(pos, *maps_):
+            *maps_, _ = maps_
+            states, counts = [], []
+            for row in zip(*(m.tolist() for m in maps_), strict=True):
+                states.append(state[0])
+                counts.append(state[1])
+                state[:] = int(row[state[0]]), state[1] + int(row[3 + state[0]])
+            return {"pos": pos.astype(np.int64), "_state": np.array(states, np.int64), "_before": np.array(counts, np.int64)}
 
         return step
 
-    return sequential(df, ("bit",), machine, "pdu_idx long, data binary, packet_pos long")
+    def packets(number: pd.Series, first: pd.Series, bits: pd.Series, state: pd.Series, count: pd.Series) -> pd.Series:
+        out = []
+        for c, f, b, s, n in zip(number, first, bits, state, count, strict=True):
+            own = found(c, f, b)
+            before = own.before()
+            good = [k for k in sorted(own.frames) if before[k, s] == _SYNCED]
+            out.append([{"pdu_idx": n + i, "data": own.frames[k], "packet_pos": int(f + own.start[k] + 6)} for i, k in enumerate(good)])
+        return pd.Series(out)
+
+    maps_ = F.pandas_udf(summarised, "to0 long, to1 long, to2 long, n0 long, n1 long, n2 long")("_chunk", "_first", "_bits")
+    names = [f"{x}{s}" for x in ("to", "n") for s in range(3)]
+    ends = chunks.select("stream_id", F.col("_chunk").alias("pos"), maps_.alias("_m")).select(*KEY, *(F.col(f"_m.{x}") for x in names))
+    carried = sequential(ends, ("pos", *names), machine, "pos long, _state long, _before long").withColumnRenamed("pos", "_chunk")
+    udf = F.pandas_udf(packets, "array<struct<pdu_idx:bigint,data:binary,packet_pos:bigint>>")
+    made = chunks.join(carried, ["stream_id", "_chunk"]).select("stream_id", udf("_chunk", "_first", "_bits", "_state", "_before").alias("_p"))
+    return made.select("stream_id", F.inline("_p"))
 
 
 FEND = 0xC0

@@ -610,6 +610,31 @@ def hdlc_roundtrip(spark, d):
     return framing.hdlc_deframer(stream, 3, 1000).select("stream_id", "pdu_idx", "data")
 
 
+def _flipped(pdus: DataFrame, bit: Column) -> DataFrame:
+    """Packets with one bit changed, counted from the first byte's lowest."""
+    at, byte = F.floor(bit / 8).cast("int"), F.conv(F.hex(F.substring(F.col("data"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    new = byte.bitwiseXOR(F.expr("shiftleft(1, CAST(_bit % 8 AS INT))")).cast("long")
+    data = F.concat(F.substring(F.col("data"), F.lit(1), at), F.unhex(F.lpad(F.hex(new), 2, "0")), F.substring(F.col("data"), at + 2, F.octet_length("data")))
+    return pdus.withColumn("_bit", bit).withColumn("data", data).drop("_bit")
+
+
+@query(f"WITH {NAMES} SELECT stream_id, pdu_idx, hex(data) AS data FROM names")
+def hdlc_fix_bits(spark, d):
+    """One bit of each frame, its checksum included, is wrong on the line."""
+    sent = framing.fcs_adder(names(spark, d))
+    wrong = _flipped(sent, F.pmod(F.col("pdu_idx") * 37 + F.col("stream_id") * 11, F.octet_length("data") * 8))
+    stream = bits.pdu_to_stream(framing.hdlc_framer(wrong, flags=2), value="bit").df
+    return framing.hdlc_deframer(stream, 3, 1000, fix_bits=True).select("stream_id", "pdu_idx", "data")
+
+
+@query("SELECT 'line' AS stream_id, row_number() OVER (ORDER BY c_custkey) - 1 AS pdu_idx, hex(c_name) AS data FROM customer")
+def hdlc_long(spark, d):
+    """All names on one line, a single stream of some millions of bits at sf0.1."""
+    rows = _t(spark, d, "customer").select(F.lit("line").alias("stream_id"), F.col("c_custkey").alias("pdu_idx"), F.col("c_name").cast("binary").alias("data"))
+    stream = bits.pdu_to_stream(framing.hdlc_framer(framing.fcs_adder(rows), flags=1), value="bit").df
+    return framing.hdlc_deframer(stream, 3, 1000).select("stream_id", "pdu_idx", "data")
+
+
 _KISS = "'C000' || replace(regexp_replace(regexp_replace(trim(regexp_replace(hex(data), '(..)', '\\1 ', 'g')), 'DB', 'DB DD', 'g'), 'C0', 'DB DC', 'g'), ' ', '') || 'C0'"
 
 

@@ -226,6 +226,52 @@ def test_deframer_like_its_description(parts, piece, max_size):
     assert got == _between_flags("".join(parts), 1, max_size)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["01111110", "0", "1", "11111", "0101010101010101", "111110", "1111110"]), max_size=60), st.sampled_from([1, 9, 41, 1000]), st.integers(1, 3))
+def test_hdlc_scan_like_its_description(parts, chunk, max_size):
+    """Maps of chunks, put together, at four chunk sizes."""
+    data, reach, state, got = np.array(_bits("".join(parts)), np.int8), 8 * max_size * 6 // 5 + 32, framing._FREE, []
+    for lo in range(0, len(data), chunk):
+        first = max(0, lo - reach)
+        own = framing._marks(data[first : lo + chunk + 8], lo - first, lo - first + chunk, 1, max_size, True, False)
+        before = own.before()
+        got += [(first + int(own.start[k]) + 6, own.frames[k]) for k in sorted(own.frames) if before[k, state] == framing._SYNCED]
+        state = before[-1, state]
+    assert got == _between_flags("".join(parts), 1, max_size)
+
+
+def test_hdlc_over_many_chunks(spark):
+    rnd = np.random.RandomState(4)
+    texts = ["".join(rnd.choice(["01111110", "01111110", "01010101", "01010101", "111110", "11111", "1111110"], 250)) for _ in range(3)]
+    df = spark.createDataFrame([(f"s{k}", i, b) for k, t in enumerate(texts) for i, b in enumerate(_bits(t))], "stream_id string, pos long, bit tinyint")
+    got = framing.hdlc_deframer(df, 1, 2, keep_checksum=True, chunk=1).orderBy("stream_id", "pdu_idx").collect()
+    want = [(f"s{k}", i, data, place) for k, t in enumerate(texts) for i, (place, data) in enumerate(_between_flags(t, 1, 2))]
+    assert len(want) > 20 and [(r.stream_id, r.pdu_idx, bytes(r.data), r.packet_pos) for r in got] == want
+
+
+def test_every_single_flip_is_found():
+    rnd = np.random.RandomState(1)
+    for size in (1, 2, 7, 60):
+        data = rnd.bytes(size)
+        crc = framing.crc16_x25(data)
+        assert framing._crc16(data) == crc and framing._repaired(data, crc) == data
+        for i in range(8 * size):
+            wrong = bytearray(data)
+            wrong[i >> 3] ^= 1 << (i & 7)
+            assert framing._repaired(bytes(wrong), crc) == data
+        for i in range(16):  # a flip of the checksum, unless one of the data comes first
+            fits = [k for k in range(8 * size) if framing.crc16_x25(bytes(b ^ (1 << (k & 7)) * (j == k >> 3) for j, b in enumerate(data))) == crc ^ 1 << i]
+            got = framing._repaired(data, crc ^ 1 << i)
+            assert got == data if not fits else framing.crc16_x25(got) == crc ^ 1 << i
+    long = bytearray(rnd.bytes(5000))
+    crc = framing.crc16_x25(bytes(long))
+    for i in (0, 3000, 32767 + 100, 39_999):  # the same change recurs after 32,767 bits: the first fitting bit is flipped
+        wrong = bytearray(long)
+        wrong[i >> 3] ^= 1 << (i & 7)
+        got = framing._repaired(bytes(wrong), crc)
+        assert framing.crc16_x25(got) == crc and (i >= 32767 or got == long)
+
+
 def test_framer_and_checksums(spark):
     pdus = spark.createDataFrame([("s", 0, bytes.fromhex("0055")), ("s", 1, bytes.fromhex("00ff55")), ("s", 2, bytes.fromhex("aa07"))], "stream_id string, pdu_idx long, data binary")
     got = framing.hdlc_framer(pdus).orderBy("pdu_idx").collect()
