@@ -8,15 +8,16 @@ Outputs are numbered densely; no filter needs more than one small sort per chunk
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.taps import WindowType, hilbert_taps
-from ..model import KEY, Stream, affine_scan, halo, lagged, lengths, sequential, values, windowed
+from ..model import KEY, Stream, affine_scan, halo, lagged, lengths, sequential, stored, values, windowed
 
 #: More taps than this go through array chunks.
 SHORT_TAPS = 16
@@ -196,68 +197,256 @@ class Iir:
         return y
 
 
-def iir_filter(df: DataFrame, taps, least: float = -math.inf, most: float = math.inf) -> DataFrame:
-    """The general recursive filter along each stream, optionally clamped, with bounded memory per task.
+def iir_filter(df: DataFrame, taps, least: float = -math.inf, most: float = math.inf, chunk: int = 4096) -> DataFrame:
+    """The general recursive filter y[n] = taps[0] * x[n] + sum of taps[k] * y[n - k], optionally clamped.
 
-    A clamped output depends on all before it, so a stream is one task; streams run in parallel.
+    Without limits it is a scan with the filter's companion matrix, with one feedback tap a scan
+    of clamped maps; both run chunk by chunk, and only chunk ends pass through a task per stream.
+    Clamped filters of higher order have no maps that stay small: their chunks are speculated.
     """
     if not len(taps):
         raise ValueError("an IIR filter needs taps")
-
     head, *back = map(float, taps)
+    xs = df.select(*KEY, F.col("v").cast("double").alias("v"))
+    if not back:
+        return xs.select(*KEY, F.greatest(F.least(F.col("v") * head, F.lit(float(most))), F.lit(float(least))).alias("v"))
+    limited = least > -math.inf or most < math.inf
+    if limited and len(back) > 1:
+        return speculated(xs, len(back), _clamped_lanes(head, back, least, most), chunk=chunk, outputs=("v",))[0]
+    scan = _ClampedScan(head, back[0], least, most) if limited else _CompanionScan(head, back, chunk)
+    return _scanned(xs, scan, chunk)
+
+
+class _CompanionScan:
+    """State: the last outputs, the latest first.  A chunk moves it by a power of the companion matrix and adds its own part."""
+
+    def __init__(self, head: float, back: list[float], chunk: int):
+        k = len(back)
+        self.head, self.k = head, k
+        self.matrix = np.eye(k, k=-1)
+        self.matrix[0] = back
+        self.start = np.zeros(k)
+        powers = [np.eye(k)]
+        with np.errstate(all="ignore"):  # of a filter that runs away
+            for _ in range(chunk):
+                powers.append(powers[-1] @ self.matrix)
+        self.powers = np.array(powers)
+
+    def local(self, x: np.ndarray) -> np.ndarray:
+        """States behind each sample from a zero state, by doubling steps."""
+        s = np.zeros((len(x), self.k))
+        s[:, 0] = self.head * x
+        step = 1
+        with np.errstate(all="ignore"):
+            while step < len(x):
+                s[step:] = s[step:] + s[:-step] @ self.powers[step].T
+                step *= 2
+        return s
+
+    def summary(self, x: np.ndarray) -> np.ndarray:
+        return self.local(x)[-1]
+
+    def moved(self, state: np.ndarray, summary: np.ndarray, n: int) -> np.ndarray:
+        return self.powers[n] @ state + summary
+
+    def output(self, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+        return self.local(x)[:, 0] + self.powers[1 : len(x) + 1, 0] @ state
+
+
+class _ClampedScan:
+    """State: the last output.  Samples are maps y -> clamp(a * y + c, lo, hi), which are closed under composition."""
+
+    def __init__(self, head: float, a: float, least: float, most: float):
+        self.head, self.a, self.least, self.most = head, a, least, most
+        self.start = np.zeros(1)
+
+    def maps(self, x: np.ndarray) -> np.ndarray:
+        """(a, c, lo, hi) of all samples up to each, by doubling steps."""
+        f = np.stack([np.full(len(x), self.a), self.head * x, np.full(len(x), float(self.least)), np.full(len(x), float(self.most))])
+        step = 1
+        while step < len(x):
+            f[:, step:] = _then(f[:, :-step], f[:, step:])
+            step *= 2
+        return f
+
+    def summary(self, x: np.ndarray) -> np.ndarray:
+        return self.maps(x)[:, -1]
+
+    def moved(self, state: np.ndarray, summary: np.ndarray, n: int) -> np.ndarray:
+        return _at(summary[:, None], state)
+
+    def output(self, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+        return _at(self.maps(x), state)
+
+
+def _at(f: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Values of clamped maps; a slope of zero takes infinities too."""
+    a, c, lo, hi = f
+    return np.clip(np.where(a == 0, 0, np.where(a == 0, 1, a) * np.where(a == 0, 0, y)) + c, lo, hi)
+
+
+def _then(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """First f, then g."""
+    a, c = g[0] * f[0], g[0] * f[1] + g[1]
+    ends = _at(g, f[2]), _at(g, f[3])
+    return np.stack([a, c, np.minimum(*ends), np.maximum(*ends)])
+
+
+def _sample_chunks(df: DataFrame, names: tuple[str, ...], chunk: int) -> DataFrame:
+    """(stream_id, _chunk, an array of doubles for each name)."""
+    packed = df.groupBy("stream_id", F.floor(F.col("pos") / chunk).alias("_chunk")).agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("_rows"))
+    return packed.select("stream_id", "_chunk", *(F.col(f"_rows.{c}").cast("array<double>").alias(c) for c in names))
+
+
+def _scanned(df: DataFrame, scan, chunk: int) -> DataFrame:
+    """Chunks by the maps of ``scan``: its summaries, a fold over them, and outputs from each chunk's state."""
+    chunks = _sample_chunks(df, ("v",), chunk)
+
+    def summaries(column: pd.Series) -> pd.Series:
+        return pd.Series([scan.summary(np.asarray(x, float)) for x in column])
+
+    def outputs(column: pd.Series, states: pd.Series) -> pd.Series:
+        return pd.Series([scan.output(np.asarray(x, float), np.asarray(s, float)) for x, s in zip(column, states, strict=True)])
 
     def machine():
-        state = {"past": [0.0] * len(back), "pos": 0}  # the latest output last
-
-        def step(v, end):
-            n = len(back)
-            y = state["past"] + [0.0] * len(v)
-            for i, x in enumerate((head * v).tolist(), n):
-                for k, t in enumerate(back, 1):
-                    x += t * y[i - k]
-                y[i] = least if x < least else most if x > most else x
-            first, state["pos"], state["past"] = state["pos"], state["pos"] + len(v), y[len(y) - n :]
-            return {"pos": np.arange(first, state["pos"]), "v": np.array(y[n:], float)}
+        state = [scan.start]
+
+        def step(pos, summary, n, end):
+            before = []
+            for own, size in zip(summary.tolist(), n.tolist(), strict=True):
+                before.append(state[0].tolist())
+                state[0] = scan.moved(state[0], np.asarray(own, float), int(size))
+            return {"pos": pos.astype(np.int64), "_state": before}
 
         return step
 
-    return sequential(df, ("v",), machine, "pos long, v double")
+    ends = chunks.select("stream_id", F.col("_chunk").alias("pos"), F.pandas_udf(summaries, "array<double>")("v").alias("_s"), F.size("v").cast("long").alias("_n"))
+    carried = sequential(ends, ("pos", "_s", "_n"), machine, "pos long, _state array<double>").withColumnRenamed("pos", "_chunk")
+    made = chunks.join(carried, ["stream_id", "_chunk"]).select("stream_id", "_chunk", F.pandas_udf(outputs, "array<double>")("v", "_state").alias("_y"))
+    return made.select("stream_id", "_chunk", F.posexplode("_y").alias("_k", "v")).select("stream_id", (F.col("_chunk") * chunk + F.col("_k")).alias("pos"), "v")
+
+
+#: Lanes that one array step takes at once, and starts that count as equal.
+_LANES, _SAME = 256, 1e-12
 
 
-def cma_equalizer(stream: Stream | DataFrame, n_taps: int, modulus: float, step_size: float) -> Stream | DataFrame:
+def speculated(df: DataFrame, size: int, lanes: Callable, start=None, chunk: int = 4096, outputs: tuple[str, ...] = ("v",), ahead: int = 0) -> tuple[DataFrame, float]:
+    """A machine without small maps, run on all chunks at once from guessed states until the guesses hold.
+
+    ``lanes(states, samples, lengths) -> (outputs, states behind)`` steps many chunks side by side.  A
+    chunk's first guess is the state behind the chunk before it, run from ``start``.  Chunks
+    whose guess differs from what the chunk before now leaves run again, until none does: the
+    first chunk of a stream is right, so in the end all are, to the precision of doubles.
+    Returns the outputs and the share of chunks that ran again.
+    """
+    names = tuple(values(df))
+    begin = np.zeros(size) if start is None else np.asarray(start, float)
+    spread = halo(df, 0, ahead, chunk).drop("_own") if ahead else df.withColumn("_chunk", F.floor(F.col("pos") / chunk))
+    packed = spread.groupBy("stream_id", "_chunk").agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("_rows"))
+    packed = packed.filter(F.col("_rows")[0]["pos"] < (F.col("_chunk") + 1) * chunk)
+    chunks = stored(packed.select("stream_id", "_chunk", *(F.col(f"_rows.{c}").cast("array<double>").alias(c) for c in names)))
+    key = ["stream_id", "_chunk"]
+
+    def run(rows: DataFrame, full: bool) -> DataFrame:
+        """States behind each chunk from ``_state``; with ``full`` the outputs."""
+        kind = df.schema["stream_id"].dataType.simpleString()
+        schema = f"stream_id {kind}, _chunk long, " + (", ".join(f"{c} array<double>" for c in outputs) if full else "_end array<double>")
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, _LANES):
+                    own = batch.slice(lo, _LANES)
+                    arrays = [[x.values.to_numpy() for x in own.column(2 + i)] for i in range(len(names))]
+                    n = np.array([len(x) for x in arrays[0]])
+                    samples = [np.stack([np.pad(x, (0, n.max() - len(x))) for x in a]) for a in arrays]
+                    states = np.stack([x.values.to_numpy() for x in own.column(2 + len(names))]).astype(float)
+                    made, behind = lanes(states, samples, n)
+                    if full:
+                        last = np.clip(n - ahead, 0, chunk)
+                        lists = [pa.array([y[:m] for y, m in zip(o, last, strict=True)], pa.list_(pa.float64())) for o in made]
+                    else:
+                        lists = [pa.array(list(behind), pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *lists], names=["stream_id", "_chunk", *(outputs if full else ("_end",))])
+
+        return rows.select(*key, *names, "_state").mapInArrow(step, schema)
+
+    order = Window.partitionBy("stream_id").orderBy("_chunk")
+    first = F.array(*map(F.lit, begin.tolist())).cast("array<double>")
+    far = lambda a, b: F.exists(F.zip_with(a, b, lambda x, y: ~(F.abs(x - y) <= F.lit(_SAME) * (1 + F.abs(y)))), lambda z: F.coalesce(z, F.lit(True)))
+    # A first run from the start tells each chunk a state to begin with; all but the first chunks run again from it.
+    cold = stored(run(chunks.withColumn("_state", first), False))
+    guess = cold.withColumn("_state", F.coalesce(F.lag("_end").over(order), first)).drop("_end")
+    later = run(chunks.join(guess.filter("_chunk > 0"), key), False)
+    now = stored(guess.join(later.unionByName(cold.filter("_chunk = 0")), key))
+    total, again = now.count(), 0
+    while True:
+        next_ = now.withColumn("_left", F.coalesce(F.lag("_end").over(order), first))
+        wrong = stored(next_.filter(far(F.col("_state"), F.col("_left"))).select(*key, F.col("_left").alias("_state")))
+        n = wrong.count()
+        if not n:
+            break
+        again += n
+        fixed = wrong.join(run(chunks.join(wrong, key), False), key)
+        now = stored(now.join(wrong, key, "left_anti").unionByName(fixed))
+    made = run(chunks.join(now.drop("_end"), key), True)
+    rows = made.select(*key, F.posexplode(F.arrays_zip(*outputs)).alias("_k", "_z"))
+    out = rows.select("stream_id", (F.col("_chunk") * chunk + F.col("_k")).alias("pos"), *(F.col(f"_z.{c}").alias(c) for c in outputs))
+    return out, again / max(total, 1)
+
+
+def _clamped_lanes(head: float, back: list[float], least: float, most: float) -> Callable:
+    """Clamped recursive filters side by side; the latest output comes first in a state."""
+
+    def lanes(states: np.ndarray, samples: list[np.ndarray], n: np.ndarray):
+        (x,) = samples
+        k = len(back)
+        past = np.concatenate([states[:, ::-1], np.zeros_like(x)], 1)
+        for t in range(x.shape[1]):
+            y = head * x[:, t]
+            for j, c in enumerate(back, 1):
+                y = y + c * past[:, k + t - j]
+            past[:, k + t] = np.clip(y, least, most)
+        behind = np.stack([past[np.arange(len(n)), k + n - 1 - j] for j in range(k)], 1)
+        return [past[:, k:]], behind
+
+    return lanes
+
+
+def cma_equalizer(stream: Stream | DataFrame, n_taps: int, modulus: float, step_size: float, chunk: int = 4096) -> Stream | DataFrame:
     """Constant-modulus equaliser: taps adapt behind every output; N - T + 1 outputs.
 
     A Stream keeps the tags of positions that the output has.
     """
+    return equalized(stream, n_taps, modulus, step_size, chunk)[0]
+
+
+def equalized(stream: Stream | DataFrame, n_taps: int, modulus: float, step_size: float, chunk: int = 4096) -> tuple[Stream | DataFrame, float]:
+    """The equaliser's output, and the share of chunks whose taps were guessed wrong at first and ran again."""
     if n_taps < 1:
         raise ValueError("an equaliser needs taps")
     df = stream.df if isinstance(stream, Stream) else stream
-
-    def machine():
-        taps = np.zeros(n_taps, complex)
-        taps[0] = 1
-        state = {"rest": np.zeros(0, complex), "n": 0}
-
-        def step(re, im, end):
-            nonlocal taps
-            x = np.concatenate([state["rest"], re + 1j * im])
-            out = np.zeros(max(0, len(x) - n_taps + 1), complex)
-            for i in range(len(out)):
-                window = x[i : i + n_taps]
-                out[i] = taps @ window
-                taps = taps + step_size * (modulus - abs(out[i]) ** 2) * out[i] * window.conj()
-            state["rest"] = x[len(out) :]
-            first, state["n"] = state["n"], state["n"] + len(out)
-            return {"pos": np.arange(first, state["n"]), "re": out.real, "im": out.imag}
-
-        return step
-
-    out = sequential(df, ("re", "im"), machine, "pos long, re double, im double")
+    start = np.zeros(2 * n_taps)
+    start[0] = 1
+
+    def lanes(states: np.ndarray, samples: list[np.ndarray], n: np.ndarray):
+        x = samples[0] + 1j * samples[1]
+        taps = states[:, :n_taps] + 1j * states[:, n_taps:]
+        steps = np.clip(n - (n_taps - 1), 0, chunk)
+        out = np.zeros((len(n), max(int(steps.max(initial=0)), 0)), complex)
+        for t in range(out.shape[1]):
+            window = x[:, t : t + n_taps]
+            y = (taps * window).sum(1)
+            out[:, t] = y
+            moved = taps + (step_size * (modulus - np.abs(y) ** 2) * y)[:, None] * window.conj()
+            taps = np.where((t < steps)[:, None], moved, taps)
+        return [out.real, out.imag], np.concatenate([taps.real, taps.imag], 1)
+
+    out, share = speculated(df.select(*KEY, "re", "im"), 2 * n_taps, lanes, start, chunk, ("re", "im"), n_taps - 1)
     if not isinstance(stream, Stream):
-        return out
+        return out, share
     n_out = lengths(df).select("stream_id", (F.col("n") - (n_taps - 1)).alias("_n"))
     tags = stream.tags.join(n_out, "stream_id").filter("pos < _n").drop("_n") if stream.tags is not None else None
-    return Stream(out, tags)
+    return Stream(out, tags), share
 
 
 def quadrature_demod(df: DataFrame, gain: float = 1.0) -> DataFrame:

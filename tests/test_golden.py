@@ -471,3 +471,41 @@ def test_data_stream():
     with pytest.raises(ValueError):
         list(datastream.Packets().feed(b"\0\0\0\0"))
     assert [parse_frequency(x) for x in ("100k", "2_0M", "1.5g", "7")] == [100e3, 20e6, 1.5e9, 7.0]
+
+
+def _recursive(x, taps, least=-np.inf, most=np.inf):
+    y = []
+    for v in x:
+        own = taps[0] * v + sum(t * y[-k] for k, t in enumerate(taps[1:], 1) if len(y) >= k)
+        y.append(min(max(own, least), most))
+    return y
+
+
+@pytest.mark.parametrize(
+    "taps,least,most",
+    [
+        ([0.5], -1, 1), ([0.5, 0.9], -np.inf, np.inf), ([0.5, -0.9], -1, 1.5), ([1.0, 1.0], -2, 2), ([1.0, 0.0], -1, 1), ([1.0, -1.0], -np.inf, 3), ([0.3, 0.5, -0.3, 0.2], -np.inf, np.inf),
+        ([1.0, 1.6, -0.8], -np.inf, np.inf), ([1.0, 1.6, -0.8], -2, 2), ([1.0, 0.2, 0.1, 0.6], -1, 0.5), ([1.0, 2.0], -5, 5), ([1.0, 0.99, 0.01], -3, 3),
+    ],
+)
+def test_iir_in_chunks(spark, taps, least, most):
+    """Chunks of eight samples against the plain recursion; the last ones never forget, so all their chunks run again."""
+    x = np.random.RandomState(7).randn(70)
+    df = stream(spark, x).unionByName(stream(spark, x[:3], stream_id="t"))
+    got = filters.iir_filter(df, taps, least, most, chunk=8)
+    assert close(values(got.filter("stream_id = 's'"), "v"), _recursive(x, taps, least, most), 1e-9)
+    assert close(values(got.filter("stream_id = 't'"), "v"), _recursive(x[:3], taps, least, most), 1e-9)
+
+
+def test_cma_in_chunks(spark):
+    rnd = np.random.RandomState(3)
+    z = np.exp(0.5j * np.pi * rnd.randint(0, 4, 90)) + 0.1 * rnd.randn(90)
+    taps, want = np.array([1, 0, 0], complex), []
+    for i in range(88):
+        y = taps @ z[i : i + 3]
+        taps = taps + 0.01 * (1 - abs(y) ** 2) * y * z[i : i + 3].conj()
+        want.append(y)
+    got, share = filters.equalized(stream(spark, z), 3, 1.0, 0.01, chunk=16)
+    assert close(values(got, "re", "im"), want, 1e-9) and 0 < share
+    whole, none = filters.equalized(stream(spark, z), 3, 1.0, 0.01)
+    assert close(values(whole, "re", "im"), want, 1e-12) and none == 0
