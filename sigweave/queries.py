@@ -363,12 +363,12 @@ def iir_clamped(spark, d):
     return filters.iir_filter(ev(spark, d), [1.0, 0.9, -0.2], -200.0, 200.0)
 
 
-@query(f"""WITH RECURSIVE {EV}, y AS (SELECT stream_id, pos, greatest(least(0.47123 * v, 60), 5) AS y FROM ev WHERE pos = 0
-UNION ALL SELECT e.stream_id, e.pos, greatest(least(0.47123 * e.v - 0.78539 * y.y, 60), 5) FROM y JOIN ev e ON e.stream_id = y.stream_id AND e.pos = y.pos + 1)
+@query(f"""WITH RECURSIVE {EV}, y AS (SELECT stream_id, pos, greatest(least(0.47123889803 * v, 60), 5) AS y FROM ev WHERE pos = 0
+UNION ALL SELECT e.stream_id, e.pos, greatest(least(0.47123889803 * e.v - 0.78539816339 * y.y, 60), 5) FROM y JOIN ev e ON e.stream_id = y.stream_id AND e.pos = y.pos + 1)
 SELECT stream_id, pos, {_r('y')} AS v FROM y""")
 def iir_clamped_pole(spark, d):
     """One feedback tap, clamped: a scan over clamped maps."""
-    return filters.iir_filter(ev(spark, d), [0.47123, -0.78539], 5.0, 60.0)
+    return filters.iir_filter(ev(spark, d), [0.47123889803, -0.78539816339], 5.0, 60.0)
 
 
 @query(f"""WITH RECURSIVE {EV}, y AS (SELECT stream_id, pos, 0.31831 * v AS y, 0.0::DOUBLE AS y1, 0.0::DOUBLE AS y2 FROM ev WHERE pos = 0
