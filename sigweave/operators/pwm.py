@@ -112,6 +112,33 @@ class _Frames:
         self.seen = {}
 
 
+class Pulses:
+    """Walks level changes: a pulse is known when the next one rises, or at the stream's end."""
+
+    def __init__(self, settings: PwmSettings):
+        self.frames = _Frames(settings)
+        self.rise, self.fall, self.n = None, None, 0
+
+    def edge(self, pos: int, high: bool) -> None:
+        if not high:
+            self.fall = pos
+            return
+        if self.rise is not None:
+            self.frames.pulse(self.fall - self.rise, self.rise, pos - self.fall)
+        self.rise, self.fall = pos, None
+
+    def end(self, size: int) -> None:
+        """After ``size`` samples; a gap that is long enough ends a frame, however long it would get."""
+        if self.rise is not None and self.fall is not None and size - self.fall >= self.frames.s.frame_gap:
+            self.frames.pulse(self.fall - self.rise, self.rise, size - self.fall)
+        self.frames.reset()
+
+    def taken(self) -> dict[str, list]:
+        made, self.frames.out = self.frames.out, []
+        first, self.n = self.n, self.n + len(made)
+        return {"pdu_idx": list(range(first, self.n)), "bits": [m[0] for m in made], "repeats": [m[1] for m in made], "first_sample": [m[2] for m in made]}
+
+
 def pwm_decoder(df: DataFrame, settings: PwmSettings) -> DataFrame:
     """Power samples to frames (stream_id, pdu_idx, bits, repeats, first_sample), given when their transmission ends.
 
@@ -128,26 +155,15 @@ def pwm_decoder(df: DataFrame, settings: PwmSettings) -> DataFrame:
     )
 
     def machine():
-        own = _Frames(settings)
-        state = {"rise": None, "fall": None, "n": 0}
+        own = Pulses(settings)
 
         def step(pos, high, was, last, end):
             for p, h, w, is_last in zip(pos.tolist(), high.tolist(), was.tolist(), last.tolist(), strict=True):
-                if h and not w:
-                    if state["rise"] is not None:
-                        own.pulse(state["fall"] - state["rise"], state["rise"], p - state["fall"])
-                    state.update(rise=p, fall=None)
-                elif w and not h:
-                    state["fall"] = p
+                if h != w:
+                    own.edge(p, bool(h))
                 if is_last:
-                    if state["rise"] is not None and state["fall"] is not None:
-                        gap = p + 1 - state["fall"]
-                        if gap >= settings.frame_gap:
-                            own.pulse(state["fall"] - state["rise"], state["rise"], gap)
-                    own.reset()
-            made, own.out = own.out, []
-            first, state["n"] = state["n"], state["n"] + len(made)
-            return {"pdu_idx": list(range(first, state["n"])), "bits": [m[0] for m in made], "repeats": [m[1] for m in made], "first_sample": [m[2] for m in made]}
+                    own.end(p + 1)
+            return own.taken()
 
         return step
 

@@ -1,10 +1,15 @@
 """Structured Streaming versions: per-stream state across micro-batches.
 
-Rows of a micro-batch may come in any order, so each state machine sorts them, holds back
-rows behind a gap, and drops and counts rows that come again (pos below the next one).  The
-same machines as in batch run inside ``applyInPandasWithState``; the state is the pickled
-machine with the rows held back, and its size is bounded by the machine's own limits plus
-``MAX_HELD`` rows.
+Rows of a micro-batch may come in any order.  State is kept by ``transformWithState``: a value
+with the next position and counts, a value with the registers of the stream's machine, and a
+map of the segments that wait behind a gap (first position to arrays), of which only those that
+come or go are written.  Rows that come again (below the next position) are dropped and counted.
+With ``idle_ms`` a timer ends a stream that was silent so long: its machine gives what it
+still has, and all its state is deleted.  ``ttl_ms`` lets state expire that isn't touched at all.
+
+State lives in RocksDB, which ``transformWithState`` needs; a session without that setting gets it.
+Machines are the ones of the batch operators where those have any; each is picklable and
+bounded by its own limits, and at most ``MAX_HELD`` rows wait for a missing position.
 """
 
 from __future__ import annotations
@@ -12,64 +17,123 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-MAX_HELD = 1_000_000
-
-
-class Ordered:
-    """Positions in order: gives the run of rows that continues the stream and keeps the rest."""
+from ..model import KEY, tag_value
 
-    def __init__(self, columns: tuple[str, ...]):
-        self.columns, self.next, self.late = columns, 0, 0
-        self.held = pd.DataFrame({c: [] for c in ("pos", *columns)})
-
-    def take(self, rows: pd.DataFrame) -> pd.DataFrame:
-        every = pd.concat([self.held, rows[["pos", *self.columns]]]) if len(self.held) else rows[["pos", *self.columns]]
-        fresh = every[every["pos"] >= self.next].drop_duplicates("pos").sort_values("pos")
-        self.late += len(every) - len(fresh)
-        run = int((fresh["pos"].to_numpy() == self.next + np.arange(len(fresh))).argmin()) if len(fresh) else 0
-        if len(fresh) and (fresh["pos"].to_numpy() == self.next + np.arange(len(fresh))).all():
-            run = len(fresh)
-        if len(fresh) - run > MAX_HELD:
+MAX_HELD = 1_000_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Streams(StatefulProcessor):
+    """Feeds each stream's machine the rows that continue it."""
+
+    def __init__(self, columns: tuple[str, ...], machine: Callable[[], object], fields: list[str], idle_ms: int | None, ttl_ms: int | None):
+        self.columns, self.machine, self.fields, self.idle_ms, self.ttl_ms = columns, machine, fields, idle_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "next long, late long, held long", self.ttl_ms)
+        self.registers = handle.getValueState("registers", "machine binary", self.ttl_ms)
+        self.waiting = handle.getMapState("waiting", "first long", ", ".join(f"{c} array<double>" for c in self.columns), self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))
+        nxt, late, held = self.place.get() if self.place.exists() else (0, 0, 0)
+        own = pickle.loads(self.registers.get()[0]) if self.registers.exists() else self.machine()
+        fresh = frame[frame["pos"] >= nxt].drop_duplicates("pos").sort_values("pos")
+        late += len(frame) - len(fresh)
+        pos = fresh["pos"].to_numpy()
+        values = [fresh[c].to_numpy().astype(float) for c in self.columns]
+        edges = [0, *(np.flatnonzero(np.diff(pos) != 1) + 1).tolist(), len(pos)] if len(pos) else [0]
+        for lo, hi in pairwise(edges):
+            first, part = int(pos[lo]), [v[lo:hi] for v in values]
+            if first <= nxt:  # later segments start behind
+                yield from self.fed(key, own, first, part)
+                nxt = first + hi - lo
+            else:
+                held += self.hold(first, part)
+        if held:
+            for first in sorted(k[0] for k in self.waiting.keys()):
+                if first > nxt:
+                    break
+                part = [np.asarray(v, float)[nxt - first :] for v in self.waiting.getValue((first,))]
+                held -= len(part[0]) + nxt - first
+                self.waiting.removeKey((first,))
+                if len(part[0]):
+                    yield from self.fed(key, own, nxt, part)
+                    nxt += len(part[0])
+        if held > MAX_HELD:
             raise ValueError("too many rows wait for a missing position")
-        self.held = fresh.iloc[run:]
-        self.next += run
-        return fresh.iloc[:run]
-
-
-def stateful(df: DataFrame, columns: tuple[str, ...], machine: Callable[[], object], schema: str, fields: list[str]) -> DataFrame:
-    """Run a picklable machine with ``feed(pos, *columns) -> dict`` over every stream of a streaming DataFrame."""
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        order, own = pickle.loads(state.get[0]) if state.exists else (Ordered(columns), machine())
-        for frame in frames:
-            rows = order.take(frame)
-            if len(rows):
-                made = own.feed(rows["pos"].to_numpy(), *(rows[c].to_numpy() for c in columns))
-                n = len(next(iter(made.values())))
-                yield pd.DataFrame({"stream_id": pd.Series([key[0]] * n, dtype=object)} | made)[["stream_id", *fields]]
-        state.update((pickle.dumps((order, own)),))
-
+        self.place.update((nxt, late, held))
+        self.registers.update((pickle.dumps(own),))
+        if self.idle_ms is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def hold(self, first: int, part: list[np.ndarray]) -> int:
+        """Keep a segment; of two with the same start the longer."""
+        before = len(self.waiting.getValue((first,))[0]) if self.waiting.containsKey((first,)) else 0
+        if len(part[0]) <= before:
+            return 0
+        self.waiting.updateValue((first,), tuple(v.tolist() for v in part))
+        return len(part[0]) - before
+
+    def fed(self, key, own, first: int, part: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        yield from self.rows(key, own.feed(first + np.arange(len(part[0])), *part))
+
+    def rows(self, key, made: dict) -> Iterator[pd.DataFrame]:
+        n = len(next(iter(made.values())))
+        if n:
+            yield pd.DataFrame({"stream_id": pd.Series([key[0]] * n, dtype=object)} | made)[["stream_id", *self.fields]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        own = pickle.loads(self.registers.get()[0]) if self.registers.exists() else None
+        if own is not None and hasattr(own, "end"):
+            yield from self.rows(key, own.end())
+        for state in (self.place, self.registers, self.waiting):
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stateful(df: DataFrame, columns: tuple[str, ...], machine: Callable[[], object], schema: str, fields: list[str], idle_ms: int | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """Run a picklable machine with ``feed(pos, *columns) -> dict`` (and, on demand, ``end() -> dict``) over every stream of a streaming DataFrame."""
+    conf = df.sparkSession.conf
+    if "RocksDB" not in conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = df.schema["stream_id"].dataType.simpleString()
-    return df.groupBy("stream_id").applyInPandasWithState(
-        step, f"stream_id {kind}, {schema}", "machine binary", "append", GroupStateTimeout.NoTimeout
+    mode = "None" if idle_ms is None and ttl_ms is None else "ProcessingTime"
+    return df.select(*KEY, *columns).groupBy("stream_id").transformWithStateInPandas(
+        _Streams(columns, machine, fields, idle_ms, ttl_ms), f"stream_id {kind}, {schema}", "append", mode
     )
 
 
+def _decayed(x: np.ndarray, decay: float, before: float) -> np.ndarray:
+    """y[n] = x[n] + decay * y[n - 1] by doubling steps."""
+    y, reach, d = x.copy(), 1, decay
+    y[0] += decay * before
+    while reach < len(y) and d != 0:
+        y[reach:] = y[reach:] + d * y[:-reach]
+        reach, d = reach * 2, d * d
+    return y
+
+
 class SinglePole:
     def __init__(self, alpha: float):
         self.alpha, self.y = alpha, 0.0
 
     def feed(self, pos, v):
-        out = np.empty(len(v))
-        for i, x in enumerate(v):
-            self.y = out[i] = self.alpha * x + (1 - self.alpha) * self.y
+        out = _decayed(self.alpha * np.asarray(v, float), 1 - self.alpha, self.y)
+        self.y = float(out[-1])
         return {"pos": pos, "v": out}
 
 
@@ -224,6 +288,138 @@ class Kiss:
         return {"pdu_idx": list(range(first, self.n)), "data": frames}
 
 
+class IqBalance:
+    """Samples less their running mean, which takes them in first."""
+
+    def __init__(self, alpha: float):
+        self.alpha, self.re, self.im = alpha, 0.0, 0.0
+
+    def feed(self, pos, re, im):
+        mr, mi = (_decayed(self.alpha * np.asarray(x, float), 1 - self.alpha, y) for x, y in ((re, self.re), (im, self.im)))
+        self.re, self.im = float(mr[-1]), float(mi[-1])
+        return {"pos": pos, "re": re - mr, "im": im - mi}
+
+
+class Vco:
+    def __init__(self, k: float):
+        self.k, self.phase = k, 0.0
+
+    def feed(self, pos, v):
+        phase = self.phase + np.cumsum(self.k * np.asarray(v, float))
+        self.phase = float(phase[-1])
+        return {"pos": pos, "re": np.sin(phase), "im": np.cos(phase)}
+
+
+class Descrambler:
+    """Bits xor the masked ones before them; the seed stands for those before the start."""
+
+    def __init__(self, mask: int, seed: int, length: int):
+        self.lags = [length + 1 - b for b in range(64) if mask >> b & 1]
+        self.past = np.array([seed >> i & 1 for i in range(length + 1)], np.int8)
+
+    def feed(self, pos, bit):
+        x = np.concatenate([self.past, np.asarray(bit).astype(np.int8)])
+        reach, out = len(self.past), x[len(self.past) :].copy()
+        for k in self.lags:
+            out ^= x[reach - k : len(x) - k]
+        self.past = x[len(x) - reach :]
+        return {"pos": pos, "bit": out}
+
+
+class Correlator:
+    """Distance of the last bits to a code, once there are enough."""
+
+    def __init__(self, code: list[int], allowed: int, tags: bool):
+        if not code:
+            raise ValueError("an access code needs bits")
+        self.code, self.allowed, self.tags, self.past = np.array(code, np.int8), allowed, tags, np.zeros(0, np.int8)
+
+    def feed(self, pos, bit):
+        x = np.concatenate([self.past, np.asarray(bit).astype(np.int8)])
+        size = len(self.code)
+        far = np.full(len(bit), size + self.allowed + 1)
+        if len(x) >= size:
+            near = (np.lib.stride_tricks.sliding_window_view(x, size) != self.code).sum(1)
+            far[len(far) - len(near) :] = near
+        self.past = x[max(0, len(x) - size + 1) :] if size > 1 else x[:0]
+        hit = far <= self.allowed
+        return {"pos": np.asarray(pos)[hit], "distance": far[hit]} if self.tags else {"pos": pos, "bit": hit.astype(np.int8)}
+
+
+class ZeroCrossing:
+    """Grid points behind the last sign change before each sample."""
+
+    def __init__(self, sps: float):
+        self.sps, self.high, self.at, self.n = float(sps), False, -1, 0
+
+    def feed(self, pos, v):
+        pos, high = np.asarray(pos), np.asarray(v, float) > 0
+        changed = high != np.concatenate([[self.high], high[:-1]])
+        upto = np.maximum.accumulate(np.concatenate([[self.at], np.where(changed, pos, -1)]))
+        at, self.at, self.high = upto[:-1], int(upto[-1]), bool(high[-1])
+        middle = np.maximum(at, 0) + self.sps / 2
+        j = np.ceil((pos - middle) / self.sps)
+        picked = (j >= 0) & (np.floor(middle + j * self.sps) == pos) & ((at < 0) | (self.sps >= 2))
+        first, self.n = self.n, self.n + int(picked.sum())
+        return {"pos": np.arange(first, self.n), "v": np.asarray(v, float)[picked]}
+
+
+class Chunks:
+    """Packets of ``size`` samples, each the mean of ``n`` such packets."""
+
+    def __init__(self, size: int, n: int = 1):
+        self.size, self.n, self.rest, self.done = size, n, np.zeros(0), 0
+
+    def feed(self, pos, v):
+        x = np.concatenate([self.rest, np.asarray(v, float)])
+        whole = len(x) // (self.size * self.n)
+        used = whole * self.size * self.n
+        self.rest = x[used:]
+        mean = x[:used].reshape(whole, self.n, self.size).mean(1) if whole else np.zeros((0, self.size))
+        first, self.done = self.done, self.done + whole
+        return {"pdu_idx": np.arange(first, self.done), "data": mean.tolist()}
+
+
+class FftFrames:
+    """Transforms of every ``size`` complex samples, flattened."""
+
+    def __init__(self, size: int):
+        self.size, self.rest, self.done = size, np.zeros(0, complex), 0
+
+    def feed(self, pos, re, im):
+        z = np.concatenate([self.rest, np.asarray(re) + 1j * np.asarray(im)])
+        used = len(z) // self.size * self.size
+        y = np.fft.fft(z[:used].reshape(-1, self.size), axis=1).ravel() if used else np.zeros(0, complex)
+        self.rest = z[used:]
+        first, self.done = self.done, self.done + used
+        return {"pos": np.arange(first, self.done), "re": y.real, "im": y.imag}
+
+
+class Pwm:
+    """Level changes under hysteresis, walked by the batch operator's machine."""
+
+    def __init__(self, settings):
+        from ..operators.pwm import Pulses
+
+        settings.check()
+        self.s, self.own, self.high, self.size = settings, Pulses(settings), False, 0
+
+    def feed(self, pos, v):
+        v = np.asarray(v, float)
+        told = np.where(v > self.s.high_threshold, 1, np.where((v < self.s.low) | np.isnan(v), 0, -1))
+        known = np.maximum.accumulate(np.where(told >= 0, np.arange(len(v)), -1))
+        level = np.where(known >= 0, told[np.maximum(known, 0)], int(self.high)).astype(bool)
+        for i in np.flatnonzero(level != np.concatenate([[self.high], level[:-1]])).tolist():
+            self.own.edge(int(pos[i]), bool(level[i]))
+        self.high, self.size = bool(level[-1]), int(pos[-1]) + 1
+        return self.own.taken()
+
+    def end(self):
+        """The stream is over: what is complete is given."""
+        self.own.end(self.size)
+        return self.own.taken()
+
+
 def single_pole_iir(df: DataFrame, alpha: float) -> DataFrame:
     return stateful(df, ("v",), lambda: SinglePole(alpha), "pos long, v double", ["pos", "v"])
 
@@ -236,8 +432,8 @@ def nrzi_decode(df: DataFrame) -> DataFrame:
     return stateful(df, ("bit",), Nrzi, "pos long, bit byte", ["pos", "bit"])
 
 
-def burst_edges(df: DataFrame, threshold: float) -> DataFrame:
-    return stateful(df, ("v",), lambda: Bursts(threshold), "pos long, high boolean", ["pos", "high"])
+def burst_edges(df: DataFrame, threshold: float, column: str = "v") -> DataFrame:
+    return stateful(df, (column,), lambda: Bursts(threshold), "pos long, high boolean", ["pos", "high"])
 
 
 def hdlc_deframer(df: DataFrame, min_size: int, max_size: int) -> DataFrame:
@@ -265,6 +461,99 @@ def kiss_frame(df: DataFrame) -> DataFrame:
     return stateful(df, ("b",), Kiss, "pdu_idx long, data binary", ["pdu_idx", "data"])
 
 
+def iq_balance(df: DataFrame, alpha: float, **kept) -> DataFrame:
+    return stateful(df, ("re", "im"), lambda: IqBalance(alpha), "pos long, re double, im double", ["pos", "re", "im"], **kept)
+
+
+def vco(df: DataFrame, k: float, **kept) -> DataFrame:
+    return stateful(df, ("v",), lambda: Vco(k), "pos long, re double, im double", ["pos", "re", "im"], **kept)
+
+
+def descrambler(df: DataFrame, mask: int = 0x21, seed: int = 0, length: int = 16, **kept) -> DataFrame:
+    return stateful(df, ("bit",), lambda: Descrambler(mask, seed, length), "pos long, bit byte", ["pos", "bit"], **kept)
+
+
+def correlate_access_code(df: DataFrame, code: list[int], allowed: int = 0, **kept) -> DataFrame:
+    return stateful(df, ("bit",), lambda: Correlator(code, allowed, False), "pos long, bit byte", ["pos", "bit"], **kept)
+
+
+def correlate_access_code_tag(df: DataFrame, code: list[int], key: str, allowed: int = 0, **kept) -> DataFrame:
+    """Tags (stream_id, pos, key, val) on the last bit of each match."""
+    found = stateful(df, ("bit",), lambda: Correlator(code, allowed, True), "pos long, distance long", ["pos", "distance"], **kept)
+    return found.select(*KEY, F.lit(key).alias("key"), tag_value("u", F.col("distance")).alias("val"))
+
+
+def zero_crossing(df: DataFrame, sps: float, **kept) -> DataFrame:
+    return stateful(df, ("v",), lambda: ZeroCrossing(sps), "pos long, v double", ["pos", "v"], **kept)
+
+
+def stream_chunks(df: DataFrame, size: int, **kept) -> DataFrame:
+    return stateful(df, ("v",), lambda: Chunks(size), "pdu_idx long, data array<double>", ["pdu_idx", "data"], **kept)
+
+
+def pdu_average(pdus: DataFrame, n: int, size: int, **kept) -> DataFrame:
+    """Mean of every n packets (stream_id, pdu_idx, data) of ``size`` values; another length is an error."""
+    right = F.when(F.size("data") == size, F.col("data")).otherwise(F.raise_error(F.lit(f"a packet is not of size {size}")).cast("array<double>"))
+    rows = pdus.select("stream_id", "pdu_idx", F.posexplode(right).alias("_k", "v"))
+    rows = rows.select("stream_id", (F.col("pdu_idx") * size + F.col("_k")).alias("pos"), "v")
+    return stateful(rows, ("v",), lambda: Chunks(size, n), "pdu_idx long, data array<double>", ["pdu_idx", "data"], **kept)
+
+
+def fft_stream(df: DataFrame, size: int, **kept) -> DataFrame:
+    return stateful(df, ("re", "im"), lambda: FftFrames(size), "pos long, re double, im double", ["pos", "re", "im"], **kept)
+
+
+def pwm_decoder(df: DataFrame, settings, **kept) -> DataFrame:
+    """Frames when their transmission ends; with ``idle_ms`` also those of a stream that fell silent."""
+    return stateful(df, ("v",), lambda: Pwm(settings), "pdu_idx long, bits array<byte>, repeats int, first_sample long", ["pdu_idx", "bits", "repeats", "first_sample"], **kept)
+
+
+# Zips: joins of two live streams on (stream_id, pos).
+
+
+def zip_streams(a: DataFrame, b: DataFrame, ts: str = "ts", late: str = "10 seconds", apart: str = "1 minute", suffix: str = "_2") -> DataFrame:
+    """Samples of both streams at the same position, whichever comes first.
+
+    Both have an event time ``ts``.  Rows of one position lie at most ``apart`` from each other,
+    so once the watermark (``late`` behind the newest time of the slower source) has passed that far beyond a row, matched
+    or not, its state is dropped.  The result keeps the first stream's time.
+    """
+    mine = [c for c in a.columns if c not in (*KEY, ts)]
+    theirs = {c: c + suffix if c in mine else c for c in b.columns if c not in (*KEY, ts)}
+    left = a.withWatermark(ts, late)
+    right = b.select(F.col("stream_id").alias("_s"), F.col("pos").alias("_p"), F.col(ts).alias("_ts"), *(F.col(c).alias(n) for c, n in theirs.items())).withWatermark("_ts", late)
+    near = F.expr(f"_ts BETWEEN {ts} - INTERVAL {apart} AND {ts} + INTERVAL {apart}")
+    both = left.join(right, (F.col("stream_id") == F.col("_s")) & (F.col("pos") == F.col("_p")) & near)
+    return both.select(*KEY, ts, *mine, *theirs.values())
+
+
+def _zipped(a: DataFrame, b: DataFrame, made: dict[str, Column], options: dict) -> DataFrame:
+    return zip_streams(a, b, **options).select(*KEY, *(c.alias(n) for n, c in made.items()))
+
+
+def add(a: DataFrame, b: DataFrame, **options) -> DataFrame:
+    names = [c for c in ("v", "re", "im") if c in a.columns]
+    return _zipped(a, b, {c: F.col(c) + F.col(f"{c}_2") for c in names}, options)
+
+
+def xor(a: DataFrame, b: DataFrame, **options) -> DataFrame:
+    return _zipped(a, b, {"bit": F.col("bit").bitwiseXOR(F.col("bit_2"))}, options)
+
+
+def float_to_complex(re: DataFrame, im: DataFrame, **options) -> DataFrame:
+    return _zipped(re, im, {"re": F.col("v"), "im": F.col("v_2")}, options)
+
+
+def to_text(a: DataFrame, b: DataFrame, **options) -> DataFrame:
+    """Lines of both values with a space between."""
+    return _zipped(a, b, {"line": F.concat_ws(" ", F.col("v").cast("string"), F.col("v_2").cast("string"))}, options)
+
+
+def triggered(data: DataFrame, trigger: DataFrame, **options) -> DataFrame:
+    """Samples with the trigger at their position, as ``stream_to_pdu`` and ``burst_edges`` take them."""
+    return _zipped(data, trigger, {"v": F.col("v"), "trigger": F.col("v_2")}, options)
+
+
 def strobe(spark: SparkSession, data: str, per_second: int = 1, stream_id: str = "strobe") -> DataFrame:
     """The same message at a fixed rate."""
     rate = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
