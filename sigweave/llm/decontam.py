@@ -3,18 +3,21 @@
 Words are lower-cased runs of ASCII letters, digits and non-ASCII characters.  Both
 sides keep the (rightmost) minimum k-gram hash of every window of ``WINDOW`` k-grams, so
 every shared span of at least ``SPAN`` = K + WINDOW - 1 words has a kept fingerprint at
-the same place on both sides.  A fingerprint carries its context: the hashes of the words
-that some span around it can hold.  Document and benchmark fingerprints are joined, and
-a joined pair is extended while its contexts agree; SPAN equal words or more are a hit.
-Items shorter than SPAN words are fingerprints of all their words.
+the same place on both sides.  A fingerprint is extended to the spans of SPAN words whose
+minimum it is, each with a digest of its words (``Prints.spans``).  Fingerprints with their spans are
+joined; equal digests are hits, and hits that follow each other are longer shared spans.
+Items shorter than SPAN words are one span of all their words.
 
 Scale.  One narrow pass over the documents makes fingerprints; a bitmap of fixed size over
 the benchmark's fingerprints (``bitmap``) lets few others through, and an equi-join on
-fingerprints decides, so neither side is ever collected.  Equal fingerprints with equal
-contexts are one row with all their places, on both sides, so a text of one repeated
-word is a few rows.  A text that many documents share is joined once, by its digest.  A
-benchmark so large that the bitmap fills up only sends more document fingerprints (two
-in seven words, about 100 bytes each) through the shuffle of the join.
+fingerprint and digest decides, so neither side is ever collected.  Items are grouped before the join:
+a span is one row with the class of items that hold it, however many those are, so a document
+meets each of its spans once.  The items of a document are looked up at the end, by its set of
+classes, once for all documents with the same set.  Equal spans of a text are one row with all their places, so a
+text of one repeated word is a few rows.  A text that many documents share is joined once, by its digest.  A
+benchmark so large that the bitmap fills up only sends more spans (about one for each
+word, 40 bytes each) through the shuffle of the join.  The list of a span's items is held
+in one row, so it is bounded by the number of items in the benchmark.
 
 Defined cases: a null or empty text has no words and no hits; an item without words
 never occurs; a null item_id is written as an empty string; repeated items with one id
@@ -38,12 +41,13 @@ from .textbytes import ALNUM, Words, grams, mix, slices, text_bytes, whole
 SPAN = 13
 K = 8
 WINDOW = SPAN - K + 1
-_FOUND = "array<struct<key:long,n:int,context:binary,places:array<int>>>"
-_FOUND_ARROW = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32()), ("context", pa.binary()), ("places", pa.list_(pa.int32()))]))
+_SPAN_ROW = "key:long,n:int,w1:long,w2:long"
+_FOUND = f"array<struct<{_SPAN_ROW},places:array<int>>>"
+_FOUND_ARROW = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("places", pa.list_(pa.int32()))]))
 
 
-def winnow(hashes: np.ndarray, text_of_word: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the k-grams that are the rightmost minimum of some window inside one text."""
+def minima(hashes: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of k-grams the rightmost place of the least one, and that k-gram's hash."""
     g = grams(hashes, k)
     n = len(g) - window + 1
     if n <= 0:
@@ -53,86 +57,89 @@ def winnow(hashes: np.ndarray, text_of_word: np.ndarray, k: int = K, window: int
         lower = g[j : j + n] <= least
         which[lower] = j
         np.minimum(least, g[j : j + n], out=least)
-    kept = np.zeros(len(g), bool)
-    kept[(np.arange(n) + which)[whole(text_of_word, k + window - 1)]] = True
-    at = np.flatnonzero(kept)
-    return at, g[at]
+    return np.arange(n) + which, least
 
 
-class Fingerprints:
-    """Fingerprints with their contexts of a few texts; ``outside`` fills contexts beyond a text's borders."""
+def winnow(hashes: np.ndarray, text_of_word: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the k-grams that are the rightmost minimum of some window inside one text."""
+    place, _ = minima(hashes, k, window)
+    at = np.unique(place[whole(text_of_word, k + window - 1)])
+    return at, grams(hashes, k)[at] if len(at) else np.zeros(0, np.uint64)
 
-    def __init__(self, texts: list[bytes], outside: int):
+
+class Prints:
+    """Fingerprints of a few texts, extended to spans."""
+
+    def __init__(self, texts: list[bytes]):
         words = Words(texts, ALNUM, lower=True)
         self.first, self.counts, self.hashes, self.text = words.first, words.counts, words.hashes(), words.text_of_word()
-        self.outside = outside
+        self.other = mix(self.hashes ^ np.uint64(0xD1B54A32D192ED03))
 
-    def long(self, span: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        return winnow(self.hashes, self.text, k, span - k + 1)
+    def spans(self, n: int, span: int, k: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Place and fingerprint of every span of n words inside a text (of the texts ``only``).
 
-    def short(self, n: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All n-grams (of the texts ``only``), by a hash of their words and n."""
+        A whole span's fingerprint is its winnowed k-gram, a shorter one's a hash of its words and n.
+        """
         at = np.flatnonzero(whole(self.text, n))
         if only is not None:
             at = at[only[self.text[at]]]
+        if n == span:
+            return at, minima(self.hashes, k, span - k + 1)[1][at]
         return at, mix(grams(self.hashes, n)[at] + np.uint64(n))
 
-    def contexts(self, at: np.ndarray, before: int, behind: int) -> np.ndarray:
-        """32-bit word hashes from ``before`` words before each place to ``behind`` words from it."""
-        take = at[:, None] + np.arange(-before, behind)
-        text = self.text[at][:, None]
-        inside = (take >= self.first[text]) & (take < self.first[text + 1])
-        value = (self.hashes[np.clip(take, 0, len(self.hashes) - 1)] >> np.uint64(32)).astype(np.uint32)
-        return np.where(inside, value, np.uint32(self.outside))
-
-    def rows(self, at: np.ndarray, keys: np.ndarray, n: int, span: int, k: int) -> Iterator[tuple[int, dict]]:
-        """(text, fingerprint) with the places of each distinct fingerprint and context."""
-        for lo in range(0, len(at), 1 << 16):  # a bounded number of contexts at a time
-            part, key = at[lo : lo + (1 << 16)], keys[lo : lo + (1 << 16)]
-            context = self.contexts(part, 0, n) if n else self.contexts(part, span - k, span)
-            record = np.concatenate([self.text[part].astype(np.int64)[:, None].view(np.uint32), key[:, None].view(np.uint32), context], 1)
-            record = np.ascontiguousarray(record).view(np.dtype((np.void, record.shape[1] * 4)))[:, 0]
-            _, one, same = np.unique(record, return_index=True, return_inverse=True)
-            order = np.argsort(same, kind="stable")
-            places = np.split((part - self.first[self.text[part]])[order].astype(np.int32), np.cumsum(np.bincount(same))[:-1])
-            for i, own in zip(one, places, strict=True):
-                yield int(self.text[part[i]]), {"key": int(key[i].astype(np.int64)), "n": n, "context": context[i].tobytes(), "places": own}
+    def rows(self, at: np.ndarray, keys: np.ndarray, n: int) -> Iterator[tuple[int, dict]]:
+        """(text, span) with the places of each distinct span of a text; a digest has 128 bits."""
+        if not len(at):
+            return
+        digest = [grams(h, n)[at].astype(np.int64) for h in (self.hashes, self.other)]
+        text = self.text[at]
+        order = np.lexsort((at, digest[1], digest[0], text))
+        new = np.zeros(len(at), bool)
+        for x in (text, *digest):
+            own = x[order]
+            new |= np.concatenate([[True], own[1:] != own[:-1]])
+        place = (at - self.first[text])[order].astype(np.int32)
+        edges = np.append(np.flatnonzero(new), len(at)).tolist()
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            i = order[lo]
+            row = {"key": int(keys[i].astype(np.int64)), "n": n, "w1": int(digest[0][i]), "w2": int(digest[1][i]), "places": place[lo:hi]}
+            yield int(text[i]), row
 
 
 def _items(span: int, k: int) -> Callable:
-    """(item_id, text) of the benchmark to (item_id, key, n, context); n is 0 for windows of a whole span."""
+    """(item_id, text) of the benchmark to (item_id, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
             out: list[tuple] = []
             for lo, hi in slices(texts):
-                prints = Fingerprints(texts[lo:hi], 1)
-                found = [(0, *prints.long(span, k))]
-                found += [(n, *prints.short(n, prints.counts == n)) for n in np.unique(prints.counts).tolist() if 0 < n < span]
-                for n, at, keys in found:
-                    out += [(ids[lo + t], r["key"], n, r["context"]) for t, r in prints.rows(at, keys, n, span, k)]
-            columns = list(zip(*out, strict=True)) if out else ([], [], [], [])
-            types = (pa.string(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["item_id", "key", "n", "item_context"])
+                prints = Prints(texts[lo:hi])
+                sizes = [span, *(n for n in np.unique(prints.counts).tolist() if 0 < n < span)]
+                for n in sizes:
+                    for t, r in prints.rows(*prints.spans(n, span, k, None if n == span else prints.counts == n), n):
+                        out.append((ids[lo + t], r["key"], n, r["w1"], r["w2"]))
+            columns = list(zip(*out, strict=True)) if out else ([],) * 5
+            types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["item_id", "key", "n", "w1", "w2"])
 
     return run
 
 
 def _documents(words, sizes: list[int], n_keep: int, span: int, k: int, names: list[str]) -> Callable:
-    """(kept columns, rid, text) to (kept columns, rid, n_words, fingerprints that the bitmap knows)."""
+    """(kept columns, rid, text) to (kept columns, rid, n_words, spans whose fingerprints the bitmap knows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(n_keep + 1))
             n_words, found = np.zeros(len(texts), np.int64), [[] for _ in texts]
             for lo, hi in slices(texts):
-                prints = Fingerprints(texts[lo:hi], 0)
+                prints = Prints(texts[lo:hi])
                 n_words[lo:hi] = prints.counts
-                for n in [0, *sizes]:
-                    at, keys = prints.short(n) if n else prints.long(span, k)
+                for n in [span, *sizes]:
+                    at, keys = prints.spans(n, span, k)
                     near = passing(words.value, keys)
-                    for t, r in prints.rows(at[near], keys[near], n, span, k):
+                    for t, r in prints.rows(at[near], keys[near], n):
                         found[lo + t].append(r)
             arrays = [*batch.columns[: n_keep + 1], pa.array(n_words), pa.array(found, _FOUND_ARROW)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -140,45 +147,18 @@ def _documents(words, sizes: list[int], n_keep: int, span: int, k: int, names: l
     return run
 
 
-def _extended(span: int, k: int) -> Callable:
-    """Joined fingerprints (rid, item_id, n, context, item_context, places) to hits (rid, item_id, a, b, places).
-
-    Words a to b (exclusive) from each place are equal in document and item.
-    """
-    reach = span - k
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column(2).to_numpy()
-            own, item = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            a, b = np.zeros(len(n), np.int32), n.astype(np.int32)
-            ok = np.array([x == y for x, y in zip(own, item, strict=True)], bool)
-            long = np.flatnonzero(n == 0)
-            if len(long):
-                equal = np.frombuffer(b"".join(own[i] for i in long), np.uint32) == np.frombuffer(b"".join(item[i] for i in long), np.uint32)
-                equal = equal.reshape(len(long), -1)
-                left = np.cumprod(equal[:, :reach][:, ::-1], 1).sum(1)
-                right = np.cumprod(equal[:, reach + k :], 1).sum(1)
-                a[long], b[long] = -left, k + right
-                ok[long] = equal[:, reach : reach + k].all(1) & (left + k + right >= span)
-            arrays = [batch.column(0), batch.column(1), pa.array(a), pa.array(b), batch.column(5)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["rid", "item_id", "a", "b", "places"]).filter(pa.array(ok))
-
-    return run
-
-
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, items, hits (a, b, places)) to (rid, covered ranges as start, end, start, end ..., items)."""
+    """(rid, classes, hits (n, places)) to (rid, covered ranges as start, end, start, end ..., classes)."""
     for batch in batches:
         ranges = []
         for hits in batch.column(2).to_pylist():
-            start = np.concatenate([np.array(h["places"]) + h["a"] for h in hits])
-            end = np.concatenate([np.array(h["places"]) + h["b"] for h in hits])
+            start = np.concatenate([np.array(h["places"]) for h in hits])
+            end = np.concatenate([np.array(h["places"]) + h["n"] for h in hits])
             order = np.argsort(start, kind="stable")
             start, end = start[order], np.maximum.accumulate(end[order])
             new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
             ranges.append(np.stack([start[new], end[np.append(new[1:], len(end)) - 1]], 1).ravel())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranges, pa.list_(pa.int64())), batch.column(1)], names=["rid", "ranges", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranges, pa.list_(pa.int64())), batch.column(1)], names=["rid", "ranges", "classes"])
 
 
 def digest(text: Column) -> Column:
@@ -190,22 +170,29 @@ def _scan(docs: DataFrame, benchmark: DataFrame, keep, text: str, item: str, ite
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item_id"), F.col(item_text).alias("text"))
-    items = rows.mapInArrow(_items(span, k), "item_id string, key long, n int, item_context binary")
-    items = written(items.distinct(), "decontam-items")
+    spans = ["key", "n", "w1", "w2"]
+    items = rows.mapInArrow(_items(span, k), "item_id string, key long, n int, w1 long, w2 long")
+    # Spans with the same items are of one class, which the digest of the items names.
+    items = items.groupBy(spans).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    items = written(items.withColumn("class", F.sha2(F.to_json(F.struct("items")), 256)), "decontam-items")
+    classes = items.select("class", "items").dropDuplicates(["class"])
     words = spark.sparkContext.broadcast(bitmap(items))
-    sizes = [r.n for r in items.select("n").distinct().filter("n > 0").collect()]  # fewer than span
+    sizes = [r.n for r in items.select("n").distinct().filter(F.col("n") < span).collect()]  # fewer than span
     source, rid, count, found = fresh(keep, "_text", "_rid", "_n_words", "_found")
     kept = docs.select(*keep)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"{rid} string, {count} long, {found} {_FOUND}"])
     made = docs.select(*keep, digest(F.col(text)).alias(rid), F.col(text).alias(source))
     made = written(made.mapInArrow(_documents(words, sorted(sizes), len(keep), span, k, [*kept.columns, rid, count, found]), schema), "decontam-rows")
     near = made.filter(F.size(found) > 0).groupBy(F.col(rid).alias("rid")).agg(F.first(found).alias("found"))
-    near = near.select("rid", F.explode("found").alias("f")).select("rid", "f.key", "f.n", "f.context", "f.places")
-    pairs = near.join(items, ["key", "n"]).select("rid", "item_id", "n", "context", "item_context", "places")
-    hits = pairs.mapInArrow(_extended(span, k), "rid string, item_id string, a int, b int, places array<int>")
-    hits = hits.groupBy("rid").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.collect_set(F.struct("a", "b", "places")).alias("hits"))
-    hits = hits.mapInArrow(_merged, "rid string, ranges array<long>, items array<string>")
-    return made.drop(found), written(hits, "decontam-hits")
+    near = near.select("rid", F.explode("found").alias("f")).select("rid", "f.*")
+    hits = near.join(items.select(*spans, "class"), spans).groupBy("rid").agg(
+        F.array_sort(F.collect_set("class")).alias("classes"), F.collect_list(F.struct("n", "places")).alias("hits")
+    )
+    hits = hits.mapInArrow(_merged, "rid string, ranges array<long>, classes array<string>")
+    hits = written(hits.withColumn("set", F.sha2(F.array_join("classes", ","), 256)), "decontam-hits")
+    sets = hits.select("set", "classes").dropDuplicates(["set"]).select("set", F.explode("classes").alias("class"))
+    sets = sets.join(classes, "class").groupBy("set").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return made.drop(found), hits.join(sets, "set").select("rid", "ranges", "items")
 
 
 def find(

@@ -62,6 +62,18 @@ def test_periodic_texts(spark):
     assert got == {0: (100_000, [0, 100_000], ["1"]), 1: (90_000, [0, 90_000], ["2"]), 2: (3, [], [])}
 
 
+def test_prompt_that_items_and_documents_share(spark):
+    """Thousands of items begin with one prompt, and so do many documents: no row for each pair."""
+    prompt = "answer the following question in one word and then say why you chose"
+    bench = spark.createDataFrame([(i, f"{prompt} item{i} " + " ".join(f"i{i}w{j}" for j in range(8))) for i in range(6000)], "item_id long, text string")
+    texts = [f"{prompt} " + " ".join(f"d{i}w{j}" for j in range(20)) for i in range(2000)] + [f"d {prompt} item7 i7w0", "nothing of it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = brute.sha(",".join(sorted(map(str, range(6000)))))
+    got = {r.doc_id: tuple(r)[1:] for r in decontam.verdicts(decontam.find(docs, bench)).collect()}
+    assert [got[i] for i in (0, 1999)] == [(33, 13, 6000, every, True)] * 2
+    assert got[2000] == (16, 15, 6000, every, True) and got[2001][1:3] == (0, 0) and len(got) == 2002
+
+
 def test_clean_keeps_rows(spark):
     rows = [(1, "a b c", 1), (1, ITEMS[0][1], 2), (2, ITEMS[0][1], 3), (3, None, 4), (None, "x " * 500 + ITEMS[0][1], 5), (1, "a b c", 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, rid int")
