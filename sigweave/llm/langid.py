@@ -7,7 +7,7 @@ family has members, so the number of machines grows with the 1.5th power of the
 languages.  Features are hashed character n-grams (2 to 4 bytes) and whole words, averaged
 over a text's words.  All machines are trained in numpy on rows that are not held out: per
 language the same number of rows with the least hash of doc_id, ``MAX_ROWS`` in all but at
-least ``LEAST_ROWS`` of each of at most ``MAX_LANGUAGES`` languages (the most frequent), of
+least ``LEAST_ROWS`` of each language, however many there are, of
 at most ``MAX_BYTES`` a text; short snippets of those texts are added, so that short texts
 are told as well.  A machine is its weights by bucket; of many machines those of least size
 are left out, so that all take at most ``MODEL_BYTES``, which are broadcast.  Whole texts
@@ -40,13 +40,20 @@ from .toxicity import held_out
 
 MAX_ROWS = 4000
 LEAST_ROWS = 48
-MAX_LANGUAGES = 256
 MODEL_BYTES = 48 << 20
 MAX_BYTES = 100_000
 BITS = 16
 SIZES = (2, 3, 4)
 SCALE = 30.0
-_LETTER = re.compile(r"[^\W\d_]")
+#: Machines that go over a batch's words at once.
+TABLES = 8
+#: Word characters that are no underscore and no digit; numbers that aren't decimal digits are among them.
+_LIKE_LETTERS = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (Unicode category L)."""
+    return any(m[0].isalpha() for m in _LIKE_LETTERS.finditer(text))
 
 
 def families(centres: np.ndarray) -> list[list[int]]:
@@ -119,10 +126,11 @@ class Model:
                         lang[i] = self.only[name]
                     continue
                 langs = sorted({m.yes for m in self.languages[name]} | {m.no for m in self.languages[name]})
-                best, s = self._vote(self.languages[name], bag, langs)
-                for i in at:
-                    lang[i] = best[i]
-                sure[at] *= s[at]
+                own = bag if len(at) == hi - lo else Bag([texts[lo + i] for i in at], SIZES, BITS)  # only this family's texts
+                best, s = self._vote(self.languages[name], own, langs)
+                for i, b in zip(at, best, strict=True):
+                    lang[i] = b
+                sure[at] *= s
             out += lang
             score[lo:hi] = sure
         return out, score
@@ -136,8 +144,9 @@ class Model:
         place = {x: i for i, x in enumerate(names)}
         votes, margins = np.zeros((n, len(names))), np.zeros((n, len(names)))
         each = []
-        for m in machines:
-            d = bag.text_means(bag.word_values(m.table())) * SCALE + m.bias
+        values: Iterator[np.ndarray] = (v for k in range(0, len(machines), TABLES) for v in bag.several_values(np.stack([m.table() for m in machines[k : k + TABLES]])))
+        for m, own in zip(machines, values, strict=True):
+            d = bag.text_means(own) * SCALE + m.bias
             votes[np.arange(n), np.where(d > 0, place[m.yes], place[m.no])] += 1
             margins[:, place[m.yes]] += np.tanh(d)
             margins[:, place[m.no]] -= np.tanh(d)
@@ -186,7 +195,7 @@ def _snippets(text: bytes, rng: np.random.RandomState) -> list[bytes]:
 
 def train(texts: list[bytes], langs: list[str]) -> Model:
     rng = np.random.RandomState(5)
-    rows = [(s, lang) for t, lang in zip(texts, langs, strict=True) if _LETTER.search(t.decode()) for s in _snippets(t, rng)]
+    rows = [(s, lang) for t, lang in zip(texts, langs, strict=True) if has_letter(t.decode()) for s in _snippets(t, rng)]
     model = Model()
     if not rows:
         return model
@@ -236,10 +245,10 @@ def sample(docs: DataFrame, rows: int = MAX_ROWS, size: int = MAX_BYTES) -> Data
     """(text, lang) of as many rows of each language, of least hash: a threshold of each language leaves few to order."""
     spark = docs.sparkSession
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    many = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()  # reads no texts
+    many = known.groupBy("lang").count().orderBy("lang").collect()  # reads no texts; one row per language
     per = max(LEAST_ROWS, rows // max(len(many), 1))
     bounds = [(r.lang, int(-(2**63) + min(2**64 * 1.5 * per / r["count"], 2**64 - 1025))) for r in many]
-    bound = F.broadcast(spark.createDataFrame(bounds, "lang string, bound long"))  # at most MAX_LANGUAGES rows
+    bound = F.broadcast(spark.createDataFrame(bounds, "lang string, bound long"))  # as small as the model
     usable = known.filter(F.col("text").isNotNull() & (F.octet_length("text") <= size)).select("doc_id", "text", "lang")
     few = usable.join(bound, "lang").filter(F.xxhash64("doc_id") <= F.col("bound")).drop("bound")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
@@ -256,7 +265,7 @@ def _predictor(model, n_keep: int, names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(n_keep).to_pylist()
-            lettered = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
+            lettered = np.array([bool(t and has_letter(t)) for t in texts], bool)
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             at = np.flatnonzero(lettered) if model.value.names else []
             if len(at):

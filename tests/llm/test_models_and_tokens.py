@@ -316,3 +316,95 @@ def toxic_free(spark, docs, sf_dir):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_every_document_has_a_row(spark, sf_dir, name):
     assert queries.QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def _plain_mean(text, sizes, table, bits):
+    """Mean over words of the mean over their features, by loops."""
+    from sigweave.llm.textbytes import _BYTE, _COMBINE, Words, mix
+
+    total = []
+    for word in brute.ALNUM.findall(brute.ascii_lower(text.lower())):
+        own = word.encode()
+        marked = [_BYTE[1], *(_BYTE[b] for b in own), _BYTE[2]]
+        whole = Words([own], brute_table(), True).hashes()
+        found = [int(mix(whole ^ _COMBINE[9])[0]) >> (64 - bits)]
+        for n in sizes:
+            for i in range(len(marked) - n + 1):
+                g = sum(int(marked[i + j]) * int(_COMBINE[n + 10 + 5 * j]) for j in range(n)) % 2**64
+                found.append(int(mix(np.array([g], np.uint64))[0]) >> (64 - bits))
+        total.append(np.mean([table[b] for b in found]))
+    return np.mean(total) if total else 0.0
+
+
+def brute_table():
+    from sigweave.llm.textbytes import ALNUM
+
+    return ALNUM
+
+
+BAG_TEXTS = ["", "?!", "a", "Hello hello HELLO world", "ünïcödé ß 漢字", "x" * 40 + " y", "one two three " * 5, "é", "12 ab"]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 16, 5])
+def test_subword_scores_by_plain_loops(monkeypatch, block):
+    """Toxicity and language scores of each text; also where words, and parts of words, are blocks of their own."""
+    from sigweave.llm import subwords
+
+    monkeypatch.setattr(subwords, "BLOCK", block)
+    rnd = np.random.RandomState(2)
+    model = toxicity.Model(rnd.randn(1 << subwords.BITS), 0.3)
+    want = [1 / (1 + np.exp(-(_plain_mean(t, toxicity.SIZES, model.table, subwords.BITS) + 0.3))) for t in BAG_TEXTS]
+    assert np.allclose(model.scores([t.lower().encode() for t in BAG_TEXTS]), want)
+    every = np.arange(1 << langid.BITS)
+    machines = {p: langid.Machine(*p, every.astype(np.uint16), rnd.randn(len(every)).astype(np.float32), 0.1) for p in (("a", "c"), ("a", "b"), ("c", "d"))}
+    told = langid.Model([machines["a", "c"]], {"a": [machines["a", "b"]], "c": [machines["c", "d"]]}, {}, ["a", "c"])
+    lang, score = told.predict([t.lower().encode() for t in BAG_TEXTS])
+    for t, got, sure in zip(BAG_TEXTS, lang, score, strict=True):
+        def margin(pair, text=t):
+            return langid.SCALE * _plain_mean(text, langid.SIZES, machines[pair].table(), langid.BITS) + 0.1
+
+        first = margin(("a", "c"))
+        second = margin(("a", "b") if first > 0 else ("c", "d"))
+        assert got == ("a" if first > 0 else "c", "b" if first > 0 else "d")[int(second <= 0)]
+        assert np.isclose(sure, 1 / (1 + np.exp(-2 * min(abs(first), 20))) / (1 + np.exp(-2 * min(abs(second), 20))))
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["hello there", "² ½ ①", "123 _ ٣", "", None, "①a", "ª"])], "doc_id long, text string, lang string")
+    model = langid.Model(only={"en": "en"}, names=["en"])
+    assert [r.lang_pred for r in langid.predict(docs, model).orderBy("doc_id").collect()] == ["en", "und", "und", "und", "und", "en", "en"]
+
+
+def test_three_hundred_languages(spark):
+    """None is left out, however many there are."""
+    rnd = random.Random(9)
+    rows = []
+    for k in range(300):
+        words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)]
+        rows += [(len(rows) + i, " ".join(rnd.choices(words, k=15)), f"l{k:03}") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = langid.sample(docs).collect()
+    assert len({r.lang for r in drawn}) == 300
+
+
+LONG_TEXT = """
+import numpy as np, sys
+from sigweave.llm import langid, subwords, toxicity
+rnd = np.random.RandomState(0)
+text = " ".join(map(str, rnd.randint(10**9, 10**10, 4_600_000).tolist())).encode() if sys.argv[1] == "words" else bytes(rnd.randint(97, 123, 50_000_000).astype(np.uint8))
+assert 0 < toxicity.Model(rnd.randn(1 << subwords.BITS), 0.1).scores([text])[0] < 1
+machine = langid.Machine("a", "b", np.arange(1 << 16).astype(np.uint16), rnd.randn(1 << 16).astype(np.float32), 0.0)
+langid.Model([machine], {}, {"a": "a", "b": "b"}, ["a", "b"]).predict([text])
+"""
+
+
+@pytest.mark.parametrize("what", ["words", "one word"])
+def test_memory_of_long_texts(what):
+    """50 MB of different words, or of one word, in a process of less than 1 GB besides what its libraries map."""
+    import resource
+    import subprocess
+    import sys
+
+    code = LONG_TEXT + "\nimport resource\nassert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1_000_000\n"
+    done = subprocess.run([sys.executable, "-c", code, what], preexec_fn=lambda: resource.setrlimit(resource.RLIMIT_AS, (3 << 30, 3 << 30)), capture_output=True, text=True, timeout=600, env={"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "PYTHONPATH": ".", "PATH": "/usr/bin"})
+    assert done.returncode == 0, done.stderr[-2000:]
