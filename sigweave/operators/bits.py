@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import CHUNK, KEY, Stream, lagged, running_sum, sequential, tag_value, values, windowed, zip_streams
+from ..model import CHUNK, KEY, Stream, chunk_window, halo, lagged, running_sum, sequential, tag_value, values, windowed, zip_streams
 
 
 def nrzi_decode(df: DataFrame) -> DataFrame:
@@ -91,28 +91,41 @@ def scrambler_g3ruh(df: DataFrame, chunk: int = 4096) -> DataFrame:
     return whole.select("stream_id", F.inline(F.arrays_zip("_pos", "_s"))).toDF("stream_id", "pos", "bit")
 
 
-def _distance(code: list[int], w: Window) -> Column:
+def _distances(df: DataFrame, code: list[int]) -> DataFrame:
+    """Bits with ``_d``, the differences of the last bits to the code; null before there are enough.
+
+    Every position gets its last 64 bits as one long, by doubling steps; a long code takes the
+    longs 64, 128 ... positions back too.  So expressions grow with the logarithm of the code.
+    """
+    if not code:
+        raise ValueError("an access code needs bits")
     size = len(code)
-    out = F.lit(0)
-    for k, c in enumerate(code):
-        out = out + (F.lag("bit", size - 1 - k).over(w) != c).cast("int") if k < size - 1 else out + (F.col("bit") != c).cast("int")
-    return out
+    out = halo(df.withColumn("_w", F.col("bit").cast("long")), size - 1, 0)
+    w, have = chunk_window(), 1
+    while have < min(size, 64):
+        out = out.withColumn("_w", F.shiftleft(F.coalesce(F.lag("_w", have).over(w), F.lit(0)), have).bitwiseOR(F.col("_w")))
+        have *= 2
+    distance = F.lit(0)
+    for lo in range(0, size, 64):  # the last bits first
+        part = code[::-1][lo : lo + 64]
+        want = sum(c << k for k, c in enumerate(part))
+        own = F.lag("_w", lo).over(w) if lo else F.col("_w")
+        mask = (1 << len(part)) - 1
+        signed = lambda n: F.lit(n - (1 << 64) if n >= 1 << 63 else n).cast("long")
+        distance = distance + F.bit_count(own.bitwiseXOR(signed(want)).bitwiseAND(signed(mask)))
+    out = out.withColumn("_d", F.when(F.col("pos") >= size - 1, distance))
+    return out.filter("_own").drop("_chunk", "_own", "_w")
 
 
 def correlate_access_code(df: DataFrame, code: list[int], allowed: int = 0) -> DataFrame:
     """1 where the last bits match the code with at most ``allowed`` differences."""
-    if not code:
-        raise ValueError("an access code needs bits")
-    near = windowed(df, len(code) - 1, 0, lambda w: {"_d": _distance(code, w)})
-    return near.select(*KEY, F.coalesce(F.col("_d") <= allowed, F.lit(False)).cast("tinyint").alias("bit"))
+    return _distances(df, code).select(*KEY, F.coalesce(F.col("_d") <= allowed, F.lit(False)).cast("tinyint").alias("bit"))
 
 
 def correlate_access_code_tag(stream: Stream | DataFrame, code: list[int], key: str, allowed: int = 0) -> Stream:
     """Bits pass; the last bit of a match is tagged with the number of differences."""
-    if not code:
-        raise ValueError("an access code needs bits")
     stream = stream if isinstance(stream, Stream) else Stream(stream)
-    near = windowed(stream.df, len(code) - 1, 0, lambda w: {"_d": _distance(code, w)}).filter(F.col("_d") <= allowed)
+    near = _distances(stream.df, code).filter(F.col("_d") <= allowed)
     tags = near.select(*KEY, F.lit(key).alias("key"), tag_value("u", F.col("_d")).alias("val"))
     return Stream(stream.df, tags if stream.tags is None else stream.tags.unionByName(tags))
 
@@ -194,27 +207,33 @@ def stream_to_pdu(stream: Stream, key: str, max_size: int, tail: int = 0, chunk:
     first, last = F.floor(F.col("start") / chunk), F.floor(F.greatest(F.col("stop") - 1, "start") / chunk)
     spread = found.withColumn("_chunk", F.explode(F.sequence(first, last)))
     names = values(stream.df)
-
-    def inside(df: DataFrame) -> DataFrame:
-        both = df.withColumn("_chunk", F.floor(F.col("pos") / chunk)).join(spread, ["stream_id", "_chunk"])
-        return both.filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop")))
-
-    rows = inside(stream.df).groupBy("stream_id", "pdu_idx").agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("_rows"))
-    others = inside(stream.tags.filter(F.col("key") != key)).groupBy("stream_id", "pdu_idx").agg(
-        F.array_sort(F.collect_list(F.struct((F.col("pos") - F.col("start")).alias("pos"), "key", "val"))).alias("tags")
-    )
-    out = found.join(rows, ["stream_id", "pdu_idx"], "left").join(others, ["stream_id", "pdu_idx"], "left")
-    kinds = {c: stream.df.schema[c].dataType.simpleString() for c in names}
-    data = [F.coalesce(F.col(f"_rows.{c}"), F.array().cast(f"array<{t}>")).alias("data" if names == [c] else c) for c, t in kinds.items()]
-    return out.select("stream_id", "pdu_idx", F.col("start").alias("start_pos"), *data, "tags")
+    # Samples and the other tags join the bursts together, and are gathered by one grouping.
+    sample = F.struct("pos", *names)
+    tag = F.struct("pos", "key", "val")
+    rows = stream.df.select(*KEY, sample.alias("_x"))
+    others = stream.tags.filter(F.col("key") != key).select(*KEY, tag.alias("_t"))
+    kinds = {"_x": rows.schema["_x"].dataType, "_t": others.schema["_t"].dataType}
+    rows = rows.withColumn("_t", F.lit(None).cast(kinds["_t"])).unionByName(others.withColumn("_x", F.lit(None).cast(kinds["_x"])))
+    both = rows.withColumn("_chunk", F.floor(F.col("pos") / chunk)).join(spread, ["stream_id", "_chunk"])
+    # An empty burst is kept by the sample that it lies on.
+    inside = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop"))
+    empty = (F.col("pos") == F.col("start")) & (F.col("stop") == F.col("start")) & F.col("_x").isNotNull()
+    moved = F.struct((F.col("_t.pos") - F.col("start")).alias("pos"), F.col("_t.key").alias("key"), F.col("_t.val").alias("val"))
+    out = both.filter(inside | empty).groupBy("stream_id", "pdu_idx").agg(
+        F.first("start").alias("start_pos"), F.array_sort(F.collect_list(F.when(inside, F.col("_x")))).alias("_rows"),
+        F.array_sort(F.collect_list(F.when(inside & F.col("_t").isNotNull(), moved))).alias("tags"),
+    )
+    data = [F.col(f"_rows.{c}").alias("data" if names == [c] else c) for c in names]
+    return out.select("stream_id", "pdu_idx", "start_pos", *data, F.when(F.size("tags") > 0, F.col("tags")).alias("tags"))
 
 
 def pdu_to_stream(pdus: DataFrame, column: str = "data", value: str = "v") -> Stream:
-    """Packets one behind the other, tagged ``PduToStream::start`` and ``::end`` with their length; empty ones are skipped."""
-    full = pdus.filter(F.size(column) > 0).select("stream_id", F.col("pdu_idx"), F.col(column).alias("_d"))
-    sized = full.select("stream_id", F.col("pdu_idx").alias("pos"), F.size("_d").alias("_n"))
-    offset = running_sum(sized, F.col("_n").cast("long"), "_to").select("stream_id", F.col("pos").alias("pdu_idx"), (F.col("_to") - F.col("_n")).alias("_from"))
-    placed = full.join(offset, ["stream_id", "pdu_idx"])
+    """Packets one behind the other, tagged ``PduToStream::start`` and ``::end`` with their length; empty ones are skipped.
+
+    Packets stay in chunks of their numbers; only the sizes of chunks are summed up along a stream.
+    """
+    full = pdus.filter(F.size(column) > 0).select("stream_id", F.col("pdu_idx").alias("pos"), F.col(column).alias("_d"))
+    placed = running_sum(full, F.size("_d").cast("long"), "_to", chunk=4096).withColumn("_from", F.col("_to") - F.size("_d"))
     rows = placed.select("stream_id", "_from", F.posexplode("_d").alias("_k", value)).select("stream_id", (F.col("_from") + F.col("_k")).alias("pos"), value)
     n = F.size("_d").cast("long")
     marks = F.explode(F.array(F.struct(F.col("_from").alias("pos"), F.lit("PduToStream::start").alias("key")), F.struct((F.col("_from") + n - 1).alias("pos"), F.lit("PduToStream::end").alias("key"))))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import CHUNK, KEY, halo, running_sum, sequential
+from ..model import CHUNK, KEY, halo, sequential
 
 FLAGS = 20
 
@@ -312,24 +312,32 @@ def hdlc_deframer(df: DataFrame, min_size: int, max_size: int, fix_bits: bool =
 FEND = 0xC0
 
 
-def kiss_frame(df: DataFrame, limit: int = 10_000) -> DataFrame:
+def kiss_frame(df: DataFrame, limit: int = 10_000, chunk: int = CHUNK) -> DataFrame:
     """Byte stream to packets between frame ends, which are kept at both sides; empty and overlong frames are left out.
 
-    Frames are islands of the running count of frame ends; a frame is closed if another count
-    follows it.  Only counts pass through a window per stream, bytes are dealt by frame.
+    Chunks of bytes, each with as many before it as a frame can have, are cut at frame ends; a
+    frame belongs to the chunk of its second end.  Only the numbers of frames pass through a window per stream.
     """
-    numbered = running_sum(df, (F.col("b") == FEND).cast("long"), "_frame")
-    order = Window.partitionBy("stream_id").orderBy("_frame")
-    sized = numbered.groupBy("stream_id", "_frame").agg(F.count_if(F.col("b") != FEND).alias("_n"))
-    closed = sized.withColumn("_next", F.lead("_frame").over(order)).filter(F.col("_next").isNotNull() & (F.col("_frame") > 0))
-    good = closed.filter(F.col("_n").between(1, limit)).select(
-        "stream_id", "_frame", (F.row_number().over(order) - 1).cast("long").alias("pdu_idx")
-    )
-    rows = numbered.filter(F.col("b") != FEND).join(good, ["stream_id", "_frame"]).groupBy("stream_id", "_frame", "pdu_idx").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.lpad(F.hex(F.col("b").cast("bigint")), 2, "0").alias("h")))).alias("_rows")
-    )
-    body = F.concat(F.lit("C0"), F.array_join("_rows.h", ""), F.lit("C0"))
-    return rows.select("stream_id", "pdu_idx", F.unhex(body).alias("data"))
+    chunk = max(chunk, 2 * (limit + 2))
+    rows = halo(df.select(*KEY, "b"), limit + 1, 0, chunk).groupBy("stream_id", "_chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "b"))).alias("_rows"))
+    chunks = rows.select("stream_id", "_chunk", F.element_at("_rows.pos", 1).alias("_first"), F.col("_rows.b").cast("array<smallint>").alias("_bytes"))
+
+    def cut(number: pd.Series, first: pd.Series, column: pd.Series) -> pd.Series:
+        out = []
+        for c, f, x in zip(number, first, column, strict=True):
+            data = np.asarray(x).astype(np.uint8)
+            ends = np.flatnonzero(data == FEND)
+            size = np.diff(ends) - 1
+            good = np.flatnonzero((size > 0) & (size <= limit) & (f + ends[1:] >= c * chunk))
+            out.append([data[ends[i] : ends[i + 1] + 1].tobytes() for i in good])
+        return pd.Series(out)
+
+    found = chunks.select("stream_id", "_chunk", F.pandas_udf(cut, "array<binary>")("_chunk", "_first", "_bytes").alias("_f"))
+    before = Window.partitionBy("stream_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    count = found.select("stream_id", "_chunk", F.size("_f").alias("_n"))
+    count = count.select("stream_id", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    made = found.filter(F.size("_f") > 0).join(count, ["stream_id", "_chunk"]).select("stream_id", "_before", F.posexplode("_f").alias("_k", "data"))
+    return made.select("stream_id", (F.col("_before") + F.col("_k")).cast("long").alias("pdu_idx"), "data")
 
 
 def _octets(hexed: Column) -> Column:

@@ -6,9 +6,10 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..model import CHUNK, KEY
 
@@ -58,15 +59,20 @@ def parse(df: DataFrame, kind: str, chunk: int = CHUNK) -> DataFrame:
     rows = df.groupBy("stream_id", F.expr(f"pos div {per * size}").alias("_chunk")).agg(F.array_sort(F.collect_list(F.struct("pos", hexed.alias("h")))).alias("_r"))
     packed = rows.select("stream_id", (F.col("_chunk") * per).alias("first"), F.unhex(F.array_join("_r.h", "")).alias("data"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                x = unpacked(row.data, kind)
-                made = {"stream_id": pd.Series([row.stream_id] * len(x), dtype=object), "pos": row.first + np.arange(len(x))}
-                yield pd.DataFrame(made | {c: x[:, k] for k, c in enumerate(FORMATS[kind][1])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    id_type = df.schema["stream_id"].dataType.simpleString()
-    return packed.mapInPandas(run, f"stream_id {id_type}, pos long, {sample_schema(kind)}")
+        target = to_arrow_schema(schema)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = unpacked(batch.column(2)[i].as_py(), kind)
+                key = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(x), np.int64)))
+                pos = pa.array(batch.column(1)[i].as_py() + np.arange(len(x)))
+                columns = [pa.array(np.ascontiguousarray(x[:, k])).cast(target.field(2 + k).type) for k in range(x.shape[1])]
+                yield pa.RecordBatch.from_arrays([key, pos, *columns], schema=target)
+
+    schema = StructType([df.schema["stream_id"], *StructType.fromDDL("pos long, " + sample_schema(kind)).fields])
+    return packed.mapInArrow(run, schema)
 
 
 def rtlsdr_decode(df: DataFrame) -> DataFrame:
@@ -114,7 +120,8 @@ def au_decode(df: DataFrame, bitrate: int) -> DataFrame:
     offset = word(1)
     for message, good in rules.items():
         offset = F.when(good, offset).otherwise(F.raise_error(F.lit(message)).cast("long"))
-    body = df.join(F.broadcast(text.select("stream_id", offset.alias("_at"))), "stream_id").filter(F.col("pos") >= F.col("_at"))
+    # A row per stream: Spark broadcasts it if it is small.
+    body = df.join(text.select("stream_id", offset.alias("_at")), "stream_id").filter(F.col("pos") >= F.col("_at"))
     place = body.withColumn("pos", F.col("pos") - F.col("_at"))
     word16 = F.get("_b", F.lit(0)) * 256 + F.get("_b", F.lit(1))
     signed = F.when(word16 >= 32768, word16 - 65536).otherwise(word16)
