@@ -1,7 +1,8 @@
 """PWM decoding of on-off keyed power samples.
 
-Spark finds level changes (hysteresis as a last-known value, two-phase), so the decoder
-itself only walks a stream's level changes, a sparse sequence, with bounded state.
+Spark finds level changes (hysteresis as a last-known value, two-phase); frames and
+transmissions are sessions over them, a sparse sequence, by window functions.  ``Pulses`` walks
+the same level changes one by one for live streams.
 """
 
 from __future__ import annotations
@@ -9,11 +10,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import KEY, last_known, lagged, sequential, windowed
+from ..model import last_known, lagged, windowed
 
 
 @dataclass(frozen=True)
@@ -142,29 +142,44 @@ class Pulses:
 def pwm_decoder(df: DataFrame, settings: PwmSettings) -> DataFrame:
     """Power samples to frames (stream_id, pdu_idx, bits, repeats, first_sample), given when their transmission ends.
 
-    At the end of a stream, frames that were complete are given, an open one is not.
+    At the end of a stream, frames that were complete are given, an open one is not.  Frames are
+    sessions of pulses, transmissions sessions of frames, both told by running counts of gaps;
+    equal frames of a transmission are one group, and the first ``max_distinct_frames`` groups count.
     """
     settings.check()
+    s = settings
     v = F.col("v")
-    decisive = F.when((v > settings.high_threshold) & ~F.isnan("v"), True).when((v < settings.low) | F.isnan("v"), False)
+    decisive = F.when((v > s.high_threshold) & ~F.isnan("v"), True).when((v < s.low) | F.isnan("v"), False)
     level = last_known(df, decisive, "_high", False)
     edges = windowed(level, 1, 1, lambda w: {"_was": lagged("_high", 1, w, False), "_end": F.lead("pos").over(w).isNull()})
-    # The stream's last sample stands for its end; halo windows see the next row whenever there is one.
-    edges = edges.filter((F.col("_high") != F.col("_was")) | F.col("_end")).select(
-        *KEY, F.col("_high").cast("int").alias("high"), F.col("_was").cast("int").alias("was"), F.col("_end").cast("int").alias("last")
-    )
-
-    def machine():
-        own = Pulses(settings)
-
-        def step(pos, high, was, last, end):
-            for p, h, w, is_last in zip(pos.tolist(), high.tolist(), was.tolist(), last.tolist(), strict=True):
-                if h != w:
-                    own.edge(p, bool(h))
-                if is_last:
-                    own.end(p + 1)
-            return own.taken()
-
-        return step
-
-    return sequential(edges, ("pos", "high", "was", "last"), machine, "pdu_idx long, bits array<byte>, repeats int, first_sample long")
+    # The stream's last sample tells its length; halo windows see the next row whenever there is one.
+    changed = F.col("_high") != F.col("_was")
+    edges = edges.filter(changed | F.col("_end")).select("stream_id", "pos", changed.alias("_edge"), "_high")
+    order = Window.partitionBy("stream_id").orderBy("pos")
+    size = F.max("pos").over(Window.partitionBy("stream_id")) + 1
+    turns = edges.withColumn("_size", size).filter("_edge")
+    turns = turns.withColumns({"_fall": F.lead("pos").over(order), "_next": F.lead("pos", 2).over(order)})
+    pulses = turns.filter(F.col("_high") & F.col("_fall").isNotNull()).select(
+        "stream_id", "pos", (F.col("_fall") - F.col("pos")).alias("_width"), F.col("_next").isNull().alias("_last"),
+        (F.coalesce("_next", "_size") - F.col("_fall")).alias("_gap"),
+    )
+    ends = F.col("_gap") >= s.frame_gap
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    pulses = pulses.filter(ends | ~F.col("_last")).withColumns({
+        "_frame": F.coalesce(F.count_if(ends).over(before), F.lit(0)), "_sent": F.coalesce(F.count_if(F.col("_gap") >= s.reset_gap).over(before), F.lit(0)),
+    })
+    short, long = F.abs(F.col("_width") - s.short_width), F.abs(F.col("_width") - s.long_width)
+    is_short = (short <= s.tolerance) & ((long > s.tolerance) | (short <= long))
+    bit = F.when(is_short, F.lit(int(s.short_is_one))).when(long <= s.tolerance, F.lit(int(not s.short_is_one))).cast("tinyint")
+    counts = F.lit(True) if s.gap_pulse == "data" else ~ends
+    frames = pulses.groupBy("stream_id", "_frame").agg(
+        F.min("_sent").alias("_sent"), F.min("pos").alias("_first"), F.max(ends).alias("_done"), F.max(counts & bit.isNull()).alias("_bad"),
+        F.transform(F.array_sort(F.collect_list(F.when(counts, F.struct("pos", bit.alias("bit"))))), lambda x: x["bit"]).alias("bits"),
+    )
+    fits = F.size("bits").between(1, s.max_frame_bits) if s.frame_bits is None else F.size("bits") == s.frame_bits
+    good = frames.filter(F.col("_done") & ~F.col("_bad") & fits)
+    seen = good.groupBy("stream_id", "_sent", "bits").agg(F.count("*").cast("int").alias("repeats"), F.min("_first").alias("first_sample"))
+    rank = F.row_number().over(Window.partitionBy("stream_id", "_sent").orderBy("first_sample"))
+    kept = seen.withColumn("_rank", rank).filter((F.col("_rank") <= s.max_distinct_frames) & (F.col("repeats") >= s.min_repeats))
+    number = F.row_number().over(Window.partitionBy("stream_id").orderBy("_sent", "first_sample")) - 1
+    return kept.select("stream_id", number.cast("long").alias("pdu_idx"), "bits", "repeats", "first_sample")

@@ -699,7 +699,32 @@ def il2p_headers(spark, d):
     return framing.il2p_deframer(tagged.df, tagged.tags)
 
 
-@query()
+_PULSES = f"""{EV}, d AS (SELECT stream_id, pos, CASE WHEN v > 60 THEN 1 WHEN v < 40 THEN 0 END AS d FROM ev),
+l AS (SELECT stream_id, pos, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY pos), 0) AS h FROM d),
+e AS (SELECT stream_id, pos, h, h <> lag(h, 1, 0) OVER w AS turned, max(pos) OVER (PARTITION BY stream_id) + 1 AS n FROM l WINDOW w AS (PARTITION BY stream_id ORDER BY pos)),
+t AS (SELECT stream_id, pos, h, n, lead(pos) OVER w AS fall, lead(pos, 2) OVER w AS next FROM e WHERE turned WINDOW w AS (PARTITION BY stream_id ORDER BY pos)),
+q AS (SELECT stream_id, pos, fall - pos AS width, coalesce(next, n) - fall AS gap, next IS NULL AS last FROM t WHERE h = 1 AND fall IS NOT NULL),
+p AS (SELECT *, CASE WHEN abs(width - 1) <= 1 THEN CASE WHEN abs(width - 3) > 1 OR abs(width - 1) <= abs(width - 3) THEN 1 ELSE 0 END WHEN abs(width - 3) <= 1 THEN 0 END AS bit,
+  coalesce(sum((gap >= 4)::INT) OVER b, 0) AS frame, coalesce(sum((gap >= 8)::INT) OVER b, 0) AS sent FROM q WHERE gap >= 4 OR NOT last WINDOW b AS (PARTITION BY stream_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def _pwm_sql(data: bool) -> str:
+    """Frames of a pulse train; the pulse in front of a frame gap counts, or not."""
+    counts = "true" if data else "gap < 4"
+    return f"""WITH {_PULSES}, f AS (SELECT stream_id, frame, min(sent) AS sent, min(pos) AS first, string_agg(bit::VARCHAR, '' ORDER BY pos) FILTER ({counts}) AS bits
+  FROM p GROUP BY 1, 2 HAVING max(gap) >= 4 AND count(*) FILTER ({counts} AND bit IS NULL) = 0 AND count(*) FILTER ({counts}) BETWEEN 1 AND 4096),
+g AS (SELECT stream_id, sent, bits, count(*)::INT AS repeats, min(first) AS first_sample FROM f GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY stream_id, sent ORDER BY first_sample) AS k FROM g)
+SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY sent, first_sample) - 1 AS pdu_idx, bits, repeats, first_sample FROM r WHERE k <= 256"""
+
+
+@query(_pwm_sql(False))
+def pwm_frames_delimited(spark, d):
+    settings = pwm.PwmSettings(60.0, 1, 3, 4, 8, low_threshold=40.0, pulse_tolerance=1, gap_pulse="delimiter")
+    return pwm.pwm_decoder(ev(spark, d), settings)
+
+
+@query(_pwm_sql(True))
 def pwm_frames(spark, d):
     settings = pwm.PwmSettings(60.0, 1, 3, 4, 8, low_threshold=40.0, pulse_tolerance=1)
     return pwm.pwm_decoder(ev(spark, d), settings)

@@ -1,8 +1,9 @@
 """Raw sample files, SigMF recordings and framed TCP bytes as Spark data sources.
 
-``register(spark)`` makes the formats ``raw_samples`` (read and write) and ``tcp_samples``
-(streaming) known.  Files are opened through pyarrow filesystems by URI, and read by byte
-ranges, so a large file is many partitions.
+``register(spark)`` makes the formats ``raw_samples`` (read and write, batch and streaming
+writes) and ``tcp_samples`` (streaming) known.  Files are opened through pyarrow filesystems by
+URI, and read by byte ranges, so a large file is many partitions.  Comparisons of ``pos`` and
+``stream_id`` with constants are pushed into the reader: only the bytes of those positions are read.
 """
 
 from __future__ import annotations
@@ -12,14 +13,17 @@ import socket
 import tarfile
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull,
+    LessThan, LessThanOrEqual, SimpleDataSourceStreamReader, WriterCommitMessage,
+)
 
 from ..model import KEY
 from .codecs import FORMATS, sample_schema, sample_size, unpacked
@@ -56,18 +60,48 @@ class RawSamples(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _RawWriter(self.options, overwrite)
 
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamArrowWriter:
+        return _RawStreamWriter(self.options)
+
 
 class _RawReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.kind = options["path"], options.get("kind", "float")
         self.repeat, self.split = int(options.get("repeat", "1")), int(options.get("splitbytes", SPLIT_BYTES))
         self.offset, self.length, self.stream_id = int(options.get("offset", "0")), options.get("length"), options.get("stream_id")
+        self.lo, self.hi, self.names = 0, None, None  # positions from lo to hi (exclusive), of these streams
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes comparisons of pos and stream_id with constants; gives back the others."""
+        for f in filters:
+            if not self._taken(f):
+                yield f
+
+    def _taken(self, f: Filter) -> bool:
+        column = getattr(f, "attribute", None)
+        value = getattr(f, "value", None)
+        if isinstance(f, IsNotNull) and column in (("pos",), ("stream_id",)):
+            return True  # they never are
+        if column == ("pos",) and isinstance(value, int):
+            lo, hi = {EqualTo: (value, value + 1), GreaterThan: (value + 1, None), GreaterThanOrEqual: (value, None), LessThan: (0, value), LessThanOrEqual: (0, value + 1)}.get(type(f), (None, None))
+            if lo is None:
+                return False
+            self.lo, self.hi = max(self.lo, lo), hi if self.hi is None else self.hi if hi is None else min(self.hi, hi)
+            return True
+        if column == ("stream_id",) and isinstance(f, (EqualTo, In)):
+            names = {value} if isinstance(f, EqualTo) else set(value)
+            self.names = names if self.names is None else self.names & names
+            return True
+        return False
 
     def partitions(self) -> list[_Range]:
         fs, inner = filesystem(self.path)
         info = fs.get_file_info(inner)
         found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(inner))
         files = sorted(f.path for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
+        if not info.is_file:  # parts of micro-batches count once a manifest names them
+            files = [f for f in files if not f.rsplit("/", 1)[-1].startswith(_EPOCH)]
+            files += [f"{inner.rstrip('/')}/{name}" for name in _published(fs, [f for f in found if f.is_file])]
         size, out = sample_size(self.kind), []
         step = max(size, self.split // size * size)
         for path in files:
@@ -75,10 +109,18 @@ class _RawReader(DataSourceReader):
             n = min(n, int(self.length)) if self.length else n
             n = n // size * size  # a trailing part of a sample is unused, at every repetition
             name = self.stream_id or path.rsplit("/", 1)[-1]
-            out += [_Range(path, name, self.offset + at, min(step, n - at), (r * n + at) // size) for r in range(self.repeat) for at in range(0, n, step)]
+            if self.names is not None and name not in self.names:
+                continue
+            for r in range(self.repeat):
+                first = r * n // size  # position of this repetition's first sample
+                lo = min(max(self.lo - first, 0) * size, n)
+                hi = n if self.hi is None else min(max(self.hi - first, 0) * size, n)
+                out += [_Range(path, name, self.offset + at, min(step, hi - at), first + at // size) for at in range(lo, hi, step)]
         return out
 
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: _Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # nothing to read
+            return
         fs, _ = filesystem(self.path)
         names = ["stream_id", "pos", *FORMATS[self.kind][1]]
         cast = {"<u1": pa.int16(), "<u4": pa.int64()}
@@ -97,36 +139,45 @@ class _Part(WriterCommitMessage):
     partition: int
     name: str
     samples: int
+    first: tuple = ()
+
+
+def _write_part(path: str, kind: str, name: str, iterator: Iterator[pa.RecordBatch]) -> _Part:
+    from pyspark import TaskContext
+
+    fs, inner = filesystem(path)
+    fs.create_dir(inner, recursive=True)
+    n = 0
+    dtype, columns = FORMATS[kind]
+    with fs.open_output_stream(f"{inner}/{name}") as f:
+        for batch in iterator:
+            x = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns], 1)
+            f.write(x.astype(dtype).tobytes())
+            n += len(x)
+    return _Part(TaskContext.get().partitionId(), name, n)
+
+
+def _listed(fs: pafs.FileSystem, inner: str) -> list[pafs.FileInfo]:
+    return [f for f in fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True)) if f.is_file]
 
 
 class _RawWriter(DataSourceArrowWriter):
     """One part file per partition, in partition order; write streams that ``in_order`` has arranged.
 
-    Parts are written under unfinished names and renamed on commit, so failed and repeated
-    tasks leave nothing behind.
+    Parts are written under unfinished names of this job and renamed on commit; whatever else
+    has the job's name then, from failed and repeated tasks too, is deleted.
     """
 
     def __init__(self, options, overwrite: bool):
         self.path, self.kind, self.overwrite = options["path"], options.get("kind", "float"), overwrite
-        self.mode = options.get("mode", "create")
+        self.mode, self.job = options.get("mode", "create"), uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
-        from pyspark import TaskContext
-
-        fs, inner = filesystem(self.path)
-        fs.create_dir(inner, recursive=True)
-        name, n = f"_part-{uuid.uuid4().hex}", 0
-        dtype, columns = FORMATS[self.kind]
-        with fs.open_output_stream(f"{inner}/{name}") as f:
-            for batch in iterator:
-                x = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns], 1)
-                f.write(x.astype(dtype).tobytes())
-                n += len(x)
-        return _Part(TaskContext.get().partitionId(), name, n)
+        return _write_part(self.path, self.kind, f"_part-{self.job}-{uuid.uuid4().hex}", iterator)
 
     def commit(self, messages) -> None:
         fs, inner = filesystem(self.path)
-        old = [f.path for f in fs.get_file_info(pafs.FileSelector(inner)) if f.is_file and not f.base_name.startswith("_")]
+        old = [f.path for f in _listed(fs, inner) if not f.base_name.startswith("_")]
         if old and self.mode == "create" and not self.overwrite:
             self.abort(messages)
             raise FileExistsError(f"{self.path} already has samples")
@@ -136,11 +187,64 @@ class _RawWriter(DataSourceArrowWriter):
             old = []
         for k, m in enumerate(sorted((m for m in messages if m), key=lambda m: m.partition)):
             fs.move(f"{inner}/{m.name}", f"{inner}/part-{len(old) + k:06d}")
+        self.abort(messages)
 
     def abort(self, messages) -> None:
+        fs, inner = filesystem(self.path)
+        for f in _listed(fs, inner):
+            if f.base_name.startswith(f"_part-{self.job}-"):
+                fs.delete_file(f.path)
+
+
+#: Parts of a micro-batch, and the list that makes them count.
+_EPOCH, _MANIFEST = "epoch-", "_manifest-"
+
+
+def _published(fs: pafs.FileSystem, files: list[pafs.FileInfo]) -> list[str]:
+    """Parts that manifests name, in order of micro-batch and position."""
+    names = []
+    for f in sorted((f for f in files if f.base_name.startswith(_MANIFEST)), key=lambda f: f.base_name):
+        with fs.open_input_file(f.path) as m:
+            names += json.loads(m.read())
+    return names
+
+
+class _RawStreamWriter(DataSourceStreamArrowWriter):
+    """Parts of a micro-batch under names of their own; one manifest, moved into place whole, publishes them.
+
+    A batch that was published is not published again, so what runs twice between a write and
+    Spark's own commit counts once.  Readers take the parts that manifests name.
+    """
+
+    def __init__(self, options):
+        self.path, self.kind = options["path"], options.get("kind", "float")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
+        """A task's rows of one micro-batch, which its trigger bounds, in order of stream and position."""
+        batches = list(iterator)
+        if not sum(b.num_rows for b in batches):
+            return _Part(0, "", 0)
+        rows = pa.Table.from_batches(batches).sort_by([(c, "ascending") for c in KEY])
+        part = _write_part(self.path, self.kind, f"{_EPOCH}{uuid.uuid4().hex}", iter(rows.to_batches()))
+        return replace(part, first=(str(rows["stream_id"][0].as_py()), rows["pos"][0].as_py()))
+
+    def commit(self, messages, batchId: int) -> None:
+        fs, inner = filesystem(self.path)
+        target = f"{inner}/{_MANIFEST}{batchId:012d}"
+        if fs.get_file_info(target).is_file:
+            self.abort(messages, batchId)
+            return
+        names = [m.name for m in sorted((m for m in messages if m and m.samples), key=lambda m: m.first)]
+        fs.create_dir(inner, recursive=True)
+        unfinished = f"{inner}/_unfinished-{uuid.uuid4().hex}"
+        with fs.open_output_stream(unfinished) as f:
+            f.write(json.dumps(names).encode())
+        fs.move(unfinished, target)
+
+    def abort(self, messages, batchId: int) -> None:
         fs, inner = filesystem(self.path)
         for m in messages:
-            if m:
+            if m and m.samples and fs.get_file_info(f"{inner}/{m.name}").is_file:
                 fs.delete_file(f"{inner}/{m.name}")
 
 
@@ -219,7 +323,15 @@ class _TcpReader(SimpleDataSourceStreamReader):
         self.rows = [r for r in self.rows if r[1] >= end["pos"]]
 
 
+def write_raw_stream(df: DataFrame, path: str, kind: str, checkpoint: str):
+    """A live sink of samples; returns the writer, to be started.  Each micro-batch is sorted by stream and position within its parts."""
+    register(df.sparkSession)
+    own = df.select(*KEY, *FORMATS[kind][1])
+    return own.writeStream.format("raw_samples").option("path", path).option("kind", kind).option("checkpointLocation", checkpoint)
+
+
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawSamples)
     spark.dataSource.register(TcpSamples)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,10 +68,16 @@ def debug_sink(stream: Stream, n: int = 20) -> None:
     debug_filter(stream).orderBy("stream_id", "pdu_idx").select(F.concat(F.lit("debug: "), "msg").alias("debug")).show(n, truncate=False)
 
 
+def packet_name(stream_id, pdu_idx: int) -> str:
+    """A file name that no other stream or number has: signs of the stream's name that aren't plain become percent codes."""
+    return f"{quote(str(stream_id), safe='').replace('~', '%7E')}-{pdu_idx:012d}"
+
+
 def pdu_writer(pdus: DataFrame, path: str, column: str = "data") -> DataFrame:
     """One file per packet, named by stream and number; (name, size) rows tell what was written.
 
-    Names are deterministic and files are moved into place whole, so a repeated task writes the same.
+    Names are deterministic and files are moved into place whole, so a repeated task writes the
+    same.  A file of that name with other content is an error, never replaced.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,18 +85,45 @@ def pdu_writer(pdus: DataFrame, path: str, column: str = "data") -> DataFrame:
         fs.create_dir(inner, recursive=True)
         for frame in frames:
             out = []
-            for row in frame.itertuples(index=False):
-                name = f"{re.sub(r'[^A-Za-z0-9_.-]', '_', str(row.stream_id))}-{row.pdu_idx:012d}"
-                part = f"{inner}/_{name}-{os.getpid()}"
-                with fs.open_output_stream(part) as f:
-                    f.write(bytes(row.data))
-                fs.move(part, f"{inner}/{name}")
-                out.append((name, len(row.data)))
+            for stream_id, pdu_idx, data in zip(frame["stream_id"], frame["pdu_idx"], frame["data"], strict=True):
+                name, data = packet_name(stream_id, pdu_idx), bytes(data)
+                if not _same(fs, f"{inner}/{name}", data):
+                    part = f"{inner}/_{name}-{uuid.uuid4().hex}"
+                    with fs.open_output_stream(part) as f:
+                        f.write(data)
+                    fs.move(part, f"{inner}/{name}")
+                out.append((name, len(data)))
             yield pd.DataFrame(out, columns=["name", "size"])
 
     return pdus.select("stream_id", "pdu_idx", F.col(column).alias("data")).mapInPandas(run, "name string, size long")
 
 
+def _same(fs, path: str, data: bytes) -> bool:
+    """Whether the file is there with this content; other content is an error."""
+    info = fs.get_file_info(path)
+    if not info.is_file:
+        return False
+    if info.size == len(data):
+        with fs.open_input_file(path) as f:
+            if f.read() == data:
+                return True
+    raise FileExistsError(f"{path} holds another packet")
+
+
+def pdu_writer_live(pdus: DataFrame, path: str, checkpoint: str, column: str = "data"):
+    """A live ``pdu_writer``; a micro-batch that runs again writes the same files.  Returns the writer, to be started."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        null_sink(pdu_writer(df, path, column))
+
+    return pdus.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def no_copy_file_sink_live(pdus: DataFrame, path: str, checkpoint: str, column: str = "msg"):
+    """Text of packets as they come, one a line; Spark's file sink writes each once.  Returns the writer, to be started."""
+    return pdus.select(F.col(column).cast("string").alias("value")).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint)
+
+
 def no_copy_file_sink(pdus: DataFrame, path: str, column: str = "msg") -> None:
     """Text of packets, one a line, in order across part files."""
     n = int(pdus.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -509,3 +509,21 @@ def test_cma_in_chunks(spark):
     assert close(values(got, "re", "im"), want, 1e-9) and 0 < share
     whole, none = filters.equalized(stream(spark, z), 3, 1.0, 0.01)
     assert close(values(whole, "re", "im"), want, 1e-12) and none == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pwm_windows_like_the_walk(spark, seed):
+    """Sessions by windows against the machine that walks level changes, over both gap modes and all limits."""
+    rnd = np.random.RandomState(seed)
+    runs = np.concatenate([[0.0] * rnd.choice([1, 2, 3, 5, 9]) + [1.0] * rnd.choice([1, 1, 2, 3, 3, 6]) for _ in range(120)])
+    x = np.concatenate([runs, [0.0] * rnd.choice([0, 3, 6])])
+    for gap_pulse in ("data", "delimiter"):
+        for more in ({}, {"max_distinct_frames": 2, "min_repeats": 2}, {"frame_bits": 2}, {"max_frame_bits": 3, "short_is_one": False, "max_distinct_frames": 3}):
+            settings = pwm.PwmSettings(0.5, 1, 3, 4, 8, low_threshold=0.2, pulse_tolerance=1, gap_pulse=gap_pulse, **more)
+            walk = pwm.Pulses(settings)
+            for i in np.flatnonzero(np.diff(x, prepend=0.0)).tolist():
+                walk.edge(i, x[i] > 0)
+            walk.end(len(x))
+            made = walk.taken()
+            got = pwm.pwm_decoder(stream(spark, x), settings).orderBy("pdu_idx").collect()
+            assert [(r.pdu_idx, list(r.bits), r.repeats, r.first_sample) for r in got] == list(zip(*(made[k] for k in ("pdu_idx", "bits", "repeats", "first_sample")), strict=True))

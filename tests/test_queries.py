@@ -20,7 +20,7 @@ def test_oracle(spark, sf_dir, name):
 
 def test_every_other_query_has_a_test():
     """Queries that SQL has no functions for are tested below."""
-    assert set(QUERIES) - set(ORACLES) == {"sha512_stream", "pwm_frames"}
+    assert set(QUERIES) - set(ORACLES) == {"sha512_stream"}
 
 
 def test_sha512(spark, sf_dir):
