@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import taps
+from .functions import tables, taps
 from .functions.parsing import frequency
 from .model import Stream, shared_root, stored, zip_streams
 from .operators import bits, clock, filters, framing, maps, position, pwm, spectrum
@@ -782,6 +782,44 @@ def raw_file_roundtrip(spark, d):
     return parts.join(F.broadcast(offset), "stream_id").select(F.lit("events").alias("stream_id"), (F.col("pos") + F.col("at")).alias("pos"), "v")
 
 
+# Operators called from SQL.
+
+
+def _called(spark: SparkSession, df: DataFrame, call: str) -> DataFrame:
+    """SELECT * FROM a table function over the frame."""
+    import uuid
+
+    tables.register(spark)
+    view = f"t_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
+    return spark.sql(f"SELECT * FROM {call.format(f'TABLE({view})')}")
+
+
+@query(_iir_sql(EV, "ev", "v", 0.2) + f" SELECT stream_id, pos, {_r('y')} AS v FROM y")
+def sql_iir(spark, d):
+    return _called(spark, ev(spark, d), "iir({}, 0.2D)")
+
+
+@query(f"WITH {BITS} SELECT stream_id, pos, xor(bit, xor(lag(bit, 12, 0) OVER w, lag(bit, 17, 0) OVER w)) AS bit FROM bits WINDOW w AS (PARTITION BY stream_id ORDER BY pos)")
+def sql_descramble(spark, d):
+    return _int_bit(_called(spark, bit_view(spark, d), "descramble({}, 33, 0, 16)"))
+
+
+@query(f"WITH {EV}, n AS (SELECT stream_id, (max(pos) + 1) // 7 AS full_chunks FROM ev GROUP BY 1) SELECT stream_id, pos // 7 AS pdu_idx, {_r('sum(v * (pos % 7 + 1))')} AS weighted FROM ev JOIN n USING (stream_id) WHERE pos // 7 < full_chunks GROUP BY 1, 2")
+def sql_stream_chunks(spark, d):
+    pdus = _called(spark, ev(spark, d), "stream_chunks({}, 7)")
+    weighted = F.aggregate(F.transform("data", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return pdus.select("stream_id", "pdu_idx", weighted.alias("weighted"))
+
+
+@query(f"""WITH {EV} SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY pos, k) - 1 AS pdu_idx, {_r('v + k')} AS data
+FROM (SELECT stream_id, pos, v, unnest(range(0, CASE WHEN v > 80 THEN 2 WHEN v > 20 THEN 1 ELSE 0 END)) AS k FROM ev)""")
+def sql_closure(spark, d):
+    """A function of packets as a table function of SQL."""
+    tables.closure(spark, "split_loud", lambda x: [x, x + 1] if x > 80 else [x] if x > 20 else [], "double")
+    return _called(spark, ev(spark, d).withColumnsRenamed({"pos": "pdu_idx", "v": "data"}), "split_loud({})")
+
+
 # A modem from end to end: packets are framed, line-coded, frequency-modulated, demodulated, clocked, decoded and checked.
 
 

@@ -208,3 +208,36 @@ def test_canary(spark, tmp_path):
         time.sleep(0.2)
     spark.streams.removeListener(listener)
     assert ended == [1]
+
+
+class _Every:
+    """A block of a user's own: every n-th sample, and the rest at the end."""
+
+    def __init__(self, n):
+        self.n, self.left = n, []
+
+    def feed(self, pos, v):
+        self.left = [*self.left, *v.tolist()]
+        hit = self.left[self.n - 1 :: self.n]
+        self.left = self.left[len(hit) * self.n :]
+        return {"v": hit}
+
+    def end(self):
+        return {"v": [sum(self.left)]}
+
+
+def test_table_functions(spark):
+    """Blocks and operators from SQL; wrong calls are told when the query is analysed."""
+    from sigweave.functions import tables
+
+    tables.register(spark)
+    tables.custom(spark, "every", _Every, ("v",), "v double")
+    stream(spark, range(10)).unionByName(stream(spark, range(5), stream_id="t")).repartition(3).createOrReplaceTempView("samples")
+    got = spark.sql("SELECT stream_id, v FROM every(TABLE(samples), 4)").collect()
+    assert sorted(map(tuple, got)) == [("s", 3.0), ("s", 7.0), ("s", 17.0), ("t", 3.0), ("t", 4.0)]
+    framed = framing.hdlc_framer(framing.fcs_adder(spark.createDataFrame([("s", 0, b"abc"), ("s", 1, b"defg")], "stream_id string, pdu_idx long, data binary")), flags=2)
+    bits.pdu_to_stream(framed, value="bit").df.createOrReplaceTempView("line")
+    assert [bytes(r.data) for r in spark.sql("SELECT * FROM hdlc_frames(TABLE(line), 3, 100) ORDER BY pdu_idx").collect()] == [b"abc", b"defg"]
+    for call in ("iir(TABLE(line), 0.5D)", "iir(1, 0.5D)"):
+        with pytest.raises(Exception, match="column|table"):
+            spark.sql(f"SELECT * FROM {call}")
