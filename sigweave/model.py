@@ -113,6 +113,24 @@ def windowed(df: DataFrame, left: int, right: int, columns: Callable[[Window], d
     return out.filter("_own").drop("_chunk", "_own")
 
 
+def packed(df: DataFrame, columns: tuple[str, ...], left: int = 0, right: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """(stream_id, _chunk, _first, an array of each column): chunks in one row each, with neighbours like ``halo``, in order of ``pos`` from ``_first`` on."""
+    rows = halo(df.select(*KEY, *columns), left, right, chunk).groupBy("stream_id", "_chunk").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("_rows"))
+    return rows.select("stream_id", "_chunk", F.element_at("_rows.pos", 1).alias("_first"), *(F.col(f"_rows.{c}").alias(c) for c in columns))
+
+
+def unpacked(found: DataFrame, column: str, name: str) -> DataFrame:
+    """(stream_id, name, column) of the elements of an array column of chunks, numbered along each stream.
+
+    Only the sizes of the arrays pass through a window per stream.
+    """
+    before = Window.partitionBy("stream_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    count = found.select("stream_id", "_chunk", F.size(column).alias("_n"))
+    count = count.select("stream_id", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = found.filter(F.size(column) > 0).join(count, ["stream_id", "_chunk"]).select("stream_id", "_before", F.posexplode(column).alias("_k", column))
+    return rows.select("stream_id", (F.col("_before") + F.col("_k")).cast("long").alias(name), column)
+
+
 def lagged(column: str, n: int, w: Window, default=0) -> Column:
     """The value ``n`` rows before (behind, if negative), ``default`` outside the stream."""
     other = F.lag(column, n).over(w) if n >= 0 else F.lead(column, -n).over(w)

@@ -1,9 +1,9 @@
 """Symbol clock recovery.
 
-Sign changes are found in Spark.  Only they can move a clock, so only they pass through a
-state machine (symbol sync) or none at all (zero crossing).  Between two changes of the
-clock the picked samples lie on a grid (phase + j * clock), so each sample tells by
-arithmetic from the last grid before it whether it is picked.
+A stream is cut into chunks once; each tells its sign changes.  Only they can move a clock, so
+only they pass through a state machine per stream (symbol sync) or a window over chunks (zero crossing).  Between
+two changes of the clock the picked samples lie on a grid (phase + j * clock), so each chunk
+picks its samples by arithmetic from the last grid before them.
 """
 
 from __future__ import annotations
@@ -11,32 +11,41 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import KEY, lagged, last_known, running_sum, sequential, windowed
+from ..model import CHUNK, KEY, packed, sequential, unpacked
 
 
-def _sign_changes(df: DataFrame, name: str) -> DataFrame:
-    """``name``: the row's own position where the sample is on the other side of zero than the one before, else null."""
+def _chunks(df: DataFrame, chunk: int) -> DataFrame:
+    """Packed chunks with the sample before each, and ``_at``: their sign changes."""
 
-    def columns(w: Window) -> dict[str, Column]:
-        high = F.col("v") > 0
-        was = F.coalesce(F.lag("v").over(w) > 0, F.lit(False))
-        return {name: F.when(high != was, F.col("pos"))}
+    def changes(number: pd.Series, first: pd.Series, column: pd.Series) -> pd.Series:
+        out = []
+        for c, f, v in zip(number, first, column, strict=True):
+            high = np.asarray(v, float) > 0
+            at = f + np.flatnonzero(high != np.concatenate([[False], high[:-1]]))
+            out.append(at[at >= c * chunk])
+        return pd.Series(out)
 
-    return windowed(df, 1, 0, columns)
+    rows = packed(df.select(*KEY, F.col("v").cast("double").alias("v")), ("v",), 1, 0, chunk)
+    return rows.withColumn("_at", F.pandas_udf(changes, "array<long>")("_chunk", "_first", "v"))
 
 
-def _before(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of the row before, in their place."""
-    return windowed(df, 1, 0, lambda w: {c: lagged(c, 1, w, None) for c in columns})
+def _own(number: int, first: int, v, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and samples of the chunk itself."""
+    skip = number * chunk - first
+    v = np.asarray(v, float)[skip:]
+    return number * chunk + np.arange(len(v)), v
 
 
-def _numbered(df: DataFrame, picked: Column) -> DataFrame:
-    """The picked rows as a stream of v and clock."""
-    counted = running_sum(df.withColumn("_picked", picked.cast("long")), F.col("_picked"), "_n").filter("_picked = 1")
-    return counted.select("stream_id", (F.col("_n") - 1).alias("pos"), "v", "clock")
+def _numbered(found: DataFrame) -> DataFrame:
+    """The picked samples as a stream of v and clock."""
+    return unpacked(found, "_z", "pos").select("stream_id", "pos", "_z.v", "_z.clock")
+
+
+_PICKED = "array<struct<v:double,clock:double>>"
 
 
 def _checked(sps: float) -> float:
@@ -45,16 +54,29 @@ def _checked(sps: float) -> float:
     return float(sps)
 
 
-def zero_crossing(df: DataFrame, sps: float, max_deviation: float = 0.0) -> DataFrame:
+def zero_crossing(df: DataFrame, sps: float, max_deviation: float = 0.0, chunk: int = CHUNK) -> DataFrame:
     """One sample per symbol, the first half a symbol behind each sign change; ``max_deviation`` is accepted and has no effect."""
     sps = _checked(sps)
-    changed = last_known(_before(_sign_changes(df, "_at"), ["_at"]), F.col("_at"), "_at", None)
-    middle = F.coalesce("_at", F.lit(0)) + sps / 2
-    j = F.ceil((F.col("pos") - middle) / sps)
-    on_grid = (j >= 0) & (F.floor(middle + j * sps) == F.col("pos"))
-    # The grid of a sign change starts behind it; with fewer than two samples a symbol it starts on it and is missed.
-    started = F.col("_at").isNull() | F.lit(sps >= 2)
-    return _numbered(changed.withColumn("clock", F.lit(sps)), on_grid & started)
+    chunks = _chunks(df, chunk)
+    before = Window.partitionBy("stream_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    last = chunks.select("stream_id", "_chunk", F.get("_at", F.size("_at") - 1).alias("_l"))
+    last = last.select("stream_id", "_chunk", F.coalesce(F.last("_l", ignorenulls=True).over(before), F.lit(-1)).alias("_before"))
+
+    def picked(number: pd.Series, first: pd.Series, column: pd.Series, changes: pd.Series, early: pd.Series) -> pd.Series:
+        out = []
+        for c, f, x, own, e in zip(number, first, column, changes, early, strict=True):
+            pos, v = _own(c, f, x, chunk)
+            ends = np.concatenate([[e], np.asarray(own, np.int64)])
+            at = ends[np.searchsorted(ends[1:], pos, "left")]  # the last change before each sample
+            middle = np.maximum(at, 0) + sps / 2
+            j = np.ceil((pos - middle) / sps)
+            # The grid of a sign change starts behind it; with fewer than two samples a symbol it starts on it and is missed.
+            hit = (j >= 0) & (np.floor(middle + j * sps) == pos) & ((at < 0) | (sps >= 2))
+            out.append([{"v": y, "clock": sps} for y in v[hit].tolist()])
+        return pd.Series(out)
+
+    both = chunks.join(last, ["stream_id", "_chunk"])
+    return _numbered(both.select("stream_id", "_chunk", F.pandas_udf(picked, _PICKED)("_chunk", "_first", "v", "_at", "_before").alias("_z")))
 
 
 class SymbolClock:
@@ -95,7 +117,7 @@ def on_grid(pos: np.ndarray, at: int, middle: float, clock: float) -> np.ndarray
     return (j >= 0) & (np.ceil(middle + j * clock) == pos) | (pos == at + 1) & (math.ceil(middle) <= at)
 
 
-def symbol_sync(df: DataFrame, sps: float, max_deviation: float, taps=(0.5, 0.5)) -> DataFrame:
+def symbol_sync(df: DataFrame, sps: float, max_deviation: float, taps=(0.5, 0.5), chunk: int = CHUNK) -> DataFrame:
     """One sample per symbol, from its middle, with the clock at that time (samples per symbol).
 
     The distance of sign changes, filtered and held within ``sps`` plus and minus ``max_deviation``, is the clock.
@@ -104,23 +126,39 @@ def symbol_sync(df: DataFrame, sps: float, max_deviation: float, taps=(0.5, 0.5)
 
     def machine():
         clock = SymbolClock(sps, max_deviation, taps)
-
-        def step(at, end):
-            found = [(int(p), clock(int(p))) for p in at]
-            grids = [(p, *g) for p, g in found if g]
-            return {"pos": [g[0] for g in grids], "_middle": [g[1] for g in grids], "_clock": [g[2] for g in grids]}
+        state = {"grid": (-1.0, 0.0, sps)}
+
+        def step(number, changes, end):
+            grids = []
+            for own in changes:
+                found = [state["grid"]]  # the one that the chunk begins with, then its own
+                for p in own.tolist():
+                    made = clock(int(p))
+                    if made:
+                        found.append((float(p), *made))
+                state["grid"] = found[-1]
+                grids.append(np.array(found).ravel())
+            return {"pos": number.astype(np.int64), "_grids": grids}
 
         return step
 
     machine()  # wrong arguments fail here, not in a task
-    signs = _sign_changes(df, "_at")
-    changes = signs.filter(F.col("_at").isNotNull()).select(*KEY)
-    grids = sequential(changes.withColumn("_at", F.col("pos")), ("_at",), machine, "pos long, _middle double, _clock double")
-    placed = df.join(grids, list(KEY), "left").withColumn("_grid", F.when(F.col("_middle").isNotNull(), F.struct(F.col("pos").alias("at"), "_middle", "_clock")))
-    start = F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0.0).alias("_middle"), F.lit(sps).alias("_clock"))
-    known = last_known(_before(placed, ["_grid"]), F.col("_grid"), "_grid", None).withColumn("_grid", F.coalesce("_grid", start))
-    middle, clock, at = F.col("_grid._middle"), F.col("_grid._clock"), F.col("_grid.at")
-    j = F.floor((F.col("pos") - middle) / clock)
-    on_grid = (j >= 0) & (F.ceil(middle + j * clock) == F.col("pos"))
-    late = (F.col("pos") == at + 1) & (F.ceil(middle) <= at)  # the grid starts on the sign change itself
-    return _numbered(known.select(*KEY, "v", clock.alias("clock"), (on_grid | late).alias("_hit")), F.col("_hit"))
+    chunks = _chunks(df, chunk)
+    ends = chunks.select("stream_id", F.col("_chunk").alias("pos"), "_at")
+    grids = sequential(ends, ("pos", "_at"), machine, "pos long, _grids array<double>").withColumnRenamed("pos", "_chunk")
+
+    def picked(number: pd.Series, first: pd.Series, column: pd.Series, known: pd.Series) -> pd.Series:
+        out = []
+        for c, f, x, own in zip(number, first, column, known, strict=True):
+            pos, v = _own(c, f, x, chunk)
+            own, found, lo = np.asarray(own).reshape(-1, 3), [], 0
+            for k, (at, middle, clock) in enumerate(own):
+                hi = int(np.searchsorted(pos, own[k + 1][0], "right")) if k + 1 < len(own) else len(pos)
+                hit = on_grid(pos[lo:hi], int(at), middle, clock)
+                found += [{"v": y, "clock": clock} for y in v[lo:hi][hit].tolist()]
+                lo = hi
+            out.append(found)
+        return pd.Series(out)
+
+    both = chunks.join(grids, ["stream_id", "_chunk"])
+    return _numbered(both.select("stream_id", "_chunk", F.pandas_udf(picked, _PICKED)("_chunk", "_first", "v", "_grids").alias("_z")))

@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import CHUNK, KEY, halo, sequential
+from ..model import CHUNK, KEY, packed, sequential, unpacked
 
 FLAGS = 20
 
@@ -259,8 +259,7 @@ def hdlc_deframer(df: DataFrame, min_size: int, max_size: int, fix_bits: bool =
     """
     left, right = 8 * max_size * 6 // 5 + 32, 8
     chunk = max(chunk, 2 * left)
-    rows = halo(df.select(*KEY, "bit"), left, right, chunk).groupBy("stream_id", "_chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "bit"))).alias("_rows"))
-    chunks = rows.select("stream_id", "_chunk", F.element_at("_rows.pos", 1).alias("_first"), F.col("_rows.bit").cast("array<tinyint>").alias("_bits"))
+    chunks = packed(df, ("bit",), left, right, chunk).withColumn("bit", F.col("bit").cast("array<tinyint>")).withColumnRenamed("bit", "_bits")
 
     def found(number: int, first: int, bits: np.ndarray) -> _Marks:
         lo = number * chunk - first
@@ -319,8 +318,7 @@ def kiss_frame(df: DataFrame, limit: int = 10_000, chunk: int = CHUNK) -> DataFr
     frame belongs to the chunk of its second end.  Only the numbers of frames pass through a window per stream.
     """
     chunk = max(chunk, 2 * (limit + 2))
-    rows = halo(df.select(*KEY, "b"), limit + 1, 0, chunk).groupBy("stream_id", "_chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "b"))).alias("_rows"))
-    chunks = rows.select("stream_id", "_chunk", F.element_at("_rows.pos", 1).alias("_first"), F.col("_rows.b").cast("array<smallint>").alias("_bytes"))
+    chunks = packed(df, ("b",), limit + 1, 0, chunk).withColumn("b", F.col("b").cast("array<smallint>"))
 
     def cut(number: pd.Series, first: pd.Series, column: pd.Series) -> pd.Series:
         out = []
@@ -332,12 +330,8 @@ def kiss_frame(df: DataFrame, limit: int = 10_000, chunk: int = CHUNK) -> DataFr
             out.append([data[ends[i] : ends[i + 1] + 1].tobytes() for i in good])
         return pd.Series(out)
 
-    found = chunks.select("stream_id", "_chunk", F.pandas_udf(cut, "array<binary>")("_chunk", "_first", "_bytes").alias("_f"))
-    before = Window.partitionBy("stream_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    count = found.select("stream_id", "_chunk", F.size("_f").alias("_n"))
-    count = count.select("stream_id", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    made = found.filter(F.size("_f") > 0).join(count, ["stream_id", "_chunk"]).select("stream_id", "_before", F.posexplode("_f").alias("_k", "data"))
-    return made.select("stream_id", (F.col("_before") + F.col("_k")).cast("long").alias("pdu_idx"), "data")
+    found = chunks.select("stream_id", "_chunk", F.pandas_udf(cut, "array<binary>")("_chunk", "_first", "b").alias("data"))
+    return unpacked(found, "data", "pdu_idx")
 
 
 def _octets(hexed: Column) -> Column:

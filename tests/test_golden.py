@@ -527,3 +527,23 @@ def test_pwm_windows_like_the_walk(spark, seed):
             made = walk.taken()
             got = pwm.pwm_decoder(stream(spark, x), settings).orderBy("pdu_idx").collect()
             assert [(r.pdu_idx, list(r.bits), r.repeats, r.first_sample) for r in got] == list(zip(*(made[k] for k in ("pdu_idx", "bits", "repeats", "first_sample")), strict=True))
+
+
+@pytest.mark.parametrize("chunk", [2, 7, 50, 1 << 16])
+def test_clocks_in_chunks(spark, chunk):
+    """However a stream is cut, the same samples are picked with the same clocks."""
+    from sigweave.operators import clock
+
+    x = np.repeat(np.random.RandomState(8).randn(60), np.random.RandomState(9).randint(1, 6, 60))
+    df = stream(spark, x).unionByName(stream(spark, x[:5], stream_id="t")).unionByName(stream(spark, [1.0], stream_id="u"))
+    for op, more in ((clock.symbol_sync, (0.5,)), (clock.zero_crossing, ())):
+        rows = lambda c, op=op, more=more: sorted(map(tuple, op(df, 2.5, *more, chunk=c).select("stream_id", "pos", "v", "clock").collect()))
+        assert rows(chunk) == rows(1000) and len(rows(1000)) > 30
+
+
+def test_kiss_frames_over_many_chunks(spark):
+    rnd = np.random.RandomState(6)
+    data = rnd.choice([0xC0, 1, 2, 3], 400, p=[0.2, 0.3, 0.3, 0.2]).astype(np.uint8).tobytes()
+    want = [f for f in data.split(b"\xc0")[1:-1] if 0 < len(f) <= 5]
+    got = framing.kiss_frame(stream(spark, data, "b"), limit=5, chunk=1).orderBy("pdu_idx").collect()
+    assert [bytes(r.data) for r in got] == [b"\xc0" + f + b"\xc0" for f in want] and [r.pdu_idx for r in got] == list(range(len(want)))
