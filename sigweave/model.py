@@ -113,12 +113,31 @@ def windowed(df: DataFrame, left: int, right: int, columns: Callable[[Window], d
     return out.filter("_own").drop("_chunk", "_own")
 
 
-def packed(df: DataFrame, columns: tuple[str, ...], left: int = 0, right: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """(stream_id, _chunk, _first, an array of each column): chunks in one row each, with neighbours like ``halo``, in order of ``pos`` from ``_first`` on."""
+def packed(df: DataFrame, columns: tuple[str, ...], left: int = 0, right: int = 0, chunk: int = CHUNK // 8) -> DataFrame:
+    """(stream_id, _chunk, _first, an array of each column): chunks in one row each, with neighbours like ``halo``, in order of ``pos`` from ``_first`` on.
+
+    Spark may hold some hundred chunks of a task while it gathers them, so chunks of structs are short.
+    """
     rows = halo(df.select(*KEY, *columns), left, right, chunk).groupBy("stream_id", "_chunk").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("_rows"))
     return rows.select("stream_id", "_chunk", F.element_at("_rows.pos", 1).alias("_first"), *(F.col(f"_rows.{c}").alias(c) for c in columns))
 
 
+def packed_bytes(df: DataFrame, column: str, left: int = 0, right: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """(stream_id, _chunk, _x) like ``packed`` for one column of bits or bytes: each element holds position and value, as ``bytes_of`` reads them.
+
+    A long takes a quarter of a struct's memory, and sorts by itself.
+    """
+    value = F.shiftleft("pos", 8).bitwiseOR(F.col(column).cast("long").bitwiseAND(F.lit(255)))
+    rows = halo(df.select(*KEY, value.alias("_x")), left, right, chunk)
+    return rows.groupBy("stream_id", "_chunk").agg(F.array_sort(F.collect_list("_x")).alias("_x"))
+
+
+def bytes_of(x) -> tuple[int, np.ndarray]:
+    """First position and the values of an element of ``packed_bytes``."""
+    x = np.asarray(x, np.int64)
+    return int(x[0] >> 8), (x & 255).astype(np.uint8)
+
+
 def unpacked(found: DataFrame, column: str, name: str) -> DataFrame:
     """(stream_id, name, column) of the elements of an array column of chunks, numbered along each stream.
 

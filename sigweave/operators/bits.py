@@ -281,21 +281,17 @@ def midpointer(pdus: DataFrame, column: str = "data") -> DataFrame:
 
     Packets with a not-a-number mean, or with one side empty, are dropped.
     """
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                x = np.asarray(row.data, float)
-                mean = x.mean() if len(x) else np.nan
-                high, low = np.sort(x[x > mean]), np.sort(x[~(x > mean)])
-                if not np.isnan(mean) and len(high) and len(low):
-                    top, bottom = high[len(high) // 2], low[len(low) // 2]
-                    out.append((row.stream_id, row.pdu_idx, x - (bottom + (top - bottom) / 2)))
-            yield pd.DataFrame(out, columns=["stream_id", "pdu_idx", "data"])
-
-    kind = pdus.schema["stream_id"].dataType.simpleString()
-    return pdus.select("stream_id", "pdu_idx", F.col(column).alias("data")).mapInPandas(run, f"stream_id {kind}, pdu_idx long, data array<double>")
+    x = F.transform(F.col(column), lambda v: v.cast("double"))
+    rows = pdus.select("stream_id", "pdu_idx", x.alias("data")).filter(F.size("data") > 0)
+    mean = F.aggregate("data", F.lit(0.0), lambda s, v: s + v) / F.size("data")
+    rows = rows.withColumn("_m", mean).filter(~F.isnan("_m"))
+    # Of values with NaN among them the mean is NaN, so both sides hold numbers only.
+    rows = rows.withColumns({
+        "_hi": F.array_sort(F.filter("data", lambda v: v > F.col("_m"))), "_lo": F.array_sort(F.filter("data", lambda v: v <= F.col("_m"))),
+    }).filter((F.size("_hi") > 0) & (F.size("_lo") > 0))
+    middle = lambda c: F.get(c, F.floor(F.size(c) / 2).cast("int"))
+    rows = rows.withColumn("_o", middle("_lo") + (middle("_hi") - middle("_lo")) / 2)
+    return rows.select("stream_id", "pdu_idx", F.transform("data", lambda v: v - F.col("_o")).alias("data"))
 
 
 def _symbol_rate(crossings: np.ndarray, n: int) -> tuple[float, float] | None:

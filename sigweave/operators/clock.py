@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from ..model import CHUNK, KEY, packed, sequential, unpacked
 
+#: Samples of a chunk.
+_CHUNK = CHUNK // 8
+
 
 def _chunks(df: DataFrame, chunk: int) -> DataFrame:
     """Packed chunks with the sample before each, and ``_at``: their sign changes."""
@@ -42,10 +45,11 @@ def _own(number: int, first: int, v, chunk: int) -> tuple[np.ndarray, np.ndarray
 
 def _numbered(found: DataFrame) -> DataFrame:
     """The picked samples as a stream of v and clock."""
-    return unpacked(found, "_z", "pos").select("stream_id", "pos", "_z.v", "_z.clock")
+    rows = found.select("stream_id", "_chunk", F.arrays_zip("_z.v", "_z.clock").alias("_z"))
+    return unpacked(rows, "_z", "pos").select("stream_id", "pos", "_z.v", "_z.clock")
 
 
-_PICKED = "array<struct<v:double,clock:double>>"
+_PICKED = "v array<double>, clock array<double>"
 
 
 def _checked(sps: float) -> float:
@@ -54,7 +58,7 @@ def _checked(sps: float) -> float:
     return float(sps)
 
 
-def zero_crossing(df: DataFrame, sps: float, max_deviation: float = 0.0, chunk: int = CHUNK) -> DataFrame:
+def zero_crossing(df: DataFrame, sps: float, max_deviation: float = 0.0, chunk: int = _CHUNK) -> DataFrame:
     """One sample per symbol, the first half a symbol behind each sign change; ``max_deviation`` is accepted and has no effect."""
     sps = _checked(sps)
     chunks = _chunks(df, chunk)
@@ -62,7 +66,7 @@ def zero_crossing(df: DataFrame, sps: float, max_deviation: float = 0.0, chunk:
     last = chunks.select("stream_id", "_chunk", F.get("_at", F.size("_at") - 1).alias("_l"))
     last = last.select("stream_id", "_chunk", F.coalesce(F.last("_l", ignorenulls=True).over(before), F.lit(-1)).alias("_before"))
 
-    def picked(number: pd.Series, first: pd.Series, column: pd.Series, changes: pd.Series, early: pd.Series) -> pd.Series:
+    def picked(number: pd.Series, first: pd.Series, column: pd.Series, changes: pd.Series, early: pd.Series) -> pd.DataFrame:
         out = []
         for c, f, x, own, e in zip(number, first, column, changes, early, strict=True):
             pos, v = _own(c, f, x, chunk)
@@ -72,8 +76,8 @@ def zero_crossing(df: DataFrame, sps: float, max_deviation: float = 0.0, chunk:
             j = np.ceil((pos - middle) / sps)
             # The grid of a sign change starts behind it; with fewer than two samples a symbol it starts on it and is missed.
             hit = (j >= 0) & (np.floor(middle + j * sps) == pos) & ((at < 0) | (sps >= 2))
-            out.append([{"v": y, "clock": sps} for y in v[hit].tolist()])
-        return pd.Series(out)
+            out.append((v[hit], np.full(int(hit.sum()), sps)))
+        return pd.DataFrame(out, columns=["v", "clock"])
 
     both = chunks.join(last, ["stream_id", "_chunk"])
     return _numbered(both.select("stream_id", "_chunk", F.pandas_udf(picked, _PICKED)("_chunk", "_first", "v", "_at", "_before").alias("_z")))
@@ -117,7 +121,7 @@ def on_grid(pos: np.ndarray, at: int, middle: float, clock: float) -> np.ndarray
     return (j >= 0) & (np.ceil(middle + j * clock) == pos) | (pos == at + 1) & (math.ceil(middle) <= at)
 
 
-def symbol_sync(df: DataFrame, sps: float, max_deviation: float, taps=(0.5, 0.5), chunk: int = CHUNK) -> DataFrame:
+def symbol_sync(df: DataFrame, sps: float, max_deviation: float, taps=(0.5, 0.5), chunk: int = _CHUNK) -> DataFrame:
     """One sample per symbol, from its middle, with the clock at that time (samples per symbol).
 
     The distance of sign changes, filtered and held within ``sps`` plus and minus ``max_deviation``, is the clock.
@@ -147,7 +151,7 @@ def symbol_sync(df: DataFrame, sps: float, max_deviation: float, taps=(0.5, 0.5)
     ends = chunks.select("stream_id", F.col("_chunk").alias("pos"), "_at")
     grids = sequential(ends, ("pos", "_at"), machine, "pos long, _grids array<double>").withColumnRenamed("pos", "_chunk")
 
-    def picked(number: pd.Series, first: pd.Series, column: pd.Series, known: pd.Series) -> pd.Series:
+    def picked(number: pd.Series, first: pd.Series, column: pd.Series, known: pd.Series) -> pd.DataFrame:
         out = []
         for c, f, x, own in zip(number, first, column, known, strict=True):
             pos, v = _own(c, f, x, chunk)
@@ -155,10 +159,10 @@ def symbol_sync(df: DataFrame, sps: float, max_deviation: float, taps=(0.5, 0.5)
             for k, (at, middle, clock) in enumerate(own):
                 hi = int(np.searchsorted(pos, own[k + 1][0], "right")) if k + 1 < len(own) else len(pos)
                 hit = on_grid(pos[lo:hi], int(at), middle, clock)
-                found += [{"v": y, "clock": clock} for y in v[lo:hi][hit].tolist()]
+                found.append((v[lo:hi][hit], np.full(int(hit.sum()), clock)))
                 lo = hi
-            out.append(found)
-        return pd.Series(out)
+            out.append(tuple(np.concatenate(x) for x in zip(*found, strict=True)))
+        return pd.DataFrame(out, columns=["v", "clock"])
 
     both = chunks.join(grids, ["stream_id", "_chunk"])
     return _numbered(both.select("stream_id", "_chunk", F.pandas_udf(picked, _PICKED)("_chunk", "_first", "v", "_grids").alias("_z")))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import CHUNK, KEY, packed, sequential, unpacked
+from ..model import CHUNK, KEY, bytes_of, packed_bytes, sequential, unpacked
 
 FLAGS = 20
 
@@ -259,16 +259,17 @@ def hdlc_deframer(df: DataFrame, min_size: int, max_size: int, fix_bits: bool =
     """
     left, right = 8 * max_size * 6 // 5 + 32, 8
     chunk = max(chunk, 2 * left)
-    chunks = packed(df, ("bit",), left, right, chunk).withColumn("bit", F.col("bit").cast("array<tinyint>")).withColumnRenamed("bit", "_bits")
+    chunks = packed_bytes(df, "bit", left, right, chunk)
 
-    def found(number: int, first: int, bits: np.ndarray) -> _Marks:
+    def found(number: int, x) -> tuple[int, _Marks]:
+        first, bits = bytes_of(x)
         lo = number * chunk - first
-        return _marks(np.asarray(bits, np.int8), lo, lo + chunk, min_size, max_size, keep_checksum, fix_bits)
+        return first, _marks(bits.astype(np.int8), lo, lo + chunk, min_size, max_size, keep_checksum, fix_bits)
 
-    def summarised(number: pd.Series, first: pd.Series, bits: pd.Series) -> pd.DataFrame:
+    def summarised(number: pd.Series, column: pd.Series) -> pd.DataFrame:
         out = []
-        for c, f, b in zip(number, first, bits, strict=True):
-            own = found(c, f, b)
+        for c, x in zip(number, column, strict=True):
+            _, own = found(c, x)
             before = own.before()
             whole = np.zeros(3, np.int64)
             for k in own.frames:
@@ -290,21 +291,21 @@ def hdlc_deframer(df: DataFrame, min_size: int, max_size: int, fix_bits: bool =
 
         return step
 
-    def packets(number: pd.Series, first: pd.Series, bits: pd.Series, state: pd.Series, count: pd.Series) -> pd.Series:
+    def packets(number: pd.Series, column: pd.Series, state: pd.Series, count: pd.Series) -> pd.Series:
         out = []
-        for c, f, b, s, n in zip(number, first, bits, state, count, strict=True):
-            own = found(c, f, b)
+        for c, x, s, n in zip(number, column, state, count, strict=True):
+            f, own = found(c, x)
             before = own.before()
             good = [k for k in sorted(own.frames) if before[k, s] == _SYNCED]
             out.append([{"pdu_idx": n + i, "data": own.frames[k], "packet_pos": int(f + own.start[k] + 6)} for i, k in enumerate(good)])
         return pd.Series(out)
 
-    maps_ = F.pandas_udf(summarised, "to0 long, to1 long, to2 long, n0 long, n1 long, n2 long")("_chunk", "_first", "_bits")
+    maps_ = F.pandas_udf(summarised, "to0 long, to1 long, to2 long, n0 long, n1 long, n2 long")("_chunk", "_x")
     names = [f"{x}{s}" for x in ("to", "n") for s in range(3)]
     ends = chunks.select("stream_id", F.col("_chunk").alias("pos"), maps_.alias("_m")).select(*KEY, *(F.col(f"_m.{x}") for x in names))
     carried = sequential(ends, ("pos", *names), machine, "pos long, _state long, _before long").withColumnRenamed("pos", "_chunk")
     udf = F.pandas_udf(packets, "array<struct<pdu_idx:bigint,data:binary,packet_pos:bigint>>")
-    made = chunks.join(carried, ["stream_id", "_chunk"]).select("stream_id", udf("_chunk", "_first", "_bits", "_state", "_before").alias("_p"))
+    made = chunks.join(carried, ["stream_id", "_chunk"]).select("stream_id", udf("_chunk", "_x", "_state", "_before").alias("_p"))
     return made.select("stream_id", F.inline("_p"))
 
 
@@ -318,19 +319,19 @@ def kiss_frame(df: DataFrame, limit: int = 10_000, chunk: int = CHUNK) -> DataFr
     frame belongs to the chunk of its second end.  Only the numbers of frames pass through a window per stream.
     """
     chunk = max(chunk, 2 * (limit + 2))
-    chunks = packed(df, ("b",), limit + 1, 0, chunk).withColumn("b", F.col("b").cast("array<smallint>"))
+    chunks = packed_bytes(df, "b", limit + 1, 0, chunk)
 
-    def cut(number: pd.Series, first: pd.Series, column: pd.Series) -> pd.Series:
+    def cut(number: pd.Series, column: pd.Series) -> pd.Series:
         out = []
-        for c, f, x in zip(number, first, column, strict=True):
-            data = np.asarray(x).astype(np.uint8)
+        for c, x in zip(number, column, strict=True):
+            f, data = bytes_of(x)
             ends = np.flatnonzero(data == FEND)
             size = np.diff(ends) - 1
             good = np.flatnonzero((size > 0) & (size <= limit) & (f + ends[1:] >= c * chunk))
             out.append([data[ends[i] : ends[i + 1] + 1].tobytes() for i in good])
         return pd.Series(out)
 
-    found = chunks.select("stream_id", "_chunk", F.pandas_udf(cut, "array<binary>")("_chunk", "_first", "b").alias("data"))
+    found = chunks.select("stream_id", "_chunk", F.pandas_udf(cut, "array<binary>")("_chunk", "_x").alias("data"))
     return unpacked(found, "data", "pdu_idx")
 
 

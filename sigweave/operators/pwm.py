@@ -183,3 +183,23 @@ def pwm_decoder(df: DataFrame, settings: PwmSettings) -> DataFrame:
     kept = seen.withColumn("_rank", rank).filter((F.col("_rank") <= s.max_distinct_frames) & (F.col("repeats") >= s.min_repeats))
     number = F.row_number().over(Window.partitionBy("stream_id").orderBy("_sent", "first_sample")) - 1
     return kept.select("stream_id", number.cast("long").alias("pdu_idx"), "bits", "repeats", "first_sample")
+
+
+# Bits of a restaurant pager's frame, and names of its functions.
+PAGER_BITS = 25
+PAGER_FUNCTIONS = {0x0D: "Buzz", 0x0F: "Sync"}
+
+
+def pager_messages(frames: DataFrame, sample_rate: float) -> DataFrame:
+    """Frames of ``pwm_decoder`` that are restaurant pager messages, with their fields and a line of text.
+
+    Such a frame has PAGER_BITS bits, the last of them 1: 16 of the system, 4 of the pager, 4 of the function.
+    """
+    raw = F.aggregate("bits", F.lit(0), lambda value, bit: value * 2 + bit.cast("int"))
+    own = frames.filter((F.size("bits") == PAGER_BITS) & (F.element_at("bits", -1) == 1)).withColumn("raw", raw)
+    part = lambda shift, mask: F.shiftright("raw", shift).bitwiseAND(F.lit(mask))
+    names = F.create_map(*(F.lit(x) for item in PAGER_FUNCTIONS.items() for x in item))
+    own = own.withColumns({"system_id": part(9, 0xFFFF), "pager": part(5, 15), "function": part(1, 15), "seconds": F.col("first_sample") / float(sample_rate)})
+    own = own.withColumn("function_name", F.coalesce(F.element_at(names, F.col("function")), F.lit("Unknown")))
+    line = F.format_string("Restaurant-Pager: id=0x%04x pager=%d function=%s (0x%x) repeats=%d raw=0x%07x time=%.6fs", "system_id", "pager", "function_name", "function", "repeats", "raw", "seconds")
+    return own.select("stream_id", "pdu_idx", "raw", "system_id", "pager", "function", "function_name", "repeats", "first_sample", "seconds", line.alias("line"))
