@@ -1,13 +1,13 @@
 """Operator 3: WARC archives in which repeated payloads become revisit records.
 
 Method.  Headers are grouped by payload digest; the largest page_id of a digest is
-its response, the others join to it and become revisits.  Spark's text writer, with
-the record terminator as line separator, writes the archives (gzip files of WARC/1.1
-records with fresh headers: a record id of its own, the date of writing, and for revisits
-the id, URI and date of the response), so commits and retried tasks are Spark's own.  A
-file is one gzip stream, not one per record, so readers go through it in order.  Reading
-streams each archive through a parser that holds one record at a time, recomputes
-digests from the payload bytes and joins revisits to responses.
+its response, the others join to it and become revisits.  Tasks write the archives: WARC/1.1
+records with fresh headers (a record id of its own, the date of writing, and for revisits
+the id, URI and date of the response), each a gzip member of its own, a ``warcinfo`` record first,
+as readers of such archives expect.  Every task writes files under new names, and the stored
+manifest (file, offset and length of each record) tells which count, so retried tasks leave
+nothing that is read.  Reading streams each archive member by member, holds one record at a
+time, recomputes digests from the payload bytes and joins revisits to responses.
 
 Scale.  Payloads are pre-aggregated by digest before their one shuffle (a digest held
 by a third of all pages sends one payload per map task); header joins carry ids only
@@ -23,10 +23,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,10 +129,50 @@ def record_text(at: str | None = None) -> Column:
     return F.concat(head, block)
 
 
-def write_archives(planned: DataFrame, path: str) -> None:
-    """Gzip archives of WARC records, one per output partition."""
-    out = planned.select(record_text().alias("value"))
-    out.write.option("lineSep", END).option("compression", "gzip").text(path)
+MANIFEST = "file string, offset long, length long, page_id long, record_type string"
+
+
+def _member(record: bytes) -> bytes:
+    """A record with its terminator as one gzip member."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.compress(END.encode()) + packer.flush()
+
+
+def _info(name: str, at: str) -> bytes:
+    """The record that begins an archive."""
+    block = b"software: sigweave\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {at}\r\nWARC-Filename: {name}\r\n"
+    return head.encode() + f"Content-Type: application/warc-fields\r\nContent-Length: {len(block)}{END}".encode() + block
+
+
+def write_archives(planned: DataFrame, path: str) -> DataFrame:
+    """Archives under ``path``, one for each task that has rows; returns the stored manifest of their records."""
+    arrow_batches(planned.sparkSession)
+    at = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    rows = planned.select("page_id", "record_type", record_text(at).cast("binary").alias("record"))
+    fs, inner = pafs.FileSystem.from_uri(path)
+    fs.create_dir(inner, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inner = pafs.FileSystem.from_uri(path)
+        name = f"archive-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+        out, at_byte = None, 0
+        for batch in batches:
+            if out is None:
+                out = fs.open_output_stream(f"{inner}/{name}", compression=None)
+                at_byte = out.write(_member(_info(name, at)))
+            offsets, sizes = [], []
+            for record in batch.column(2):
+                offsets.append(at_byte)
+                sizes.append(out.write(_member(record.as_py())))
+                at_byte += sizes[-1]
+            n = batch.num_rows
+            columns = [pa.array([name] * n, pa.string()), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64()), batch.column(0), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["file", "offset", "length", "page_id", "record_type"])
+        if out is not None:
+            out.close()
+
+    return written(rows.mapInArrow(run, MANIFEST), "warc-manifest")
 
 
 def _parse(head: bytes, block: bytes) -> dict:
@@ -147,58 +191,59 @@ def _parse(head: bytes, block: bytes) -> dict:
     }
 
 
-class _Stream:
-    """Records of one archive from its lines; keeps at most one unfinished record."""
-
-    def __init__(self):
-        self.parts: list[bytes] = []
-        self.size = 0
-        self.need = 0
-
-    def feed(self, line: bytes) -> Iterator[dict]:
-        self.parts.append(line + b"\r\n\r\n")
-        self.size += len(line) + 4
-        while self.size >= max(self.need, 4):
-            data = b"".join(self.parts)
-            self.parts, at = [data], data.find(b"\r\n\r\n")
-            if at < 0 or not data.startswith(b"WARC/"):
-                if data.strip():
-                    raise ValueError("not a WARC record: " + repr(data[:80]))
-                self.parts, self.size, self.need = [], 0, 0
-                return
-            length = int(data[data.rindex(b"Content-Length: ", 0, at) + 16 : at])
-            self.need = at + 4 + length + 4
-            if self.size < self.need:
-                return
-            yield _parse(data[:at], data[at + 4 : at + 4 + length])
-            self.parts, self.size, self.need = [data[self.need :]], self.size - self.need, 0
-            if not self.size:
-                self.parts = []
-                return
-
-
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([
-        ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()),
-        ("payload_bytes", pa.int64()), ("intact", pa.bool_()), ("profile", pa.string()),
-        ("record_id", pa.string()), ("refers_to_id", pa.string()), ("refers_to_uri", pa.string()), ("date", pa.string()),
-    ])
-    current, stream = None, _Stream()
-    for batch in batches:
-        rows: list[dict] = []
-        for path, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if path != current:
-                current, stream = path, _Stream()
-            rows.extend(stream.feed(line))
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all archives under ``path``; gzip files are not split, so each is read in order by one task."""
+def _members(stream) -> Iterator[bytes]:
+    """The records of an archive, one gzip member at a time."""
+    unpacker, parts = zlib.decompressobj(31), []
+    while data := stream.read(1 << 16):
+        while data:
+            parts.append(unpacker.decompress(data))
+            data = unpacker.unused_data
+            if unpacker.eof:
+                yield b"".join(parts)
+                unpacker, parts = zlib.decompressobj(31), []
+    if parts:
+        raise ValueError("an archive ends inside a record")
+
+
+def _record(data: bytes) -> dict | None:
+    """Fields of one record; None for one that holds no page."""
+    at = data.find(END.encode())
+    if at < 0 or not data.startswith(b"WARC/"):
+        raise ValueError("not a WARC record: " + repr(data[:80]))
+    length = int(data[data.rindex(b"Content-Length: ", 0, at) + 16 : at])
+    if len(data) != at + length + 8 or not data.endswith(END.encode()):
+        raise ValueError("a WARC record of another length than its header says: " + repr(data[:80]))
+    return None if b"\r\nWARC-Type: warcinfo\r\n" in data[: at + 2] else _parse(data[:at], data[at + 4 : at + 4 + length])
+
+
+_ARROW = pa.schema([
+    ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()),
+    ("payload_bytes", pa.int64()), ("intact", pa.bool_()), ("profile", pa.string()),
+    ("record_id", pa.string()), ("refers_to_id", pa.string()), ("refers_to_uri", pa.string()), ("date", pa.string()),
+])
+
+
+def read_archives(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """Records of the archives under ``path`` that the manifest names; each is read in order by one task."""
     arrow_batches(spark)
-    lines = spark.read.option("lineSep", END).text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value"))
-    return lines.mapInArrow(_records, RECORD)
+    files = manifest.select("file").distinct()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inner = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                rows = []
+                with fs.open_input_stream(f"{inner}/{name}", compression=None) as stream:
+                    for data in _members(stream):
+                        if record := _record(data):
+                            rows.append(record)
+                        if len(rows) == 1024:
+                            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                            rows = []
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+    return files.repartition(parts, "file").mapInArrow(run, RECORD)
 
 
 def resolve(records: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -216,5 +261,5 @@ def deduplicated(pages: DataFrame, min_bytes: int = 0, path: str | None = None)
     """Write the deduplicated archives of ``pages`` and read them back, resolved."""
     spark = pages.sparkSession
     path = path or shared_dir(spark, "warc")
-    write_archives(plan_records(pages, min_bytes), path)
-    return resolve(written(read_archives(spark, path), "warc-records"), min_bytes)
+    manifest = write_archives(plan_records(pages, min_bytes), path)
+    return resolve(written(read_archives(spark, path, manifest), "warc-records"), min_bytes)

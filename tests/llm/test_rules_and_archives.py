@@ -1,7 +1,11 @@
 """Operators 1 and 3: quality rules and WARC archives."""
 
 import base64
+import glob
+import gzip
 import hashlib
+import os
+import zlib
 
 import duckdb
 import pytest
@@ -87,8 +91,8 @@ def test_warc_headers(spark, tmp_path):
     """Every record has an id of its own; a revisit names the id and URI of its response; null and empty urls differ."""
     pages = [*PAGES, (2, "http://b", "<p>x</p>", 0), (11, "", "same", 0), (12, None, "same", 0)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, x long")
-    warc.write_archives(warc.plan_records(df, 3), f"file://{tmp_path}/out")
-    rows = warc.read_archives(spark, f"file://{tmp_path}/out").collect()
+    manifest = warc.write_archives(warc.plan_records(df, 3), f"file://{tmp_path}/out")
+    rows = warc.read_archives(spark, f"file://{tmp_path}/out", manifest).collect()
     assert len(rows) == len(pages) == len({r.record_id for r in rows})
     responses = {r.record_id: r for r in rows if r.record_type == "response"}
     for r in rows:
@@ -99,6 +103,43 @@ def test_warc_headers(spark, tmp_path):
     assert urls[3] is None and urls[12] is None and urls[11] == "" and urls[4] == "http://d%0A%0AX: y"
 
 
+def _plain_reader(path):
+    """(headers, block) of the records in a gzip file, read as one stream by the standard library."""
+    out = []
+    with gzip.open(path) as f:
+        while line := f.readline():
+            assert line == b"WARC/1.1\r\n"
+            headers = {}
+            while (line := f.readline()) != b"\r\n":
+                name, value = line.decode().rstrip("\r\n").split(": ", 1)
+                headers[name] = value
+            out.append((headers, f.read(int(headers["Content-Length"]))))
+            assert f.read(4) == b"\r\n\r\n"
+    return out
+
+
+def test_warc_by_other_readers(spark, tmp_path):
+    """Archives read as one gzip stream, and single records inflated alone from their offsets."""
+    df = spark.createDataFrame([*PAGES, (12, "http://e", "ünï\r\n\r\nWARC/1.1 " * 9000, 0)], "page_id long, url string, html string, x long")
+    manifest = warc.write_archives(warc.plan_records(df), f"file://{tmp_path}/out")
+    rows, files = manifest.collect(), glob.glob(f"{tmp_path}/out/*.warc.gz")
+    assert {r.file for r in rows} == {os.path.basename(f) for f in files} and len(rows) == df.count()
+    seen = 0
+    for path in files:
+        (info, block), *records = _plain_reader(path)
+        assert info["WARC-Type"] == "warcinfo" and info["WARC-Filename"] == os.path.basename(path) and b"software" in block
+        own = sorted((r for r in rows if r.file == os.path.basename(path)), key=lambda r: r.offset)
+        data = open(path, "rb").read()
+        for r, (headers, body) in zip(own, records, strict=True):
+            alone = zlib.decompress(data[r.offset : r.offset + r.length], 31)
+            assert alone.startswith(b"WARC/1.1") and alone.endswith(body + b"\r\n\r\n") and headers["WARC-Type"] == r.record_type
+            assert headers["X-Page-Id"] == ("null" if r.page_id is None else str(r.page_id))
+            seen += 1
+    assert seen == len(rows)
+    (tmp_path / "out" / "archive-orphan.warc.gz").write_bytes(b"not read")
+    assert warc.read_archives(spark, f"file://{tmp_path}/out", manifest).count() == len(rows)
+
+
 def test_warc_min_bytes(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string, x long")
     small = warc.deduplicated(df, min_bytes=9)
