@@ -15,9 +15,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -95,11 +97,13 @@ def halo(df: DataFrame, left: int = 0, right: int = 0, chunk: int = CHUNK) -> Da
     if reach >= chunk:
         chunk = 2 * reach
     own, place = F.floor(F.col("pos") / chunk), F.pmod("pos", F.lit(chunk))
-    also = [F.when(place < right, own - 1)] if right else []
-    also += [F.when(place >= chunk - left, own + 1)] if left else []
     df = df.withColumn("_home", own)
-    every = F.filter(F.array(own, *also), lambda c: c.isNotNull() & (c >= 0))
-    df = df.withColumn("_chunk", F.explode(every)) if also else df.withColumn("_chunk", own)
+    before, behind = (place < right) & (own > 0), place >= chunk - left
+    if left and right:
+        every = F.when(before & behind, F.array(own, own - 1, own + 1)).when(before, F.array(own, own - 1)).when(behind, F.array(own, own + 1))
+    else:
+        every = F.when(before, F.array(own, own - 1)) if right else F.when(behind, F.array(own, own + 1))
+    df = df.withColumn("_chunk", F.explode(every.otherwise(F.array(own))) if left or right else own)
     return df.withColumn("_own", F.col("_home") == F.col("_chunk")).drop("_home")
 
 
@@ -113,29 +117,49 @@ def windowed(df: DataFrame, left: int, right: int, columns: Callable[[Window], d
     return out.filter("_own").drop("_chunk", "_own")
 
 
-def packed(df: DataFrame, columns: tuple[str, ...], left: int = 0, right: int = 0, chunk: int = CHUNK // 8) -> DataFrame:
-    """(stream_id, _chunk, _first, an array of each column): chunks in one row each, with neighbours like ``halo``, in order of ``pos`` from ``_first`` on.
+def by_chunks(df: DataFrame, columns: tuple[str, ...], f: Callable, schema: str, left: int = 0, right: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """One row (stream_id, _chunk and ``schema``) for each chunk, stored: ``f(number, first position, arrays of columns)`` gives its values.
 
-    Spark may hold some hundred chunks of a task while it gathers them, so chunks of structs are short.
+    Chunks see neighbours like ``halo``.  Rows are dealt and sorted by chunk and streamed through
+    Arrow tasks, which hold one chunk; what they make is stored, so that steps behind read
+    it as often as they like, and the input is computed once.
     """
-    rows = halo(df.select(*KEY, *columns), left, right, chunk).groupBy("stream_id", "_chunk").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("_rows"))
-    return rows.select("stream_id", "_chunk", F.element_at("_rows.pos", 1).alias("_first"), *(F.col(f"_rows.{c}").alias(c) for c in columns))
-
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = halo(df.select(*KEY, *columns), left, right, chunk).select("stream_id", "_chunk", "pos", *columns)
+    rows = rows.repartition(parts, "stream_id", "_chunk").sortWithinPartitions("stream_id", "_chunk", "pos")
+    full = StructType([df.schema["stream_id"], *StructType.fromDDL("_chunk long, " + schema).fields])
 
-def packed_bytes(df: DataFrame, column: str, left: int = 0, right: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """(stream_id, _chunk, _x) like ``packed`` for one column of bits or bytes: each element holds position and value, as ``bytes_of`` reads them.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    A long takes a quarter of a struct's memory, and sorts by itself.
-    """
-    value = F.shiftleft("pos", 8).bitwiseOR(F.col(column).cast("long").bitwiseAND(F.lit(255)))
-    rows = halo(df.select(*KEY, value.alias("_x")), left, right, chunk)
-    return rows.groupBy("stream_id", "_chunk").agg(F.array_sort(F.collect_list("_x")).alias("_x"))
+        target = to_arrow_schema(full)
+        now, parts = None, []
 
+        def made() -> pa.RecordBatch:
+            first = int(parts[0].column(2)[0].as_py())
+            arrays = [np.concatenate([p.column(3 + i).to_numpy(zero_copy_only=False) for p in parts]) for i in range(len(columns))]
+            values = [now[0], now[1], *f(now[1], first, arrays)]
+            return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(values, target, strict=True)], schema=target)
 
-def bytes_of(x) -> tuple[int, np.ndarray]:
-    """First position and the values of an element of ``packed_bytes``."""
-    x = np.asarray(x, np.int64)
-    return int(x[0] >> 8), (x & 255).astype(np.uint8)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, numbers = batch.column(0), batch.column(1).to_numpy()
+            new = np.diff(numbers) != 0
+            if len(new):
+                new |= ~np.asarray(pc.fill_null(pc.equal(keys.slice(1), keys.slice(0, len(keys) - 1)), False))
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for lo, hi in pairwise(edges):
+                key = (keys[lo].as_py(), int(numbers[lo]))
+                if parts and key != now:
+                    yield made()
+                    parts = []
+                now = key
+                parts.append(batch.slice(lo, hi - lo))
+        if parts:
+            yield made()
+
+    return stored(rows.mapInArrow(run, full))
 
 
 def unpacked(found: DataFrame, column: str, name: str) -> DataFrame:

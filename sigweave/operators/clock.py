@@ -15,25 +15,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import CHUNK, KEY, packed, sequential, unpacked
-
-#: Samples of a chunk.
-_CHUNK = CHUNK // 8
+from ..model import CHUNK, KEY, by_chunks, sequential, unpacked
 
 
 def _chunks(df: DataFrame, chunk: int) -> DataFrame:
     """Packed chunks with the sample before each, and ``_at``: their sign changes."""
 
-    def changes(number: pd.Series, first: pd.Series, column: pd.Series) -> pd.Series:
-        out = []
-        for c, f, v in zip(number, first, column, strict=True):
-            high = np.asarray(v, float) > 0
-            at = f + np.flatnonzero(high != np.concatenate([[False], high[:-1]]))
-            out.append(at[at >= c * chunk])
-        return pd.Series(out)
+    def changes(number: int, first: int, arrays: list[np.ndarray]) -> tuple:
+        high = arrays[0] > 0
+        at = first + np.flatnonzero(high != np.concatenate([[False], high[:-1]]))
+        return first, arrays[0], at[at >= number * chunk]
 
-    rows = packed(df.select(*KEY, F.col("v").cast("double").alias("v")), ("v",), 1, 0, chunk)
-    return rows.withColumn("_at", F.pandas_udf(changes, "array<long>")("_chunk", "_first", "v"))
+    rows = df.select(*KEY, F.col("v").cast("double").alias("v"))
+    return by_chunks(rows, ("v",), changes, "_first long, v array<double>, _at array<long>", 1, 0, chunk)
 
 
 def _own(number: int, first: int, v, chunk: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +52,7 @@ def _checked(sps: float) -> float:
     return float(sps)
 
 
-def zero_crossing(df: DataFrame, sps: float, max_deviation: float = 0.0, chunk: int = _CHUNK) -> DataFrame:
+def zero_crossing(df: DataFrame, sps: float, max_deviation: float = 0.0, chunk: int = CHUNK) -> DataFrame:
     """One sample per symbol, the first half a symbol behind each sign change; ``max_deviation`` is accepted and has no effect."""
     sps = _checked(sps)
     chunks = _chunks(df, chunk)
@@ -121,7 +115,7 @@ def on_grid(pos: np.ndarray, at: int, middle: float, clock: float) -> np.ndarray
     return (j >= 0) & (np.ceil(middle + j * clock) == pos) | (pos == at + 1) & (math.ceil(middle) <= at)
 
 
-def symbol_sync(df: DataFrame, sps: float, max_deviation: float, taps=(0.5, 0.5), chunk: int = _CHUNK) -> DataFrame:
+def symbol_sync(df: DataFrame, sps: float, max_deviation: float, taps=(0.5, 0.5), chunk: int = CHUNK) -> DataFrame:
     """One sample per symbol, from its middle, with the clock at that time (samples per symbol).
 
     The distance of sign changes, filtered and held within ``sps`` plus and minus ``max_deviation``, is the clock.

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import CHUNK, KEY, bytes_of, packed_bytes, sequential, unpacked
+from ..model import CHUNK, KEY, by_chunks, sequential, unpacked
 
 FLAGS = 20
 
@@ -259,54 +259,38 @@ def hdlc_deframer(df: DataFrame, min_size: int, max_size: int, fix_bits: bool =
     """
     left, right = 8 * max_size * 6 // 5 + 32, 8
     chunk = max(chunk, 2 * left)
-    chunks = packed_bytes(df, "bit", left, right, chunk)
 
-    def found(number: int, x) -> tuple[int, _Marks]:
-        first, bits = bytes_of(x)
+    def summary(number: int, first: int, arrays: list[np.ndarray]) -> tuple:
         lo = number * chunk - first
-        return first, _marks(bits.astype(np.int8), lo, lo + chunk, min_size, max_size, keep_checksum, fix_bits)
-
-    def summarised(number: pd.Series, column: pd.Series) -> pd.DataFrame:
-        out = []
-        for c, x in zip(number, column, strict=True):
-            _, own = found(c, x)
-            before = own.before()
-            whole = np.zeros(3, np.int64)
-            for k in own.frames:
-                whole += before[k] == _SYNCED
-            out.append([*before[-1].tolist(), *whole.tolist()])
-        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 6), columns=[*(f"to{s}" for s in range(3)), *(f"n{s}" for s in range(3))])
+        own = _marks(arrays[0].astype(np.int8), lo, lo + chunk, min_size, max_size, keep_checksum, fix_bits)
+        before = own.before()
+        synced = before == _SYNCED
+        frames = sorted(own.frames)
+        counts = synced[frames].sum(0).tolist() if frames else [0] * 3
+        listed = [{"of": synced[k].tolist(), "data": own.frames[k], "packet_pos": int(first + own.start[k] + 6)} for k in frames]
+        return before[-1].tolist(), counts, listed
+
+    kinds = "_to array<long>, _n array<long>, _frames array<struct<of:array<boolean>,data:binary,packet_pos:bigint>>"
+    chunks = by_chunks(df, ("bit",), summary, kinds, left, right, chunk)
 
     def machine():
         state = [_FREE, 0]
 
-        def step(pos, *maps_):
-            *maps_, _ = maps_
+        def step(pos, to, n, end):
             states, counts = [], []
-            for row in zip(*(m.tolist() for m in maps_), strict=True):
+            for moves, own in zip(to, n, strict=True):
                 states.append(state[0])
                 counts.append(state[1])
-                state[:] = int(row[state[0]]), state[1] + int(row[3 + state[0]])
+                state[:] = int(moves[state[0]]), state[1] + int(own[state[0]])
             return {"pos": pos.astype(np.int64), "_state": np.array(states, np.int64), "_before": np.array(counts, np.int64)}
 
         return step
 
-    def packets(number: pd.Series, column: pd.Series, state: pd.Series, count: pd.Series) -> pd.Series:
-        out = []
-        for c, x, s, n in zip(number, column, state, count, strict=True):
-            f, own = found(c, x)
-            before = own.before()
-            good = [k for k in sorted(own.frames) if before[k, s] == _SYNCED]
-            out.append([{"pdu_idx": n + i, "data": own.frames[k], "packet_pos": int(f + own.start[k] + 6)} for i, k in enumerate(good)])
-        return pd.Series(out)
-
-    maps_ = F.pandas_udf(summarised, "to0 long, to1 long, to2 long, n0 long, n1 long, n2 long")("_chunk", "_x")
-    names = [f"{x}{s}" for x in ("to", "n") for s in range(3)]
-    ends = chunks.select("stream_id", F.col("_chunk").alias("pos"), maps_.alias("_m")).select(*KEY, *(F.col(f"_m.{x}") for x in names))
-    carried = sequential(ends, ("pos", *names), machine, "pos long, _state long, _before long").withColumnRenamed("pos", "_chunk")
-    udf = F.pandas_udf(packets, "array<struct<pdu_idx:bigint,data:binary,packet_pos:bigint>>")
-    made = chunks.join(carried, ["stream_id", "_chunk"]).select("stream_id", udf("_chunk", "_x", "_state", "_before").alias("_p"))
-    return made.select("stream_id", F.inline("_p"))
+    ends = chunks.select("stream_id", F.col("_chunk").alias("pos"), "_to", "_n")
+    carried = sequential(ends, ("pos", "_to", "_n"), machine, "pos long, _state long, _before long").withColumnRenamed("pos", "_chunk")
+    own = F.filter("_frames", lambda f: F.get(f["of"], F.col("_state").cast("int")))
+    made = chunks.filter(F.size("_frames") > 0).join(carried, ["stream_id", "_chunk"]).select("stream_id", "_before", F.posexplode(own).alias("_k", "_f"))
+    return made.select("stream_id", (F.col("_before") + F.col("_k")).alias("pdu_idx"), "_f.data", "_f.packet_pos")
 
 
 FEND = 0xC0
@@ -319,20 +303,15 @@ def kiss_frame(df: DataFrame, limit: int = 10_000, chunk: int = CHUNK) -> DataFr
     frame belongs to the chunk of its second end.  Only the numbers of frames pass through a window per stream.
     """
     chunk = max(chunk, 2 * (limit + 2))
-    chunks = packed_bytes(df, "b", limit + 1, 0, chunk)
-
-    def cut(number: pd.Series, column: pd.Series) -> pd.Series:
-        out = []
-        for c, x in zip(number, column, strict=True):
-            f, data = bytes_of(x)
-            ends = np.flatnonzero(data == FEND)
-            size = np.diff(ends) - 1
-            good = np.flatnonzero((size > 0) & (size <= limit) & (f + ends[1:] >= c * chunk))
-            out.append([data[ends[i] : ends[i + 1] + 1].tobytes() for i in good])
-        return pd.Series(out)
-
-    found = chunks.select("stream_id", "_chunk", F.pandas_udf(cut, "array<binary>")("_chunk", "_x").alias("data"))
-    return unpacked(found, "data", "pdu_idx")
+
+    def cut(number: int, first: int, arrays: list[np.ndarray]) -> tuple:
+        data = arrays[0].astype(np.uint8)
+        ends = np.flatnonzero(data == FEND)
+        size = np.diff(ends) - 1
+        good = np.flatnonzero((size > 0) & (size <= limit) & (first + ends[1:] >= number * chunk))
+        return ([data[ends[i] : ends[i + 1] + 1].tobytes() for i in good],)
+
+    return unpacked(by_chunks(df, ("b",), cut, "data array<binary>", limit + 1, 0, chunk), "data", "pdu_idx")
 
 
 def _octets(hexed: Column) -> Column:
