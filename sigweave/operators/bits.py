@@ -281,17 +281,22 @@ def midpointer(pdus: DataFrame, column: str = "data") -> DataFrame:
 
     Packets with a not-a-number mean, or with one side empty, are dropped.
     """
-    x = F.transform(F.col(column), lambda v: v.cast("double"))
-    rows = pdus.select("stream_id", "pdu_idx", x.alias("data")).filter(F.size("data") > 0)
-    mean = F.aggregate("data", F.lit(0.0), lambda s, v: s + v) / F.size("data")
-    rows = rows.withColumn("_m", mean).filter(~F.isnan("_m"))
-    # Of values with NaN among them the mean is NaN, so both sides hold numbers only.
-    rows = rows.withColumns({
-        "_hi": F.array_sort(F.filter("data", lambda v: v > F.col("_m"))), "_lo": F.array_sort(F.filter("data", lambda v: v <= F.col("_m"))),
-    }).filter((F.size("_hi") > 0) & (F.size("_lo") > 0))
+    rows = pdus.select("stream_id", "pdu_idx", F.col(column).cast("array<double>").alias("data")).filter(F.size("data") > 0)
+    # A value that a lambda takes is worked out once, where a column of its own would be written out at every use.
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
     middle = lambda c: F.get(c, F.floor(F.size(c) / 2).cast("int"))
-    rows = rows.withColumn("_o", middle("_lo") + (middle("_hi") - middle("_lo")) / 2)
-    return rows.select("stream_id", "pdu_idx", F.transform("data", lambda v: v - F.col("_o")).alias("data"))
+    mean = F.aggregate("data", F.lit(0.0), lambda s, v: s + v) / F.size("data")
+
+    def between(sides: Column) -> Column:
+        hi, lo = sides["hi"], sides["lo"]
+        return F.when((F.size(hi) > 0) & (F.size(lo) > 0), middle(lo) + (middle(hi) - middle(lo)) / 2)
+
+    def sides(m: Column) -> Column:
+        hi, lo = (F.array_sort(F.filter("data", f)) for f in (lambda v: v > m, lambda v: v <= m))
+        return F.when(~F.isnan(m), once(F.struct(hi.alias("hi"), lo.alias("lo")), between))
+
+    centred = once(once(mean, sides), lambda o: F.when(o.isNotNull(), F.transform("data", lambda v: v - o)))
+    return rows.select("stream_id", "pdu_idx", centred.alias("data")).filter(F.col("data").isNotNull())
 
 
 def _symbol_rate(crossings: np.ndarray, n: int) -> tuple[float, float] | None:
