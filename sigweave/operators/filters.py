@@ -330,13 +330,13 @@ def _scanned(df: DataFrame, scan, chunk: int) -> DataFrame:
 _LANES, _SAME = 256, 1e-12
 
 
-def speculated(df: DataFrame, size: int, lanes: Callable, start=None, chunk: int = 4096, outputs: tuple[str, ...] = ("v",), ahead: int = 0) -> tuple[DataFrame, float]:
+def speculated(df: DataFrame, size: int, lanes: Callable, start=None, chunk: int = 4096, outputs: tuple[str, ...] = ("v",), ahead: int = 0, same: float = _SAME) -> tuple[DataFrame, float]:
     """A machine without small maps, run on all chunks at once from guessed states until the guesses hold.
 
     ``lanes(states, samples, lengths) -> (outputs, states behind)`` steps many chunks side by side.  A
     chunk's first guess is the state behind the chunk before it, run from ``start``.  Chunks
     whose guess differs from what the chunk before now leaves run again, until none does: the
-    first chunk of a stream is right, so in the end all are, to the precision of doubles.
+    first chunk of a stream is right, so in the end all are, to ``same`` (0: bit for bit).
     Returns the outputs and the share of chunks that ran again.
     """
     names = tuple(values(df))
@@ -372,7 +372,8 @@ def speculated(df: DataFrame, size: int, lanes: Callable, start=None, chunk: int
 
     order = Window.partitionBy("stream_id").orderBy("_chunk")
     first = F.array(*map(F.lit, begin.tolist())).cast("array<double>")
-    far = lambda a, b: F.exists(F.zip_with(a, b, lambda x, y: ~(F.abs(x - y) <= F.lit(_SAME) * (1 + F.abs(y)))), lambda z: F.coalesce(z, F.lit(True)))
+    near = lambda x, y: x.eqNullSafe(y) | (F.abs(y) < math.inf) & (F.abs(x - y) <= F.lit(float(same)) * (1 + F.abs(y)))
+    far = lambda a, b: F.exists(F.zip_with(a, b, lambda x, y: ~near(x, y)), lambda z: F.coalesce(z, F.lit(True)))
     # A first run from the start tells each chunk a state to begin with; all but the first chunks run again from it.
     cold = stored(run(chunks.withColumn("_state", first), False))
     guess = cold.withColumn("_state", F.coalesce(F.lag("_end").over(order), first)).drop("_end")
@@ -415,6 +416,8 @@ def _clamped_lanes(head: float, back: list[float], least: float, most: float) ->
 def cma_equalizer(stream: Stream | DataFrame, n_taps: int, modulus: float, step_size: float, chunk: int = 4096) -> Stream | DataFrame:
     """Constant-modulus equaliser: taps adapt behind every output; N - T + 1 outputs.
 
+    Loud samples make the taps run away, and rounding with them; so sums are taken tap by tap, real
+    parts apart from imaginary ones, as a plain loop takes them, and chunks join bit for bit.
     A Stream keeps the tags of positions that the output has.
     """
     return equalized(stream, n_taps, modulus, step_size, chunk)[0]
@@ -429,19 +432,24 @@ def equalized(stream: Stream | DataFrame, n_taps: int, modulus: float, step_size
     start[0] = 1
 
     def lanes(states: np.ndarray, samples: list[np.ndarray], n: np.ndarray):
-        x = samples[0] + 1j * samples[1]
-        taps = states[:, :n_taps] + 1j * states[:, n_taps:]
+        x, z = samples
+        a, b = list(states[:, :n_taps].T), list(states[:, n_taps:].T)
         steps = np.clip(n - (n_taps - 1), 0, chunk)
-        out = np.zeros((len(n), max(int(steps.max(initial=0)), 0)), complex)
-        for t in range(out.shape[1]):
-            window = x[:, t : t + n_taps]
-            y = (taps * window).sum(1)
-            out[:, t] = y
-            moved = taps + (step_size * (modulus - np.abs(y) ** 2) * y)[:, None] * window.conj()
-            taps = np.where((t < steps)[:, None], moved, taps)
-        return [out.real, out.imag], np.concatenate([taps.real, taps.imag], 1)
-
-    out, share = speculated(df.select(*KEY, "re", "im"), 2 * n_taps, lanes, start, chunk, ("re", "im"), n_taps - 1)
+        re = np.zeros((len(n), max(int(steps.max(initial=0)), 0)))
+        im = np.zeros_like(re)
+        with np.errstate(all="ignore"):  # of taps that run away
+            for t in range(re.shape[1]):
+                own = [(x[:, t + i], z[:, t + i]) for i in range(n_taps)]
+                u, v = a[0] * own[0][0] - b[0] * own[0][1], a[0] * own[0][1] + b[0] * own[0][0]
+                for i in range(1, n_taps):
+                    u, v = u + a[i] * own[i][0] - b[i] * own[i][1], v + a[i] * own[i][1] + b[i] * own[i][0]
+                re[:, t], im[:, t] = u, v
+                gain, live = step_size * (modulus - (u * u + v * v)), t < steps
+                for i, (p, q) in enumerate(own):
+                    a[i], b[i] = np.where(live, a[i] + gain * (u * p + v * q), a[i]), np.where(live, b[i] + gain * (v * p - u * q), b[i])
+        return [re, im], np.stack([*a, *b], 1)
+
+    out, share = speculated(df.select(*KEY, "re", "im"), 2 * n_taps, lanes, start, chunk, ("re", "im"), n_taps - 1, same=0.0)
     if not isinstance(stream, Stream):
         return out, share
     n_out = lengths(df).select("stream_id", (F.col("n") - (n_taps - 1)).alias("_n"))

@@ -91,6 +91,15 @@ def query(sql: str | None = None):
     return register
 
 
+def _rounded_like_sql(c: str, digits: int = 5) -> Column:
+    """Round by multiplying and dividing, as DuckDB does; ``rounded`` rounds the shortest decimal text, which differs for huge values."""
+    x, scale = F.col(c), F.lit(10.0**digits)
+    up = F.abs(x) * scale
+    whole = F.floor(up).cast("double")
+    near = F.when(up < 2.0**52, F.signum(x) * (whole + F.when(up - whole >= 0.5, 1.0).otherwise(0.0))).otherwise(x * scale) / scale
+    return F.when(F.abs(near) < math.inf, near).otherwise(x).alias(c)
+
+
 def _r(x: str) -> str:
     return f"round({x}, 5) + 0.0"
 
@@ -399,7 +408,8 @@ SELECT stream_id, pos, {_r("re")} AS re, {_r("im")} AS im FROM o"""
 
 @query(_cma_sql(5, 1.0, 0.001))  # with steps of 0.01 the taps run off to infinity
 def cma_equalizer(spark, d):
-    return filters.cma_equalizer(maps.multiply_const(iq(spark, d), 0.02), 5, 1.0, 0.001)
+    out = filters.cma_equalizer(maps.multiply_const(iq(spark, d), 0.02), 5, 1.0, 0.001)
+    return out.select("stream_id", "pos", _rounded_like_sql("re"), _rounded_like_sql("im"))
 
 
 # Spectra.

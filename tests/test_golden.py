@@ -383,6 +383,27 @@ def test_equalizer_keeps_tags(spark):
     assert values(out.tags, "key") == ["a"] and out.df.count() == 5
 
 
+@pytest.mark.parametrize("chunk", [8, 4096])
+def test_equalizer_with_taps_that_run_away(spark, chunk):
+    """Loud samples make the taps grow without bound: outputs equal a plain loop's bit for bit until they overflow."""
+    rng = np.random.RandomState(3)
+    x = [complex(*(rng.randn(2) * (12 if i > 30 else 0.5))) for i in range(60)]
+    a, b, want = [1.0, 0.0, 0.0], [0.0, 0.0, 0.0], []
+    with np.errstate(all="ignore"):
+        for t in range(len(x) - 2):
+            own = [(np.float64(s.real), np.float64(s.imag)) for s in x[t : t + 3]]
+            u, v = a[0] * own[0][0] - b[0] * own[0][1], a[0] * own[0][1] + b[0] * own[0][0]
+            for i in (1, 2):
+                u, v = u + a[i] * own[i][0] - b[i] * own[i][1], v + a[i] * own[i][1] + b[i] * own[i][0]
+            want.append((u, v))
+            gain = 0.01 * (1.0 - (u * u + v * v))
+            for i, (p, q) in enumerate(own):
+                a[i], b[i] = a[i] + gain * (u * p + v * q), b[i] + gain * (v * p - u * q)
+    assert max(abs(u) for u, _ in want[:40]) > 1e30 and not np.isfinite(want[-1]).all()
+    got = values(filters.cma_equalizer(stream(spark, x), 3, 1.0, 0.01, chunk), "re", "im")
+    assert np.array_equal([(z.real, z.imag) for z in got], want, equal_nan=True)
+
+
 def test_symbol_sync(spark):
     """Without sign changes the grid starts at 0; with them it is half a clock behind each, and the clock follows their distance."""
     assert [(r.pos, r.clock) for r in clock.symbol_sync(stream(spark, [0.0] * 10), 4, 0.5, (1.0,)).orderBy("pos").collect()] == [(0, 4.0), (1, 4.0), (2, 4.0)]
