@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -299,17 +301,38 @@ def midpointer(pdus: DataFrame, column: str = "data") -> DataFrame:
     return rows.select("stream_id", "pdu_idx", centred.alias("data")).filter(F.col("data").isNotNull())
 
 
+def _line(places: list[int], k: int, m: int) -> complex:
+    """Line k of the spectrum of ones at some of m places, summed term by term: at whole fractions of a turn the last bit decides its sign."""
+    re = im = 0.0
+    for n in places:
+        turn = 2 * math.pi * k * n / m
+        re, im = re + math.cos(turn), im + math.sin(turn)
+    return complex(re, -im)
+
+
 def _symbol_rate(crossings: np.ndarray, n: int) -> tuple[float, float] | None:
-    """Symbols per sample and start phase: the lowest strong line in the spectrum of the sign changes."""
-    lines = np.fft.rfft(crossings)[: len(crossings) // 2]
-    power = np.abs(lines)
+    """Symbols per sample and start phase: the lowest strong line in the spectrum of the sign changes.
+
+    A fast transform settles which line that is, but for comparisons too close for it; lines of those are summed again.
+    """
+    m, places = len(crossings), np.flatnonzero(crossings).tolist()
+    power = np.abs(np.fft.rfft(crossings)[: m // 2])
     if len(power) < 4:
         return None
+    near = 1e-9 * max(len(places), 1)
+    gap = np.abs(np.diff(power[2:], append=np.inf)) <= near
+    top = power[2:].max()
+    again = gap | (np.abs(power[2:] - 0.8 * top) <= near) | (power[2:] >= top - near)
+    again[1:] |= gap[:-1]
+    for k in (2 + np.flatnonzero(again)).tolist() if places else ():
+        line = _line(places, k, m)
+        power[k] = math.sqrt(line.real * line.real + line.imag * line.imag)
     strong = (power[2:-1] > 0.8 * power[2:].max()) & (power[2:-1] > power[3:])
     if not strong.any():
         return None
     k = 2 + int(strong.argmax())
-    turn = float(np.angle(lines[k])) / (2 * np.pi)
+    line = _line(places, k, m)
+    turn = math.atan2(line.imag, line.real) / (2 * math.pi)
     return k / n, turn + (0.5 if turn > 0 else 1.5)
 
 

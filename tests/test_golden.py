@@ -429,6 +429,18 @@ def test_wpcr(spark):
     assert [int(v) for v in row.data][:14] in ([int(s) for s in symbols[:14]], [int(s) for s in symbols[1:15]])
 
 
+def test_symbol_rate_at_whole_fractions_of_a_turn():
+    """Sign changes on every third place have a line whose phase is 0 or half a turn but for rounding: the sums of a plain loop decide."""
+    rng = np.random.RandomState(1)
+    for _ in range(300):
+        crossings = (rng.rand(63) < np.where(np.arange(63) % 3 == 0, 0.9, 0.15)).astype(float)
+        lines = [sum((c * complex(math.cos(a := 2 * math.pi * k * n / 63), math.sin(a)) for n, c in enumerate(crossings)), 0j) for k in range(31)]
+        power = [math.sqrt(z.real * z.real + z.imag * z.imag) for z in lines]
+        k = next(k for k in range(2, 30) if power[k] > 0.8 * max(power[2:]) and power[k] > power[k + 1])
+        turn = math.atan2(-lines[k].imag, lines[k].real) / (2 * math.pi)
+        assert bits._symbol_rate(crossings, 64) == (k / 64, turn + (0.5 if turn > 0 else 1.5))
+
+
 def test_stream_chunks_keep_tags(spark):
     tags = spark.createDataFrame([("s", 1, "a"), ("s", 4, "b"), ("s", 6, "c")], "stream_id string, pos long, key string").withColumn("val", tag_value("b", True))
     got = bits.stream_chunks(Stream(stream(spark, range(7)), tags), 3).orderBy("pdu_idx").collect()
