@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import CHUNK, KEY, Stream, chunk_window, halo, lagged, running_sum, sequential, tag_value, values, windowed, zip_streams
+from ..model import CHUNK, KEY, Stream, by_chunks, chunk_window, halo, lagged, running_sum, sequential, tag_value, values, windowed, zip_streams
 
 
 def nrzi_decode(df: DataFrame) -> DataFrame:
@@ -62,18 +62,15 @@ def scrambler_g3ruh(df: DataFrame, chunk: int = 4096) -> DataFrame:
     stream adds up only the registers at their ends, and chunks run again from what came before.
     """
     places = 1 << np.arange(17)
-    chunks = df.groupBy("stream_id", F.floor(F.col("pos") / chunk).alias("_chunk")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "bit"))).alias("_rows")
-    ).select("stream_id", "_chunk", F.col("_rows.pos").alias("_pos"), F.col("_rows.bit").alias("_bits"))
+    moved = [int(_scrambled(places == p, np.zeros(chunk))[-17:] @ places) for p in places]  # what a chunk of zeros makes of each bit
 
-    def left(column):
-        return pd.Series([int(_scrambled(np.zeros(17), bits)[-17:] @ places) for bits in column], dtype="int64")
+    def cut(number: int, first: int, arrays: list[np.ndarray]) -> tuple:
+        return arrays[0], int(_scrambled(np.zeros(17), arrays[0])[-17:] @ places)
 
     def run(column, registers):
         return pd.Series([_scrambled(r >> np.arange(17) & 1, bits)[: len(bits)] for bits, r in zip(column, registers, strict=True)])
 
     def machine():
-        moved = [int(_scrambled(places == p, np.zeros(chunk))[-17:] @ places) for p in places]
         state = {"register": 0}
 
         def step(pos, own, end):
@@ -87,10 +84,12 @@ def scrambler_g3ruh(df: DataFrame, chunk: int = 4096) -> DataFrame:
 
         return step
 
-    ends = chunks.select("stream_id", F.col("_chunk").alias("pos"), F.pandas_udf(left, "long")("_bits").alias("own"))
+    chunks = by_chunks(df.select(*KEY, F.col("bit").cast("tinyint").alias("bit")), ("bit",), cut, "_bits array<tinyint>, own long", chunk=chunk)
+    ends = chunks.select("stream_id", F.col("_chunk").alias("pos"), "own")
     carried = sequential(ends, ("pos", "own"), machine, "pos long, before long").withColumnRenamed("pos", "_chunk")
     whole = chunks.join(carried, ["stream_id", "_chunk"]).withColumn("_s", F.pandas_udf(run, "array<tinyint>")("_bits", "before"))
-    return whole.select("stream_id", F.inline(F.arrays_zip("_pos", "_s"))).toDF("stream_id", "pos", "bit")
+    rows = whole.select("stream_id", "_chunk", F.posexplode("_s").alias("_k", "bit"))
+    return rows.select("stream_id", (F.col("_chunk") * chunk + F.col("_k")).alias("pos"), "bit")
 
 
 def _distances(df: DataFrame, code: list[int]) -> DataFrame:

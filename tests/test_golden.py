@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -441,6 +442,21 @@ def test_symbol_rate_at_whole_fractions_of_a_turn():
         assert bits._symbol_rate(crossings, 64) == (k / 64, turn + (0.5 if turn > 0 else 1.5))
 
 
+def test_scrambler_of_many_short_streams(spark):
+    """What a stream costs is its bits, not a table for its length of chunk."""
+    df = spark.range(12_000 * 20).selectExpr("id div 20 AS stream_id", "id % 20 AS pos", "CAST((id * id) % 3 % 2 AS TINYINT) AS bit")
+    start = time.time()
+    got = bits.scrambler_g3ruh(df).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("pos", "bit"))).alias("rows")).collect()
+    assert time.time() - start < 15
+    assert len(got) == 12_000
+    for row in got[:50]:
+        x = [(20 * row.stream_id + i) ** 2 % 3 % 2 for i in range(20)]
+        s = [0] * 17
+        for bit in x:
+            s.append(bit ^ s[-12] ^ s[-17])
+        assert [r.bit for r in row.rows] == s[:20]
+
+
 def test_stream_chunks_keep_tags(spark):
     tags = spark.createDataFrame([("s", 1, "a"), ("s", 4, "b"), ("s", 6, "c")], "stream_id string, pos long, key string").withColumn("val", tag_value("b", True))
     got = bits.stream_chunks(Stream(stream(spark, range(7)), tags), 3).orderBy("pdu_idx").collect()
