@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import CHUNK, KEY, Stream, by_chunks, chunk_window, halo, lagged, running_sum, sequential, tag_value, values, windowed, zip_streams
+from ..model import CHUNK, KEY, Stream, by_chunks, chunk_window, halo, lagged, running_sum, sequential, stored, tag_value, values, windowed, zip_streams
 
 
 def nrzi_decode(df: DataFrame) -> DataFrame:
@@ -242,6 +242,15 @@ def pdu_to_stream(pdus: DataFrame, column: str = "data", value: str = "v") -> St
     return Stream(rows, tags)
 
 
+def pdu_to_pieces(pdus: DataFrame, column: str = "data", value: str = "bit") -> DataFrame:
+    """Binary packets one behind the other as a stream in pieces (stream_id, pos, value): a row for each packet instead of each sample."""
+    size = F.octet_length(value).cast("long")
+    # Stored before anything looks at it, so that packets are made once.
+    full = stored(pdus.select("stream_id", F.col("pdu_idx").alias("pos"), F.col(column).alias(value))).filter(size > 0)
+    placed = running_sum(full, size, "_to", chunk=4096)
+    return placed.select("stream_id", (F.col("_to") - size).alias("pos"), value)
+
+
 def stream_chunks(stream: Stream | DataFrame, size: int) -> DataFrame:
     """Packets of ``size`` samples each; the rest at the end is lost.
 

@@ -50,7 +50,7 @@ def crc_column(data: Column) -> Column:
 def fcs_adder(pdus: DataFrame, column: str = "data") -> DataFrame:
     """Append the little-endian CRC-16/X.25 to each binary packet."""
     crc = F.lpad(F.hex(crc_column(F.col(column)).cast("bigint")), 4, "0")
-    return pdus.withColumn(column, F.concat(column, F.unhex(F.concat(F.substring(crc, 3, 2), F.substring(crc, 1, 2)))))
+    return pdus.withColumn(column, F.concat(column, F.unhex(F.regexp_replace(crc, "(..)(..)", "$2$1"))))
 
 
 def bit_text(data: Column) -> Column:
@@ -59,12 +59,18 @@ def bit_text(data: Column) -> Column:
     return F.array_join(F.transform(octets, lambda h: F.reverse(F.lpad(F.conv(h, 16, 2), 8, "0"))), "")
 
 
-def hdlc_framer(pdus: DataFrame, column: str = "data", flags: int = FLAGS) -> DataFrame:
-    """Binary packets to bit packets: flags, bits with a 0 stuffed behind every five 1s, flags."""
-    flag = "01111110" * flags
-    text = F.concat(F.lit(flag), F.regexp_replace(bit_text(F.col(column)), "11111", "111110"), F.lit(flag))
-    bits = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: c.cast("tinyint"))
-    return pdus.withColumn(column, bits)
+def hdlc_text(column: Column, flags: int = FLAGS) -> Column:
+    """0/1 text of a binary packet: flags, bits with a 0 stuffed behind every five 1s, flags."""
+    flag = F.lit("01111110" * flags)
+    return F.concat(flag, F.regexp_replace(bit_text(column), "11111", "111110"), flag)
+
+
+def hdlc_framer(pdus: DataFrame, column: str = "data", flags: int = FLAGS, packed: bool = False) -> DataFrame:
+    """Binary packets to bit packets, framed; ``packed`` ones are binary, an ASCII 0 or 1 for each bit."""
+    text = hdlc_text(F.col(column), flags)
+    if packed:
+        return pdus.withColumn(column, text.cast("binary"))
+    return pdus.withColumn(column, F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: c.cast("tinyint")))
 
 
 #: A flipped bit k places before the end of the data changes the checksum by one value, whatever the data; it recurs every _CYCLE bits.
@@ -255,14 +261,15 @@ def hdlc_deframer(df: DataFrame, min_size: int, max_size: int, fix_bits: bool =
     A scan over functions: every chunk of bits, with as many before it as a frame can have, maps
     each of three states before its first run of six ones to the state behind its last and the number of frames
     on the way.  Only these maps, one row for each chunk, pass through a task per stream, which
-    tells each chunk its state and the number of its first packet.
+    tells each chunk its state and the number of its first packet.  Bits may come in pieces (see
+    ``by_chunks``), of whose bytes the lowest bit counts.
     """
     left, right = 8 * max_size * 6 // 5 + 32, 8
     chunk = max(chunk, 2 * left)
 
     def summary(number: int, first: int, arrays: list[np.ndarray]) -> tuple:
         lo = number * chunk - first
-        own = _marks(arrays[0].astype(np.int8), lo, lo + chunk, min_size, max_size, keep_checksum, fix_bits)
+        own = _marks(arrays[0].astype(np.int8) & 1, lo, lo + chunk, min_size, max_size, keep_checksum, fix_bits)
         before = own.before()
         synced = before == _SYNCED
         frames = sorted(own.frames)

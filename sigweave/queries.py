@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import tables, taps
 from .functions.parsing import frequency
-from .model import Stream, shared_root, stored, zip_streams
+from .model import Stream, dealt, shared_root, stored, zip_streams
 from .operators import bits, clock, filters, framing, maps, position, pwm, spectrum
 from .sources import codecs, datastream, sinks, synthetic
 
@@ -631,9 +631,8 @@ def fcs_add(spark, d):
 
 @query(f"WITH {NAMES} SELECT stream_id, pdu_idx, hex(data) AS data FROM names")
 def hdlc_roundtrip(spark, d):
-    framed = framing.hdlc_framer(framing.fcs_adder(names(spark, d)), flags=2)
-    stream = bits.pdu_to_stream(framed, value="bit").df
-    return framing.hdlc_deframer(stream, 3, 1000).select("stream_id", "pdu_idx", "data")
+    framed = framing.hdlc_framer(framing.fcs_adder(dealt(names(spark, d), "stream_id", "pdu_idx")), flags=2, packed=True)
+    return framing.hdlc_deframer(bits.pdu_to_pieces(framed), 3, 1000).select("stream_id", "pdu_idx", "data")
 
 
 def _flipped(pdus: DataFrame, bit: Column) -> DataFrame:
@@ -657,7 +656,7 @@ def hdlc_fix_bits(spark, d):
 def hdlc_long(spark, d):
     """All names on one line, a single stream of some millions of bits at sf0.1."""
     rows = _t(spark, d, "customer").select(F.lit("line").alias("stream_id"), F.col("c_custkey").alias("pdu_idx"), F.col("c_name").cast("binary").alias("data"))
-    stream = bits.pdu_to_stream(framing.hdlc_framer(framing.fcs_adder(rows), flags=1), value="bit").df
+    stream = bits.pdu_to_pieces(framing.hdlc_framer(framing.fcs_adder(dealt(rows, "pdu_idx")), flags=1, packed=True))
     return framing.hdlc_deframer(stream, 3, 1000).select("stream_id", "pdu_idx", "data")
 
 

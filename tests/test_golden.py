@@ -457,6 +457,18 @@ def test_scrambler_of_many_short_streams(spark):
         assert [r.bit for r in row.rows] == s[:20]
 
 
+def test_hdlc_in_pieces(spark):
+    """Packets that stay whole give the frames that their bits one by one give, over many chunks."""
+    pdus = spark.range(300).selectExpr("id % 2 AS stream_id", "id div 2 AS pdu_idx", "CAST(concat('packet ', id * id) AS BINARY) AS data")
+    sent = framing.fcs_adder(pdus)
+    rows = bits.pdu_to_stream(framing.hdlc_framer(sent, flags=2), value="bit").df
+    pieces = bits.pdu_to_pieces(framing.hdlc_framer(sent, flags=2, packed=True))
+    order = ["stream_id", "pdu_idx"]
+    got, want = (framing.hdlc_deframer(df, 3, 20, chunk=1).orderBy(*order).collect() for df in (pieces, rows))
+    assert len(got) == 300 and got == want
+    assert [(r.stream_id, r.pdu_idx, r.data) for r in got] == [tuple(r) for r in pdus.orderBy(*order).collect()]
+
+
 def test_stream_chunks_keep_tags(spark):
     tags = spark.createDataFrame([("s", 1, "a"), ("s", 4, "b"), ("s", 6, "c")], "stream_id string, pos long, key string").withColumn("val", tag_value("b", True))
     got = bits.stream_chunks(Stream(stream(spark, range(7)), tags), 3).orderBy("pdu_idx").collect()
