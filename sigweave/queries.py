@@ -646,9 +646,9 @@ def _flipped(pdus: DataFrame, bit: Column) -> DataFrame:
 @query(f"WITH {NAMES} SELECT stream_id, pdu_idx, hex(data) AS data FROM names")
 def hdlc_fix_bits(spark, d):
     """One bit of each frame, its checksum included, is wrong on the line."""
-    sent = framing.fcs_adder(names(spark, d))
+    sent = stored(framing.fcs_adder(dealt(names(spark, d), "stream_id", "pdu_idx")))
     wrong = _flipped(sent, F.pmod(F.col("pdu_idx") * 37 + F.col("stream_id") * 11, F.octet_length("data") * 8))
-    stream = bits.pdu_to_stream(framing.hdlc_framer(wrong, flags=2), value="bit").df
+    stream = bits.pdu_to_pieces(framing.hdlc_framer(wrong, flags=2, packed=True))
     return framing.hdlc_deframer(stream, 3, 1000, fix_bits=True).select("stream_id", "pdu_idx", "data")
 
 
