@@ -8,17 +8,42 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from ..model import CHUNK, KEY, Stream, by_chunks, chunk_window, halo, lagged, running_sum, sequential, stored, tag_value, values, windowed, zip_streams
+from ..model import CHUNK, KEY, Stream, by_chunks, carried, chunk_window, halo, lagged, running_sum, sequential, stored, tag_value, values, windowed, zip_streams
+
+
+def _in_pieces(df: DataFrame) -> bool:
+    return isinstance(df.schema["bit"].dataType, BinaryType)
 
 
 def nrzi_decode(df: DataFrame) -> DataFrame:
-    """1 where a bit equals the one before it (0 before the start)."""
+    """1 where a bit equals the one before it (0 before the start); pieces (see ``by_chunks``) give pieces."""
+    if _in_pieces(df):
+
+        def decoded(number: int, first: int, arrays: list[np.ndarray]) -> tuple:
+            bits = arrays[0] & 1
+            lo = number * CHUNK - first
+            return ((1 ^ bits ^ np.concatenate([[0], bits[:-1]])).astype(np.uint8)[lo:].tobytes(),)
+
+        return by_chunks(df, ("bit",), decoded, "bit binary", 1).select("stream_id", (F.col("_chunk") * CHUNK).alias("pos"), "bit")
     return windowed(df, 1, 0, lambda w: {"bit": (F.lit(1).cast("tinyint").bitwiseXOR(F.col("bit"))).bitwiseXOR(lagged("bit", 1, w)).cast("tinyint")})
 
 
 def nrzi_encode(df: DataFrame) -> DataFrame:
-    """Parity of the zeros so far."""
+    """Parity of the zeros so far; pieces give pieces."""
+    if _in_pieces(df):
+
+        def counted(number: int, first: int, arrays: list[np.ndarray]) -> tuple:
+            bits = arrays[0] & 1
+            return bits.tobytes(), len(bits) - int(bits.sum())
+
+        def encoded(column, zeros):
+            return pd.Series([((z + np.cumsum(1 - np.frombuffer(x, np.int8))) % 2).astype(np.uint8).tobytes() for x, z in zip(column, zeros, strict=True)])
+
+        chunks = by_chunks(df, ("bit",), counted, "_b binary, _n long")
+        both = chunks.join(carried(chunks, F.col("_n"), "_z"), ["stream_id", "_chunk"])
+        return both.select("stream_id", (F.col("_chunk") * CHUNK).alias("pos"), F.pandas_udf(encoded, "binary")("_b", "_z").alias("bit"))
     zeros = running_sum(df, (F.col("bit") == 0).cast("long"), "_zeros")
     return zeros.select(*KEY, F.pmod("_zeros", F.lit(2)).cast("tinyint").alias("bit"))
 
@@ -86,8 +111,8 @@ def scrambler_g3ruh(df: DataFrame, chunk: int = 4096) -> DataFrame:
 
     chunks = by_chunks(df.select(*KEY, F.col("bit").cast("tinyint").alias("bit")), ("bit",), cut, "_bits array<tinyint>, own long", chunk=chunk)
     ends = chunks.select("stream_id", F.col("_chunk").alias("pos"), "own")
-    carried = sequential(ends, ("pos", "own"), machine, "pos long, before long").withColumnRenamed("pos", "_chunk")
-    whole = chunks.join(carried, ["stream_id", "_chunk"]).withColumn("_s", F.pandas_udf(run, "array<tinyint>")("_bits", "before"))
+    registers = sequential(ends, ("pos", "own"), machine, "pos long, before long").withColumnRenamed("pos", "_chunk")
+    whole = chunks.join(registers, ["stream_id", "_chunk"]).withColumn("_s", F.pandas_udf(run, "array<tinyint>")("_bits", "before"))
     rows = whole.select("stream_id", "_chunk", F.posexplode("_s").alias("_k", "bit"))
     return rows.select("stream_id", (F.col("_chunk") * chunk + F.col("_k")).alias("pos"), "bit")
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import tables, taps
 from .functions.parsing import frequency
-from .model import Stream, dealt, shared_root, stored, zip_streams
+from .model import Stream, by_chunks, carried, dealt, shared_root, stored, zip_streams
 from .operators import bits, clock, filters, framing, maps, position, pwm, spectrum
 from .sources import codecs, datastream, sinks, synthetic
 
@@ -834,14 +835,34 @@ def sql_closure(spark, d):
 
 @query(f"WITH {NAMES} SELECT stream_id, pdu_idx, hex(data) AS data FROM names")
 def modem_loop(spark, d):
-    """Each scan reads its input more than once, so the chain is stored between them."""
-    sent = stored(bits.pdu_to_stream(framing.hdlc_framer(framing.fcs_adder(names(spark, d)), flags=8), value="bit").df)
-    line = position.rational_resampler(stored(bits.nrzi_encode(sent)), 4, 1)
-    air = maps.vco(maps.map_values(line, v=F.col("bit") * 2.0 - 1), 0.5)
-    heard = filters.fir_filter(stored(filters.quadrature_demod(air, 2.0)), [0.25, 0.5, 0.25]).df
-    symbols = stored(clock.symbol_sync(stored(heard), 4.0, 0.5))
-    received = bits.nrzi_decode(maps.binary_slicer(symbols.select("stream_id", "pos", "v")))
-    return framing.hdlc_deframer(received, 3, 1000).select("stream_id", "pdu_idx", "data")
+    """Bits stay in pieces, and samples exist only inside tasks: of each chunk of bits they are made twice, for the clock and for its picks."""
+    framed = framing.hdlc_framer(framing.fcs_adder(dealt(names(spark, d), "stream_id", "pdu_idx")), flags=8, packed=True)
+    chunk = 1 << 14  # bits
+    line = by_chunks(bits.nrzi_encode(bits.pdu_to_pieces(framed)), ("bit",), lambda number, first, arrays: _line(number, first, arrays[0], chunk), "_first long, _bits binary, _sum long", 1, 1, chunk)
+    line = line.join(carried(line, F.col("_sum"), "_phase"), ["stream_id", "_chunk"])
+    columns, heard = ("_first", "_bits", "_phase"), lambda number, *own: _heard(number, *own, chunk)
+    sliced = lambda v, clock: ((v > 0).astype("uint8").tobytes(), len(v))
+    found = stored(clock.synced(line, clock.sign_changes(columns, heard, 4 * chunk), columns, heard, 4.0, 0.5, chunk=4 * chunk, made=sliced, kind="bit binary, n long"))
+    symbols = found.join(carried(found, F.col("_z.n"), "pos"), ["stream_id", "_chunk"]).select("stream_id", "pos", "_z.bit")
+    return framing.hdlc_deframer(bits.nrzi_decode(symbols), 3, 1000).select("stream_id", "pdu_idx", "data")
+
+
+def _line(number: int, first: int, column: np.ndarray, chunk: int) -> tuple[int, bytes, int]:
+    """Bits of a chunk with one neighbour on each side, and the sum of the chunk's own line samples (four of 1 or -1 a bit)."""
+    lo = number * chunk - first
+    own = column[lo : lo + chunk] & 1
+    return first, (column & 1).tobytes(), 4 * (2 * int(own.sum()) - len(own))
+
+
+def _heard(number: int, first: int, column: bytes, before: int, chunk: int) -> tuple[int, np.ndarray]:
+    """What the receiver hears of a chunk: bits held for four samples, frequency-modulated from the phase before, demodulated, smoothed."""
+    total = np.cumsum(np.repeat(np.frombuffer(column, np.int8) * 2.0 - 1, 4))
+    lo = 4 * (number * chunk - first)
+    phase = 0.5 * (before - (total[lo - 1] if lo else 0) + total)
+    re, im = np.sin(phase), np.cos(phase)
+    turn = 2.0 * np.arctan2(re[:-1] * im[1:] - im[:-1] * re[1:], re[:-1] * re[1:] + im[:-1] * im[1:])
+    smooth = 0.25 * turn[2:] + 0.5 * turn[1:-1] + 0.25 * turn[:-2]
+    return 4 * first, smooth[: 4 * ((number + 1) * chunk - first)]
 
 
 # The flagship: power of complex samples, smoothed, burst-tagged and cut into packets.

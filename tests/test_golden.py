@@ -469,6 +469,28 @@ def test_hdlc_in_pieces(spark):
     assert [(r.stream_id, r.pdu_idx, r.data) for r in got] == [tuple(r) for r in pdus.orderBy(*order).collect()]
 
 
+def test_steady_clock_takes_stretches_as_single_changes():
+    rng = np.random.RandomState(5)
+    for sps in (4.0, 5.0, 2.5):
+        at = np.cumsum(np.where(rng.rand(6000) < 0.001, rng.randint(1, 12, 6000), int(2 * sps) * rng.randint(1, 5, 6000)))
+        one, many = clock.SymbolClock(sps, 0.5, (0.5, 0.25)), clock.SymbolClock(sps, 0.5, (0.5, 0.25))
+        want = [(-1.0, 0.0, sps)] + [(float(p), *new) for p in at.tolist() if (new := one(p))]
+        assert np.array_equal(many.run(at, (-1.0, 0.0, sps)), want) and many.last == one.last and many.clock == one.clock
+
+
+def test_modem_stores_bits_only(spark, sf_dir):
+    """What a packet's 288 bits leave on disk does not grow to rows of its 1152 samples."""
+    from pathlib import Path
+
+    from sigweave.queries import QUERIES
+
+    root = Path(spark.conf.get("spark.checkpoint.dir")[7:])
+    used = lambda: sum(f.stat().st_size for f in root.rglob("*") if f.is_file())
+    before = used()
+    packets = QUERIES["modem_loop"](spark, sf_dir).count()
+    assert packets > 100 and used() - before < 300_000 + 600 * packets
+
+
 def test_stream_chunks_keep_tags(spark):
     tags = spark.createDataFrame([("s", 1, "a"), ("s", 4, "b"), ("s", 6, "c")], "stream_id string, pos long, key string").withColumn("val", tag_value("b", True))
     got = bits.stream_chunks(Stream(stream(spark, range(7)), tags), 3).orderBy("pdu_idx").collect()
